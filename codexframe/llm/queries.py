@@ -37,3 +37,12 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from codexframe.llm.minhash import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=3, threshold=85)
+
+
+@query
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from codexframe.llm.bpe import round_trip
+
+    return round_trip(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
