@@ -46,3 +46,56 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from codexframe.llm.bpe import round_trip
 
     return round_trip(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@query
+def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from codexframe.llm.secrets import scan_documents
+
+    return scan_documents(table(spark, sf_dir, "documents"))
+
+
+URL_RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
+
+
+@query
+def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from codexframe.llm.urls import judge_urls
+
+    return judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+ORACLES["op7_url_filters"] = r"""
+WITH parsed AS (
+  SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+ruled AS (
+  SELECT *, CASE WHEN (host = 'example.org' OR host LIKE '%.example.org') AND starts_with(path, '/en/1') THEN 'example.org/en/1'
+                 WHEN (host = 'example.org' OR host LIKE '%.example.org') AND starts_with(path, '/es/') THEN 'example.org/es/'
+                 WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/fr/') THEN 'com/fr/'
+                 WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/de/') THEN 'com/de/'
+                 WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/') THEN 'org/' END AS rule,
+         split_part(path, '/', 2) AS p1, split_part(path, '/', 3) AS p2 FROM parsed),
+seg AS (
+  SELECT *, CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END AS v,
+         CASE WHEN regexp_matches(p1, '[0-9]') THEN '*' ELSE p1 END AS s1, CASE WHEN regexp_matches(p2, '[0-9]') THEN '*' ELSE p2 END AS s2 FROM ruled),
+c0 AS (SELECT host, s1, s2, count(*) AS n, count(v) AS l, count(*) FILTER (v = 'block') AS b FROM seg GROUP BY host, s1, s2),
+c1 AS (SELECT *, CASE WHEN s1 <> '' AND host IN (SELECT host FROM c0 GROUP BY host HAVING count(DISTINCT s1) > 16 AND sum(n) < 4 * count(DISTINCT s1)) THEN '*' ELSE s1 END AS w1 FROM c0),
+c2 AS (SELECT c1.*, CASE WHEN s2 <> '' AND wide THEN '*' ELSE s2 END AS w2 FROM c1 JOIN
+       (SELECT host, w1, count(DISTINCT s2) > 16 AND sum(n) < 4 * count(DISTINCT s2) AS wide FROM c1 GROUP BY host, w1) USING (host, w1)),
+t AS (SELECT host, w1, w2, sum(l) AS l, sum(b) AS b FROM c2 GROUP BY host, w1, w2),
+b0 AS (SELECT host, w1, sum(l) AS l1, sum(b) AS b1 FROM t GROUP BY host, w1),
+b1 AS (SELECT *, sum(l1) OVER (PARTITION BY host) AS l0, sum(b1) OVER (PARTITION BY host) AS b0 FROM b0),
+b2 AS (SELECT *, coalesce(l1 > 0 AND (b1::DOUBLE / nullif(l1, 0) - b0::DOUBLE / nullif(l0, 0)) * (b1::DOUBLE / nullif(l1, 0) - b0::DOUBLE / nullif(l0, 0)) * l1
+              > 3.84::DOUBLE * (b0::DOUBLE / nullif(l0, 0)) * (1 - b0::DOUBLE / nullif(l0, 0)), false) AS own FROM b1),
+g AS (SELECT w1, sum(l1) AS lw, sum(b1) AS bw FROM b0 GROUP BY w1),
+q AS (SELECT (sum(bw) + 1)::DOUBLE / (sum(lw) + 2) AS q0 FROM g),
+g1 AS (SELECT w1, (bw + 4 * q0) / (lw + 4) AS q1 FROM g, q),
+b3 AS (SELECT *, sum(CASE WHEN own THEN 0 ELSE l1 END) OVER (PARTITION BY host) AS lm, sum(CASE WHEN own THEN 0 ELSE b1 END) OVER (PARTITION BY host) AS bm FROM b2),
+b4 AS (SELECT host, w1, l1, b1, ((CASE WHEN own THEN b1 ELSE bm END) + 4 * q1) / ((CASE WHEN own THEN l1 ELSE lm END) + 4) AS qb FROM b3 JOIN g1 USING (w1)),
+t1 AS (SELECT t.host, t.w1, t.w2, CASE WHEN coalesce(l > 0 AND (b::DOUBLE / nullif(l, 0) - b1::DOUBLE / nullif(l1, 0)) * (b::DOUBLE / nullif(l, 0) - b1::DOUBLE / nullif(l1, 0)) * l
+              > 3.84::DOUBLE * (b1::DOUBLE / nullif(l1, 0)) * (1 - b1::DOUBLE / nullif(l1, 0)), false) THEN (b + 4 * qb) / (l + 4) ELSE qb END AS share
+       FROM t JOIN b4 ON t.host = b4.host AND t.w1 = b4.w1)
+SELECT page_id, seg.host, path, rule, coalesce(v, CASE WHEN share >= 0.5 THEN 'block' ELSE 'allow' END) AS verdict
+FROM seg JOIN c2 ON seg.host = c2.host AND seg.s1 = c2.s1 AND seg.s2 = c2.s2 JOIN t1 ON t1.host = c2.host AND t1.w1 = c2.w1 AND t1.w2 = c2.w2
+"""
