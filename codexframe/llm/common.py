@@ -38,6 +38,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(at)
 
 
+def anew(df: DataFrame) -> DataFrame:
+    """df with columns of their own, for a cogroup with a table of the same origin."""
+    return df.select(*(F.col(c).alias(c) for c in df.columns))
+
+
 def release(spark: SparkSession) -> None:
     """Delete all work tables written so far; results that still read them must have been written before."""
     while _written:

@@ -99,3 +99,19 @@ t1 AS (SELECT t.host, t.w1, t.w2, CASE WHEN coalesce(l > 0 AND (b::DOUBLE / null
 SELECT page_id, seg.host, path, rule, coalesce(v, CASE WHEN share >= 0.5 THEN 'block' ELSE 'allow' END) AS verdict
 FROM seg JOIN c2 ON seg.host = c2.host AND seg.s1 = c2.s1 AND seg.s2 = c2.s2 JOIN t1 ON t1.host = c2.host AND t1.w1 = c2.w1 AND t1.w2 = c2.w2
 """
+
+
+@query
+def op1_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from codexframe.llm.topk import top_k
+    from codexframe.llm.vectors import valid
+
+    whole = table(spark, sf_dir, "embeddings").where(valid(F.col("embedding"))).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", lambda x: F.floor(x.cast("double") * 256).cast("double")).alias("embedding"))
+    return top_k(whole, whole.where("vec_id % 50 = 0"))
+
+
+@query
+def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from codexframe.llm.embedding_dedup import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"))
