@@ -123,3 +123,10 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents")
     return score_documents(docs, train(docs, table(spark, sf_dir, "labels")))
+
+
+@query
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from codexframe.llm.kneser_ney import score_corpus
+
+    return score_corpus(table(spark, sf_dir, "documents"))
