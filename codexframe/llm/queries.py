@@ -130,3 +130,10 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from codexframe.llm.kneser_ney import score_corpus
 
     return score_corpus(table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from codexframe.llm.substrings import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
