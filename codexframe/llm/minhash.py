@@ -4,9 +4,10 @@ Every document becomes the set of its word shingles. Equal sets collapse to one
 `bands * rows` hash functions; bands of whole minima propose candidates, the low bits of the minima, packed, give a
 collision-corrected estimate of similarity by bit counts, and what passes is confirmed on the full sets.
 
-Candidates of a band bucket are not all its pairs: in each of a few rounds every member meets one hub of its bucket,
-and confirmed links merge components, after which only pairs of one bucket that still lie in different components
-meet each other. A large group of copies thus costs about as many comparisons as it has members.
+Candidates of a band bucket are not all its pairs. A class that shares too few of its shingles with all other
+candidates can have no link and goes first. Then every member meets the hub of its bucket, the one that shares most,
+and confirmed links merge components. Only members that share buckets, at any remove, but still lie in different
+components are then compared with each other, by longer signatures and in blocks of bounded size.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codexframe.llm.common import connected_components, map_batches, materialize
+from codexframe.llm.common import arrow_schema, connected_components, map_batches, materialize
 
 _MASK = (1 << 64) - 1
 
@@ -114,7 +115,7 @@ def signatures(docs: DataFrame, shingle: int, bands: int, rows: int, bits: int)
     return map_batches(docs, run, _SIGNED)
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: int = 80, bands: int = 24, rows: int = 7, bits: int = 4, margin: float = 0.2, hub_rounds: int = 2) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: int = 80, bands: int = 24, rows: int = 7, bits: int = 4, margin: float = 0.12) -> DataFrame:
     """Classes of near-duplicate documents (doc_id, text): Jaccard similarity of word shingles, threshold in hundredths.
 
     Returns a row per row: doc_id, n_shingles, component_id (smallest doc_id reachable by links, itself included)
@@ -130,37 +131,36 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: int = 80, band
     classes = materialize(
         named.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("packed").alias("packed")), "classes"
     )
-    members = classes.select("rep", "n", F.explode("bands").alias("bucket"))
+    members = classes.select("rep", F.explode("bands").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1").select("bucket")
     members = materialize(members.join(shared, "bucket"), "members")
 
-    links = tried = None
-    label = classes.select("rep", F.col("rep").alias("label"))
-    for turn in range(hub_rounds + 1):
-        left = members.join(label, "rep")
-        if turn:
-            mixed = left.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("bucket")
-            left = materialize(left.join(mixed, "bucket"), "mixed")
-            if left.isEmpty():
-                break
-        if turn < hub_rounds:
-            meet = left.groupBy("bucket").agg(F.min_by(F.struct("rep", "n", "label"), F.xxhash64("rep", F.lit(turn))).alias("h")).select("bucket", "h.*")
-        else:
-            meet = left
-        pairs = left.join(meet.select("bucket", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("label").alias("la")), "bucket")
-        pairs = pairs.where((F.col("label") != F.col("la")) & (F.col("rep") != F.col("a")) & (100 * F.least("n", "na") >= threshold * F.greatest("n", "na")))
-        pairs = pairs.select(F.least("rep", "a").alias("a"), F.greatest("rep", "a").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        likely = materialize(_likely(pairs, classes, bands * rows, bits, threshold / 100 - margin), "likely")
-        if likely.isEmpty():
-            continue
-        tried = likely if tried is None else tried.unionByName(likely)
-        found = materialize(_confirmed(likely, source, shingle, threshold), "links")
-        links = found if links is None else links.unionByName(found)
-        component = connected_components(links).withColumnRenamed("node", "rep")
-        label = materialize(classes.select("rep").join(component, "rep", "left").select("rep", F.coalesce("component", "rep").alias("label")), "label")
-    return _with_components(signed, classes.select("digest", "rep").join(label, "rep").select("digest", F.col("label").alias("component_id")))
+    sets = materialize(_shingle_sets(members.select(F.col("rep").alias("doc_id")).distinct(), source, shingle), "sets")
+    # what a class shares with any other candidate bounds its similarity to all of them
+    able = materialize(_shared_sizes(sets).where(100 * F.col("s") >= threshold * F.col("n")), "able")
+    members = members.select("bucket", "rep").join(able, "rep")
+    shared = members.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1").select("bucket")
+    members = materialize(members.join(shared, "bucket"), "able-members")
+
+    # first every member of a bucket meets its hub, the member that shares most
+    by = F.struct(F.col("n") / F.col("s"), F.xxhash64("rep"))
+    hub = members.groupBy("bucket").agg(F.min_by(F.struct("rep", "n", "s"), by).alias("h")).select("bucket", F.col("h.rep").alias("a"), F.col("h.n").alias("na"), F.col("h.s").alias("sa"))
+    can = (100 * F.least("n", "na") >= threshold * F.greatest("n", "na")) & ((100 + threshold) * F.least("s", "sa") >= threshold * (F.col("n") + F.col("na")))
+    pairs = members.join(hub, "bucket").where((F.col("rep") != F.col("a")) & can)
+    pairs = pairs.select(F.least("rep", "a").alias("a"), F.greatest("rep", "a").alias("b")).distinct()
+    links = materialize(_confirmed(_likely(pairs, classes, bands * rows, bits, threshold / 100 - margin), sets, threshold), "links")
+    label = materialize(_labels(able, links), "label")
+    # then members that share buckets, at any remove, and still differ in component meet each other
+    least = members.groupBy("bucket").agg(F.min("rep").alias("b"))
+    cluster = connected_components(members.join(least, "bucket").select(F.col("rep").alias("a"), "b")).toDF("rep", "cluster")
+    rest = able.join(cluster, "rep").join(label, "rep")
+    mixed = rest.groupBy("cluster").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("size")).where("x <> y").select("cluster", "size")
+    likely = materialize(_across(rest.join(mixed, "cluster"), sets, threshold, margin), "likely")
+    if not likely.isEmpty():
+        links = links.unionByName(materialize(_confirmed(likely, sets, threshold), "links"))
+        label = materialize(_labels(able, links), "label")
+    named = classes.select("digest", "rep").join(label, "rep", "left").select("digest", F.coalesce("label", "rep").alias("component_id"))
+    return _with_components(signed, named)
 
 
 def _with_components(signed: DataFrame, of_class: DataFrame) -> DataFrame:
@@ -182,16 +182,94 @@ def _likely(pairs: DataFrame, classes: DataFrame, count: int, bits: int, least:
     return map_batches(both, run, "a long, b long")
 
 
-def _confirmed(pairs: DataFrame, source: DataFrame, shingle: int, threshold: int) -> DataFrame:
-    """Pairs whose full shingle sets have the similarity asked for."""
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    texts = source.where("doc_id is not null").join(ids, "doc_id", "left_semi")
+def _labels(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """Component of every class: (rep, label)."""
+    component = connected_components(links).toDF("rep", "component")
+    return classes.select("rep").join(component, "rep", "left").select("rep", F.coalesce("component", "rep").alias("label"))
+
+
+def _across(rest: DataFrame, sets: DataFrame, threshold: int, margin: float, block: int = 1024, count: int = 1024) -> DataFrame:
+    """Likely pairs (a, b) of one cluster and different labels, by longer signatures: rest (rep, n, s, cluster, label, size).
 
-    def sets(batch: pa.RecordBatch) -> dict:
+    A cluster is dealt into chunks of about `block` classes and every two chunks meet in a task of their own; only
+    pairs within half the margin of the threshold leave it.
+    """
+    spark = rest.sparkSession
+    ids = rest.select("rep").distinct()
+
+    def sign(batch: pa.RecordBatch) -> dict:
+        a, b = coefficients(count)
+        low = [(minima(np.frombuffer(h, np.uint64), a, b) & np.uint64(255)).astype(np.uint8).tobytes() for h in batch.column(1).to_pylist()]
+        return {"rep": batch.column(0), "low": low}
+
+    signed = map_batches(sets.join(ids, "rep", "left_semi").select("rep", "hashes"), sign, "rep long, low binary")
+    dealt = rest.join(signed, "rep").withColumn("chunks", F.ceil(F.col("size") / block)).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("chunks")))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+    dealt = dealt.select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "label", "n", "s", "low")
+    schema = arrow_schema(spark, "a long, b long")
+
+    def meet(table):
+        rep, label, n, s, own = (table[c].to_numpy() for c in ("rep", "label", "n", "s", "own"))
+        kinds, where, many = np.unique(label, return_inverse=True, return_counts=True)
+        if len(kinds) == 1:
+            return schema.empty_table()
+        low = np.frombuffer(b"".join(table["low"].to_pylist()), np.uint8).reshape(len(rep), count)
+        apart = table["i"][0].as_py() != table["j"][0].as_py()
+        lone = where != many.argmax()
+        a, b = [], []
+        for x in np.flatnonzero(lone):
+            can = (label != label[x]) & (~lone | (rep > rep[x])) & (100 * np.minimum(n, n[x]) >= threshold * np.maximum(n, n[x]))
+            can &= (100 + threshold) * np.minimum(s, s[x]) >= threshold * (n + n[x])
+            if apart:
+                can &= own != own[x]
+            y = np.flatnonzero(can)
+            if len(y):
+                match = ((low[y] == low[x]).mean(axis=1) - 1 / 256) / (1 - 1 / 256)
+                y = y[match >= threshold / 100 - margin / 2]
+                a += np.minimum(rep[y], rep[x]).tolist()
+                b += np.maximum(rep[y], rep[x]).tolist()
+        return pa.table({"a": a, "b": b}, schema=schema)
+
+    return dealt.groupBy("cluster", "i", "j").applyInArrow(meet, "a long, b long").distinct()
+
+
+def _shingle_sets(ids: DataFrame, source: DataFrame, shingle: int) -> DataFrame:
+    """Sorted shingle hashes of some documents: (rep, hashes)."""
+
+    def run(batch: pa.RecordBatch) -> dict:
         return {"rep": batch.column(0), "hashes": [shingle_hashes(x, shingle).tobytes() for x in batch.column(1).to_pylist()]}
 
-    made = materialize(map_batches(texts.select("doc_id", "text"), sets, "rep long, hashes binary").dropDuplicates(["rep"]), "sets")
-    both = pairs.join(made.toDF("a", "ha"), "a").join(made.toDF("b", "hb"), "b").select("a", "b", "ha", "hb")
+    texts = source.where("doc_id is not null").join(ids, "doc_id", "left_semi")
+    return map_batches(texts.select("doc_id", "text"), run, "rep long, hashes binary").dropDuplicates(["rep"])
+
+
+def _shared_sizes(sets: DataFrame) -> DataFrame:
+    """Size n of every set, and how many s of its shingles any other set holds too: (rep, n, s)."""
+    spark = sets.sparkSession
+
+    def spread(batch: pa.RecordBatch) -> dict:
+        raw = batch.column(1).to_pylist()
+        n = np.array([len(h) // 8 for h in raw], np.int64)
+        return {"shingle": np.frombuffer(b"".join(raw), np.int64), "rep": np.repeat(batch.column(0).to_numpy(), n)}
+
+    schema = arrow_schema(spark, "rep long, n long, s long")
+
+    def count(batches):
+        parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+        if parts:
+            shingles, rep = (np.concatenate(c) for c in zip(*parts, strict=True))
+            _, back, times = np.unique(shingles, return_inverse=True, return_counts=True)
+            ids, own = np.unique(rep, return_inverse=True)
+            yield pa.RecordBatch.from_pydict({"rep": ids, "n": np.bincount(own), "s": np.bincount(own, times[back] > 1).astype(np.int64)}, schema=schema)
+
+    # a shingle comes once a set, so no key holds more than its share of a set's size
+    dealt = map_batches(sets, spread, "shingle long, rep long").repartition("shingle")
+    return dealt.mapInArrow(count, "rep long, n long, s long").groupBy("rep").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """Pairs whose full shingle sets have the similarity asked for."""
+    both = pairs.join(sets.toDF("a", "ha"), "a").join(sets.toDF("b", "hb"), "b").select("a", "b", "ha", "hb")
 
     def run(batch: pa.RecordBatch) -> dict:
         keep = []
