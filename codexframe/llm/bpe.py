@@ -1,8 +1,9 @@
 """Byte-level BPE over distinct words.
 
-Documents are dealt once into chunks of bounded size. Each chunk names its distinct pre-tokens; every distinct word
-of the corpus is encoded once, the token-byte table turns its ids back into bytes, and both go back to the chunks
-that asked, where documents are put together again word by word in their order.
+Every task names the distinct pre-tokens of its documents, one shuffle makes them distinct over the corpus, and each is
+encoded once. The word table goes to the shared folder as a sorted array of hashes with the ids beside them; workers map
+it into memory and join the ids back to the pre-tokens of every document, in their order. Texts are never shuffled.
+Decoding takes the bytes of every id from the token-byte table, which is as long as the vocabulary file.
 """
 
 from __future__ import annotations
@@ -10,12 +11,14 @@ from __future__ import annotations
 import base64
 import hashlib
 
+import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codexframe.llm.common import arrow_schema
+from codexframe.llm.arrays import Arrays, store
+from codexframe.llm.common import arrow_schema, map_batches
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -24,98 +27,121 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
 
 
-def token_bytes(spark: SparkSession, path: str) -> DataFrame:
-    """The token-byte table (id, bytes): as long as the vocabulary file, whatever the corpus."""
-    return spark.createDataFrame([(b, bytearray(a)) for a, b in load_ranks(path).items()], "id int, bytes binary")
+class Codec:
+    """One a worker process and vocabulary: the encoder of words, and the token-byte table."""
 
+    def __init__(self, path: str, pattern: str):
+        import tiktoken
 
-_encoders: dict[tuple[str, str], object] = {}
+        ranks = load_ranks(path)
+        self.bpe = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.token_bytes = {i: b for b, i in ranks.items()}
 
+    def encode(self, word: str) -> list[int]:
+        return self.bpe.encode_ordinary(word)
 
-def encoder(path: str, pattern: str):
-    """One encoder a worker process and vocabulary."""
-    import tiktoken
+    def decode(self, ids: list[int]) -> bytes:
+        return b"".join(map(self.token_bytes.__getitem__, ids))
 
-    if (path, pattern) not in _encoders:
-        _encoders[path, pattern] = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=load_ranks(path), special_tokens={})
-    return _encoders[path, pattern]
 
+_codecs: dict[tuple[str, str], Codec] = {}
 
-def distinct_words(dealt: DataFrame, pattern: str) -> DataFrame:
-    """Distinct pre-tokens of each chunk (chunk, word), from (chunk, doc_id, text)."""
-    schema = arrow_schema(dealt.sparkSession, "chunk long, word string")
 
-    def run(batches):
-        find, seen, last = regex.compile(pattern).findall, set(), None
+def codec(path: str, pattern: str) -> Codec:
+    if (path, pattern) not in _codecs:
+        _codecs[path, pattern] = Codec(path, pattern)
+    return _codecs[path, pattern]
+
+
+def word_key(word: str) -> int:
+    return int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "big", signed=True)
+
 
-        def out():
-            return pa.RecordBatch.from_pydict({"chunk": [last] * len(seen), "word": list(seen)}, schema=schema)
+def distinct_words(texts: DataFrame, pattern: str) -> DataFrame:
+    """Distinct pre-tokens of a column of texts: (word)."""
+    schema = arrow_schema(texts.sparkSession, "word string")
 
+    def run(batches):
+        find, seen = regex.compile(pattern).findall, set()
         for batch in batches:
-            for chunk, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                if seen and (chunk != last or len(seen) > 500_000):
-                    yield out()
-                    seen.clear()
-                last = chunk
+            for text in batch.column(0).to_pylist():
                 seen.update(find(text or ""))
-        if seen:
-            yield out()
+            if len(seen) > 400_000:
+                yield pa.RecordBatch.from_pydict({"word": list(seen)}, schema=schema)
+                seen = set()
+        yield pa.RecordBatch.from_pydict({"word": list(seen)}, schema=schema)
 
-    return dealt.mapInArrow(run, "chunk long, word string")
+    return texts.mapInArrow(run, "word string").distinct()
 
 
-def encode_words(words: DataFrame, path: str, pattern: str) -> DataFrame:
-    """Ids of every distinct word (word): (word, ids)."""
-    schema = arrow_schema(words.sparkSession, "word string, ids array<int>")
+def word_table(texts: DataFrame, path: str, pattern: str) -> Arrays:
+    """Ids (little-endian unsigned 32-bit) of every distinct word of texts, by the hash of the word.
 
-    def run(batches):
-        bpe = encoder(path, pattern)
-        for batch in batches:
-            given = batch.column(0).to_pylist()
-            yield pa.RecordBatch.from_pydict({"word": given, "ids": [bpe.encode_ordinary(w) for w in given]}, schema=schema)
+    Of words of equal hash any one stays: whoever looks up compares what the ids decode to with the word.
+    """
 
-    return words.mapInArrow(run, "word string, ids array<int>")
+    def encode(batch: pa.RecordBatch) -> dict:
+        words, own = batch.column(0).to_pylist(), codec(path, pattern)
+        return {"key": [word_key(w) for w in words], "ids": [np.array(own.encode(w), "<u4").tobytes() for w in words]}
 
+    return store(map_batches(distinct_words(texts, pattern), encode, "key long, ids binary").dropDuplicates(["key"]), "words", 1_000_000)
 
-def round_trip(docs: DataFrame, path: str, pattern: str, chunk_bytes: int = 8_000_000, with_ids: bool = False) -> DataFrame:
+
+class Joined:
+    """Ids as text and decoded bytes of words, read from the word table; at most `bound` words are kept."""
+
+    def __init__(self, table: Arrays, own: Codec, bound: int = 300_000):
+        self.table, self.codec, self.bound = table, own, bound
+        self.ids: dict[str, str] = {}
+        self.raw: dict[str, bytes] = {}
+
+    def add(self, words: set[str]) -> None:
+        """Make sure that all these words are known."""
+        missing = [w for w in words if w not in self.ids]
+        if not missing:
+            return
+        if len(self.ids) > self.bound:
+            self.ids, self.raw, missing = {}, {}, list(words)
+        keys = np.fromiter(map(word_key, missing), np.int64, len(missing))
+        for word, ids in zip(missing, self.table.payloads(keys), strict=True):
+            ids = np.frombuffer(ids or b"", "<u4").tolist()
+            raw = self.codec.decode(ids)
+            if raw != word.encode():  # another word of the same hash has the place
+                ids = self.codec.encode(word)
+                raw = self.codec.decode(ids)
+            self.ids[word], self.raw[word] = " ".join(map(str, ids)), raw
+
+
+def round_trip(docs: DataFrame, path: str, pattern: str, with_ids: bool = False) -> DataFrame:
     """Encode and decode every document (doc_id, text).
 
     Returns a row per row: doc_id, n_tokens, ids_sha256 (decimal ids joined by one space), decoded_sha256 (the decoded
     bytes); with_ids adds ids and decoded. A null text counts as empty: no tokens, digests of nothing. Repeated rows
     stay; a null doc_id stays null; other columns are ignored; an empty table gives no rows. Texts are never cut.
     """
-    spark = docs.sparkSession
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    total = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    chunks = max(1, -(-total // chunk_bytes))
-    by_text = F.xxhash64("doc_id", F.substring("text", 1, 64), F.length("text"), F.spark_partition_id())
-    dealt = source.select(F.pmod(by_text, F.lit(chunks)).alias("chunk"), "doc_id", "text").repartition(F.col("chunk"))
-
-    asked = distinct_words(dealt, pattern)
-    encoded = encode_words(asked.groupBy("word").agg(F.count("*").alias("chunks")).select("word"), path, pattern)
-    pieces = encoded.select("word", F.posexplode("ids").alias("at", "id")).join(F.broadcast(token_bytes(spark, path)), "id")  # the table is the vocabulary file
-    decoded = pieces.groupBy("word").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "id"))), lambda x: x["id"].cast("string")), " ").alias("ids"),
-        F.unhex(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", F.hex("bytes").alias("b")))), lambda x: x["b"]), "")).alias("bytes"),
-    )
-    known = asked.join(decoded, "word").select("chunk", "word", "ids", "bytes")
-
-    def together(documents, words):
-        ids = dict(zip(words["word"].to_pylist(), words["ids"].to_pylist(), strict=True))
-        raw = dict(zip(words["word"].to_pylist(), words["bytes"].to_pylist(), strict=True))
-        find, out = regex.compile(pattern).findall, {n: [] for n in ("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded")}
-        for doc, text in zip(documents["doc_id"].to_pylist(), documents["text"].to_pylist(), strict=True):
-            found = find(text or "")
-            joined, back = " ".join(map(ids.__getitem__, found)), b"".join(map(raw.__getitem__, found))
-            out["doc_id"].append(doc)
-            out["n_tokens"].append(joined.count(" ") + 1 if joined else 0)
-            out["ids_sha256"].append(hashlib.sha256(joined.encode()).hexdigest())
-            out["decoded_sha256"].append(hashlib.sha256(back).hexdigest())
-            out["ids"].append([int(x) for x in joined.split()] if with_ids else None)
-            out["decoded"].append(back if with_ids else None)
-        return pa.table(out, schema=schema)
-
-    ddl = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, ids array<int>, decoded binary"
-    schema = arrow_schema(spark, ddl)
-    out = dealt.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(together, ddl)
-    return out if with_ids else out.drop("ids", "decoded")
+    table = word_table(source.select("text"), path, pattern)
+    names = ("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *(("ids", "decoded") if with_ids else ()))
+    ddl = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded binary" * with_ids
+    schema = arrow_schema(docs.sparkSession, ddl)
+
+    def run(batches):
+        find, known = regex.compile(pattern).findall, Joined(table, codec(path, pattern))
+        for batch in batches:
+            given = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+            for at in range(0, max(1, len(given)), 500):
+                part = [(doc, find(text or "")) for doc, text in given[at : at + 500]]
+                known.add({w for _, found in part for w in found})
+                out: dict[str, list] = {n: [] for n in names}
+                for doc, found in part:
+                    joined, back = " ".join(map(known.ids.__getitem__, found)), b"".join(map(known.raw.__getitem__, found))
+                    out["doc_id"].append(doc)
+                    out["n_tokens"].append(joined.count(" ") + 1 if joined else 0)
+                    out["ids_sha256"].append(hashlib.sha256(joined.encode()).hexdigest())
+                    out["decoded_sha256"].append(hashlib.sha256(back).hexdigest())
+                    if with_ids:
+                        out["ids"].append([int(x) for x in joined.split()])
+                        out["decoded"].append(back)
+                yield pa.RecordBatch.from_pydict(out, schema=schema)
+
+    return source.mapInArrow(run, ddl)

@@ -9,19 +9,14 @@ whole batches of keys at once, so that a worker needs no memory of its own for t
 from __future__ import annotations
 
 import hashlib
-import mmap
-import os
-import uuid
-from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs as pafs
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codexframe.llm.common import arrow_schema, map_batches, materialize, work_path
+from codexframe.llm.arrays import Arrays, store
+from codexframe.llm.common import arrow_schema, map_batches, materialize
 
 #: The token after the last word of every text; no word can hold a space.
 END = b" end"
@@ -55,97 +50,6 @@ def hashed(text: bytes | None) -> np.ndarray:
     return np.fromiter(map(_hashes.__getitem__, words), np.int64, len(words))
 
 
-class Arrays:
-    """Sorted keys with values beside them, in parts by key range under one folder; parts are mapped when first read."""
-
-    def __init__(self, folder: str, parts: list[tuple[int, str]], dtype: list[tuple[str, str]]):
-        self.folder, self.parts, self.dtype = folder, sorted(parts), np.dtype(dtype)
-        self.first = np.array([p[0] for p in self.parts], np.int64)
-        self._mapped: dict[int, np.ndarray] = {}
-
-    def __getstate__(self):
-        return {**self.__dict__, "_mapped": {}}
-
-    def part(self, i: int) -> dict[str, np.ndarray]:
-        if i not in self._mapped:
-            at = f"{self.folder}/{self.parts[i][1]}"
-            if urlparse(at).scheme in ("", "file"):
-                with open(urlparse(at).path, "rb") as f:
-                    raw = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
-            else:  # a store without local paths: the part is read whole
-                fs, path = pafs.FileSystem.from_uri(at)
-                raw = fs.open_input_file(path).read()
-            n, at_byte, columns = len(raw) // self.dtype.itemsize, 0, {}
-            for name in self.dtype.names:
-                kind = self.dtype[name]
-                columns[name] = np.frombuffer(raw, kind, n, at_byte)
-                at_byte += n * kind.itemsize
-            self._mapped[i] = columns
-        return self._mapped[i]
-
-    def look_up(self, keys: np.ndarray, names: tuple[str, ...]) -> tuple[np.ndarray, list[np.ndarray]]:
-        """Whether each key is there, and its values (0 where not)."""
-        unique, back = np.unique(keys, return_inverse=True)
-        there = np.zeros(len(unique), bool)
-        out = [np.zeros(len(unique), self.dtype[n]) for n in names]
-        own = np.searchsorted(self.first, unique, "right") - 1 if len(self.first) else np.full(len(unique), -1)
-        cuts = np.searchsorted(own, np.arange(-1, len(self.parts) + 1))
-        for i in range(len(self.parts)):
-            a, b = cuts[i + 1], cuts[i + 2]
-            if a == b:
-                continue
-            columns = self.part(i)
-            place = np.minimum(np.searchsorted(columns["key"], unique[a:b]), len(columns["key"]) - 1)
-            there[a:b] = columns["key"][place] == unique[a:b]
-            for o, n in zip(out, names, strict=True):
-                o[a:b] = np.where(there[a:b], columns[n][place], 0)
-        return there[back], [o[back] for o in out]
-
-
-_NUMPY = {"bigint": "<i8", "int": "<i4", "float": "<f4", "double": "<f8"}
-
-
-def store(df: DataFrame, name: str, part_rows: int = 4_000_000) -> Arrays:
-    """Write (key, values...) as arrays sorted by key: range-partitioned by Spark, one file a task, renamed when whole.
-
-    A retried task writes its file anew under another name; only names that tasks reported are used. A part's name and
-    first key are what reaches the driver.
-    """
-    spark, folder = df.sparkSession, work_path(df.sparkSession, name)
-    dtype = [(f.name, _NUMPY[f.dataType.simpleString()]) for f in df.schema]
-    rows = df.count()
-    if not rows:
-        return Arrays(folder, [], dtype)
-    dealt = df.repartitionByRange(max(1, -(-rows // part_rows)), "key").sortWithinPartitions("key")
-
-    def run(batches):
-        columns = [[] for _ in dtype]
-        for batch in batches:
-            for kept, c in zip(columns, batch.columns, strict=True):
-                kept.append(c.to_numpy())
-        joined = [np.concatenate(c) if c else np.zeros(0) for c in columns]
-        if len(joined[0]):
-            file = f"part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.arr"
-            raw = [np.ascontiguousarray(c, t) for c, (_, t) in zip(joined, dtype, strict=True)]
-            at = urlparse(folder)
-            if at.scheme in ("", "file"):
-                os.makedirs(at.path, exist_ok=True)
-                with open(f"{at.path}/.{file}", "wb") as f:
-                    for c in raw:
-                        f.write(c.data)
-                os.rename(f"{at.path}/.{file}", f"{at.path}/{file}")
-            else:
-                fs, path = pafs.FileSystem.from_uri(folder)
-                fs.create_dir(path)
-                with fs.open_output_stream(f"{path}/{file}") as f:
-                    for c in raw:
-                        f.write(c.data)
-            yield pa.RecordBatch.from_pydict({"first": [int(joined[0][0])], "file": [file]}, schema=schema)
-
-    schema = arrow_schema(spark, "first long, file string")
-    return Arrays(folder, [(r.first, r.file) for r in dealt.mapInArrow(run, "first long, file string").collect()], dtype)
-
-
 def discounts(counts: dict[int, int]) -> tuple[float, float, float]:
     """The three discounts from how many n-grams occur once, twice, three and four times."""
     n1, n2, n3, n4 = (counts.get(k, 0) for k in (1, 2, 3, 4))
@@ -215,7 +119,6 @@ def train(docs: DataFrame) -> Model:
     total, distinct = words.agg(F.sum("count"), F.count("*")).first()
     total = total or 0
     numbers = store(words, "numbers")
-    sizes = _part_starts(numbers)
 
     bigram_schema = arrow_schema(spark, "key long, count long")
 
@@ -231,7 +134,7 @@ def train(docs: DataFrame) -> Model:
             if not given:
                 continue
             flat = np.concatenate(given)
-            ids = number(numbers, sizes, flat)
+            ids = numbers.rank(flat)
             before = np.empty(len(ids), np.int64)
             before[1:] = ids[:-1]
             n = np.fromiter(map(len, given), np.int64, len(given))
@@ -259,7 +162,7 @@ def train(docs: DataFrame) -> Model:
 
     def numbered(batch: pa.RecordBatch) -> dict:
         keys = batch.column(0).to_numpy()
-        return {"key": keys, "count": batch.column(1), "id": number(numbers, sizes, keys)}
+        return {"key": keys, "count": batch.column(1), "id": numbers.rank(keys)}
 
     with_ids = map_batches(words.select("key", "count"), numbered, "key long, count long, id long")
     entries = with_ids.join(lower, "id", "left").select("key", "id", "count", F.coalesce("lower", F.lit(floor)).alias("lower"))
@@ -267,26 +170,6 @@ def train(docs: DataFrame) -> Model:
     return Model(store(entries, "word-arrays"), store(contexts.select("key", "weight"), "context-arrays"), store(discounted, "bigram-arrays"), total, distinct, floor)
 
 
-def _part_starts(arrays: Arrays) -> np.ndarray:
-    """How many keys lie before each part."""
-    sizes = []
-    for _, file in arrays.parts:
-        fs, path = pafs.FileSystem.from_uri(f"{arrays.folder}/{file}" if "://" in arrays.folder or arrays.folder.startswith("file:") else f"file://{arrays.folder}/{file}")
-        sizes.append(fs.get_file_info(path).size // arrays.dtype.itemsize)
-    return np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-
-
-def number(arrays: Arrays, starts: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Places of keys, all of which are there, in the sorted arrays: the number of each word."""
-    unique, back = np.unique(keys, return_inverse=True)
-    own = np.searchsorted(arrays.first, unique, "right") - 1
-    out = np.empty(len(unique), np.int64)
-    for i in np.unique(own):
-        at = own == i
-        out[at] = starts[i] + np.searchsorted(arrays.part(i)["key"], unique[at])
-    return out[back]
-
-
 def score_documents(docs: DataFrame, model: Model, held_out: Column) -> DataFrame:
     """Scores of every whole text (doc_id, text).
 
