@@ -43,10 +43,15 @@ def anew(df: DataFrame) -> DataFrame:
     return df.select(*(F.col(c).alias(c) for c in df.columns))
 
 
-def release(spark: SparkSession) -> None:
-    """Delete all work tables written so far; results that still read them must have been written before."""
-    while _written:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+def written_since(mark: int = 0) -> list[str]:
+    """Work tables written since there were `mark` of them."""
+    return _written[mark:]
+
+
+def release(spark: SparkSession, tables: list[str]) -> None:
+    """Delete work tables; results that still read them must have been written before."""
+    for at in tables:
+        path = spark._jvm.org.apache.hadoop.fs.Path(at)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 

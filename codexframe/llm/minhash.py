@@ -115,7 +115,7 @@ def signatures(docs: DataFrame, shingle: int, bands: int, rows: int, bits: int)
     return map_batches(docs, run, _SIGNED)
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: int = 80, bands: int = 24, rows: int = 7, bits: int = 4, margin: float = 0.12) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: int = 80, bands: int = 24, rows: int = 6, bits: int = 4, margin: float = 0.12) -> DataFrame:
     """Classes of near-duplicate documents (doc_id, text): Jaccard similarity of word shingles, threshold in hundredths.
 
     Returns a row per row: doc_id, n_shingles, component_id (smallest doc_id reachable by links, itself included)
@@ -281,3 +281,13 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
         return {"a": batch.column(0).filter(keep), "b": batch.column(1).filter(keep)}
 
     return map_batches(both, run, "a long, b long")
+
+
+def one_of_each_group(docs: DataFrame, **options) -> DataFrame:
+    """docs with one document of each group of near duplicates, the one of smallest doc_id, in all its columns.
+
+    Of rows equal in doc_id and text one stays; rows without a doc_id stay all. Options as in near_duplicates.
+    """
+    kept = near_duplicates(docs.select("doc_id", "text"), **options).where("kept").select("doc_id").distinct()
+    chosen = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return chosen.select(*docs.columns).unionByName(docs.where("doc_id is null"))

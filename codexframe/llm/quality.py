@@ -202,3 +202,15 @@ def score_documents(docs: DataFrame, model: Additive, threshold: float = 0.3) ->
         return {"doc_id": batch.column(0), "held_out": batch.column(1), "score": score, "predicted": (score >= threshold).astype(np.int32)}
 
     return map_batches(source, run, "doc_id long, held_out boolean, score double, predicted int")
+
+
+def accepted_documents(docs: DataFrame, model: Additive, threshold: float = 0.3) -> DataFrame:
+    """Rows of docs that the model accepts, in all their columns; null and empty texts are scored like others."""
+    schema, at = docs.schema, docs.columns.index("text")
+
+    def run(batches):
+        for batch in batches:
+            x = np.array([features((t or "").encode()) for t in batch.column(at).to_pylist()], np.float64).reshape(batch.num_rows, len(FEATURES))
+            yield batch.filter(pa.array(model.score(x) >= threshold))
+
+    return docs.mapInArrow(run, schema)

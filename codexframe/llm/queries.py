@@ -36,7 +36,7 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from codexframe.llm.minhash import near_duplicates
 
-    return near_duplicates(table(spark, sf_dir, "documents"), shingle=3, threshold=85)
+    return near_duplicates(table(spark, sf_dir, "documents"), shingle=3, threshold=85, rows=7)
 
 
 @query

@@ -263,3 +263,26 @@ def remove_repeats(docs: DataFrame, length: int = 200, piece: int = 64) -> DataF
         return out
 
     return map_batches(joined, run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+
+
+def without_repeats(docs: DataFrame, length: int = 200, piece: int = 64) -> DataFrame:
+    """docs with repeated strings cut out of column text, in all other columns as they are; null texts stay null.
+
+    Parts of characters that a cut would leave go with it.
+    """
+    text = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
+    keys = row_keys(F.col("doc_id"), text)
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), *keys, text.alias("text"))
+    spans = repeated_spans(keyed.select("doc", "twin", "text"), length, piece).groupBy("doc", "twin").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
+    both = anew(keyed.select("row", "doc", "twin")).join(spans, ["doc", "twin"], "left").select("row.*", "spans")
+    at, width, schema = docs.columns.index("text"), len(docs.columns), docs.schema
+
+    def run(batches):
+        for batch in batches:
+            texts = []
+            for t, s in zip(batch.column(at).to_pylist(), batch.column(width).to_pylist(), strict=True):
+                texts.append(_kept(t.encode(), _merged(s)).decode("utf-8", "ignore") if s and t is not None else t)
+            columns = [pa.array(texts, batch.schema.field(at).type) if k == at else batch.column(k) for k in range(width)]
+            yield pa.RecordBatch.from_arrays(columns, schema=pa.schema([batch.schema.field(k) for k in range(width)]))
+
+    return both.mapInArrow(run, schema)
