@@ -92,6 +92,114 @@ class Arrays:
         return out[back]
 
 
+def _write(folder: str, pieces: list[bytes]) -> str:
+    """A new file of the folder, there only when it is whole; its name."""
+    file, at = f"part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.arr", urlparse(folder)
+    if at.scheme in ("", "file"):
+        os.makedirs(at.path, exist_ok=True)
+        with open(f"{at.path}/.{file}", "wb") as f:
+            f.writelines(pieces)
+        os.rename(f"{at.path}/.{file}", f"{at.path}/{file}")
+    else:
+        fs, path = pafs.FileSystem.from_uri(folder)
+        fs.create_dir(path)
+        with fs.open_output_stream(f"{path}/{file}") as f:
+            for piece in pieces:
+                f.write(piece)
+    return file
+
+
+def _planes(steps: np.ndarray) -> bytes:
+    """Numbers by byte planes, so that planes of zeros take no room once compressed."""
+    return np.ascontiguousarray(steps.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def _unplanes(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view("<u8").ravel().astype(np.int64)
+
+
+GROUP_COLUMNS = [("key", "<i8"), ("total", "<i8"), ("once", "<i4"), ("twice", "<i4"), ("more", "<i4")]
+
+
+def _add_up(keys: np.ndarray, counts: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys and how often each was counted."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    if counts is None:
+        return keys[first], np.diff(np.concatenate([first, [len(keys)]]))
+    return keys[first], np.add.reduceat(counts[order], first) if len(first) else np.zeros(0, np.int64)
+
+
+def count_keys(df: DataFrame, keys_of, name: str, top: int, buckets: int, wide: bool = True, groups: bool = False, flush: int = 3_000_000):
+    """Count keys over df and store them: (Arrays of key and c, Arrays of groups or None, totals).
+
+    keys_of(batch) gives the keys of a batch (numbers from 0, evenly spread below `top`; any above go to the last
+    bucket) and their counts or None. Each task adds up its keys and sends them to buckets of equal width as sorted
+    steps in byte planes; a bucket becomes one part. groups: also store, for the upper half of the keys (key >> 32),
+    the total and how many keys were counted once, twice, and oftener. totals: rows, their sum, and how many keys were
+    counted 1, 2, 3 and 4 times. Counts take 64 bits, or 32 if not wide. What a task tells of its part is all that reaches the driver.
+    """
+    spark = df.sparkSession
+    folder, group_folder = work_path(spark, name), work_path(spark, f"{name}-groups")
+    width = -(-max(top, 1) // buckets)
+    sent = arrow_schema(spark, "bucket int, steps binary, counts binary")
+
+    def send(batches):
+        held, amount = [], 0
+
+        def out():
+            counted = None if held[0][1] is None else np.concatenate([c for _, c in held])
+            keys, counts = _add_up(np.concatenate([k for k, _ in held]), counted)
+            own = np.minimum(keys // width, buckets - 1)
+            cuts = np.searchsorted(own, np.arange(buckets + 1))
+            rows: dict[str, list] = {"bucket": [], "steps": [], "counts": []}
+            for b in range(buckets):
+                x, y = cuts[b], cuts[b + 1]
+                if x < y:
+                    rows["bucket"].append(b)
+                    rows["steps"].append(_planes(np.diff(keys[x:y], prepend=0)))
+                    rows["counts"].append(_planes(counts[x:y]))
+            return pa.RecordBatch.from_pydict(rows, schema=sent)
+
+        for batch in batches:
+            keys, counts = keys_of(batch)
+            if len(keys):
+                held.append((keys, counts))
+                amount += len(keys)
+            if amount > flush:
+                yield out()
+                held, amount = [], 0
+        if held:
+            yield out()
+
+    ddl = "first long, file string, rows long, total long, once long, twice long, thrice long, four long, group_first long, group_file string, group_rows long"
+    told = arrow_schema(spark, ddl)
+
+    def merge(batches):
+        parts: dict[int, list] = {}
+        for batch in batches:
+            for b, steps, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                parts.setdefault(b, []).append((steps, counts))
+        for b in sorted(parts):
+            own = parts.pop(b)
+            keys, c = _add_up(np.concatenate([np.cumsum(_unplanes(k)) for k, _ in own]), np.concatenate([_unplanes(n) for _, n in own]))
+            row = {"first": int(keys[0]), "rows": len(keys), "total": int(c.sum()), **{n: int((c == k).sum()) for n, k in (("once", 1), ("twice", 2), ("thrice", 3), ("four", 4))}}
+            row |= {"file": _write(folder, [keys.astype("<i8").tobytes(), c.astype("<i8" if wide else "<i4").tobytes()])}
+            if groups:
+                up = keys >> 32
+                at = np.flatnonzero(np.concatenate([[True], up[1:] != up[:-1]]))
+                columns = [up[at], np.add.reduceat(c, at), *(np.add.reduceat(x.astype(np.int64), at) for x in (c == 1, c == 2, c > 2))]
+                row |= {"group_first": int(up[0]), "group_rows": len(at), "group_file": _write(group_folder, [x.astype(k).tobytes() for x, (_, k) in zip(columns, GROUP_COLUMNS, strict=True)])}
+            yield pa.RecordBatch.from_pylist([row], schema=told)
+
+    dealt = df.mapInArrow(send, "bucket int, steps binary, counts binary").repartition("bucket")
+    done = dealt.mapInArrow(merge, ddl).collect()
+    totals = {k: sum(r[k] for r in done) for k in ("rows", "total", "once", "twice", "thrice", "four")}
+    grouped = Arrays(group_folder, [(r.group_first, r.group_file, r.group_rows) for r in done], GROUP_COLUMNS, False) if groups else None
+    return Arrays(folder, [(r.first, r.file, r.rows) for r in done], [("key", "<i8"), ("c", "<i8" if wide else "<i4")], False), grouped, totals
+
+
 def store(df: DataFrame, name: str, part_rows: int = 4_000_000) -> Arrays:
     """Write (key long, fixed columns..., payload binary if any) sorted by key: range-partitioned, one file a task.
 
@@ -120,20 +228,7 @@ def store(df: DataFrame, name: str, part_rows: int = 4_000_000) -> Arrays:
         joined = [np.ascontiguousarray(np.concatenate(c), t) if c else np.zeros(0, t) for c, (_, t) in zip(held, columns, strict=True)]
         if not len(joined[0]):
             return
-        file = f"part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.arr"
-        pieces = [c.tobytes() for c in joined] + ([np.cumsum(ends, dtype="<i8").tobytes(), *blobs] if payload else [])
-        at = urlparse(folder)
-        if at.scheme in ("", "file"):
-            os.makedirs(at.path, exist_ok=True)
-            with open(f"{at.path}/.{file}", "wb") as f:
-                f.writelines(pieces)
-            os.rename(f"{at.path}/.{file}", f"{at.path}/{file}")
-        else:
-            fs, path = pafs.FileSystem.from_uri(folder)
-            fs.create_dir(path)
-            with fs.open_output_stream(f"{path}/{file}") as f:
-                for piece in pieces:
-                    f.write(piece)
+        file = _write(folder, [c.tobytes() for c in joined] + ([np.cumsum(ends, dtype="<i8").tobytes(), *blobs] if payload else []))
         yield pa.RecordBatch.from_pydict({"first": [int(joined[0][0])], "file": [file], "rows": [len(joined[0])]}, schema=schema)
 
     done = dealt.mapInArrow(run, "first long, file string, rows long").collect()

@@ -1,9 +1,9 @@
 """Interpolated modified Kneser-Ney bigram model, counted in Spark and read through memory maps.
 
-Words are counted over the whole training corpus and numbered by the order of their 64-bit hashes; bigrams are
-counted by the pair of numbers. Counts, discounts and back-off weights are Spark aggregations. The model lies in the
-shared folder as sorted hash arrays cut into parts by key range; workers map the parts into memory and look up
-whole batches of keys at once, so that a worker needs no memory of its own for the model.
+Words are counted over the whole training corpus and numbered by the order of their 63-bit hashes; bigrams are
+counted by the pair of numbers. Tasks add up their own counts, one shuffle by key range adds up the rest, and the task
+of a range writes its part of the model: sorted hash arrays in the shared folder. Workers map the parts into memory
+and look up whole batches of keys at once, so that a worker needs no memory of its own for the model.
 """
 
 from __future__ import annotations
@@ -15,8 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codexframe.llm.arrays import Arrays, store
-from codexframe.llm.common import arrow_schema, map_batches, materialize
+from codexframe.llm.arrays import Arrays, count_keys
+from codexframe.llm.common import map_batches
 
 #: The token after the last word of every text; no word can hold a space.
 END = b" end"
@@ -50,124 +50,85 @@ def hashed(text: bytes | None) -> np.ndarray:
     return np.fromiter(map(_hashes.__getitem__, words), np.int64, len(words))
 
 
-def discounts(counts: dict[int, int]) -> tuple[float, float, float]:
-    """The three discounts from how many n-grams occur once, twice, three and four times."""
-    n1, n2, n3, n4 = (counts.get(k, 0) for k in (1, 2, 3, 4))
+def discounts(totals: dict[str, int]) -> np.ndarray:
+    """Discounts of counts 0, 1, 2 and 3 or more, from how many n-grams occur once, twice, three and four times."""
+    n1, n2, n3, n4 = (totals[k] for k in ("once", "twice", "thrice", "four"))
     if not (n1 and n2 and n3 and n4):
-        return 0.5, 0.75, 0.9  # too little data to estimate
+        return np.array([0.0, 0.5, 0.75, 0.9])  # too little data to estimate
     y = n1 / (n1 + 2 * n2)
-    return tuple(min(max(d, 0.0), k) for k, d in ((1, 1 - 2 * y * n2 / n1), (2, 2 - 3 * y * n3 / n2), (3, 3 - 4 * y * n4 / n3)))
-
-
-def _discount(count: Column, d: tuple[float, float, float]) -> Column:
-    return F.when(count == 1, F.lit(d[0])).when(count == 2, F.lit(d[1])).otherwise(F.lit(d[2]))
-
-
-def _of_counts(df: DataFrame, column: str) -> dict[int, int]:
-    return {int(r[0]): int(r[1]) for r in df.where(F.col(column) <= 4).groupBy(column).count().collect()}
+    return np.array([0.0] + [min(max(d, 0.0), k) for k, d in ((1, 1 - 2 * y * n2 / n1), (2, 2 - 3 * y * n3 / n2), (3, 3 - 4 * y * n4 / n3))])
 
 
 class Model:
-    """What scoring reads: words (id, count, lower-order probability), contexts (back-off weight), bigrams."""
+    """Sorted arrays of words (their places are their numbers), bigrams, contexts and continuations, and what sums them up."""
 
-    def __init__(self, words: Arrays, contexts: Arrays, bigrams: Arrays, total: int, distinct: int, floor: float):
-        self.words, self.contexts, self.bigrams = words, contexts, bigrams
-        self.total, self.distinct, self.floor = total, distinct, floor
+    def __init__(self, words: Arrays, bigrams: Arrays, contexts: Arrays, follows: Arrays, totals: list[dict[str, int]]):
+        self.words, self.bigrams, self.contexts, self.follows = words, bigrams, contexts, follows
+        of_words, of_bigrams, of_follows = totals
+        self.total, self.distinct, self.kinds = of_words["total"], of_words["rows"], max(1, of_bigrams["rows"])
+        self.d, self.e = discounts(of_bigrams), discounts(of_follows)
+        oftener = of_follows["rows"] - of_follows["once"] - of_follows["twice"]
+        mass = self.e[1] * of_follows["once"] + self.e[2] * of_follows["twice"] + self.e[3] * oftener if of_follows["rows"] else 1.0
+        self.floor = mass / self.kinds / (self.distinct + 1)
 
     def score(self, texts: list[bytes | None]) -> dict[str, list]:
         """Token counts, known tokens, smoothed unigram score and log10 probability of each text."""
         given = [hashed(t) for t in texts]
         sizes = np.fromiter(map(len, given), np.int64, len(given))
         flat = np.concatenate(given) if given else np.zeros(0, np.int64)
-        ends = np.cumsum(sizes)
-        starts = ends - sizes
-        known, (ids, count, lower) = self.words.look_up(flat, ("id", "count", "lower"))
-        ids = np.where(known, ids, UNKNOWN_ID).astype(np.int64)
-        lower = np.where(lower > 0, lower, self.floor)
+        starts = np.cumsum(sizes) - sizes
+        unique, back = np.unique(flat, return_inverse=True)
+        known, (count,) = self.words.look_up(unique, ("c",))
+        ids = np.full(len(unique), UNKNOWN_ID)
+        ids[known] = self.words.rank(unique[known])
+        _, (after,) = self.follows.look_up(ids, ("c",))
+        lower = np.maximum(after - self.e[np.minimum(after, 3)], 0) / self.kinds + self.floor
+        known, count, ids, lower = known[back], count[back], ids[back], lower[back]
         before = np.empty(len(ids), np.int64)
         before[1:] = ids[:-1]
         before[starts] = START_ID
-        _, (own,) = self.bigrams.look_up((before << 32) | ids, ("p",))
-        seen, (back_off,) = self.contexts.look_up(before, ("weight",))
-        p = own.astype(np.float64) + np.where(seen, back_off, 1.0) * lower
+        _, (own,) = self.bigrams.look_up((before << 32) | ids, ("c",))
+        seen, (total, once, twice, more) = self.contexts.look_up(before, ("total", "once", "twice", "more"))
+        total = np.maximum(total, 1)
+        back_off = np.where(seen, (self.d[1] * once + self.d[2] * twice + self.d[3] * more) / total, 1.0)
+        p = np.maximum(own - self.d[np.minimum(own, 3)], 0) / total + back_off * lower
         base = np.log10((count + 0.5) / (self.total + 0.5 * (self.distinct + 1)))
-        total = lambda x: np.add.reduceat(x, starts).tolist() if len(starts) else []
-        return {"n_tokens": sizes.tolist(), "n_known": total(known.astype(np.int64)), "base_score": total(base), "score": total(np.log10(p))}
+        sums = lambda x: np.add.reduceat(x, starts).tolist() if len(starts) else []
+        return {"n_tokens": sizes.tolist(), "n_known": sums(known.astype(np.int64)), "base_score": sums(base), "score": sums(np.log10(p))}
 
 
-def train(docs: DataFrame) -> Model:
-    """Learn from all texts of docs (text as binary); nothing is pruned, and one task never holds the model."""
+def train(docs: DataFrame, bucket_tokens: int = 2_000_000) -> Model:
+    """Learn from all texts of docs (text as binary); nothing is pruned, and no task holds more than a bucket's keys."""
     spark = docs.sparkSession
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def word_keys(batch: pa.RecordBatch):
+        given = [hashed(t) for t in batch.column(0).to_pylist()]
+        return (np.concatenate(given) if given else np.zeros(0, np.int64)), None
+
+    words, _, of_words = count_keys(docs.select("text"), word_keys, "words", 1 << 63, least)
+    buckets = max(least, of_words["total"] // bucket_tokens)
+
+    def bigram_keys(batch: pa.RecordBatch):
+        given = [hashed(t) for t in batch.column(0).to_pylist()]
+        if not given:
+            return np.zeros(0, np.int64), None
+        ids = words.rank(np.concatenate(given))
+        before = np.empty(len(ids), np.int64)
+        before[1:] = ids[:-1]
+        n = np.fromiter(map(len, given), np.int64, len(given))
+        before[np.cumsum(n) - n] = START_ID
+        return (before << 32) | ids, None
+
+    bigrams, contexts, of_bigrams = count_keys(docs.select("text"), bigram_keys, "bigrams", of_words["rows"] << 32, buckets, wide=False, groups=True)
+
+    def ends(batch: pa.RecordBatch):
+        found = [np.unique(bigrams.part(i)["key"] & 0xFFFFFFFF, return_counts=True) for i in batch.column(0).to_pylist()]
+        return tuple(np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
 
-    def count_words(batches):
-        tally: dict[bytes, int] = {}
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                for w in tokens(text):
-                    tally[w] = tally.get(w, 0) + 1
-            if len(tally) > 300_000:
-                yield out(tally)
-                tally = {}
-        yield out(tally)
-
-    def out(tally):
-        return pa.RecordBatch.from_pydict({"key": [word_hash(w) for w in tally], "count": list(tally.values())}, schema=word_schema)
-
-    word_schema = arrow_schema(spark, "key long, count long")
-    words = docs.select("text").mapInArrow(count_words, "key long, count long").groupBy("key").agg(F.sum("count").alias("count"))
-    words = materialize(words, "words")
-    total, distinct = words.agg(F.sum("count"), F.count("*")).first()
-    total = total or 0
-    numbers = store(words, "numbers")
-
-    bigram_schema = arrow_schema(spark, "key long, count long")
-
-    def count_bigrams(batches):
-        held, amount = [], 0
-
-        def flush():
-            u, c = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_pydict({"key": u, "count": c}, schema=bigram_schema)
-
-        for batch in batches:
-            given = [hashed(t) for t in batch.column(0).to_pylist()]
-            if not given:
-                continue
-            flat = np.concatenate(given)
-            ids = numbers.rank(flat)
-            before = np.empty(len(ids), np.int64)
-            before[1:] = ids[:-1]
-            n = np.fromiter(map(len, given), np.int64, len(given))
-            before[np.cumsum(n) - n] = START_ID
-            held.append((before << 32) | ids)
-            amount += len(ids)
-            if amount > 4_000_000:
-                yield flush()
-                held, amount = [], 0
-        if held:
-            yield flush()
-
-    bigrams = docs.select("text").mapInArrow(count_bigrams, "key long, count long").groupBy("key").agg(F.sum("count").alias("c"))
-    bigrams = materialize(bigrams.select("key", F.col("c").cast("int").alias("c"), F.shiftright("key", 32).alias("h"), F.col("key").bitwiseAND(F.lit((1 << 32) - 1)).alias("w")), "bigrams")
-    d = discounts(_of_counts(bigrams, "c"))
-    contexts = bigrams.groupBy("h").agg(F.sum("c").alias("total"), F.sum(_discount(F.col("c"), d)).alias("mass")).select(F.col("h").alias("key"), F.col("total"), (F.col("mass") / F.col("total")).alias("weight"))
-    contexts = materialize(contexts, "contexts")
-    follows = bigrams.groupBy("w").agg(F.count("*").alias("a"))
-    follows = materialize(follows, "follows")
-    kinds = follows.agg(F.sum("a")).first()[0] or 0
-    e = discounts(_of_counts(follows, "a"))
-    mass = follows.agg(F.sum(_discount(F.col("a"), e))).first()[0] or 0.0
-    floor = (mass / kinds if kinds else 1.0) / (distinct + 1)
-    lower = follows.select(F.col("w").alias("id"), (F.greatest(F.col("a") - _discount(F.col("a"), e), F.lit(0.0)) / F.lit(float(kinds or 1)) + F.lit(floor)).alias("lower"))
-
-    def numbered(batch: pa.RecordBatch) -> dict:
-        keys = batch.column(0).to_numpy()
-        return {"key": keys, "count": batch.column(1), "id": numbers.rank(keys)}
-
-    with_ids = map_batches(words.select("key", "count"), numbered, "key long, count long, id long")
-    entries = with_ids.join(lower, "id", "left").select("key", "id", "count", F.coalesce("lower", F.lit(floor)).alias("lower"))
-    discounted = bigrams.join(contexts.select(F.col("key").alias("h"), "total"), "h").select("key", (F.greatest(F.col("c") - _discount(F.col("c"), d), F.lit(0.0)) / F.col("total")).cast("float").alias("p"))
-    return Model(store(entries, "word-arrays"), store(contexts.select("key", "weight"), "context-arrays"), store(discounted, "bigram-arrays"), total, distinct, floor)
+    parts = spark.range(0, len(bigrams.parts), 1, max(1, len(bigrams.parts)))
+    follows, _, of_follows = count_keys(parts, ends, "follows", of_words["rows"], least)
+    return Model(words, bigrams, contexts, follows, [of_words, of_bigrams, of_follows])
 
 
 def score_documents(docs: DataFrame, model: Model, held_out: Column) -> DataFrame:
@@ -182,7 +143,7 @@ def score_documents(docs: DataFrame, model: Model, held_out: Column) -> DataFram
 
     def run(batch: pa.RecordBatch) -> dict:
         texts, out = batch.column(2).to_pylist(), {}
-        for at in range(0, max(1, len(texts)), 2000):
+        for at in range(0, max(1, len(texts)), 4000):
             for k, v in model.score(texts[at : at + 2000]).items():
                 out.setdefault(k, []).extend(v)
         return {"doc_id": batch.column(0), "held_out": batch.column(1), "train_tokens": [model.total] * len(texts), **out}
