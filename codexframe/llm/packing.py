@@ -25,21 +25,28 @@ _WORD_AND_MARKS = re.compile(r"([^\W\d_]+)([.,;:!?]+)")
 
 
 class WordIds(dict):
-    """Token ids (little-endian unsigned 32-bit) of chunks between ASCII white space; at most `bound` are kept."""
+    """Token ids (little-endian unsigned 32-bit) of chunks between ASCII white space.
 
-    def __init__(self, path: str, bound: int = 600_000):
+    At most twice `bound` are kept: when as many are new, they become the old ones, of which those used again stay.
+    """
+
+    def __init__(self, path: str, bound: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         super().__init__()
-        self.tokenizer, self.bound = Tokenizer.from_file(path), bound
+        self.tokenizer, self.bound, self.old = Tokenizer.from_file(path), bound, {}
 
     def encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def __missing__(self, chunk: bytes) -> bytes:
         if len(self) >= self.bound:
+            self.old = dict(self)
             self.clear()
+        if (ids := self.old.get(chunk)) is not None:
+            self[chunk] = ids
+            return ids
         text = chunk.decode("utf-8", "replace")
         found = _WORD_AND_MARKS.fullmatch(text)
         if found and found[1].isalpha():
