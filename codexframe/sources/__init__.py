@@ -1,0 +1 @@
+"""Readers: tables, packages, markup."""
