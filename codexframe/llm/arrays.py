@@ -142,7 +142,9 @@ def count_keys(df: DataFrame, keys_of, name: str, top: int, buckets: int, wide:
     """
     spark = df.sparkSession
     folder, group_folder = work_path(spark, name), work_path(spark, f"{name}-groups")
-    width = -(-max(top, 1) // buckets)
+    width = min(-(-max(top, 1) // buckets), (1 << 63) - 1)
+    if groups:  # no group may lie in two buckets
+        width = -(-width >> 32) << 32
     sent = arrow_schema(spark, "bucket int, steps binary, counts binary")
 
     def send(batches):

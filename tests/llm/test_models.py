@@ -244,3 +244,17 @@ def test_language_model_matches_brute_force(spark):
         assert r.base_score == pytest.approx(want[3], rel=1e-9) and r.score == pytest.approx(want[4], rel=1e-9)
         assert r.held_out == (None if i is None else zlib.crc32(str(i).encode()) % 5 == 1)
     assert kneser_ney.score_corpus(docs_of(spark, [])).collect() == []
+
+
+def test_language_model_scores_long_batches_and_keeps_contexts_whole(spark, monkeypatch):
+    from codexframe.llm import arrays
+
+    rng = random.Random(9)
+    rows = [(i, " ".join(f"v{rng.randrange(48)}" for _ in range(6))) for i in range(4500)]
+    score = brute_model([t for i, t in rows if zlib.crc32(str(i).encode()) % 5 != 1])
+    real = arrays.count_keys
+    monkeypatch.setattr(kneser_ney, "count_keys", lambda df, fn, name, top, buckets, **o: real(df, fn, name, top, 14, **o))
+    got = kneser_ney.score_corpus(docs_of(spark, rows).coalesce(1)).collect()
+    assert sorted(r.doc_id for r in got) == list(range(4500))
+    for r in got:
+        assert r.score == pytest.approx(score(rows[r.doc_id][1])[4], rel=1e-9)
