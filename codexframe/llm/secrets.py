@@ -24,8 +24,9 @@ KINDS = ("assign", "access", "hex")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")
-_PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2}|[A-Za-z0-9+/_.=~&:;,'\"!*()-])*%[0-9A-Fa-f]{2}(?:%[0-9A-Fa-f]{2}|[A-Za-z0-9+/_.=~&:;,'\"!*()-])*")
-_ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|[\x21-\x5b\x5d-\x7e])*(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2})(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|[\x21-\x5b\x5d-\x7e])*")
+#: Longest runs that an encoded stretch can lie in; possessive, so that long runs without escapes cost one pass.
+_PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2}|[A-Za-z0-9+/_.=~&:;,'\"!*()-])++")
+_ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|[\x21-\x5b\x5d-\x7e])++")
 _ONE_ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
 #: What a compressed payload may grow to; a larger one is a decompression bomb and is not entered.
@@ -94,6 +95,8 @@ def unwrap(layer: Layer, raw: bytes) -> Iterator[Layer]:
     text = layer.text
     if b"%" in raw:
         for m in _PERCENT.finditer(text):
+            if "%" not in m[0]:
+                continue
             parts, a, at = bytearray(), [], m.start()
             while at < m.end():
                 step = 3 if text[at] == "%" else 1
@@ -105,6 +108,8 @@ def unwrap(layer: Layer, raw: bytes) -> Iterator[Layer]:
                 yield got
     if b"\\u" in raw or b"\\x" in raw:
         for m in _ESCAPE.finditer(text):
+            if "\\" not in m[0]:
+                continue
             chars, spans, at = [], [], m.start()
             while at < m.end():
                 one = _ONE_ESCAPE.match(text, at)
