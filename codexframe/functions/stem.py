@@ -6,6 +6,7 @@ import re
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Suffixes and what replaces them where the stem in front has at least one, or more than one, vowel group (fixed values).
 _STEP2 = "ational:ate tional:tion enci:ence anci:ance izer:ize abli:able alli:al entli:ent eli:e ousli:ous ization:ize ation:ate ator:ate alism:al iveness:ive fulness:ful ousness:ous aliti:al iviti:ive biliti:ble"
@@ -70,6 +71,6 @@ def stem(word: str) -> str:
     return word
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def stem_of(words: pd.Series) -> pd.Series:
     return words.map(stem, na_action="ignore")

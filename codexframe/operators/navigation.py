@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def ordered(doc: str, order: str):
+def ordered(doc: str, order: str | list[str]):
     return Window.partitionBy(doc).orderBy(order)
 
 
@@ -44,12 +44,12 @@ def ancestors(df: DataFrame, doc: str, order: str, level: str, levels: list[int]
     return out.select(doc, order, F.posexplode(found).alias("depth", "ancestor")).select(doc, order, "ancestor", (F.col("depth") + 1).cast("long").alias("depth"))
 
 
-def islands(df: DataFrame, doc: str, order: str, starts: Column, name: str = "island") -> DataFrame:
+def islands(df: DataFrame, doc: str, order: str | list[str], starts: Column, name: str = "island") -> DataFrame:
     """Adds the number of the run that a row is in; a run starts wherever `starts` holds."""
     return df.withColumn(name, F.sum(F.when(starts, 1).otherwise(0)).over(ordered(doc, order).rowsBetween(Window.unboundedPreceding, 0)))
 
 
-def changes(column: str, doc: str, order: str) -> Column:
+def changes(column: str, doc: str, order: str | list[str]) -> Column:
     """Whether a value differs from the row before."""
     return ~F.col(column).eqNullSafe(F.lag(column).over(ordered(doc, order)))
 

@@ -12,7 +12,7 @@ from codexframe.sources.tables import table
 _W = "regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+')"
 _BM25 = f"""
 w AS (SELECT *, {_W} AS words FROM documents),
-c AS (SELECT *, len(words) AS dl, len(list_filter(words, x -> x = 'with')) AS t0, len(list_filter(words, x -> x = 'from')) AS t1 FROM w),
+c AS (SELECT *, len(words) AS dl, len(list_filter(words, lambda x: x = 'with')) AS t0, len(list_filter(words, lambda x: x = 'from')) AS t1 FROM w),
 s AS (SELECT count(*) AS n, avg(dl) AS avgdl, count(*) FILTER (t0 > 0) AS d0, count(*) FILTER (t1 > 0) AS d1 FROM c),
 h AS (SELECT c.*, -greatest(ln((n - d0 + 0.5) / (d0 + 0.5)), 1e-6) * t0 * 2.2 / (t0 + 1.2 * (0.25 + 0.75 * dl / avgdl))
                - greatest(ln((n - d1 + 0.5) / (d1 + 0.5)), 1e-6) * t1 * 2.2 / (t1 + 1.2 * (0.25 + 0.75 * dl / avgdl)) AS score FROM c, s WHERE t0 > 0 AND t1 > 0)

@@ -60,8 +60,8 @@ def link_escape(spark, sf_dir):
 @query(
     "metadata_split",
     """WITH t AS (SELECT p_partkey, p_name || '; n/a ;' || p_type || ';-; ' || p_name || ';' AS given FROM part),
-       s AS (SELECT p_partkey, list_filter(list_transform(string_split(given, ';'), x -> trim(x)), x -> lower(x) NOT IN ('', 'n/a', 'n/a;', 'na', '-')) AS l FROM t)
-       SELECT p_partkey, array_to_string(list_filter(l, (x, i) -> list_position(l, x) = i), '|') AS items FROM s""",
+       s AS (SELECT p_partkey, list_filter(list_transform(string_split(given, ';'), lambda x: trim(x)), lambda x: lower(x) NOT IN ('', 'n/a', 'n/a;', 'na', '-')) AS l FROM t)
+       SELECT p_partkey, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), '|') AS items FROM s""",
 )
 def metadata_split(spark, sf_dir):
     given = F.concat("p_name", F.lit("; n/a ;"), "p_type", F.lit(";-; "), "p_name", F.lit(";"))
@@ -80,7 +80,7 @@ def json_decode(spark, sf_dir):
 
 @query("base64_asset", "SELECT doc_id, base64(encode(text)) AS data, sha256(text) AS sha256 FROM documents")
 def base64_asset(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.base64(F.encode("text", "UTF-8")).alias("data"), F.sha2("text", 256).alias("sha256"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.translate(F.base64(F.encode("text", "UTF-8")), "\r\n", "").alias("data"), F.sha2("text", 256).alias("sha256"))
 
 
 @query("link_extract", "SELECT page_id, unnest(regexp_extract_all(html, '<a [^>]*href=\"([^\"]*)\"', 1)) AS href FROM pages")

@@ -69,7 +69,7 @@ def validation_report(spark, sf_dir):
 
 @query(
     "line_statistics",
-    """SELECT doc_id, len(lines) AS n_lines, len(list_filter(lines, x -> trim(x) <> '')) AS n_text, len(list_filter(lines, x -> contains(x, ' | '))) AS n_table FROM
+    """SELECT doc_id, len(lines) AS n_lines, len(list_filter(lines, lambda x: trim(x) <> '')) AS n_text, len(list_filter(lines, lambda x: contains(x, ' | '))) AS n_table FROM
        (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents)""",
 )
 def line_statistics(spark, sf_dir):
@@ -112,7 +112,7 @@ def version_label_slug(spark, sf_dir):
 @query(
     "version_sort_key",
     f"""WITH g AS (SELECT p_partkey, p_brand, {_LABELS} AS given FROM part)
-        SELECT p_partkey, p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY list_transform(regexp_extract_all(given, '[0-9]+'), x -> x::INTEGER) DESC, p_partkey) AS newest FROM g""",
+        SELECT p_partkey, p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY list_transform(regexp_extract_all(given, '[0-9]+'), lambda x: x::INTEGER) DESC, p_partkey) AS newest FROM g""",
 )
 def version_sort_key(spark, sf_dir):
     w = Window.partitionBy("p_brand").orderBy(F.desc(version_order(F.col("given"))), "p_partkey")
