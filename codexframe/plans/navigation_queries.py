@@ -91,13 +91,13 @@ def list_islands_numbering(spark, sf_dir):
 
 @query(
     "rowspan_islands",
-    """WITH i AS (SELECT l_orderkey, l_linenumber, sum(CASE WHEN l_returnflag IS DISTINCT FROM p THEN 1 ELSE 0 END) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_returnflag ROWS UNBOUNDED PRECEDING)::BIGINT AS island
-       FROM (SELECT *, lag(l_returnflag) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_returnflag) AS p FROM lineitem))
+    """WITH i AS (SELECT l_orderkey, l_linenumber, sum(CASE WHEN l_returnflag IS DISTINCT FROM p THEN 1 ELSE 0 END) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_returnflag, l_partkey, l_suppkey, l_extendedprice ROWS UNBOUNDED PRECEDING)::BIGINT AS island
+       FROM (SELECT *, lag(l_returnflag) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_returnflag, l_partkey, l_suppkey, l_extendedprice) AS p FROM lineitem))
        SELECT l_orderkey, island, min(l_linenumber)::BIGINT AS first_row, count(*) AS rowspan FROM i GROUP BY l_orderkey, island""",
 )
 def rowspan_islands(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag")
-    order = ["l_linenumber", "l_returnflag"]  # line numbers repeat
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_partkey", "l_suppkey", "l_extendedprice")
+    order = ["l_linenumber", "l_returnflag", "l_partkey", "l_suppkey", "l_extendedprice"]  # line numbers repeat
     runs = nav.islands(rows.withColumn("starts", nav.changes("l_returnflag", "l_orderkey", order)), "l_orderkey", order, F.col("starts"))
     return runs.groupBy("l_orderkey", F.col("island").cast("long").alias("island")).agg(F.min("l_linenumber").cast("long").alias("first_row"), F.count("*").alias("rowspan"))
 
