@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codexframe.llm.arrays import Arrays, store
-from codexframe.llm.common import arrow_schema, map_batches
+from codexframe.llm.common import arrow_schema, map_batches, materialize
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -84,7 +84,8 @@ def word_table(texts: DataFrame, path: str, pattern: str) -> Arrays:
         words, own = batch.column(0).to_pylist(), codec(path, pattern)
         return {"key": [word_key(w) for w in words], "ids": [np.array(own.encode(w), "<u4").tobytes() for w in words]}
 
-    return store(map_batches(distinct_words(texts, pattern), encode, "key long, ids binary").dropDuplicates(["key"]), "words", 1_000_000)
+    encoded = map_batches(distinct_words(texts, pattern), encode, "key long, ids binary").dropDuplicates(["key"])
+    return store(materialize(encoded, "encoded-words"), "words", 1_000_000)
 
 
 class Joined:
