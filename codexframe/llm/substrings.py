@@ -4,7 +4,8 @@ A string of `length` bytes is named by its piece of `piece` bytes of least hash
 strings have equal names wherever they are. Neighbouring strings named by the same piece form a run, and only names
 that several runs share can hold a repeat. Equal runs collapse to one class; the texts of the classes of a name meet in
 blocks of bounded size, where a suffix array puts equal strings beside each other. A name with very many classes is
-dealt over several blocks, and the strings that these don't settle among themselves are compared by digest.
+dealt over several blocks. Across these, strings that start within one stretch of a few bytes, counted from their piece,
+meet by the core that all of them share; only where another class holds that core are single strings compared by digest.
 """
 
 from __future__ import annotations
@@ -48,6 +49,40 @@ class Hashes:
 _hashes = Hashes()
 
 
+def piece_hashes(part: np.ndarray, piece: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all pieces of `piece` bytes, and the prefix sums they come from."""
+    n = len(part)
+    up, down = _hashes.powers(n + 1)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(_hashes.byte[part] * up[:n], out=sums[1:])
+    return mix((sums[piece:] - sums[: n - piece + 1]) * down[: n - piece + 1]), sums
+
+
+def _ranked(pieces: np.ndarray) -> np.ndarray:
+    """Hashes with the place in their low bits, so that the first of equal ones is least."""
+    return pieces & ~_PLACE | np.arange(len(pieces), dtype=np.uint64)
+
+
+def naming_place(raw: bytes, length: int, piece: int) -> int:
+    """Where the piece that names the first string of raw starts."""
+    return int(_ranked(piece_hashes(np.frombuffer(raw, np.uint8, length), piece)[0]).argmin())
+
+
+#: Starts a stretch has; the strings that start in it share a core of the length less this plus one.
+STRETCH_STARTS = 8
+
+
+def stretches(raw: bytes, length: int, piece: int) -> list[tuple[int, int, int]]:
+    """First start, last start and start of the core of every stretch of a class's text."""
+    place, last = naming_place(raw, length, piece), len(raw) - length
+    out, at = [], 0
+    while at <= last:
+        core = place - (place - at) // STRETCH_STARTS * STRETCH_STARTS
+        out.append((at, min(core, last), core))
+        at = core + 1
+    return out
+
+
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     """Minimum of every `width` neighbours."""
     n = len(x) - width + 1
@@ -65,12 +100,9 @@ def runs(raw: bytes, length: int, piece: int) -> tuple[np.ndarray, np.ndarray, n
     out = []
     for base in range(0, max(0, len(raw) - length + 1), _STRETCH):
         part = np.frombuffer(raw, np.uint8, min(len(raw) - base, _STRETCH + length - 1), base)
-        n = len(part)
-        up, down = _hashes.powers(n + 1)
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(_hashes.byte[part] * up[:n], out=sums[1:])
-        pieces = mix((sums[piece:] - sums[: n - piece + 1]) * down[: n - piece + 1])
-        least = sliding_min(pieces & ~_PLACE | np.arange(len(pieces), dtype=np.uint64), length - piece + 1)
+        pieces, sums = piece_hashes(part, piece)
+        _, down = _hashes.powers(len(part) + 1)
+        least = sliding_min(_ranked(pieces), length - piece + 1)
         lo = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
         hi = np.concatenate([lo[1:] - 1, [len(least) - 1]])
         name = pieces[(least[lo] & _PLACE).astype(np.int64)]
@@ -161,7 +193,9 @@ def repeated_spans(docs: DataFrame, length: int = 200, piece: int = 64, block_by
     parts = map_batches(with_text, cut, "name long, digest long, c long, part binary")
     deal = F.pmod("digest", F.ceil(F.col("c") / block_classes))
     dealt = parts.withColumn("deal", deal).repartition("name", "deal").sortWithinPartitions("name", "deal", "digest")
-    schema = arrow_schema(spark, "name long, digest long, lo array<int>, hi array<int>, key binary, at int")
+    kind = "name long, digest long, lo array<int>, hi array<int>, key binary, at int, part binary"
+    schema = arrow_schema(spark, kind)
+    name_of = lambda raw: hashlib.blake2b(raw, digest_size=16).digest()
 
     def sort_blocks(batches):
         rows: list[tuple] = []
@@ -178,13 +212,13 @@ def repeated_spans(docs: DataFrame, length: int = 200, piece: int = 64, block_by
             seen = set()
             for (name, digest, c, part), m in zip(kept, marks, strict=True):
                 lo, hi = _bounds(m, length)
-                cells = [(name, digest, lo, hi, None, None)]
-                if c > block_classes:
-                    for at in range(len(m)):
-                        key = hashlib.blake2b(part[at : at + length], digest_size=16).digest()
-                        if not (m[at] and key in seen):
-                            cells.append((name, digest, None, None, key, at))
-                        seen.add(key)
+                cells = [(name, digest, lo, hi, None, None, None)]
+                for first, last, core in stretches(part, length, piece) if c > block_classes else ():
+                    keys = [name_of(part[at : at + length]) for at in range(first, last + 1)]
+                    if not all(m[first + k] and key in seen for k, key in enumerate(keys)):
+                        shared_by_all = part[core : core + length - STRETCH_STARTS + 1]
+                        cells.append((name, digest, None, None, name_of(shared_by_all), first, part[first : last + length]))
+                    seen.update(keys)
                 for cell in cells:
                     for column, v in zip(out.values(), cell, strict=True):
                         column.append(v)
@@ -202,11 +236,23 @@ def repeated_spans(docs: DataFrame, length: int = 200, piece: int = 64, block_by
         if rows:
             yield flush()
 
-    settled = materialize(dealt.mapInArrow(sort_blocks, "name long, digest long, lo array<int>, hi array<int>, key binary, at int"), "settled")
+    settled = materialize(dealt.mapInArrow(sort_blocks, kind), "settled")
     within = settled.where("key is null").select("name", "digest", F.explode(F.arrays_zip("lo", "hi")).alias("s")).select("name", "digest", "s.lo", "s.hi")
-    across = settled.where("key is not null")
-    met = across.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key")
-    across = across.join(met, "key", "left_semi").select("name", "digest", F.col("at").alias("lo"), (F.col("at") + length).alias("hi"))
+
+    def met(df):
+        """Rows whose key comes more than once."""
+        return df.join(df.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key"), "key", "left_semi")
+
+    def spell(batch: pa.RecordBatch) -> dict:
+        out: dict[str, list] = {"name": [], "digest": [], "at": [], "key": []}
+        for name, digest, first, part in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for at in range(len(part) - length + 1):
+                out["name"].append(name), out["digest"].append(digest), out["at"].append(first + at), out["key"].append(name_of(part[at : at + length]))
+        return out
+
+    cores = met(settled.where("key is not null")).select("name", "digest", "at", "part")
+    strings = materialize(map_batches(cores, spell, "name long, digest long, at int, key binary"), "strings")
+    across = met(strings).select("name", "digest", F.col("at").alias("lo"), (F.col("at") + length).alias("hi"))
     whole = classes.where("n > 1").select("name", "digest", F.lit(0).alias("lo"), (F.col("span") + length).cast("int").alias("hi"))
     marks = whole.unionByName(within).unionByName(across).distinct()
     return hits.select("doc", "twin", F.col("lo").alias("base"), "name", "digest").join(anew(marks), ["name", "digest"]).select("doc", "twin", (F.col("base") + F.col("lo")).alias("lo"), (F.col("base") + F.col("hi")).alias("hi"))

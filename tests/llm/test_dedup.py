@@ -8,7 +8,7 @@ import pytest
 
 from codexframe.llm.embedding_dedup import local_roots, near_vectors
 from codexframe.llm.minhash import near_duplicates, one_of_each_group, shingle_hashes
-from codexframe.llm.substrings import remove_repeats, repeats_of_block, runs, without_repeats
+from codexframe.llm.substrings import STRETCH_STARTS, naming_place, remove_repeats, repeats_of_block, runs, stretches, without_repeats
 from codexframe.llm.suffix_array import suffix_array
 
 DOCS = "doc_id long, text string, lang string, bucket long, rep long, label int, name string"
@@ -120,6 +120,20 @@ def test_block_marks_repeats_within_and_across_texts():
     assert [m.tolist() for m in repeats_of_block([b"abcabcx", b"zabc", b"q"], 3)] == [[True, False, False, True, False], [False, True], []]
 
 
+def test_stretches_cover_all_starts_and_share_cores():
+    rng = random.Random(11)
+    for _ in range(60):
+        raw = bytes(rng.randrange(97, 101) for _ in range(rng.randrange(60, 130)))
+        lo, hi, _, _ = runs(raw, 60, 20)
+        for x, y in zip(lo.tolist(), hi.tolist()):
+            part = raw[x : y + 60]
+            own = stretches(part, 60, 20)
+            assert [at for a, b, _ in own for at in range(a, b + 1)] == list(range(y - x + 1))
+            place = naming_place(part, 60, 20)
+            for a, b, core in own:
+                assert b <= core and core - STRETCH_STARTS < a and (place - core) % STRETCH_STARTS == 0 and core + 60 - STRETCH_STARTS + 1 <= a + 60
+
+
 def brute_removed(raws, length):
     seen = {}
     for raw in raws:
