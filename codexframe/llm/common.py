@@ -43,6 +43,18 @@ def anew(df: DataFrame) -> DataFrame:
     return df.select(*(F.col(c).alias(c) for c in df.columns))
 
 
+#: The cache of the operator that a worker process last worked for.
+_cache: dict = {}
+
+
+def own_cache(name: object, make: Callable):
+    """The worker's cache of that name; another operator's is dropped first, so that those of several stages don't add up."""
+    if name not in _cache:
+        _cache.clear()
+        _cache[name] = make()
+    return _cache[name]
+
+
 def written_since(mark: int = 0) -> list[str]:
     """Work tables written since there were `mark` of them."""
     return _written[mark:]

@@ -19,24 +19,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codexframe.llm.common import arrow_schema, connected_components, map_batches, materialize
+from codexframe.llm.common import arrow_schema, connected_components, map_batches, materialize, own_cache
 
 _MASK = (1 << 64) - 1
 
 
 class _WordHashes(dict):
-    """64-bit hashes of words; at most a million are kept."""
+    """64-bit hashes of words; at most 400,000 are kept."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 1_000_000:
+        if len(self) >= 400_000:
             self.clear()
         got = self[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
         return got
 
 
-_words = _WordHashes()
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """Bijective scrambling of unsigned 64-bit numbers (shifts and odd multipliers)."""
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
@@ -50,7 +47,7 @@ def shingle_hashes(text: bytes | None, size: int) -> np.ndarray:
     n = len(words)
     if not n:
         return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_words.__getitem__, words), np.uint64, n)
+    h = np.fromiter(map(own_cache("word hashes", _WordHashes).__getitem__, words), np.uint64, n)
     count = max(1, n - size + 1)
     out = np.full(count, min(n, size), np.uint64)
     for k in range(min(n, size)):

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codexframe.llm.common import arrow_schema, materialize
+from codexframe.llm.common import arrow_schema, materialize, own_cache
 
 #: A plain word in front of sentence marks; each part is then a token run of its own.
 _WORD_AND_MARKS = re.compile(r"([^\W\d_]+)([.,;:!?]+)")
@@ -59,14 +59,9 @@ class WordIds(dict):
         return ids
 
 
-_caches: dict[str, WordIds] = {}
-
-
 def word_ids(path: str) -> WordIds:
     """One cache a worker process and tokenizer file."""
-    if path not in _caches:
-        _caches[path] = WordIds(path)
-    return _caches[path]
+    return own_cache(("word ids", path), lambda: WordIds(path))
 
 
 class BestFit:
