@@ -2,7 +2,8 @@
 
 The text is the first layer. A worklist unwraps percent escapes, Unicode escapes, base64 and compressed payloads of
 every layer into further layers until nothing new appears; contents seen before are not entered again, so cycles
-end. Every layer is scanned alike, and each character of a layer knows the span of the text it came from.
+end. Bytes that are no text part a run and don't hide the rest of it. Base64 is joined over line breaks and read at
+all four alignments, and payloads of any size are inflated window by window. Every layer is scanned alike, and each character of a layer knows the span of the text it came from.
 """
 
 from __future__ import annotations
@@ -11,7 +12,8 @@ import base64
 import hashlib
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,12 +30,21 @@ _HEX = re.compile(r"[0-9a-f]{16,}")
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2}|[A-Za-z0-9+/_.=~&:;,'\"!*()-])++")
 _ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|[\x21-\x5b\x5d-\x7e])++")
 _ONE_ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})")
-_BASE64 = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
-#: What a compressed payload may grow to; a larger one is a decompression bomb and is not entered.
-MAX_INFLATED = 64 << 20
+#: Base64 runs with line breaks and indentation inside; 20 characters without them, or more that a break joins.
+_BREAK = r"(?:[\x20\t]*+(?:\r?\n|\\r\\n|\\n)[\x20\t]*+)"
+_BASE64 = re.compile(rf"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{{20,}}+|[A-Za-z0-9+/_-]++(?={_BREAK}[A-Za-z0-9+/_-]))(?:{_BREAK}[A-Za-z0-9+/_-]++)*+={{0,2}}")
+_BREAKS = re.compile(_BREAK)
+#: Maximal parts of decoded text; shorter ones than 16 can hold neither a secret nor an encoded one.
+_PART = re.compile("[^\x00-\x08\x0b\x0c\x0e-\x1f\x7f\ud800-\udfff]{16,}")
+_MAGIC = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]")
+#: Bytes of a compressed payload and of its content that are handled at once; a content's windows end between two
+#: words, where no pattern and no encoded run can lie, and only beyond MOST anywhere, with an overlap.
+FEED, CHUNK, WINDOW, MOST, OVERLAP = 1 << 16, 1 << 20, 4 << 20, 16 << 20, 1 << 20
 
 _HEX_RUN = bytes(1 if chr(c) in "0123456789abcdef" else 0 for c in range(256))
 _BASE64_RUN = bytes(1 if re.match(r"[A-Za-z0-9+/_-]", chr(c)) and c < 128 else 0 for c in range(256))
+_STANDARD = str.maketrans("-_", "+/")
+_DIGIT = np.array([int(chr(c), 16) if chr(c) in "0123456789abcdefABCDEF" else 0 for c in range(256)], np.uint8)
 _WORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 
 
@@ -51,43 +62,120 @@ def base_spans(text: str, raw: bytes) -> list[tuple[int, int, int]]:
 
 
 class Layer:
-    """Text with, for each character, the span of the first layer it stands for."""
+    """Text with the span of the first layer it stands for: one for each character, or one (box) for all of them."""
 
-    def __init__(self, text: str, start: np.ndarray | None = None, end: np.ndarray | None = None):
-        self.text, self.start, self.end = text, start, end
+    def __init__(self, text: str, start: np.ndarray | None = None, end: np.ndarray | None = None, box: tuple[int, int] | None = None):
+        self.text, self.start, self.end, self.box = text, start, end, box
 
     def span(self, a: int, b: int) -> tuple[int, int]:
+        if self.box:
+            return self.box
         return (a, b) if self.start is None else (int(self.start[a:b].min()), int(self.end[a:b].max()))
 
     def within(self, text: str, a: np.ndarray, b: np.ndarray) -> Layer:
         """A further layer whose characters come from [a, b) of this one."""
+        if self.box:
+            return Layer(text, box=self.box)
         if self.start is None:
             return Layer(text, a, b)
         return Layer(text, self.start[a], self.end[b - 1])
 
 
-def _from_bytes(layer: Layer, raw: bytes, a: np.ndarray, b: np.ndarray) -> Layer | None:
-    """A layer of decoded bytes, if they are text; a, b: the source span of every byte."""
-    try:
-        text = raw.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    if not text or sum(c.isprintable() or c in "\t\n\r" for c in text) < 0.9 * len(text):
-        return None
-    width = np.fromiter((len(c.encode()) for c in text), np.int64, len(text)) if len(text) != len(raw) else np.ones(len(text), np.int64)
-    last = np.cumsum(width)
-    return layer.within(text, a[last - width], b[last - 1])
-
-
-def _inflated(raw: bytes) -> bytes | None:
-    for magic, bits in ((b"\x1f\x8b", 31), (b"\x78\x01", 15), (b"\x78\x5e", 15), (b"\x78\x9c", 15), (b"\x78\xda", 15)):
-        if raw.startswith(magic):
+def _inflate(chunks: Iterable[bytes], used: list[int]) -> Iterator[bytes]:
+    """Content of a compressed stream and of the members after it, as far as it is sound; used[0]: bytes of ended members."""
+    fed, one = 0, zlib.decompressobj(47)
+    for data in chunks:
+        fed += len(data)
+        more = True
+        while more:
+            before = one.copy()
             try:
-                out = zlib.decompressobj(bits).decompress(raw, MAX_INFLATED)
+                out = one.decompress(data, CHUNK)
             except zlib.error:
-                return None
-            return out if len(out) < MAX_INFLATED else None
-    return None
+                sound = bytearray()
+                try:
+                    for k in range(len(data)):
+                        sound += before.decompress(data[k : k + 1])
+                except zlib.error:
+                    pass
+                if sound:
+                    yield bytes(sound)
+                return
+            if out:
+                yield out
+            if one.eof:
+                data, one = one.unused_data, zlib.decompressobj(31)
+                used[0], more = fed - len(data), bool(data)
+            else:
+                data = one.unconsumed_tail
+                more = bool(data) or len(out) == CHUNK
+
+
+def _content(chunks: Iterable[bytes], used: list[int], above: frozenset[bytes]) -> Iterator[bytes]:
+    """Content of a stream; where that is itself a gzip stream not met above (a stream can hold itself), the content of it."""
+    out = _inflate(chunks, used)
+    first = next(out, b"")
+    key = hashlib.sha1(first[:FEED]).digest()
+    if first.startswith(b"\x1f\x8b\x08") and key not in above:
+        yield from _content(chain([first], out), [0], above | {key})
+    else:
+        yield from chain([first], out)
+
+
+def _windows(chunks: Iterable[bytes]) -> Iterator[bytes]:
+    held, looked, kept = bytearray(), 0, 0
+    for chunk in chunks:
+        held += chunk
+        if len(held) < WINDOW:
+            continue
+        at = len(held) - 1
+        while (at := held.rfind(b" ", max(looked, 1), at)) > 0 and not (held[at - 1 : at].isalnum() and held[at + 1 : at + 2].isalnum()):
+            pass
+        if at > kept:
+            yield bytes(held[:at])
+            del held[: at + 1]
+            looked = kept = 0
+        elif len(held) >= MOST:
+            yield bytes(held)
+            del held[:-OVERLAP]
+            looked, kept = len(held) - 1, len(held) - 1
+        else:
+            looked = len(held) - 1
+    if len(held) > kept:
+        yield bytes(held)
+
+
+def _from_bytes(layer: Layer, raw: bytes, spans: Callable[[], tuple[np.ndarray, np.ndarray]], end: int, above: frozenset[bytes] = frozenset()) -> Iterator[Layer]:
+    """Layers of all parts of decoded bytes that are text, and of the payloads compressed in them.
+
+    spans gives the source spans (starts, ends) of all bytes; a payload's span ends where its run does, at end.
+    """
+    text = raw.decode("utf-8", "surrogateescape")
+    parts = [m.span() for m in _PART.finditer(text)]
+    if parts and layer.box:
+        yield from (Layer(text[p:q], box=layer.box) for p, q in parts)
+    elif parts:
+        a, b = spans()
+        if len(text) != len(raw):
+            points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+            width = np.where((points >= 0xDC80) & (points <= 0xDCFF), 1, 1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF)).astype(np.int64)
+            last = np.cumsum(width)
+            a, b = a[last - width], b[last - 1]
+        for p, q in parts:
+            yield layer.within(text[p:q], a[p:q], b[p:q])
+    at = 0
+    for m in _MAGIC.finditer(raw):
+        first = m.start()
+        key = hashlib.sha1(raw[first : first + FEED]).digest()
+        if first < at or key in above:
+            continue
+        used = [0]
+        inner = None
+        for window in _windows(_content((raw[k : k + FEED] for k in range(first, len(raw), FEED)), used, above | {key})):
+            if inner is None:
+                inner = Layer("", box=layer.box or layer.span(int(spans()[0][first]), end))
+            yield from _from_bytes(inner, window, spans, end, above | {key})
+        at = first + used[0]
 
 
 def unwrap(layer: Layer, raw: bytes) -> Iterator[Layer]:
@@ -97,54 +185,56 @@ def unwrap(layer: Layer, raw: bytes) -> Iterator[Layer]:
         for m in _PERCENT.finditer(text):
             if "%" not in m[0]:
                 continue
-            parts, a, at = bytearray(), [], m.start()
-            while at < m.end():
-                step = 3 if text[at] == "%" else 1
-                parts.append(int(text[at + 1 : at + 3], 16) if step == 3 else ord(text[at]))
-                a.append((at, at + step))
-                at += step
-            spans = np.array(a, np.int64)
-            if got := _from_bytes(layer, bytes(parts), spans[:, 0], spans[:, 1]):
-                yield got
+            codes = np.frombuffer(m[0].encode("ascii"), np.uint8)
+            first, kept, decoded = np.flatnonzero(codes == ord("%")), np.ones(len(codes), bool), codes.copy()
+            kept[first + 1] = kept[first + 2] = False
+            decoded[first] = _DIGIT[codes[first + 1]] * 16 + _DIGIT[codes[first + 2]]
+            starts = m.start() + np.flatnonzero(kept)
+            ends = np.append(starts[1:], m.end())
+            yield from _from_bytes(layer, decoded[kept].tobytes(), lambda a=starts, b=ends: (a, b), m.end())
     if b"\\u" in raw or b"\\x" in raw:
         for m in _ESCAPE.finditer(text):
             if "\\" not in m[0]:
                 continue
-            chars, spans, at = [], [], m.start()
-            while at < m.end():
-                one = _ONE_ESCAPE.match(text, at)
-                to = one.end() if one else at + 1
-                chars.append(chr(int(one[1] or one[2], 16)) if one else text[at])
-                spans.append((at, to))
-                at = to
-            joined = "".join(chars)
-            ends = np.array(spans, np.int64)
-            if not any(0xD800 <= ord(c) < 0xE000 for c in joined):
-                yield layer.within(joined, ends[:, 0], ends[:, 1])
-    if b"\x01" * 20 in raw.translate(_BASE64_RUN):
+            kept = np.ones(len(m[0]), bool)
+            for one in _ONE_ESCAPE.finditer(m[0]):
+                kept[one.start() + 1 : one.end()] = False
+            joined = _ONE_ESCAPE.sub(lambda one: chr(int(one[1] or one[2], 16)), m[0])
+            starts = m.start() + np.flatnonzero(kept)
+            ends = np.append(starts[1:], m.end())
+            for part in _PART.finditer(joined):
+                yield layer.within(part[0], starts[part.start() : part.end()], ends[part.start() : part.end()])
+    if b"\n" in raw or b"\\n" in raw or b"\x01" * 20 in raw.translate(_BASE64_RUN):
         for m in _BASE64.finditer(text):
-            run = m[0].rstrip("=").translate(str.maketrans("-_", "+/"))
-            run = run[: len(run) - (len(run) % 4 == 1)]
-            decoded = base64.b64decode(run + "=" * (-len(run) % 4))
-            k = np.arange(len(decoded), dtype=np.int64)
-            a, b = m.start() + k * 8 // 6, m.start() + np.minimum(-(-(k + 1) * 8 // 6), len(m[0]))
-            packed = _inflated(decoded)
-            if packed is not None:
-                whole = np.zeros(len(packed), np.int64)
-                got = _from_bytes(layer, packed, whole + m.start(), whole + m.end())
-            else:
-                got = _from_bytes(layer, decoded, a, b)
-            if got:
-                yield got
+            run = _BREAKS.sub("", m[0]).rstrip("=")
+            if len(run) < 20:
+                continue
+            run = run.translate(_STANDARD)
+            for skip in range(4):
+                own = run[skip:]
+                own = own[: len(own) - (len(own) % 4 == 1)]
+                decoded = base64.b64decode(own + "=" * (-len(own) % 4))
+
+                def spans(m=m, skip=skip, size=len(decoded), chars=len(own)) -> tuple[np.ndarray, np.ndarray]:
+                    kept = np.ones(m.end() - m.start(), bool)
+                    for one in _BREAKS.finditer(m[0]):
+                        kept[one.start() : one.end()] = False
+                    places, k = m.start() + np.flatnonzero(kept)[skip:], np.arange(size, dtype=np.int64)
+                    return places[k * 8 // 6], places[np.minimum(-(-(k + 1) * 8 // 6), chars) - 1] + 1
+
+                yield from _from_bytes(layer, decoded, spans, m.end())
 
 
 def scan_text(text: str, raw: bytes | None = None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """Base spans of the text, and all spans (those of decoded layers mapped to the text), as (start, kind, end)."""
     raw = text.encode("utf-8", "surrogatepass") if raw is None else raw
     base = base_spans(text, raw)
-    found, seen, work = set(base), {hashlib.sha1(raw).digest()}, list(unwrap(Layer(text), raw))
+    found, seen, work = set(base), {hashlib.sha1(raw).digest()}, [unwrap(Layer(text), raw)]
     while work:
-        layer = work.pop()
+        layer = next(work[-1], None)
+        if layer is None:
+            work.pop()
+            continue
         own = layer.text.encode("utf-8", "surrogatepass")
         key = hashlib.sha1(own + b"\x00" + repr(layer.span(0, len(layer.text))).encode()).digest()
         if key in seen:
@@ -153,7 +243,7 @@ def scan_text(text: str, raw: bytes | None = None) -> tuple[list[tuple[int, int,
         for a, kind, b in base_spans(layer.text, own):
             start, end = layer.span(a, b)
             found.add((start, kind, end))
-        work.extend(unwrap(layer, own))
+        work.append(unwrap(layer, own))
     return base, sorted(found)
 
 

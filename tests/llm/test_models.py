@@ -155,6 +155,56 @@ def test_scan_documents_handles_awkward_rows(spark):
     assert secrets.scan_documents(docs_of(spark, [])).collect() == []
 
 
+def found_in(text):
+    return [text[a:b] for a, _, b in secrets.scan_text(text)[1]]
+
+
+def wrapped(raw, width, between):
+    coded = base64.b64encode(raw).decode()
+    return between.join(coded[i : i + width] for i in range(0, len(coded), width))
+
+
+def test_bytes_that_are_no_text_hide_nothing():
+    assert found_in("name=caf%E9&next=token%3DAbCdEf123456789 z") == ["token%3DAbCdEf123456789"]
+    coded = base64.b64encode(b"\xff\x00\x9f" * 40 + b"token=AbCdEf123456789" + b"\xfe\x01\x02" * 40).decode()
+    (hit,) = found_in(f"x {coded} y")
+    assert base64.b64decode(hit + "=" * (-len(hit) % 4)) == b"token=AbCdEf123456789"
+    assert found_in("\\ud800token\\u003dAbCdEf123456789 z") == ["token\\u003dAbCdEf123456789"]
+
+
+@pytest.mark.parametrize("prefix", ["", "/v1/", "id-", "a/", "abc/de_", "x"])
+@pytest.mark.parametrize("packed", [False, True])
+def test_base64_after_a_prefix(prefix, packed):
+    raw = b"token=AbCdEf123456789"
+    coded = base64.b64encode(gzip.compress(raw, mtime=0) if packed else raw).decode()
+    assert found_in(f"u {prefix}{coded}/ z") and secrets.redact_text(f"u {prefix}{coded} z").startswith(f"u {prefix}[SECRET]")
+
+
+@pytest.mark.parametrize("between", ["\n", "\r\n", "\n    ", "\\n"])
+@pytest.mark.parametrize("width", [12, 64, 76])
+@pytest.mark.parametrize("packed", [False, True])
+def test_wrapped_base64_is_joined(between, width, packed):
+    noise = random.Random(5)
+    raw = "".join(noise.choice("ghijklmnop \n") for _ in range(900)).encode() + b" token=AbCdEf123456789 " + b"end" * 9
+    text = "key:\n" + wrapped(gzip.compress(raw) if packed else raw, width, between) + "\nword word"
+    assert found_in(text)
+
+
+def test_payloads_of_any_size_are_scanned(monkeypatch):
+    secret = b"token=AbCdEf123456789"
+    big = b"word " * (14 << 20) + secret + b" word" * 99
+    assert len(big) > 64 << 20 and found_in("x " + base64.b64encode(zlib.compress(big)).decode())
+    assert found_in("x " + base64.b64encode(gzip.compress(gzip.compress(b"word " * 999 + secret) + gzip.compress(b" end"))).decode())
+    halves = base64.b64encode(gzip.compress(b"a" * 40 + secret[:9]) + gzip.compress(secret[9:])).decode()
+    broken = gzip.compress(b"a b " * 99 + secret)[:-8] + b"12345678"
+    assert found_in(halves) and found_in(base64.b64encode(broken).decode())
+    monkeypatch.setattr(secrets, "WINDOW", 200), monkeypatch.setattr(secrets, "MOST", 400), monkeypatch.setattr(secrets, "OVERLAP", 60), monkeypatch.setattr(secrets, "CHUNK", 50)
+    for n in range(380, 420):
+        for fill in (b"-", b"word "):
+            assert found_in(base64.b64encode(zlib.compress((fill * n)[:n] + secret + (fill * 500)[:500])).decode())
+    assert b"".join(secrets._windows(iter([b"ab cd " * 90] * 3))).replace(b" ", b"") == b"abcd" * 270
+
+
 def test_url_rules_and_templates(spark):
     given = {
         1: ("http://A.Example.ORG/es/x?y", "a.example.org", "/es/x", "example.org/es/", "block"), 2: ("https://example.org/en/12", "example.org", "/en/12", "example.org/en/1", "block"),
