@@ -1,9 +1,10 @@
 """URL filters by rules and by a tree of path templates.
 
-Explicit rules label the pages they fit. All pages build a tree a host: segments with digits, and segments of a
-level with many values but few pages a value, become wildcards. Branches whose labels do not differ significantly
-from their host's are merged with it, and a template is rejected by its smoothed share of blocked labels, where each
-level is smoothed towards the level above: template, branch, the same first segment on all hosts, all pages.
+Explicit rules label the pages they fit. All pages build a tree a host, as deep as its paths: segments with digits, and
+segments of a level with many values but few pages a value, become wildcards. Branches whose labels do not differ
+significantly from their host's are merged with it, and a template is rejected by its smoothed share of blocked labels,
+where each level is smoothed towards the level above: template, the longer prefixes of it that differ from the ones
+above, branch, the same first segment on all hosts, all pages.
 """
 
 from __future__ import annotations
@@ -11,7 +12,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Longest path segments that matter, pages a value below which a level is variable, and values it must have.
+from codexframe.llm.common import materialize
+
+#: Values beyond which a level can be variable, and pages a value below which it is.
 FANOUT, PAGES_A_VALUE = 16, 4
 #: Weight of the level above in labels; squared deviation (95 %) beyond which a branch keeps its own statistics.
 PRIOR, CHI2 = 4, 3.84
@@ -36,13 +39,30 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str]]) -> Column:
     return out
 
 
-def _segment(path: Column, number: int) -> Column:
-    own = F.split_part(path, F.lit("/"), F.lit(number))
-    return F.when(own.rlike("[0-9]"), F.lit("*")).otherwise(own)
+def _segments(path: Column) -> Column:
+    """The path with its segments that have digits as wildcards."""
+    return F.array_join(F.transform(F.split(path, "/"), lambda own: F.when(own.rlike("[0-9]"), F.lit("*")).otherwise(own)), "/")
+
+
+def _segment(number: int) -> Column:
+    """A cell's segment of that number, blank beyond its path."""
+    return F.split_part(F.col("segments"), F.lit("/"), F.lit(number + 1))
+
 
+def _generalised(cells: DataFrame, above: list[str], number: int) -> DataFrame:
+    """cells with w, their segment of that number, as a wildcard where the level is variable below those columns."""
+    own = cells.withColumn("s", _segment(number))
+    values = own.groupBy(*above, "s").agg(F.sum("n").alias("n")).groupBy(*above)
+    wide = values.agg(((F.count("*") > FANOUT) & (F.sum("n") < PAGES_A_VALUE * F.count("*"))).alias("wide"))
+    own = own.join(wide, above)
+    return own.withColumn("w", F.when(F.col("wide") & (F.col("s") != ""), F.lit("*")).otherwise(F.col("s"))).drop("s", "wide")
 
-def _labels(prefix: str) -> list[Column]:
-    return [F.sum("l").alias(f"l{prefix}"), F.sum("b").alias(f"b{prefix}")]
+
+def _groups(cells: DataFrame, by: list[str], number: int) -> DataFrame:
+    """Labels of all groups of cells, and whether a level below can differ: mixed labels, and paths that go on apart."""
+    rest = F.slice(F.split("segments", "/"), number + 2, 1 << 30)
+    found = cells.groupBy(*by).agg(F.sum("l").alias("l1"), F.sum("b").alias("b1"), (F.min(rest) != F.max(rest)).alias("apart"))
+    return found.select(*by, "l1", "b1", (F.col("apart") & (F.col("b1") > 0) & (F.col("b1") < F.col("l1"))).alias("open"))
 
 
 def _smoothed(blocked: str, labels: str, prior: Column) -> Column:
@@ -68,31 +88,33 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
     by_rule = F.lit(None).cast("string")
     for rule, verdict in verdicts.items():
         by_rule = F.when(F.col("rule") == rule, F.lit(verdict)).otherwise(by_rule)
-    rows = rows.withColumn("ruled", by_rule).withColumn("s1", _segment(F.col("path"), 2)).withColumn("s2", _segment(F.col("path"), 3))
-
-    cells = rows.groupBy("host", "s1", "s2").agg(F.count("*").alias("n"), F.count("ruled").alias("l"), F.count(F.when(F.col("ruled") == "block", 1)).alias("b"))
-    wide1 = cells.groupBy("host", "s1").agg(F.sum("n").alias("n")).groupBy("host").agg((F.count("*") > FANOUT).alias("many"), (F.sum("n") < PAGES_A_VALUE * F.count("*")).alias("few"))
-    cells = cells.join(wide1.select("host", (F.col("many") & F.col("few")).alias("v1")), "host")
-    cells = cells.withColumn("w1", F.when(F.col("v1") & (F.col("s1") != ""), F.lit("*")).otherwise(F.col("s1"))).drop("v1")
-    wide2 = cells.groupBy("host", "w1", "s2").agg(F.sum("n").alias("n")).groupBy("host", "w1").agg(((F.count("*") > FANOUT) & (F.sum("n") < PAGES_A_VALUE * F.count("*"))).alias("v2"))
-    cells = cells.join(wide2, ["host", "w1"])
-    cells = cells.withColumn("w2", F.when(F.col("v2") & (F.col("s2") != ""), F.lit("*")).otherwise(F.col("s2"))).drop("v2")
-
-    templates = cells.groupBy("host", "w1", "w2").agg(F.sum("l").alias("l"), F.sum("b").alias("b"))
-    branches = templates.groupBy("host", "w1").agg(*_labels("1"))
+    rows = rows.withColumn("ruled", by_rule).withColumn("segments", _segments(F.col("path")))
+
+    cells = rows.groupBy("host", "segments").agg(F.count("*").alias("n"), F.count("ruled").alias("l"), F.count(F.when(F.col("ruled") == "block", 1)).alias("b"))
+    cells = materialize(_generalised(cells, ["host"], 1), "url_cells")
+    branches = _groups(cells, ["host", "w"], 1)
     hosts = branches.groupBy("host").agg(F.sum("l1").alias("l0"), F.sum("b1").alias("b0"))
     branches = branches.join(hosts, "host").withColumn("own1", _differs("b1", "l1", "b0", "l0"))
     merged = branches.groupBy("host").agg(F.sum(F.when(F.col("own1"), 0).otherwise(F.col("l1"))).alias("lm"), F.sum(F.when(F.col("own1"), 0).otherwise(F.col("b1"))).alias("bm"))
-    everywhere = branches.groupBy("w1").agg(F.sum("l1").alias("lw"), F.sum("b1").alias("bw"))
+    everywhere = branches.groupBy("w").agg(F.sum("l1").alias("lw"), F.sum("b1").alias("bw"))
     overall = everywhere.agg(((F.sum("bw") + 1) / (F.sum("lw") + 2)).alias("q0"))
     everywhere = everywhere.join(F.broadcast(overall)).withColumn("q1", _smoothed("bw", "lw", F.col("q0")))  # one row
-    branches = branches.join(merged, "host").join(everywhere.select("w1", "q1"), "w1")
+    branches = branches.join(merged, "host").join(everywhere.select("w", "q1"), "w")
     branches = branches.withColumn("lb", F.when(F.col("own1"), F.col("l1")).otherwise(F.col("lm"))).withColumn("bb", F.when(F.col("own1"), F.col("b1")).otherwise(F.col("bm")))
-    branches = branches.withColumn("qb", _smoothed("bb", "lb", F.col("q1"))).select("host", "w1", "l1", "b1", "qb")
-    templates = templates.join(branches, ["host", "w1"])
-    share = F.when(_differs("b", "l", "b1", "l1"), _smoothed("b", "l", F.col("qb"))).otherwise(F.col("qb"))
-    templates = templates.select("host", "w1", "w2", F.when(share >= 0.5, F.lit("block")).otherwise(F.lit("allow")).alias("learned"))
-
-    raw = cells.select("host", "s1", "s2", "w1", "w2").join(templates, ["host", "w1", "w2"]).select("host", "s1", "s2", "learned")
-    out = rows.join(raw, ["host", "s1", "s2"], "left")
+    branches = branches.select("host", "w", "l1", "b1", "open", _smoothed("bb", "lb", F.col("q1")).alias("q"))
+    cells = materialize(cells.join(branches, ["host", "w"]).withColumnsRenamed({"w": "prefix", "l1": "lr", "b1": "br"}), "url_level")
+
+    # lr, br: labels of the longest prefix so far that has its own statistics, q its share
+    learned, number = cells.where("not open").select("host", "segments", "q"), 1
+    while not (cells := cells.where("open").drop("open")).isEmpty():
+        number += 1
+        cells = _generalised(cells, ["host", "prefix"], number)
+        cells = cells.join(_groups(cells, ["host", "prefix", "w"], number), ["host", "prefix", "w"]).withColumn("own", _differs("b1", "l1", "br", "lr"))
+        kept = [F.when(F.col("own"), F.col(new)).otherwise(F.col(old)).alias(old) for new, old in (("l1", "lr"), ("b1", "br"))]
+        share = F.when(F.col("own"), _smoothed("b1", "l1", F.col("q"))).otherwise(F.col("q")).alias("q")
+        cells = materialize(cells.select("host", F.concat_ws("/", "prefix", "w").alias("prefix"), "segments", "n", "l", "b", *kept, share, "open"), "url_level")
+        learned = learned.union(cells.where("not open").select("host", "segments", "q"))
+
+    learned = learned.select("host", "segments", F.when(F.col("q") >= 0.5, F.lit("block")).otherwise(F.lit("allow")).alias("learned"))
+    out = rows.join(learned, ["host", "segments"], "left")
     return out.select("page_id", "host", "path", "rule", F.coalesce("ruled", "learned").alias("verdict"))

@@ -222,6 +222,19 @@ def test_url_rules_and_templates(spark):
     assert "Python" not in urls.judge_urls(pages, URL_RULES)._jdf.queryExecution().toString()
 
 
+def test_url_templates_are_as_deep_as_the_paths(spark):
+    paths = {f"/shop/item/{kind}{deep}/": kind for kind in ("spam", "ok") for deep in ("", "/x/y/z", "/x/y/w")}
+    paths |= {"/a/b/c/d/e/spam/": "spam", "/a/b/c/d/e/ok/": "ok", "/a/b/c/d/e/ok/more/": "ok"}
+    given = [(f"http://h.net{at}{k}", kind) for at, kind in paths.items() for k in range(40)]
+    given += [(f"http://v.net/u/p/{chr(97 + k // 26)}{chr(97 + k % 26)}/{kind}/q", kind) for k in range(60) for kind in ("spam", "ok")]
+    rules = [(f"h.net{at}{d}", "block" if kind == "spam" else "allow") for at, kind in paths.items() for d in (1, 2)]
+    rules += [(f"v.net/u/p/a{chr(97 + k)}/{kind}/", "block" if kind == "spam" else "allow") for k in range(20) for kind in ("spam", "ok")]
+    pages = spark.createDataFrame([(i, url) for i, (url, _) in enumerate(given)], "page_id long, url string")
+    got = urls.judge_urls(pages, rules).collect()
+    assert len(got) == len(given) and {r.page_id for r in got if r.rule is None}
+    assert [(given[r.page_id], r.verdict) for r in got if r.verdict != ("block" if given[r.page_id][1] == "spam" else "allow")] == []
+
+
 def test_bpe_round_trip_equals_the_library(spark):
     import public_tokenizers
     import tiktoken
