@@ -76,6 +76,18 @@ def citation_detect(spark, sf_dir):
     return found.where("citation <> own").select("p_partkey", "citation").distinct()
 
 
+@query(
+    "citation_forms",
+    """WITH p AS (SELECT p_partkey, p_partkey::VARCHAR AS k FROM part)
+       SELECT p_partkey, unnest(['CS-23.' || k, 'CS-VLA.' || k, 'AMC VLA ' || k || '(c)', 'AMC1 CS-23.' || k || '(a)(1)', 'GM2 CS-LSA.' || k, 'GM CS-23.' || k]) AS citation FROM p""",
+)
+def citation_forms(spark, sf_dir):
+    key = F.col("p_partkey").cast("string")
+    shown = ("CS 23.", " and CS-VLA ", " (see AMC VLA ", "(c)), AMC1 CS-23.", "(a)(1); GM2 CS LSA ", "; GM CS 23.", ", cs 23.1, X/CS-9.")
+    parts = [c for words in shown for c in (F.lit(words), key)]
+    return table(spark, sf_dir, "part").select("p_partkey", F.explode(citations(F.concat(*parts))).alias("citation"))
+
+
 @query("citation_overlap")
 def citation_overlap(spark, sf_dir):
     spans = F.array(

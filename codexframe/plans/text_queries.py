@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from codexframe.functions import text as fn
@@ -47,6 +48,37 @@ def designation_extract(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", fn.extract_designation(title).alias("designation"))
 
 
+#: All forms of a designation around a key k, and their canonical ones.
+DESIGNATIONS = (
+    ("CS 23.", "k", "", "CS-23.", ""), ("cs-23.", "k", "(a)", "CS-23.", "(a)"), ("CS-VLA ", "k", "", "CS-VLA.", ""), ("cs  vla ", "k", "(b)", "CS-VLA.", "(b)"), ("CS-VLA.", "k", "", "CS-VLA.", ""),
+    ("AMC1 23.", "k", "", "AMC1 CS-23.", ""), ("amc2  CS-23.", "k", "(c)", "AMC2 CS-23.", "(c)"), ("GM1 CS 23.", "k", "", "GM1 CS-23.", ""), ("AMC VLA ", "k", "(d)", "AMC VLA ", "(d)"),
+    ("gm  lsa ", "k", "", "GM LSA ", ""), ("AMC1 CS-VLA.", "k", "", "AMC1 CS-VLA.", ""),
+)
+
+
+def _form_sql(at: int, after: int) -> str:
+    cases = " ".join(f"WHEN {i} THEN '{form[at]}' || p_partkey || '{form[after]}'" for i, form in enumerate(DESIGNATIONS))
+    return f"CASE p_partkey % {len(DESIGNATIONS)} {cases} END"
+
+
+def given_designation() -> Column:
+    key, out = F.col("p_partkey").cast("string"), F.lit(None).cast("string")
+    for i, form in enumerate(DESIGNATIONS):
+        out = F.when(F.col("p_partkey") % len(DESIGNATIONS) == i, F.concat(F.lit(form[0]), key, F.lit(form[2]))).otherwise(out)
+    return out
+
+
+@query("designation_canonical", f"SELECT p_partkey, {_form_sql(3, 4)} AS canonical FROM part")
+def designation_canonical(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", fn.canonical_designation(given_designation()).alias("canonical"))
+
+
+@query("designation_leading", f"SELECT p_partkey, {_form_sql(3, 4)} AS designation, NULL::VARCHAR AS later FROM part")
+def designation_leading(spark, sf_dir):
+    title = F.concat(F.lit("  "), given_designation(), F.lit("  Title of CS-23.1"))
+    return table(spark, sf_dir, "part").select("p_partkey", fn.leading_designation(title).alias("designation"), fn.leading_designation(F.concat(F.lit("On "), title)).alias("later"))
+
+
 @query("html_escape", """SELECT page_id, replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;') AS escaped FROM pages""")
 def html_escape(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", fn.html_escape(F.col("html")).alias("escaped"))

@@ -25,6 +25,9 @@ CASES = [
     (fn.extract_designation, {"AMC1 CS-23.5(a)(1) Title": "AMC1 CS-23.5(a)(1)", "CS-23": None, None: None}),
     (fn.base_designation, {"CS-23.5(a)(1)": "CS-23.5", "CS-23.5": None, None: None}),
     (fn.citations, {"see CS-23.5 and AMC CS-25.1(a); x/CS-9.9": ["CS-23.5", "AMC CS-25.1(a)"], "": [], None: None}),
+    (fn.citations, {"CS 23.2000, CS-VLA 303; AMC VLA 21(c) GM2 CS LSA 3": ["CS-23.2000", "CS-VLA.303", "AMC VLA 21(c)", "GM2 CS-LSA.3"], "AMC1 CS-23.5 x/AMC1-CS-9.9 a-CS 9.9": ["AMC1 CS-23.5"], "cs 23.1": []}),
+    (fn.canonical_designation, {" cs\u00a0 23.101 (a)": "CS-23.101 (a)", "CS-VLA 1": "CS-VLA.1", "amc1  23.2100": "AMC1 CS-23.2100", "AMC vla 21(c) and gm1 lsa 2": "AMC VLA 21(c) and GM1 LSA 2", "AMC1 CS-23--5": "AMC1 CS-23-5", "": "", None: None}),
+    (fn.leading_designation, {"AMC1 23.2000 Title": "AMC1 CS-23.2000", "CS 23.2000": "CS-23.2000", "GM LSA 3: x": "GM LSA 3", "AMC CS-TEST.300 T": "AMC CS-TEST.300", "CS-VLA": "CS-VLA", "CS VLA 21(c) T": "CS-VLA.21(c)", "On CS-23.5": None, "CS-23": None, None: None}),
     (fn.split_list, {"a; n/a;b ;-;a": ["a", "b"], "": [], None: None}),
     (fn.html_escape, {"<a href=\"x\">&'</a>": "&lt;a href=&quot;x&quot;&gt;&amp;&#x27;&lt;/a&gt;", None: None}),
     (fn.link_escape, {"a[b]\\": "a\\[b\\]\\\\", None: None}),
@@ -48,6 +51,10 @@ def test_stems(word, root):
     assert stem(word) == root
 
 
+def test_bare_codes_are_no_numbered_designations(spark):
+    assert each(spark, lambda v: fn.leading_designation(v, require_number=True), ["CS-VLA", "CS-VLA 1", "CS-23.5 T"]) == [None, "CS-VLA.1", "CS-23.5"]
+
+
 def test_level_stack_against_an_explicit_stack(spark):
     levels = [1, 2, 3, 3, 1, 3, 2, 2, 3, 1, 2, 3, 3, 2, 3]
     rows = [(d, i, level) for d in (1, 2) for i, level in enumerate(levels[d:])]
