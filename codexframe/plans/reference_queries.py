@@ -41,6 +41,28 @@ def ref_resolve_fallback(spark, sf_dir):
     return found.select("p_partkey", "wanted", "target", F.col("step").cast("long").alias("step"))
 
 
+@query(
+    "ref_resolve_all",
+    """WITH k AS (SELECT max(p_partkey) AS most FROM part),
+        w AS (SELECT p_partkey, p_partkey % 11 = 0 AS beyond, 'CS-' || p_size || '.' || (p_partkey + CASE WHEN p_partkey % 11 = 0 THEN most ELSE 0 END) AS name FROM part, k)
+        SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN name WHEN 1 THEN replace(lower(name), '-', ' ') ELSE name || '(a)(1)' END AS wanted,
+        CASE WHEN NOT beyond THEN p_partkey END AS target, (CASE WHEN NOT beyond THEN p_partkey % 3 END)::BIGINT AS step FROM w""",
+)
+def ref_resolve_all(spark, sf_dir):
+    """Every part's reference against every part; each eleventh names a key beyond the table and stays unresolved."""
+    part, wanted, kind = table(spark, sf_dir, "part"), F.col("wanted"), F.col("p_partkey") % 3
+    most = part.agg(F.max("p_partkey").alias("most"))  # one row
+    key = F.col("p_partkey") + F.when(F.col("p_partkey") % 11 == 0, F.col("most")).otherwise(0)
+    own = F.concat(F.col("p_size").cast("string"), F.lit("."), key.cast("string"))
+    given = F.when(kind == 0, F.concat(F.lit("CS-"), own)).when(kind == 1, F.concat(F.lit("cs "), own)).otherwise(F.concat(F.lit("CS-"), own, F.lit("(a)(1)")))
+    name = F.concat(F.lit("CS-"), F.col("p_size").cast("string"), F.lit("."), F.col("p_partkey").cast("string"))
+    topics = part.select(name.alias("name"), F.col("p_partkey").alias("target"))
+    hyphened = F.replace(F.upper(wanted), F.lit(" "), F.lit("-"))
+    keys = [wanted, hyphened, base_designation(wanted), base_designation(hyphened)]
+    found = refs.resolve(part.join(F.broadcast(most)).select("p_partkey", given.alias("wanted")), topics, keys, "name", "target", "target")
+    return found.select("p_partkey", "wanted", "target", F.col("step").cast("long").alias("step"))
+
+
 @query("refs_unresolved", "SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
 def refs_unresolved(spark, sf_dir):
     return refs.unresolved(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", table(spark, sf_dir, "lineitem"), "l_orderkey")

@@ -100,3 +100,9 @@ def test_page_nodes_keep_order_and_depth(spark, sf_dir):
         assert (r.parent is None) == (r.depth == 0)
         if r.parent is not None:
             assert r.parent < r.ord and depth[r.page_id, r.parent] == r.depth - 1
+
+
+def test_every_reference_is_resolved_or_reported(spark, sf_dir):
+    keys = {r.p_partkey for r in spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey").collect()}
+    got = {r.p_partkey: r.target for r in registry.QUERIES["ref_resolve_all"](spark, sf_dir).collect()}
+    assert got == {k: None if k % 11 == 0 else k for k in keys}
