@@ -6,7 +6,7 @@ import re
 
 import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 #: Suffixes and what replaces them where the stem in front has at least one, or more than one, vowel group (fixed values).
 _STEP2 = "ational:ate tional:tion enci:ence anci:ance izer:ize abli:able alli:al entli:ent eli:e ousli:ous ization:ize ation:ate ator:ate alism:al iveness:ive fulness:ful ousness:ous aliti:al iviti:ive biliti:ble"
@@ -74,3 +74,10 @@ def stem(word: str) -> str:
 @F.pandas_udf(StringType())
 def stem_of(words: pd.Series) -> pd.Series:
     return words.map(stem, na_action="ignore")
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def stems_of(words: pd.Series) -> pd.Series:
+    """The stems of arrays of words; a batch's distinct words are stemmed once."""
+    known = {w: stem(w) for w in {w for row in words if row is not None for w in row}}
+    return words.map(lambda row: None if row is None else [known[w] for w in row])

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import unicodedata
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codexframe.functions.text import count_of, has_phrase, tokens
+from codexframe.functions.text import count_of, count_of_phrase, tokens
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 
@@ -26,16 +27,28 @@ def term_statistics(df: DataFrame, key: str, text: str) -> DataFrame:
     return postings(df, key, text).groupBy("term").agg(F.count_distinct(key).alias("df"), F.count("*").alias("cf"))
 
 
-def bm25(df: DataFrame, text: str, terms: list[str], phrases: list[list[str]] = (), fields: list[str] = ()) -> DataFrame:
+def bm25(df: DataFrame, text: str, terms: list[str], phrases: list[list[str]] = (), fields: list[str] = (), stemmed: bool = False) -> DataFrame:
     """Rows that hold all terms and phrases, with score (lower is better).
 
-    A phrase counts as one term. The length of a row is over text, term counts over `fields` (text if none given).
+    A phrase counts as one term, as often as it occurs. With stemmed, words, terms and phrases are folded and stemmed. The length of a row is over text, term counts over `fields` (text if none given).
     Statistics are one aggregated row, so the rows are scanned twice and never shuffled.
     """
     at = F.concat_ws(" ", *fields) if fields else F.col(text)
-    found = df.withColumn("_all", tokens(F.col(text))).withColumn("_words", tokens(at))
+    words = tokens
+    if stemmed:
+        from codexframe.functions.stem import stem, stems_of
+
+        def words(c: Column) -> Column:
+            return stems_of(tokens(c, fold=True))
+
+        def root(word: str) -> str:
+            marks = unicodedata.normalize("NFD", word.lower())
+            return stem("".join(c for c in marks if not unicodedata.combining(c)))
+
+        terms, phrases = [root(t) for t in terms], [[root(w) for w in p] for p in phrases]
+    found = df.withColumn("_all", words(F.col(text))).withColumn("_words", words(at))
     found = found.withColumn("_len", F.size("_all"))
-    counts = [count_of(F.col("_words"), t) for t in terms] + [has_phrase(F.col("_words"), p).cast("int") for p in phrases]
+    counts = [count_of(F.col("_words"), t) for t in terms] + [count_of_phrase(F.col("_words"), p) for p in phrases]
     for i, c in enumerate(counts):
         found = found.withColumn(f"_tf{i}", c)
     stats = found.agg(F.count("*").alias("_n"), F.avg("_len").alias("_avg"), *(F.count(F.when(F.col(f"_tf{i}") > 0, 1)).alias(f"_df{i}") for i in range(len(counts))))

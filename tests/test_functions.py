@@ -120,6 +120,16 @@ def test_ranked_search_counts_phrases_as_terms(spark):
     assert search.bm25(frame.where("false"), "t", ["red"]).collect() == []
 
 
+def test_ranked_search_stems_folds_and_counts_phrases(spark):
+    frame = spark.createDataFrame([(1, "Über connected lines"), (2, "u\u0308ber den"), (3, "plain words here"), (4, None)], "i int, t string")
+    assert [r.i for r in search.bm25(frame, "t", ["connect"], stemmed=True).collect()] == [1]
+    assert sorted(r.i for r in search.bm25(frame, "t", ["uber"], stemmed=True).collect()) == [1, 2] and search.bm25(frame, "t", ["uber"]).collect() == []
+    assert [r.i for r in search.bm25(frame, "t", [], [["ÜBER", "connecting"]], stemmed=True).collect()] == [1]
+    rows = spark.createDataFrame([(1, "a a a b"), (2, "a a c b"), (3, "c c c c"), (4, "d d d d"), (5, "e e e e")], "i int, t string")
+    score = {r.i: r.score for r in search.bm25(rows, "t", [], [["a", "a"]]).collect()}
+    assert set(score) == {1, 2} and score[1] < score[2]
+
+
 def test_renderers_keep_order(spark):
     frame = spark.createDataFrame([(1, 2, "b<"), (1, 1, "a"), (2, 1, None)], "d int, o int, t string")
     assert {r.d: r.body for r in render.plain_text(frame, "d", "o", F.col("t")).collect()}[1] == "a\nb<"
