@@ -2,9 +2,11 @@
 
 A string of `length` bytes is named by its piece of `piece` bytes of least hash (the first of equal ones), so equal
 strings have equal names wherever they are. Neighbouring strings named by the same piece form a run, and only names
-that several runs share can hold a repeat. Equal runs collapse to one class; the texts of the classes of a name meet in
-blocks of bounded size, where a suffix array puts equal strings beside each other. A name with very many classes is
-dealt over several blocks. Across these, strings that start within one stretch of a few bytes, counted from their piece,
+that several runs share can hold a repeat. Equal runs collapse to one class, and a class of several runs is a repeat as
+a whole. The texts of the classes of a name meet in blocks of bounded size, where a suffix array puts equal strings
+beside each other; a class none of whose cores (the bytes that neighbouring strings share around their piece) another
+one of the block holds has no equal string there and stays out of the array. A name with very many classes is dealt
+over several blocks. Across these, strings that start within one stretch of a few bytes, counted from their piece,
 meet by the core that all of them share; only where another class holds that core are single strings compared by digest.
 """
 
@@ -14,7 +16,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codexframe.llm.common import anew, arrow_schema, map_batches, materialize
@@ -83,6 +85,33 @@ def stretches(raw: bytes, length: int, piece: int) -> list[tuple[int, int, int]]
     return out
 
 
+#: Neighbouring starts whose strings share a core, where classes of a block are told apart.
+CORE_STARTS = 17
+
+
+def with_common_cores(parts: list[bytes], length: int, piece: int) -> list[int]:
+    """Places of the texts, all named by one piece, of which a core of `length` less CORE_STARTS bytes is in another one too.
+
+    Two texts that share a string of `length` bytes share the core of its first start, counted from the piece.
+    """
+    place = naming_place(parts[0], length, piece)
+    name = parts[0][place : place + piece]
+    first: dict[tuple[int, bytes], int] = {}
+    kept = set()
+    for k, part in enumerate(parts):
+        at = part.find(name)
+        if at < 0:  # another piece of the same hash
+            kept.add(k)
+            continue
+        for back in range(0, length - piece, CORE_STARTS):
+            end = at - back + length - CORE_STARTS
+            if back <= at and end <= len(part):
+                other = first.setdefault((back, part[at - back : max(end, at + piece)]), k)
+                if other != k:
+                    kept.update((k, other))
+    return sorted(kept)
+
+
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     """Minimum of every `width` neighbours."""
     n = len(x) - width + 1
@@ -170,92 +199,107 @@ def repeated_spans(docs: DataFrame, length: int = 200, piece: int = 64, block_by
         }
 
     every = materialize(map_batches(docs.select("doc", "twin", "text"), name_runs, "doc long, twin int, lo long, span int, name long, digest long"), "runs")
-    shared = every.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name")
+    # written first, so that the join has no aggregate of its key beside it and a very common name is split
+    shared = materialize(every.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name"), "shared-names")
     hits = materialize(every.join(shared, "name", "left_semi"), "shared-runs")
     classes = hits.groupBy("name", "digest").agg(F.count("*").alias("n"), F.min(F.struct("doc", "twin", "lo", "span")).alias("rep"))
     classes = materialize(classes.select("name", "digest", "n", "rep.*"), "classes")
     # a class of several runs is a repeat as a whole; where all classes of a name are, nothing is left to compare
     sizes = classes.groupBy("name").agg(F.count("*").alias("c"), F.min("n").alias("fewest")).where("c > 1 and fewest = 1").select("name", "c")
-    open_ = classes.join(sizes, "name")
+    open_ = classes.join(materialize(sizes, "open-names"), "name").withColumn("single", F.col("n") == 1)
 
     # the texts of these classes, from the documents that hold them
-    wanted = open_.groupBy("doc", "twin").agg(F.collect_list(F.struct("name", "digest", "c", "lo", "span")).alias("want"))
-    with_text = wanted.join(anew(docs.select("doc", "twin", "text")), ["doc", "twin"]).select("want", "text")
+    wanted = open_.groupBy("doc", "twin").agg(F.collect_list(F.struct("name", "digest", "c", "lo", "span", "single")).alias("want"))
+    with_text = wanted.join(anew(docs.select("doc", "twin", "text")), ["doc", "twin"]).select("doc", "twin", "want", "text")
 
     def cut(batch: pa.RecordBatch) -> dict:
-        out: dict[str, list] = {"name": [], "digest": [], "c": [], "part": []}
-        for want, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        out: dict[str, list] = {k: [] for k in ("doc", "twin", "base", "single", "name", "digest", "c", "part")}
+        for doc, twin, want, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             for w in want:
-                out["name"].append(w["name"]), out["digest"].append(w["digest"]), out["c"].append(w["c"])
-                out["part"].append(text[w["lo"] : w["lo"] + w["span"] + length])
+                row = (doc, twin, w["lo"], w["single"], w["name"], w["digest"], w["c"], text[w["lo"] : w["lo"] + w["span"] + length])
+                for column, v in zip(out.values(), row, strict=True):
+                    column.append(v)
         return out
 
-    parts = map_batches(with_text, cut, "name long, digest long, c long, part binary")
+    parts = map_batches(with_text, cut, "doc long, twin int, base long, single boolean, name long, digest long, c long, part binary")
     deal = F.pmod("digest", F.ceil(F.col("c") / block_classes))
     dealt = parts.withColumn("deal", deal).repartition("name", "deal").sortWithinPartitions("name", "deal", "digest")
-    kind = "name long, digest long, lo array<int>, hi array<int>, key binary, at int, part binary"
+    kind = "doc long, twin int, base long, single boolean, lo array<int>, hi array<int>, key binary, at int, part binary"
     schema = arrow_schema(spark, kind)
     name_of = lambda raw: hashlib.blake2b(raw, digest_size=16).digest()
 
     def sort_blocks(batches):
-        rows: list[tuple] = []
+        rows: list[tuple] = []  # of all finished groups: whether it goes into the suffix array, and the row
+        group: list[tuple] = []
         held, last = 0, None
 
+        def close():
+            """The group at hand joins the block; the bytes it brings."""
+            firsts = {row[5]: row for row in group}  # a repeated document brings the same class again
+            own = list(firsts.values())
+            chosen = set(with_common_cores([row[7] for row in own], length, piece)) if len(own) > 1 else ()
+            rows.extend((k in chosen, row) for k, row in enumerate(own))
+            group.clear()
+            return sum(len(own[k][7]) for k in chosen)
+
         def flush():
-            firsts, kept = {}, []
-            for r in rows:  # a repeated document brings the same class again
-                if (r[0], r[1]) not in firsts:
-                    firsts[r[0], r[1]] = None
-                    kept.append(r)
-            marks = repeats_of_block([r[3] for r in kept], length)
+            found = iter(repeats_of_block([row[7] for chosen, row in rows if chosen], length))
             out: dict[str, list] = {f.name: [] for f in schema}
             seen = set()
-            for (name, digest, c, part), m in zip(kept, marks, strict=True):
-                lo, hi = _bounds(m, length)
-                cells = [(name, digest, lo, hi, None, None, None)]
+            for chosen, (doc, twin, base, single, name, digest, c, part, deal) in rows:
+                m = next(found) if chosen else np.zeros(len(part) - length + 1, bool)
+                cells = []
+                if single and m.any():
+                    cells.append((doc, twin, base, single, *_bounds(m, length), None, None, None))
                 for first, last, core in stretches(part, length, piece) if c > block_classes else ():
                     keys = [name_of(part[at : at + length]) for at in range(first, last + 1)]
                     if not all(m[first + k] and key in seen for k, key in enumerate(keys)):
                         shared_by_all = part[core : core + length - STRETCH_STARTS + 1]
-                        cells.append((name, digest, None, None, name_of(shared_by_all), first, part[first : last + length]))
+                        cells.append((doc, twin, base, single, None, None, name_of(shared_by_all), first, part[first : last + length]))
                     seen.update(keys)
                 for cell in cells:
                     for column, v in zip(out.values(), cell, strict=True):
                         column.append(v)
+            rows.clear()
             return pa.RecordBatch.from_pydict(out, schema=schema)
 
         for batch in batches:
-            for row in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
-                group = (row[0], row[4])
-                if held >= block_bytes and group != last:
-                    yield flush()
-                    rows, held = [], 0
-                last = group
-                rows.append(row[:4])
-                held += len(row[3])
-        if rows:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if group and (row[4], row[8]) != last:
+                    held += close()
+                    if held >= block_bytes or len(rows) >= 4 * block_classes:
+                        yield flush()
+                        held = 0
+                last = (row[4], row[8])
+                group.append(row)
+        if group:
+            close()
             yield flush()
 
     settled = materialize(dealt.mapInArrow(sort_blocks, kind), "settled")
-    within = settled.where("key is null").select("name", "digest", F.explode(F.arrays_zip("lo", "hi")).alias("s")).select("name", "digest", "s.lo", "s.hi")
+    within = settled.where("key is null").select("doc", "twin", "base", F.explode(F.arrays_zip("lo", "hi")).alias("s")).select("doc", "twin", (F.col("base") + F.col("s.lo")).alias("lo"), (F.col("base") + F.col("s.hi")).alias("hi"))
 
     def met(df):
         """Rows whose key comes more than once."""
         return df.join(df.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key"), "key", "left_semi")
 
     def spell(batch: pa.RecordBatch) -> dict:
-        out: dict[str, list] = {"name": [], "digest": [], "at": [], "key": []}
-        for name, digest, first, part in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        out: dict[str, list] = {k: [] for k in ("doc", "twin", "base", "single", "at", "key")}
+        for doc, twin, base, single, first, part in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             for at in range(len(part) - length + 1):
-                out["name"].append(name), out["digest"].append(digest), out["at"].append(first + at), out["key"].append(name_of(part[at : at + length]))
+                for column, v in zip(out.values(), (doc, twin, base, single, first + at, name_of(part[at : at + length])), strict=True):
+                    column.append(v)
         return out
 
-    cores = met(settled.where("key is not null")).select("name", "digest", "at", "part")
-    strings = materialize(map_batches(cores, spell, "name long, digest long, at int, key binary"), "strings")
-    across = met(strings).select("name", "digest", F.col("at").alias("lo"), (F.col("at") + length).alias("hi"))
-    whole = classes.where("n > 1").select("name", "digest", F.lit(0).alias("lo"), (F.col("span") + length).cast("int").alias("hi"))
-    marks = whole.unionByName(within).unionByName(across).distinct()
-    return hits.select("doc", "twin", F.col("lo").alias("base"), "name", "digest").join(anew(marks), ["name", "digest"]).select("doc", "twin", (F.col("base") + F.col("lo")).alias("lo"), (F.col("base") + F.col("hi")).alias("hi"))
+    cores = met(settled.where("key is not null")).select("doc", "twin", "base", "single", "at", "part")
+    strings = materialize(map_batches(cores, spell, "doc long, twin int, base long, single boolean, at int, key binary"), "strings")
+    # neighbouring strings of a class become one span
+    own = Window.partitionBy("doc", "twin", "base").orderBy("at")
+    across = met(strings).where("single").select("doc", "twin", "base", "at").withColumn("island", F.col("at") - F.dense_rank().over(own))
+    across = across.groupBy("doc", "twin", "base", "island").agg((F.col("base") + F.min("at")).alias("lo"), (F.col("base") + F.max("at") + length).alias("hi"))
+    copied = classes.where("n > 1").select("name", "digest")
+    whole = hits.join(anew(copied), ["name", "digest"], "left_semi").select("doc", "twin", "lo", (F.col("lo") + F.col("span") + length).alias("hi"))
+    return whole.unionByName(within).unionByName(across.select("doc", "twin", "lo", "hi"))
 
 
 def row_keys(doc_id: Column, text: Column) -> tuple[Column, Column]:
