@@ -118,52 +118,51 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: int = 80, band
     Returns a row per row: doc_id, n_shingles, component_id (smallest doc_id reachable by links, itself included)
     and kept (doc_id = component_id). Words are runs of bytes other than ASCII white space, A-Z lower-cased. A null,
     empty or blank text has no shingles and links with nothing; a text shorter than a shingle is one shingle. Rows
-    that repeat a doc_id stay, in one component; a null doc_id links with nothing and has null in the last two
-    columns. Other columns are ignored. `margin` is how far below the threshold an estimate may lie and still be
+    that repeat a doc_id stay, in one component with all that either text links to; a null doc_id links with nothing and
+    has null in the last two columns. Other columns are ignored. `margin` is how far below the threshold an estimate may lie and still be
     confirmed on full sets.
     """
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     signed = materialize(signatures(source, shingle, bands, rows, bits), "signed")
     named = signed.where("digest is not null and doc_id is not null")
-    classes = materialize(
-        named.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("packed").alias("packed")), "classes"
-    )
+    # rep numbers the classes as they are written; a doc_id would not do, rows may share one
+    classes = named.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("packed").alias("packed"))
+    classes = materialize(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
+    of_row = materialize(signed.select("doc_id", "n_shingles", "digest").join(classes.select("digest", "rep", F.col("doc_id").alias("of_class")), "digest", "left").drop("digest"), "class-of-row")
     members = classes.select("rep", F.explode("bands").alias("bucket"))
-    shared = members.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1").select("bucket")
+    shared = materialize(members.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1").select("bucket"), "buckets")
     members = materialize(members.join(shared, "bucket"), "members")
 
-    sets = materialize(_shingle_sets(members.select(F.col("rep").alias("doc_id")).distinct(), source, shingle), "sets")
+    sets = materialize(_shingle_sets(classes.join(members.select("rep").distinct(), "rep").select("rep", "doc_id", "digest"), source, shingle), "sets")
     # what a class shares with any other candidate bounds its similarity to all of them
     able = materialize(_shared_sizes(sets).where(100 * F.col("s") >= threshold * F.col("n")), "able")
-    members = members.select("bucket", "rep").join(able, "rep")
-    shared = members.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1").select("bucket")
-    members = materialize(members.join(shared, "bucket"), "able-members")
+    members = materialize(members.select("bucket", "rep").join(able, "rep"), "able-members")
 
     # first every member of a bucket meets its hub, the member that shares most
     by = F.struct(F.col("n") / F.col("s"), F.xxhash64("rep"))
-    hub = members.groupBy("bucket").agg(F.min_by(F.struct("rep", "n", "s"), by).alias("h")).select("bucket", F.col("h.rep").alias("a"), F.col("h.n").alias("na"), F.col("h.s").alias("sa"))
+    hub = members.groupBy("bucket").agg(F.count("*").alias("c"), F.min_by(F.struct("rep", "n", "s"), by).alias("h"), F.min("rep").alias("least")).where("c > 1")
+    hub = materialize(hub.select("bucket", F.col("h.rep").alias("a"), F.col("h.n").alias("na"), F.col("h.s").alias("sa"), "least"), "hubs")
     can = (100 * F.least("n", "na") >= threshold * F.greatest("n", "na")) & ((100 + threshold) * F.least("s", "sa") >= threshold * (F.col("n") + F.col("na")))
-    pairs = members.join(hub, "bucket").where((F.col("rep") != F.col("a")) & can)
-    pairs = pairs.select(F.least("rep", "a").alias("a"), F.greatest("rep", "a").alias("b")).distinct()
+    met = members.join(hub, "bucket")
+    pairs = met.where((F.col("rep") != F.col("a")) & can).select(F.least("rep", "a").alias("a"), F.greatest("rep", "a").alias("b")).distinct()
     links = materialize(_confirmed(_likely(pairs, classes, bands * rows, bits, threshold / 100 - margin), sets, threshold), "links")
     label = materialize(_labels(able, links), "label")
     # then members that share buckets, at any remove, and still differ in component meet each other
-    least = members.groupBy("bucket").agg(F.min("rep").alias("b"))
-    cluster = connected_components(members.join(least, "bucket").select(F.col("rep").alias("a"), "b")).toDF("rep", "cluster")
+    cluster = connected_components(met.select(F.col("rep").alias("a"), F.col("least").alias("b"))).toDF("rep", "cluster")
     rest = able.join(cluster, "rep").join(label, "rep")
     mixed = rest.groupBy("cluster").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("size")).where("x <> y").select("cluster", "size")
     likely = materialize(_across(rest.join(mixed, "cluster"), sets, threshold, margin), "likely")
     if not likely.isEmpty():
         links = links.unionByName(materialize(_confirmed(likely, sets, threshold), "links"))
-        label = materialize(_labels(able, links), "label")
-    named = classes.select("digest", "rep").join(label, "rep", "left").select("digest", F.coalesce("label", "rep").alias("component_id"))
-    return _with_components(signed, named)
-
-
-def _with_components(signed: DataFrame, of_class: DataFrame) -> DataFrame:
-    out = signed.select("doc_id", "n_shingles", "digest").join(of_class, "digest", "left")
-    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", own.alias("component_id"), (F.col("doc_id") == own).alias("kept"))
+    # rows of one doc_id are one document to whoever reaches it
+    ids = of_row.where("rep is not null and doc_id is not null").select("doc_id", "rep").distinct()
+    first = ids.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a <> z").select("doc_id", "a")
+    links = links.unionByName(materialize(ids.join(first, "doc_id").where("rep <> a").select("a", F.col("rep").alias("b")), "same-ids"))
+    component = connected_components(links).toDF("rep", "component")
+    least = component.join(classes.select("rep", "doc_id"), "rep").groupBy("component").agg(F.min("doc_id").alias("least"))
+    out = of_row.join(component.join(least, "component").select("rep", "least"), "rep", "left")
+    out = out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "of_class", "doc_id")))
+    return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
 
 
 def _likely(pairs: DataFrame, classes: DataFrame, count: int, bits: int, least: float) -> DataFrame:
@@ -230,38 +229,34 @@ def _across(rest: DataFrame, sets: DataFrame, threshold: int, margin: float, blo
     return dealt.groupBy("cluster", "i", "j").applyInArrow(meet, "a long, b long").distinct()
 
 
-def _shingle_sets(ids: DataFrame, source: DataFrame, shingle: int) -> DataFrame:
-    """Sorted shingle hashes of some documents: (rep, hashes)."""
+def _shingle_sets(wanted: DataFrame, source: DataFrame, shingle: int) -> DataFrame:
+    """Sorted shingle hashes of classes (rep, doc_id of a row that has the set, digest of the set): (rep, hashes)."""
 
     def run(batch: pa.RecordBatch) -> dict:
-        return {"rep": batch.column(0), "hashes": [shingle_hashes(x, shingle).tobytes() for x in batch.column(1).to_pylist()]}
+        out: dict[str, list] = {"rep": [], "hashes": []}
+        for rep, digest, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            raw = shingle_hashes(text, shingle).tobytes()
+            if hashlib.blake2b(raw, digest_size=16).digest() == digest:  # another row of this doc_id may have another text
+                out["rep"].append(rep), out["hashes"].append(raw)
+        return out
 
-    texts = source.where("doc_id is not null").join(ids, "doc_id", "left_semi")
-    return map_batches(texts.select("doc_id", "text"), run, "rep long, hashes binary").dropDuplicates(["rep"])
+    texts = source.where("doc_id is not null").join(wanted, "doc_id")
+    return map_batches(texts.select("rep", "digest", "text"), run, "rep long, hashes binary").dropDuplicates(["rep"])
 
 
 def _shared_sizes(sets: DataFrame) -> DataFrame:
     """Size n of every set, and how many s of its shingles any other set holds too: (rep, n, s)."""
-    spark = sets.sparkSession
 
     def spread(batch: pa.RecordBatch) -> dict:
         raw = batch.column(1).to_pylist()
         n = np.array([len(h) // 8 for h in raw], np.int64)
         return {"shingle": np.frombuffer(b"".join(raw), np.int64), "rep": np.repeat(batch.column(0).to_numpy(), n)}
 
-    schema = arrow_schema(spark, "rep long, n long, s long")
-
-    def count(batches):
-        parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
-        if parts:
-            shingles, rep = (np.concatenate(c) for c in zip(*parts, strict=True))
-            _, back, times = np.unique(shingles, return_inverse=True, return_counts=True)
-            ids, own = np.unique(rep, return_inverse=True)
-            yield pa.RecordBatch.from_pydict({"rep": ids, "n": np.bincount(own), "s": np.bincount(own, times[back] > 1).astype(np.int64)}, schema=schema)
-
-    # a shingle comes once a set, so no key holds more than its share of a set's size
-    dealt = map_batches(sets, spread, "shingle long, rep long").repartition("shingle")
-    return dealt.mapInArrow(count, "rep long, n long, s long").groupBy("rep").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+    # a shingle comes once a set: those counted once are the ones that their set has alone
+    alone = map_batches(sets, spread, "shingle long, rep long").groupBy("shingle").agg(F.count("*").alias("c"), F.min("rep").alias("rep")).where("c = 1")
+    alone = alone.groupBy("rep").agg(F.count("*").alias("alone"))
+    sizes = sets.select("rep", (F.octet_length("hashes") / 8).cast("long").alias("n"))
+    return sizes.join(alone, "rep", "left").select("rep", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("s"))
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:

@@ -71,6 +71,14 @@ def test_near_duplicates_match_brute_force(spark, size, threshold, rows):
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted(set(want.values()))
 
 
+def test_rows_of_one_doc_id_keep_the_links_of_both_texts(spark):
+    rng = random.Random(8)
+    a, b = ([f"{x}{rng.randrange(10**6)}" for _ in range(200)] for x in "ab")
+    rows = [(5, a), (5, b), (6, [*a[:-1], "x"]), (7, [*b[:-1], "y"]), (8, a), (9, [f"c{k}" for k in range(50)]), (4, [*a[:-2], "z"])]
+    got = near_duplicates(docs_of(spark, [(i, " ".join(t)) for i, t in rows]), shingle=3, threshold=85, rows=7).collect()
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in got) == [(4, 4, True), (5, 4, False), (5, 4, False), (6, 4, False), (7, 4, False), (8, 4, False), (9, 9, True)]
+
+
 def test_near_duplicates_of_one_large_group(spark):
     base = [f"b{k}" for k in range(200)]
     rng = random.Random(1)
