@@ -4,7 +4,6 @@ import datetime
 import decimal
 import math
 import os
-import pathlib
 import re
 import shutil
 import subprocess
@@ -63,7 +62,7 @@ def test_every_query_is_named_once():
 
 
 def test_entry_works_without_the_training_data_operators(tmp_path):
-    root = pathlib.Path(__spark_entry__.__file__).parent
+    root = Path(__spark_entry__.__file__).parent
     for name in ("codexframe", "__spark_entry__.py", "corpus_pipeline.py"):
         part = root / name
         if part.is_dir():
