@@ -118,7 +118,7 @@ def _unplanes(raw: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view("<u8").ravel().astype(np.int64)
 
 
-GROUP_COLUMNS = [("key", "<i8"), ("total", "<i8"), ("once", "<i4"), ("twice", "<i4"), ("more", "<i4")]
+GROUP_COLUMNS = [("key", "<i8"), ("total", "<i8"), ("once", "<i8"), ("twice", "<i8"), ("more", "<i8")]
 
 
 def _add_up(keys: np.ndarray, counts: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
@@ -131,14 +131,14 @@ def _add_up(keys: np.ndarray, counts: np.ndarray | None) -> tuple[np.ndarray, np
     return keys[first], np.add.reduceat(counts[order], first) if len(first) else np.zeros(0, np.int64)
 
 
-def count_keys(df: DataFrame, keys_of, name: str, top: int, buckets: int, wide: bool = True, groups: bool = False, flush: int = 3_000_000):
+def count_keys(df: DataFrame, keys_of, name: str, top: int, buckets: int, groups: bool = False, flush: int = 3_000_000):
     """Count keys over df and store them: (Arrays of key and c, Arrays of groups or None, totals).
 
     keys_of(batch) gives the keys of a batch (numbers from 0, evenly spread below `top`; any above go to the last
     bucket) and their counts or None. Each task adds up its keys and sends them to buckets of equal width as sorted
     steps in byte planes; a bucket becomes one part. groups: also store, for the upper half of the keys (key >> 32),
     the total and how many keys were counted once, twice, and oftener. totals: rows, their sum, and how many keys were
-    counted 1, 2, 3 and 4 times. Counts take 64 bits, or 32 if not wide. What a task tells of its part is all that reaches the driver.
+    counted 1, 2, 3 and 4 times. A task merges one bucket after another. What it tells of its parts is all that reaches the driver.
     """
     spark = df.sparkSession
     folder, group_folder = work_path(spark, name), work_path(spark, f"{name}-groups")
@@ -178,28 +178,34 @@ def count_keys(df: DataFrame, keys_of, name: str, top: int, buckets: int, wide:
     ddl = "first long, file string, rows long, total long, once long, twice long, thrice long, four long, group_first long, group_file string, group_rows long"
     told = arrow_schema(spark, ddl)
 
+    def part_of(own: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+        keys, c = _add_up(np.concatenate([np.cumsum(_unplanes(k)) for k, _ in own]), np.concatenate([_unplanes(n) for _, n in own]))
+        row = {"first": int(keys[0]), "rows": len(keys), "total": int(c.sum()), **{n: int((c == k).sum()) for n, k in (("once", 1), ("twice", 2), ("thrice", 3), ("four", 4))}}
+        row |= {"file": _write(folder, [keys.astype("<i8").tobytes(), c.astype("<i8").tobytes()])}
+        if groups:
+            up = keys >> 32
+            at = np.flatnonzero(np.concatenate([[True], up[1:] != up[:-1]]))
+            columns = [up[at], np.add.reduceat(c, at), *(np.add.reduceat(x.astype(np.int64), at) for x in (c == 1, c == 2, c > 2))]
+            row |= {"group_first": int(up[0]), "group_rows": len(at), "group_file": _write(group_folder, [x.astype(k).tobytes() for x, (_, k) in zip(columns, GROUP_COLUMNS, strict=True)])}
+        return pa.RecordBatch.from_pylist([row], schema=told)
+
     def merge(batches):
-        parts: dict[int, list] = {}
+        last, own = None, []
         for batch in batches:
             for b, steps, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                parts.setdefault(b, []).append((steps, counts))
-        for b in sorted(parts):
-            own = parts.pop(b)
-            keys, c = _add_up(np.concatenate([np.cumsum(_unplanes(k)) for k, _ in own]), np.concatenate([_unplanes(n) for _, n in own]))
-            row = {"first": int(keys[0]), "rows": len(keys), "total": int(c.sum()), **{n: int((c == k).sum()) for n, k in (("once", 1), ("twice", 2), ("thrice", 3), ("four", 4))}}
-            row |= {"file": _write(folder, [keys.astype("<i8").tobytes(), c.astype("<i8" if wide else "<i4").tobytes()])}
-            if groups:
-                up = keys >> 32
-                at = np.flatnonzero(np.concatenate([[True], up[1:] != up[:-1]]))
-                columns = [up[at], np.add.reduceat(c, at), *(np.add.reduceat(x.astype(np.int64), at) for x in (c == 1, c == 2, c > 2))]
-                row |= {"group_first": int(up[0]), "group_rows": len(at), "group_file": _write(group_folder, [x.astype(k).tobytes() for x, (_, k) in zip(columns, GROUP_COLUMNS, strict=True)])}
-            yield pa.RecordBatch.from_pylist([row], schema=told)
-
-    dealt = df.mapInArrow(send, "bucket int, steps binary, counts binary").repartition("bucket")
+                if own and b != last:
+                    yield part_of(own)
+                    own = []
+                last = b
+                own.append((steps, counts))
+        if own:
+            yield part_of(own)
+
+    dealt = df.mapInArrow(send, "bucket int, steps binary, counts binary").repartition(buckets, "bucket").sortWithinPartitions("bucket")
     done = dealt.mapInArrow(merge, ddl).collect()
     totals = {k: sum(r[k] for r in done) for k in ("rows", "total", "once", "twice", "thrice", "four")}
     grouped = Arrays(group_folder, [(r.group_first, r.group_file, r.group_rows) for r in done], GROUP_COLUMNS, False) if groups else None
-    return Arrays(folder, [(r.first, r.file, r.rows) for r in done], [("key", "<i8"), ("c", "<i8" if wide else "<i4")], False), grouped, totals
+    return Arrays(folder, [(r.first, r.file, r.rows) for r in done], [("key", "<i8"), ("c", "<i8")], False), grouped, totals
 
 
 def store(df: DataFrame, name: str, part_rows: int = 4_000_000) -> Arrays:

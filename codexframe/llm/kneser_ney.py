@@ -98,15 +98,21 @@ class Model:
 
 
 def train(docs: DataFrame, bucket_tokens: int = 2_000_000) -> Model:
-    """Learn from all texts of docs (text as binary); nothing is pruned, and no task holds more than a bucket's keys."""
+    """Learn from all texts of docs (text as binary); nothing is pruned, and a task holds one bucket's keys at a time.
+
+    Buckets grow in number with the input. All bigrams of one context are in one bucket: at most one for each word.
+    More than 2^31 - 3 different words raise an error: a bigram's key has no room for more.
+    """
     spark = docs.sparkSession
-    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    least = max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
 
     def word_keys(batch: pa.RecordBatch):
         given = [hashed(t) for t in batch.column(0).to_pylist()]
         return (np.concatenate(given) if given else np.zeros(0, np.int64)), None
 
     words, _, of_words = count_keys(docs.select("text"), word_keys, "words", 1 << 63, least)
+    if of_words["rows"] >= UNKNOWN_ID:
+        raise ValueError(f"{of_words['rows']} different words do not fit the numbers of a bigram's key")
     buckets = max(least, of_words["total"] // bucket_tokens)
 
     def bigram_keys(batch: pa.RecordBatch):
@@ -120,7 +126,7 @@ def train(docs: DataFrame, bucket_tokens: int = 2_000_000) -> Model:
         before[np.cumsum(n) - n] = START_ID
         return (before << 32) | ids, None
 
-    bigrams, contexts, of_bigrams = count_keys(docs.select("text"), bigram_keys, "bigrams", of_words["rows"] << 32, buckets, wide=False, groups=True)
+    bigrams, contexts, of_bigrams = count_keys(docs.select("text"), bigram_keys, "bigrams", of_words["rows"] << 32, buckets, groups=True)
 
     def ends(batch: pa.RecordBatch):
         found = [np.unique(bigrams.part(i)["key"] & 0xFFFFFFFF, return_counts=True) for i in batch.column(0).to_pylist()]
