@@ -89,27 +89,30 @@ def stretches(raw: bytes, length: int, piece: int) -> list[tuple[int, int, int]]
 CORE_STARTS = 17
 
 
-def with_common_cores(parts: list[bytes], length: int, piece: int) -> list[int]:
-    """Places of the texts, all named by one piece, of which a core of `length` less CORE_STARTS bytes is in another one too.
+def with_common_cores(parts: list[bytes], length: int, piece: int) -> dict[int, int]:
+    """The texts, all named by one piece, of which a core of `length` less CORE_STARTS bytes is in another one too.
 
-    Two texts that share a string of `length` bytes share the core of its first start, counted from the piece.
+    By their places, where the piece starts in them (-1: not at all). Two texts that share a string of `length` bytes
+    share the core of its first start, counted from the piece.
     """
     place = naming_place(parts[0], length, piece)
     name = parts[0][place : place + piece]
     first: dict[tuple[int, bytes], int] = {}
-    kept = set()
+    kept: dict[int, int] = {}
+    places = []
     for k, part in enumerate(parts):
         at = part.find(name)
+        places.append(at)
         if at < 0:  # another piece of the same hash
-            kept.add(k)
+            kept[k] = at
             continue
         for back in range(0, length - piece, CORE_STARTS):
             end = at - back + length - CORE_STARTS
             if back <= at and end <= len(part):
                 other = first.setdefault((back, part[at - back : max(end, at + piece)]), k)
                 if other != k:
-                    kept.update((k, other))
-    return sorted(kept)
+                    kept[k], kept[other] = at, places[other]
+    return kept
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -143,31 +146,38 @@ def runs(raw: bytes, length: int, piece: int) -> tuple[np.ndarray, np.ndarray, n
     return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
-def repeats_of_block(texts: list[bytes], length: int) -> list[np.ndarray]:
-    """For every text, whether the string at each start occurs again in the block."""
-    marks = [np.zeros(max(0, len(t) - length + 1), bool) for t in texts]
+def repeats_of_block(texts: list[bytes], length: int, pieces: list[tuple[int, int]] | None = None, piece: int = 0) -> list[np.ndarray]:
+    """For every text, whether the string at each start occurs again in the block.
+
+    pieces: for every text the number of the piece that names it and where it starts in it (-1: not at all). All of a
+    text's strings hold that piece, so that it counts as one letter.
+    """
+    counts = [max(0, len(t) - length + 1) for t in texts]
     joined = b"\x00".join(texts)
-    # bytes count from 2, a separator is 1; strings across separators are never valid starts
-    codes, starts, at = [], [], 0
-    for t in texts:
-        codes += [c + 2 for c in t]
-        codes.append(1)
-        starts.append(at)
+    # a separator is 1, bytes count from 2, pieces follow; strings across separators are never valid starts
+    codes, origin, at = [], [], 0
+    for k, (t, n) in enumerate(zip(texts, counts, strict=True)):
+        letters = np.frombuffer(t, np.uint8).astype(np.int64) + 2
+        if pieces and pieces[k][1] >= 0:
+            number, place = pieces[k]
+            letters = np.concatenate([letters[:place], [258 + number], letters[place + piece :]])
+        own = np.full(len(letters) + 1, -1, np.int64)
+        own[:n] = np.arange(at, at + n)
+        codes += [letters, [1]]
+        origin.append(own)
         at += len(t) + 1
-    valid = np.zeros(at, bool)
-    for s, t in zip(starts, texts, strict=True):
-        valid[s : s + max(0, len(t) - length + 1)] = True
     found = np.zeros(at, bool)
-    order = [s for s in suffix_array(codes) if valid[s]] if at > 1 else []
-    last, last_text = -1, b""
-    for s in order:
-        own = joined[s : s + length]
-        if own == last_text:
-            found[s] = found[last] = True
-        last, last_text = s, own
-    for m, s in zip(marks, starts, strict=True):
-        m[:] = found[s : s + len(m)]
-    return marks
+    if texts:
+        origin = np.concatenate(origin)
+        order = origin[np.array(suffix_array(np.concatenate(codes)), np.int64)]
+        last, last_text = -1, b""
+        for s in order[order >= 0].tolist():
+            own = joined[s : s + length]
+            if own == last_text:
+                found[s] = found[last] = True
+            last, last_text = s, own
+    starts = np.cumsum([0, *(len(t) + 1 for t in texts)])
+    return [found[s : s + n] for s, n in zip(starts.tolist(), counts, strict=False)]
 
 
 def _bounds(flags: np.ndarray, length: int) -> tuple[list[int], list[int]]:
@@ -229,7 +239,7 @@ def repeated_spans(docs: DataFrame, length: int = 200, piece: int = 64, block_by
     name_of = lambda raw: hashlib.blake2b(raw, digest_size=16).digest()
 
     def sort_blocks(batches):
-        rows: list[tuple] = []  # of all finished groups: whether it goes into the suffix array, and the row
+        rows: list[tuple] = []  # of all finished groups: the piece if it goes into the suffix array, and the row
         group: list[tuple] = []
         held, last = 0, None
 
@@ -237,16 +247,17 @@ def repeated_spans(docs: DataFrame, length: int = 200, piece: int = 64, block_by
             """The group at hand joins the block; the bytes it brings."""
             firsts = {row[5]: row for row in group}  # a repeated document brings the same class again
             own = list(firsts.values())
-            chosen = set(with_common_cores([row[7] for row in own], length, piece)) if len(own) > 1 else ()
-            rows.extend((k in chosen, row) for k, row in enumerate(own))
+            chosen = with_common_cores([row[7] for row in own], length, piece) if len(own) > 1 else {}
+            number = len(rows)
+            rows.extend(((number, chosen[k]) if k in chosen else None, row) for k, row in enumerate(own))
             group.clear()
             return sum(len(own[k][7]) for k in chosen)
 
         def flush():
-            found = iter(repeats_of_block([row[7] for chosen, row in rows if chosen], length))
+            found = iter(repeats_of_block([row[7] for at, row in rows if at], length, [at for at, _ in rows if at], piece))
             out: dict[str, list] = {f.name: [] for f in schema}
             seen = set()
-            for chosen, (doc, twin, base, single, name, digest, c, part, deal) in rows:
+            for chosen, (doc, twin, base, single, _, _, c, part, _) in rows:
                 m = next(found) if chosen else np.zeros(len(part) - length + 1, bool)
                 cells = []
                 if single and m.any():

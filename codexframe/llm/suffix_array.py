@@ -10,25 +10,23 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+
 
 def suffix_array(text: Sequence[int]) -> list[int]:
     """Places of all suffixes of text in ascending order; text holds numbers above zero."""
-    text = [*text, 0]
-    n = len(text)
+    letters = np.concatenate([np.asarray(text, np.int64), [0]])
+    n = len(letters)
     if n == 1:
         return []
-    order = sorted(range(n), key=text.__getitem__)
-    head = [0] * n  # start of each suffix's group in order
-    place = [0] * n
-    start = 0
-    for k, s in enumerate(order):
-        if text[s] != text[order[start]]:
-            start = k
-        head[s] = start
-        place[s] = k
-    size = [0] * n
-    for s in range(n):
-        size[head[s]] += 1
+    # the first groups are those of one letter: start of each suffix's group in order, its place there, group sizes
+    by_letter = np.argsort(letters.astype(np.uint16) if letters.max() < 1 << 16 else letters, kind="stable")
+    _, first, sizes = np.unique(letters[by_letter], return_index=True, return_counts=True)
+    heads, places, widths = np.empty((3, n), np.int64)
+    heads[by_letter], places[by_letter] = np.repeat(first, sizes), np.arange(n)
+    widths[:] = 0
+    widths[first] = sizes
+    order, head, place, size = by_letter.tolist(), heads.tolist(), places.tolist(), widths.tolist()
 
     before = [-1] * n  # previous smaller suffix
     top = n - 1
