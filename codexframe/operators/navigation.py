@@ -65,12 +65,25 @@ def disambiguated(df: DataFrame, candidate: str, order: list) -> DataFrame:
     return df.withColumn("node_id", F.concat(candidate, F.when(n > 1, F.concat(F.lit("--"), n.cast("string"))).otherwise("")))
 
 
-#: Kinds of structure by the words of a title, the first that fits (fixed values).
-KINDS = [("definitions", "definition"), ("appendix", "appendix"), ("book", "^book"), ("part", "^part"), ("subpart", "^subpart"), ("chapter", "chapter")]
-
-
-def structure_kind(title: Column) -> Column:
-    out = F.lit("section")
-    for kind, pattern in reversed(KINDS):
-        out = F.when(F.lower(title).rlike(pattern), kind).otherwise(out)
-    return out
+#: Kinds of structure by the words that open a designation and title, after definitions and appendices (fixed values).
+OPENING = ("book", "part", "subpart", "chapter")
+#: Titles of front matter, and the level a kind has by itself (fixed values).
+FRONT = ("disclaimer", "note from the editor", "incorporated amendments", "preamble")
+LEVELS = {"front_matter": 1, "part": 1, "book": 1, "appendix": 1, "subpart": 2, "definitions": 2, "chapter": 3, "section": 3}
+
+
+def structure_kind(title: Column, designation: Column | None = None, content_types: Column | None = None) -> Column:
+    """Kind of a section by its content types, designation and title."""
+    types = F.lower(F.coalesce(content_types, F.lit(""))) if content_types is not None else F.lit("")
+    shown = F.concat_ws(" ", F.coalesce(designation, F.lit("")) if designation is not None else F.lit(""), F.coalesce(title, F.lit("")))
+    low = F.trim(F.regexp_replace(F.lower(shown), r"(?U)\s+", " "))
+    out = F.when(F.contains(types, F.lit("definition")) | low.rlike(r"(?U)\bdefinitions?\b"), "definitions").when(F.contains(types, F.lit("appendix")) | low.rlike(r"(?U)^append(?:ix|ices)\b"), "appendix")
+    for kind in OPENING:
+        out = out.when(low.rlike(rf"(?U)^{kind}\b"), kind)
+    return out.when(low.isin(*FRONT) | F.startswith(low, F.lit("toc ")), "front_matter").otherwise("section")
+
+
+def structure_level(level: Column, kind: Column) -> Column:
+    """A section's own level where it has one beyond the first, else its kind's."""
+    own = F.create_map(*(F.lit(x) for pair in LEVELS.items() for x in pair))
+    return F.when(level > 1, level).otherwise(F.coalesce(F.try_element_at(own, kind), F.lit(3)))

@@ -152,15 +152,16 @@ def figure_numbering(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", name.alias("figure"))
 
 
+_KINDS = (("Subpart ", "subpart"), ("BOOK ", "book"), ("Appendix ", "appendix"), ("Chapter ", "chapter"), ("Part ", "part"), ("Definitions ", "definitions"), ("General ", "section"), ("Toc ", "front_matter"))
+
+
 @query(
     "structure_classify",
-    """SELECT page_id, title, CASE WHEN lower(title) LIKE '%definition%' THEN 'definitions' WHEN lower(title) LIKE '%appendix%' THEN 'appendix' WHEN lower(title) LIKE 'book%' THEN 'book'
-       WHEN lower(title) LIKE 'part%' THEN 'part' WHEN lower(title) LIKE 'subpart%' THEN 'subpart' WHEN lower(title) LIKE '%chapter%' THEN 'chapter' ELSE 'section' END AS kind
-       FROM (SELECT page_id, CASE page_id % 7 WHEN 0 THEN 'Subpart ' WHEN 1 THEN 'BOOK ' WHEN 2 THEN 'Appendix ' WHEN 3 THEN 'Chapter ' WHEN 4 THEN 'Part ' WHEN 5 THEN 'Definitions ' ELSE 'General ' END || page_id AS title FROM pages)""",
+    f"""SELECT page_id, list_extract([{', '.join(f"'{w}'" for w, _ in _KINDS)}], (page_id % {len(_KINDS)} + 1)::INTEGER) || page_id AS title,
+        list_extract([{', '.join(f"'{k}'" for _, k in _KINDS)}], (page_id % {len(_KINDS)} + 1)::INTEGER) AS kind FROM pages""",
 )
 def structure_classify(spark, sf_dir):
-    words = ["Subpart ", "BOOK ", "Appendix ", "Chapter ", "Part ", "Definitions ", "General "]
-    title = F.concat(F.element_at(F.array(*map(F.lit, words)), (F.col("page_id") % 7 + 1).cast("int")), F.col("page_id").cast("string"))
+    title = F.concat(F.element_at(F.array(*(F.lit(w) for w, _ in _KINDS)), (F.col("page_id") % len(_KINDS) + 1).cast("int")), F.col("page_id").cast("string"))
     return table(spark, sf_dir, "pages").select("page_id", title.alias("title")).withColumn("kind", nav.structure_kind(F.col("title")))
 
 

@@ -6,13 +6,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from codexframe.functions import text as fn
+from codexframe.functions.versions import publication_format
 from codexframe.operators import render
 from codexframe.plans.registry import query
 from codexframe.sources.markup import links, page_nodes
 from codexframe.sources.tables import table
 
 
-@query("whitespace_normalize", "SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(text, '\\r\\n?', chr(10), 'g'), '[ \\t ]+', ' ', 'g'), ' ?\\n ?', chr(10), 'g'), ' ') AS text FROM documents")
+@query("whitespace_normalize", "SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '\\r\\n?', chr(10), 'g'), '[ \\t\\f\\v]+', ' ', 'g'), ' *\\n *', chr(10), 'g') AS text FROM documents")
 def whitespace_normalize(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", fn.collapse_whitespace(F.col("text")).alias("text"))
 
@@ -27,27 +28,6 @@ def slugify(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", fn.slugify(F.concat("p_name", F.lit(" ("), "p_brand", F.lit(")"))).alias("slug"), fn.slugify_rule(rule).alias("rule_slug"))
 
 
-@query(
-    "designation_normalize",
-    """WITH t AS (SELECT p_partkey, '  cs  vla ' || p_partkey || ' (a)' AS given FROM part)
-       SELECT p_partkey, regexp_replace(regexp_replace(upper(trim(regexp_replace(given, '\\s+', ' ', 'g'))), '\\bCS ([0-9A-Z]+)[ .]([0-9]+)', 'CS-\\1.\\2', 'g'), '-{2,}', '-', 'g') AS normal FROM t""",
-)
-def designation_normalize(spark, sf_dir):
-    given = F.concat(F.lit("  cs  vla "), F.col("p_partkey").cast("string"), F.lit(" (a)"))
-    return table(spark, sf_dir, "part").select("p_partkey", fn.normalize_designation(given).alias("normal"))
-
-
-@query(
-    "designation_extract",
-    """WITH t AS (SELECT p_partkey, p_name || CASE WHEN p_partkey % 3 = 0 THEN ' no rule' ELSE ' AMC1 CS-' || p_size || '.' || p_partkey || '(a)(2) Title' END AS title FROM part)
-       SELECT p_partkey, nullif(regexp_extract(substring(title, 1, 120), '((AMC[0-9]*|GM[0-9]*) )?CS-[0-9A-Z]+\\.[0-9]+(\\([a-z0-9]+\\))*'), '') AS designation FROM t""",
-)
-def designation_extract(spark, sf_dir):
-    named = F.concat(F.lit(" AMC1 CS-"), F.col("p_size").cast("string"), F.lit("."), F.col("p_partkey").cast("string"), F.lit("(a)(2) Title"))
-    title = F.concat("p_name", F.when(F.col("p_partkey") % 3 == 0, " no rule").otherwise(named))
-    return table(spark, sf_dir, "part").select("p_partkey", fn.extract_designation(title).alias("designation"))
-
-
 #: All forms of a designation around a key k, and their canonical ones.
 DESIGNATIONS = (
     ("CS 23.", "k", "", "CS-23.", ""), ("cs-23.", "k", "(a)", "CS-23.", "(a)"), ("CS-VLA ", "k", "", "CS-VLA.", ""), ("cs  vla ", "k", "(b)", "CS-VLA.", "(b)"), ("CS-VLA.", "k", "", "CS-VLA.", ""),
@@ -68,6 +48,21 @@ def given_designation() -> Column:
     return out
 
 
+def _canonical(spark, sf_dir, name):
+    return table(spark, sf_dir, "part").select("p_partkey", fn.canonical_designation(given_designation()).alias(name))
+
+
+@query("designation_normalize", f"SELECT p_partkey, {_form_sql(3, 4)} AS normal FROM part")
+def designation_normalize(spark, sf_dir):
+    return _canonical(spark, sf_dir, "normal")
+
+
+@query("designation_extract", f"SELECT p_partkey, {_form_sql(3, 4)} AS designation FROM part")
+def designation_extract(spark, sf_dir):
+    title = F.concat(given_designation(), F.lit(" Title, see CS-23.1"))
+    return table(spark, sf_dir, "part").select("p_partkey", fn.leading_designation(title, require_number=True).alias("designation"))
+
+
 @query("designation_canonical", f"SELECT p_partkey, {_form_sql(3, 4)} AS canonical FROM part")
 def designation_canonical(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", fn.canonical_designation(given_designation()).alias("canonical"))
@@ -84,9 +79,9 @@ def html_escape(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", fn.html_escape(F.col("html")).alias("escaped"))
 
 
-@query("link_escape", "SELECT page_id, replace(replace(replace(url || '[' || page_id || ']', '\\', '\\\\'), '[', '\\['), ']', '\\]') AS escaped FROM pages")
+@query("link_escape", "SELECT page_id, replace(replace(replace(replace(replace(replace(url || '(' || page_id || '%)', '%', '%25'), '(', '%28'), ')', '%29'), ' ', '%20'), '<', '%3C'), '>', '%3E') AS escaped FROM pages")
 def link_escape(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", fn.link_escape(F.concat("url", F.lit("["), F.col("page_id").cast("string"), F.lit("]"))).alias("escaped"))
+    return table(spark, sf_dir, "pages").select("page_id", fn.link_escape(F.concat("url", F.lit("("), F.col("page_id").cast("string"), F.lit("%)"))).alias("escaped"))
 
 
 @query(
@@ -100,9 +95,14 @@ def metadata_split(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.array_join(fn.split_list(given), "|").alias("items"))
 
 
-@query("url_format_detect", "SELECT page_id, CASE WHEN lower(url) LIKE '%xml%' THEN 'xml' WHEN lower(url) LIKE '%zip%' THEN 'zip' WHEN lower(url) LIKE '%pdf%' THEN 'pdf' ELSE 'other' END AS format FROM pages")
+@query(
+    "url_format_detect",
+    """SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'xml' WHEN 1 THEN 'zip' WHEN 2 THEN 'pdf' ELSE 'other' END AS format FROM pages""",
+)
 def url_format_detect(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", fn.url_format(F.col("url")).alias("format"))
+    kind = F.element_at(F.array(*map(F.lit, ("(XML)", "application/zip", "(pdf)", "zip file"))), (F.col("page_id") % 4 + 1).cast("int"))
+    named = F.concat(F.lit("page "), F.col("page_id").cast("string"))
+    return table(spark, sf_dir, "pages").select("page_id", publication_format(named, F.lit(""), kind, F.lit("https://h.org/p")).alias("format"))
 
 
 @query("json_decode", "SELECT event_id, (props->>'k')::BIGINT AS k FROM events")

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from codexframe.functions import citations, metadata, versions
 from codexframe.functions import text as fn
 from codexframe.functions.stem import stem
 from codexframe.operators import navigation as nav
@@ -18,11 +19,9 @@ def each(spark, function, values):
 
 CASES = [
     (fn.tokens, {"Éa-b 12": ["éa", "b", "12"], None: [], "": []}),
-    (fn.collapse_whitespace, {" a \t b\r\nc \r d ": "a b\nc\nd", None: None, "": ""}),
+    (fn.collapse_whitespace, {" a \t\x0b b\r\nc \r d ": " a b\nc\nd ", None: None, "": ""}),
     (fn.slugify, {"Hello, World -- x": "hello-world-x", "-": "", None: None, "a" * 150: "a" * 100}),
     (fn.slugify_rule, {"CS 23.101": "cs-23-101", None: None}),
-    (fn.normalize_designation, {" cs  23.101": "CS-23.101", "CS vla 1": "CS-VLA.1", "CS--25.1": "CS-25.1", None: None}),
-    (fn.extract_designation, {"AMC1 CS-23.5(a)(1) Title": "AMC1 CS-23.5(a)(1)", "CS-23": None, None: None}),
     (fn.base_designation, {"CS-23.5(a)(1)": "CS-23.5", "CS-23.5": None, None: None}),
     (fn.citations, {"see CS-23.5 and AMC CS-25.1(a); x/CS-9.9": ["CS-23.5", "AMC CS-25.1(a)"], "": [], None: None}),
     (fn.citations, {"CS 23.2000, CS-VLA 303; AMC VLA 21(c) GM2 CS LSA 3": ["CS-23.2000", "CS-VLA.303", "AMC VLA 21(c)", "GM2 CS-LSA.3"], "AMC1 CS-23.5 x/AMC1-CS-9.9 a-CS 9.9": ["AMC1 CS-23.5"], "cs 23.1": []}),
@@ -30,10 +29,11 @@ CASES = [
     (fn.leading_designation, {"AMC1 23.2000 Title": "AMC1 CS-23.2000", "CS 23.2000": "CS-23.2000", "GM LSA 3: x": "GM LSA 3", "AMC CS-TEST.300 T": "AMC CS-TEST.300", "CS-VLA": "CS-VLA", "CS VLA 21(c) T": "CS-VLA.21(c)", "On CS-23.5": None, "CS-23": None, None: None}),
     (fn.split_list, {"a; n/a;b ;-;a": ["a", "b"], "": [], None: None}),
     (fn.html_escape, {"<a href=\"x\">&'</a>": "&lt;a href=&quot;x&quot;&gt;&amp;&#x27;&lt;/a&gt;", None: None}),
-    (fn.link_escape, {"a[b]\\": "a\\[b\\]\\\\", None: None}),
-    (fn.url_format, {"http://x/y.XML": "xml", "a.zip": "zip", "a.pdf": "pdf", "a": "other"}),
-    (fn.version_label, {"CS-23 Amdt 6": "Amendment 6", "Initial Issue": "Initial issue", "Issue 2": "Issue 2", "Rev 3": "Revision 3", "none": None, None: None}),
-    (fn.version_slug, {"CS-23 & AMC / Amendment 6": "cs-23-and-amc-amendment-6", None: None}),
+    (fn.link_escape, {"a(b) <c>%": "a%28b%29%20%3Cc%3E%25", None: None}),
+    (versions.version_label, {"CS-23 Amdt 6": "Amendment 6", "Initial Issue": "Initial Issue", "Issue 2": "Issue 2", "Rev 3": None, "none": None, None: None}),
+    (versions.version_slug, {"CS-23 & AMC / Amendment 6": "cs-23-and-amc-amendment-6", "": "unknown"}),
+    (citations.second_designation, {"§ 23.1": "14 CFR 23.1", "": "", None: ""}),
+    (metadata.scalar, {" x; ": "x", "N/A": None, None: None}),
     (fn.version_order, {"amendment-12-1": [12, 1], "initial": [], None: None}),
 ]
 
