@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codexframe.llm.arrays import Arrays, store
-from codexframe.llm.common import arrow_schema, map_batches, materialize
+from codexframe.llm.common import arrow_schema, map_batches, materialize, texts
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -57,25 +57,25 @@ def word_key(word: str) -> int:
     return int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "big", signed=True)
 
 
-def distinct_words(texts: DataFrame, pattern: str) -> DataFrame:
-    """Distinct pre-tokens of a column of texts: (word)."""
-    schema = arrow_schema(texts.sparkSession, "word string")
+def distinct_words(docs: DataFrame, pattern: str) -> DataFrame:
+    """Distinct pre-tokens of a column of texts (as binary): (word)."""
+    schema = arrow_schema(docs.sparkSession, "word string")
 
     def run(batches):
         find, seen = regex.compile(pattern).findall, set()
         for batch in batches:
-            for text in batch.column(0).to_pylist():
+            for text in texts(batch.column(0)):
                 seen.update(find(text or ""))
             if len(seen) > 400_000:
                 yield pa.RecordBatch.from_pydict({"word": list(seen)}, schema=schema)
                 seen = set()
         yield pa.RecordBatch.from_pydict({"word": list(seen)}, schema=schema)
 
-    return texts.mapInArrow(run, "word string").distinct()
+    return docs.mapInArrow(run, "word string").distinct()
 
 
-def word_table(texts: DataFrame, path: str, pattern: str) -> Arrays:
-    """Ids (little-endian unsigned 32-bit) of every distinct word of texts, by the hash of the word.
+def word_table(docs: DataFrame, path: str, pattern: str) -> Arrays:
+    """Ids (little-endian unsigned 32-bit) of every distinct word of a column of texts, by the hash of the word.
 
     Of words of equal hash any one stays: whoever looks up compares what the ids decode to with the word.
     """
@@ -84,7 +84,7 @@ def word_table(texts: DataFrame, path: str, pattern: str) -> Arrays:
         words, own = batch.column(0).to_pylist(), codec(path, pattern)
         return {"key": [word_key(w) for w in words], "ids": [np.array(own.encode(w), "<u4").tobytes() for w in words]}
 
-    encoded = map_batches(distinct_words(texts, pattern), encode, "key long, ids binary").dropDuplicates(["key"])
+    encoded = map_batches(distinct_words(docs, pattern), encode, "key long, ids binary").dropDuplicates(["key"])
     return store(materialize(encoded, "encoded-words"), "words", 1_000_000)
 
 
@@ -118,9 +118,10 @@ def round_trip(docs: DataFrame, path: str, pattern: str, with_ids: bool = False)
 
     Returns a row per row: doc_id, n_tokens, ids_sha256 (decimal ids joined by one space), decoded_sha256 (the decoded
     bytes); with_ids adds ids and decoded. A null text counts as empty: no tokens, digests of nothing. Repeated rows
-    stay; a null doc_id stays null; other columns are ignored; an empty table gives no rows. Texts are never cut.
+    stay; a null doc_id stays null; other columns are ignored; an empty table gives no rows. Texts are never cut. Of a
+    text that is not UTF-8, each wrong byte counts as U+FFFD and decodes to that.
     """
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     table = word_table(source.select("text"), path, pattern)
     names = ("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *(("ids", "decoded") if with_ids else ()))
     ddl = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded binary" * with_ids
@@ -129,7 +130,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str, with_ids: bool = False)
     def run(batches):
         find, known = regex.compile(pattern).findall, Joined(table, codec(path, pattern))
         for batch in batches:
-            given = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+            given = list(zip(batch.column(0).to_pylist(), texts(batch.column(1)), strict=True))
             for at in range(0, max(1, len(given)), 500):
                 part = [(doc, find(text or "")) for doc, text in given[at : at + 500]]
                 known.add({w for _, found in part for w in found})

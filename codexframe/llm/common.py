@@ -81,6 +81,17 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict] | d
     return df.mapInArrow(run, schema)
 
 
+def raw_texts(column: pa.Array) -> list[bytes | None]:
+    """The bytes of a column of texts, which need not be UTF-8."""
+    kind = pa.large_binary() if pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type) else pa.binary()
+    return column.cast(kind).to_pylist()
+
+
+def texts(column: pa.Array) -> list[str | None]:
+    """A column of texts; a byte that is not UTF-8 counts as U+FFFD."""
+    return [None if t is None else t.decode("utf-8", "replace") for t in raw_texts(column)]
+
+
 def arrow_schema(spark: SparkSession, ddl: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType

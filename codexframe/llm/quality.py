@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codexframe.llm.common import map_batches
+from codexframe.llm.common import map_batches, raw_texts
 
 FEATURES = (
     "log_chars", "log_words", "upper", "digit", "space", "symbol", "non_ascii", "newline", "bar", "mean_word", "long_word", "distinct_words", "top_word", "same_as_last",
@@ -178,7 +178,8 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000) -> Addi
     """
     known = labels.where("quality is not null and doc_id is not null").select("doc_id", "quality").where(~is_held_out())
     known = known.groupBy("doc_id").agg(F.max("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    rows = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(known, "doc_id").select("doc_id", "quality", "text")
+    # of a doc_id that several rows have, the least text counts, so that no more rows than known ones get here
+    rows = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(known, "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
 
     def run(batch: pa.RecordBatch) -> dict:
         return {"doc_id": batch.column(0), "quality": batch.column(1), "x": [[float(v) for v in features(t or b"")] for t in batch.column(2).to_pylist()]}
@@ -210,7 +211,7 @@ def accepted_documents(docs: DataFrame, model: Additive, threshold: float = 0.3)
 
     def run(batches):
         for batch in batches:
-            x = np.array([features((t or "").encode()) for t in batch.column(at).to_pylist()], np.float64).reshape(batch.num_rows, len(FEATURES))
+            x = np.array([features(t or b"") for t in raw_texts(batch.column(at))], np.float64).reshape(batch.num_rows, len(FEATURES))
             yield batch.filter(pa.array(model.score(x) >= threshold))
 
     return docs.mapInArrow(run, schema)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codexframe.llm.common import map_batches
+from codexframe.llm.common import map_batches, texts
 
 KINDS = ("assign", "access", "hex")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -285,12 +285,15 @@ def redact_text(text: str, mask: str = "[SECRET]") -> str:
 
 
 def redact_documents(docs: DataFrame) -> DataFrame:
-    """docs with the secrets of column text masked; null texts stay null, all other columns as they are."""
+    """docs with the secrets of column text masked; null texts stay null, all other columns as they are.
+
+    A byte that is not UTF-8 becomes U+FFFD.
+    """
     schema, at = docs.schema, docs.columns.index("text")
 
     def run(batches):
         for batch in batches:
-            texts = pa.array([None if t is None else redact_text(t) for t in batch.column(at).to_pylist()], pa.string())
-            yield batch.set_column(at, batch.schema.field(at), texts.cast(batch.schema.field(at).type))
+            masked = pa.array([None if t is None else redact_text(t) for t in texts(batch.column(at))], pa.string())
+            yield batch.set_column(at, batch.schema.field(at), masked.cast(batch.schema.field(at).type))
 
     return docs.mapInArrow(run, schema)

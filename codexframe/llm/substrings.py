@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codexframe.llm.common import anew, arrow_schema, map_batches, materialize
+from codexframe.llm.common import anew, arrow_schema, map_batches, materialize, raw_texts
 from codexframe.llm.minhash import mix
 from codexframe.llm.suffix_array import suffix_array
 
@@ -369,7 +369,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, piece: int = 64) -> DataF
 def without_repeats(docs: DataFrame, length: int = 200, piece: int = 64) -> DataFrame:
     """docs with repeated strings cut out of column text, in all other columns as they are; null texts stay null.
 
-    Parts of characters that a cut would leave go with it.
+    Parts of characters that a cut would leave go with it, and so do wrong bytes of a text that is cut and not UTF-8.
     """
     text = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
     keys = row_keys(F.col("doc_id"), text)
@@ -380,10 +380,10 @@ def without_repeats(docs: DataFrame, length: int = 200, piece: int = 64) -> Data
 
     def run(batches):
         for batch in batches:
-            texts = []
-            for t, s in zip(batch.column(at).to_pylist(), batch.column(width).to_pylist(), strict=True):
-                texts.append(_kept(t.encode(), _merged(s)).decode("utf-8", "ignore") if s and t is not None else t)
-            columns = [pa.array(texts, batch.schema.field(at).type) if k == at else batch.column(k) for k in range(width)]
+            left = []
+            for t, s in zip(raw_texts(batch.column(at)), batch.column(width).to_pylist(), strict=True):
+                left.append(_kept(t, _merged(s)).decode("utf-8", "ignore").encode() if s and t is not None else t)
+            columns = [pa.array(left, pa.large_binary()).cast(batch.schema.field(at).type, safe=False) if k == at else batch.column(k) for k in range(width)]
             yield pa.RecordBatch.from_arrays(columns, schema=pa.schema([batch.schema.field(k) for k in range(width)]))
 
     return both.mapInArrow(run, schema)

@@ -5,6 +5,7 @@ import gzip
 import hashlib
 import math
 import random
+import re
 import urllib.parse
 import zlib
 from collections import Counter, defaultdict
@@ -326,3 +327,31 @@ def test_language_model_scores_long_batches_and_keeps_contexts_whole(spark, monk
     assert sorted(r.doc_id for r in got) == list(range(4500))
     for r in got:
         assert r.score == pytest.approx(score(rows[r.doc_id][1])[4], rel=1e-9)
+
+
+def test_bpe_takes_text_that_is_not_utf8(spark):
+    import public_tokenizers
+
+    docs = spark.sql("SELECT 1L doc_id, cast(x'61ff62' as string) text")
+    (row,) = bpe.round_trip(docs, tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=True).collect()
+    assert bytes(row.decoded).decode() == "a\ufffdb" and row.n_tokens == len(row.ids)
+
+
+def test_quality_trains_on_a_row_an_id(spark):
+    docs = docs_of(spark, [(i % 5, f"text {i} " * 5) for i in range(60)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(5)], "doc_id long, quality int")
+    assert {0 <= r.score <= 1 for r in quality.score_documents(docs, quality.train(docs, labels)).collect()} == {True}
+
+
+def test_secret_base_spans_match_brute_force():
+    """Every kind by its own plain scan over random texts, left to right without overlaps."""
+    rng = random.Random(4)
+    bits = ["password", "PassWd", "api_key", "apikey", "token", "secret", "=", ":", " ", '"', "'", "AKIA", "ABCDEFGHIJ0123456789", "abcdefghijklm", "0123456789abcdef", "ﬀé", "\n", "x", "-._/+", "AKIAK"]
+    for _ in range(300):
+        text = "".join(rng.choice(bits) for _ in range(rng.randint(0, 25)))
+        want = []
+        for kind, pattern in enumerate((r"(?i:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", r"(AKIA[A-Z0-9]+)", r"([0-9a-f]+)")):
+            for m in re.finditer(pattern, text, re.ASCII):
+                if len(m[m.re.groups]) >= (12, 18, 16)[kind]:
+                    want.append((m.start(), kind, m.end()))
+        assert secrets.scan_text(text)[0] == sorted(want), text
