@@ -13,20 +13,25 @@ from codexframe.llm.queries import table, tokenizer_path
 from codexframe.llm.secrets import redact_documents
 from codexframe.llm.substrings import without_repeats
 
-#: Work tables of the stage before; what it returned has been written when the next stage begins.
-_before: list[str] = []
+#: Work tables by the stage that wrote them last.
+_written_by: dict[str, list[str]] = {}
 
 
-def _stage(fn):
-    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        common.release(spark, _before)
-        mark = len(common.written_since())
-        out = fn(spark, docs, sf_dir)
-        _before[:] = common.written_since(mark)
-        return out
+def _stage(after: str | None):
+    """A stage whose work tables go when the stage after it begins: what it returned has been written by then."""
 
-    run.__doc__ = fn.__doc__
-    return run
+    def wrap(fn):
+        def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+            common.release(spark, _written_by.pop(after, []))
+            mark = len(common.written_since())
+            out = fn(spark, docs, sf_dir)
+            _written_by[fn.__name__] = common.written_since(mark)
+            return out
+
+        run.__doc__ = fn.__doc__
+        return run
+
+    return wrap
 
 
 def _measured(docs: DataFrame) -> DataFrame:
@@ -34,31 +39,31 @@ def _measured(docs: DataFrame) -> DataFrame:
     return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
-@_stage
+@_stage(None)
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality model, learned from the labelled ones among them, accepts."""
     return accepted_documents(docs, train(docs, table(spark, sf_dir, "labels")))
 
 
-@_stage
+@_stage("quality")
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: five words a shingle, similarity 0.8 or more."""
     return one_of_each_group(docs)
 
 
-@_stage
+@_stage("near_dedup")
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the strings of 200 bytes that occur elsewhere as well."""
     return _measured(without_repeats(docs))
 
 
-@_stage
+@_stage("substring_dedup")
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with all found secrets masked."""
     return _measured(redact_documents(docs))
 
 
-@_stage
+@_stage("secrets")
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the tokenised documents and their places in sequences."""
     return pack_documents(docs, tokenizer_path("word_bpe_49k.json"))
