@@ -210,9 +210,10 @@ def repeated_spans(docs: DataFrame, length: int = 200, piece: int = 64, block_by
 
     every = materialize(map_batches(docs.select("doc", "twin", "text"), name_runs, "doc long, twin int, lo long, span int, name long, digest long"), "runs")
     # written first, so that the join has no aggregate of its key beside it and a very common name is split
-    shared = materialize(every.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name"), "shared-names")
-    hits = materialize(every.join(shared, "name", "left_semi"), "shared-runs")
-    classes = hits.groupBy("name", "digest").agg(F.count("*").alias("n"), F.min(F.struct("doc", "twin", "lo", "span")).alias("rep"))
+    shared = every.groupBy("name").agg(F.count("*").alias("n"), (F.min("digest") == F.max("digest")).alias("same")).where("n > 1").select("name", "same")
+    hits = materialize(every.join(materialize(shared, "shared-names"), "name"), "shared-runs")
+    mixed = hits.where("not same")  # all runs of another name are copies of one
+    classes = mixed.groupBy("name", "digest").agg(F.count("*").alias("n"), F.min(F.struct("doc", "twin", "lo", "span")).alias("rep"))
     classes = materialize(classes.select("name", "digest", "n", "rep.*"), "classes")
     # a class of several runs is a repeat as a whole; where all classes of a name are, nothing is left to compare
     sizes = classes.groupBy("name").agg(F.count("*").alias("c"), F.min("n").alias("fewest")).where("c > 1 and fewest = 1").select("name", "c")
@@ -309,7 +310,8 @@ def repeated_spans(docs: DataFrame, length: int = 200, piece: int = 64, block_by
     across = met(strings).where("single").select("doc", "twin", "base", "at").withColumn("island", F.col("at") - F.dense_rank().over(own))
     across = across.groupBy("doc", "twin", "base", "island").agg((F.col("base") + F.min("at")).alias("lo"), (F.col("base") + F.max("at") + length).alias("hi"))
     copied = classes.where("n > 1").select("name", "digest")
-    whole = hits.join(anew(copied), ["name", "digest"], "left_semi").select("doc", "twin", "lo", (F.col("lo") + F.col("span") + length).alias("hi"))
+    whole = hits.where("same").unionByName(mixed.join(anew(copied), ["name", "digest"], "left_semi").select(hits.columns))
+    whole = whole.select("doc", "twin", "lo", (F.col("lo") + F.col("span") + length).alias("hi"))
     return whole.unionByName(within).unionByName(across.select("doc", "twin", "lo", "hi"))
 
 
