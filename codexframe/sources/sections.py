@@ -9,21 +9,33 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-NODES = "package string, ord long, parent long, depth int, node_type string, level int, designation string, title string, text string, error string"
+NODES = "package string, ord long, parent long, depth int, node_type string, level int, designation string, title string, text string, runs array<struct<kind:string,text:string>>, error string"
 #: Divisions that hold others, with their outline level; a section is division 8 (fixed values).
 CONTAINERS = {"DIV6": 1, "DIV7": 2}
 _SECTION, _ROOT = "DIV8", "DIV5"
-_PARAGRAPH = re.compile(r"F?P\d*|FP-?\w*|P-?\w*")
+_TABLES = ("TABLE", "GPOTABLE", "BOXTXT")
+#: A section's head: its number after the section sign, then its title up to a final full stop.
+_HEAD = re.compile(r"\s*§+\s*([\d.]+[A-Za-z]?)\s*(.*?)\.?\s*")
+#: Inline elements that carry a format (fixed values).
+FORMATS = {"I": "italic", "E": "bold"}
 
 
 def _flat(element) -> str:
     return " ".join("".join(element.itertext()).split())
 
 
-def _designation(element, title: str) -> str:
-    """The citation an element carries, else its number."""
+def _citation(element) -> str:
+    """The citation in an element's metadata, escaped once or twice."""
     own = re.search(r'citation"?\s*:\s*"?([^",}]+)', (element.get("hierarchy_metadata") or "").replace("&quot;", '"').replace("\\", ""))
-    return own[1].strip() if own else (element.get("N") or "").replace("§", "").strip()
+    return own[1].replace("§", "").strip() if own else ""
+
+
+def _runs(element) -> list[dict]:
+    """Text and formatted text of a paragraph, in order."""
+    found = [("", element.text)]
+    for child in element:
+        found += [(FORMATS.get(child.tag, ""), "".join(child.itertext())), ("", child.tail)]
+    return [{"kind": kind, "text": text} for kind, text in found if text]
 
 
 class _Walk:
@@ -32,8 +44,8 @@ class _Walk:
     def __init__(self):
         self.rows: list[tuple] = []
 
-    def add(self, parent: int | None, depth: int, kind: str, level: int | None = None, designation: str = "", title: str = "", text: str = "") -> int:
-        self.rows.append((len(self.rows), parent, depth, kind, level, designation, title, text, None))
+    def add(self, parent: int | None, depth: int, kind: str, level: int | None = None, designation: str = "", title: str = "", text: str = "", runs: list[dict] | None = None) -> int:
+        self.rows.append((len(self.rows), parent, depth, kind, level, designation, title, text, runs, None))
         return len(self.rows) - 1
 
     def visit(self, element, parent: int | None, depth: int) -> None:
@@ -42,31 +54,44 @@ class _Walk:
             if tag in CONTAINERS or tag == _SECTION:
                 head = child.find("HEAD")
                 title = _flat(head) if head is not None else ""
-                kind = "requirement" if tag == _SECTION else "section"
-                own = self.add(parent, depth, kind, CONTAINERS.get(tag), _designation(child, title), title)
+                cited = _citation(child)
+                if tag == _SECTION:
+                    named = _HEAD.fullmatch(title)
+                    number = (child.get("N") or (named[1] if named else "")).replace("§", "").strip()
+                    own = self.add(parent, depth, "requirement", None, cited or f"14 CFR {number}", named[2].strip() if named else title)
+                else:
+                    own = self.add(parent, depth, "section", CONTAINERS[tag], cited, title)
                 self.visit(child, own, depth + 1)
             elif tag == "HEAD":
                 continue
-            elif _PARAGRAPH.fullmatch(tag):
-                self.add(parent, depth, "paragraph", text=_flat(child))
-            elif tag == "TABLE":
-                for row in child.iter("TR"):
-                    self.add(parent, depth, "table_row", text=" | ".join(_flat(c) for c in row if c.tag in ("TD", "TH")))
+            elif tag.startswith(("P", "FP")):
+                if own := _flat(child):
+                    self.add(parent, depth, "paragraph", text=own, runs=_runs(child))
+            elif tag in _TABLES:
+                rows = [[_flat(c) for c in row if c.tag in ("TD", "TH", "ENT")] for row in child.iter() if row.tag in ("TR", "ROW")]
+                for cells in rows:
+                    self.add(parent, depth, "table_row", text=" | ".join(cells))
+                self.add(parent, depth, "warning", text=f"{tag}: {len(rows)} rows of at most {max(map(len, rows), default=0)} cells as paragraphs")
             elif tag == "img":
                 self.add(parent, depth, "image", text=child.get("src") or "")
-            else:
+                self.add(parent, depth, "warning", text="img: image not extracted")
+            elif len(child):
                 self.visit(child, parent, depth)
+            elif own := _flat(child):
+                self.add(parent, depth, "paragraph", text=own, runs=_runs(child))
 
 
 def section_nodes(packages: DataFrame) -> DataFrame:
     """Nodes of every publication (package, content): pre-order, parent, depth, type, level, designation, title, text.
 
-    Table rows become one node each, cells joined by a spaced bar. A publication that can't be parsed gives one row
+    Table rows become one node each, cells joined by a spaced bar; flattened tables and images left out are warnings. A
+    paragraph's runs tell bold and italic text apart. A publication that can't be parsed gives one row
     with an error.
     """
     names = [c.split()[0] for c in NODES.split(", ")]
+    run_type = pa.list_(pa.struct([("kind", pa.string()), ("text", pa.string())]))
     kinds = {"string": pa.string(), "long": pa.int64(), "int": pa.int32()}
-    schema = pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in NODES.split(", ")])
+    schema = pa.schema([(c.split()[0], kinds.get(c.split()[1], run_type)) for c in NODES.split(", ")])
 
     def run(batches):
         for batch in batches:
@@ -79,7 +104,7 @@ def section_nodes(packages: DataFrame) -> DataFrame:
                 else:
                     part = root if root.tag == _ROOT else next(root.iter(_ROOT), root)
                     head = part.find("HEAD")
-                    own = walk.add(None, 0, "document", None, _designation(part, ""), _flat(head) if head is not None else "")
+                    own = walk.add(None, 0, "document", None, _citation(part) or f"14 CFR {part.get('N') or ''}".strip(), _flat(head) if head is not None else "")
                     walk.visit(part, own, 1)
                 rows = [(package, *r) for r in walk.rows] if error is None else [(package, *[None] * (len(names) - 2), error)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)

@@ -33,12 +33,28 @@ def nodes(spark):
 
 def test_paragraphs_are_told_apart(spark):
     rows = [r for r in nodes(spark).orderBy("ord").collect() if r.node_type != "cell"]
+    assert [r.text for r in rows if r.package == "bad"] == ["ParseError: unclosed token: line 1, column 0"]
+    rows = [r for r in rows if r.package != "bad"]
     assert [(r.node_type, r.level, r.num_id, r.text) for r in rows] == [
         ("heading", 2, None, "Top"), ("list_item", None, "1", "one"), ("list_item", None, "1", "two"), ("paragraph", None, None, "plain"),
         ("list_item", None, "2", "three"), ("paragraph", None, None, "Table 1: spans"), ("heading", 1, None, "in a tag"),
     ]
 
 
+def test_runs_keep_formats_links_and_drawings(spark):
+    run = lambda text, props="": f"<w:r><w:rPr>{props}</w:rPr><w:t>{text}</w:t></w:r>"
+    body = "<w:p>" + run("a") + run("b") + run("c", '<w:vertAlign w:val="superscript"/><w:b/>') + run("d", "<w:i/>") + "<w:hyperlink><w:r><w:t>anchor</w:t></w:r></w:hyperlink></w:p>"
+    frame = spark.createDataFrame([("k", "word/document.xml", bytearray(f'<w:document xmlns:w="{W}"><w:body>{body}</w:body></w:document>'.encode()))], "package string, part string, data binary")
+    (row,) = bodies.body_nodes(frame).collect()
+    assert [(r.kind, r.text) for r in row.runs] == [("", "ab"), ("superscript+bold", "c"), ("italic", "d"), ("link", "anchor")] and row.text == "abcdanchor"
+
+
+def test_stored_names_get_suffixes(spark):
+    rows = [("p", "x.png", "h1", 1), ("p", "x.png", "h2", 2), ("p", "x.png", "h1", 3), ("q", "x.png", "h2", 1)]
+    got = bodies.stored_names(spark.createDataFrame(rows, "package string, name string, sha256 string, ord int"), ["package"]).collect()
+    assert sorted((r.package, r.ord, r.stored) for r in got) == [("p", 1, "x.png"), ("p", 2, "x-1.png"), ("p", 3, "x.png"), ("q", 1, "x.png")]
+
+
 def test_adjacent_items_form_lists(spark):
     assert [(r.list_no, r.number, r.text) for r in bodies.lists(nodes(spark)).orderBy("ord").collect()] == [(1, 1, "one"), (1, 2, "two"), (2, 1, "three")]
 

@@ -76,8 +76,8 @@ def test_divisions_become_nodes_and_topics(spark):
     rows = sorted((r for r in nodes.collect() if r.error is None), key=lambda r: r.ord)
     assert [(r.node_type, r.parent, r.depth, r.level) for r in rows] == [
         ("document", None, 0, None), ("section", 0, 1, 1), ("requirement", 1, 2, None), ("paragraph", 2, 3, None), ("table_row", 2, 3, None),
-        ("table_row", 2, 3, None), ("paragraph", 2, 3, None), ("image", 2, 3, None), ("section", 1, 2, 2), ("requirement", 8, 3, None),
+        ("table_row", 2, 3, None), ("warning", 2, 3, None), ("paragraph", 2, 3, None), ("image", 2, 3, None), ("warning", 2, 3, None), ("section", 1, 2, 2), ("requirement", 10, 3, None),
     ]
     assert nodes.where("error is not null").count() == 2
     got = {r.designation: (r.title, r.body) for r in sections.topics(nodes).collect()}
-    assert got == {"14 CFR 25.1": ("§ 25.1 Scope.", "First one text.\na | b\n1 | 2\nLast."), "25.3": ("Other", "")}
+    assert got == {"14 CFR 25.1": ("Scope", "First one text.\na | b\n1 | 2\nLast."), "14 CFR 25.3": ("Other", "")}
