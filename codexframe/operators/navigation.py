@@ -87,3 +87,27 @@ def structure_level(level: Column, kind: Column) -> Column:
     """A section's own level where it has one beyond the first, else its kind's."""
     own = F.create_map(*(F.lit(x) for pair in LEVELS.items() for x in pair))
     return F.when(level > 1, level).otherwise(F.coalesce(F.try_element_at(own, kind), F.lit(3)))
+
+
+def nearest(path: Column) -> Column:
+    """The last of a path's values, from the root down, that is there."""
+    return F.element_at(F.filter(path, lambda d: d.isNotNull() & (d != "")), -1)
+
+
+def item_numbers(keys: list[str], order: str, given: Column, start: Column) -> Column:
+    """Numbers of a list's items from its start; an item's own number stays."""
+    return F.coalesce(given.cast("long"), (start + F.row_number().over(Window.partitionBy(*keys).orderBy(order)) - 1).cast("long"))
+
+
+def trimmed_edges(keys: list[str], order: str, text: str) -> Column:
+    """A piece of text without white space at the beginning if it is its paragraph's first, at the end if it is the last."""
+    own = Window.partitionBy(*keys)
+    left = F.when(F.col(order) == F.min(order).over(own), F.regexp_replace(text, r"(?U)^\s+", "")).otherwise(F.col(text))
+    return F.when(F.col(order) == F.max(order).over(own), F.regexp_replace(left, r"(?U)\s+$", "")).otherwise(left)
+
+
+def flags_beneath(closure: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Whether any node beneath an ancestor is a table or figure: closure (ancestor, node), nodes (node, node_type)."""
+    kinds = nodes.where("node_type in ('table', 'figure')")
+    found = closure.join(kinds, "node").groupBy("ancestor")
+    return found.agg(F.bool_or(F.col("node_type") == "table").alias("has_table"), F.bool_or(F.col("node_type") == "figure").alias("has_figure"))

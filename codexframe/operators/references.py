@@ -12,10 +12,11 @@ def resolve(refs: DataFrame, targets: DataFrame, keys: list, wanted: str, target
     keys: columns over refs, best first. The first-declared target of a name wins. One equi-join over the exploded keys.
     """
     named = targets.groupBy(F.col(wanted).alias("_key")).agg(F.min_by(target, order).alias("_target"))
-    tried = refs.withColumn("_id", F.monotonically_increasing_id())
-    probes = tried.select("_id", F.posexplode(F.array(*keys)).alias("_step", "_key")).where("_key is not null")
-    best = probes.join(named, "_key").groupBy("_id").agg(F.min_by("_target", "_step").alias(target), F.min("_step").alias("step"))
-    return tried.join(best, "_id", "left").drop("_id")
+    # equal references have equal targets: the keys themselves tell them apart, and no row number is needed
+    tried = refs.withColumn("_keys", F.array(*keys))
+    probes = tried.select("_keys").distinct().select("_keys", F.posexplode("_keys").alias("_step", "_key")).where("_key is not null")
+    best = probes.join(named, "_key").groupBy("_keys").agg(F.min_by("_target", "_step").alias(target), F.min("_step").alias("step"))
+    return tried.join(best.withColumnRenamed("_keys", "_own"), F.col("_keys").eqNullSafe(F.col("_own")), "left").drop("_keys", "_own")
 
 
 def unresolved(refs: DataFrame, key: str, targets: DataFrame, target_key: str) -> DataFrame:
@@ -52,3 +53,47 @@ def without_overlaps(spans, start: str = "start", end: str = "end"):
         lambda acc, s: F.when(s["start"] >= acc["at"], F.struct((-s["back"]).alias("at"), F.concat(acc["kept"], F.array(F.struct(s["start"].alias("start"), (-s["back"]).alias("end")))).alias("kept"))).otherwise(acc),
     )
     return taken["kept"]
+
+
+def edges(refs: DataFrame, topics: DataFrame) -> DataFrame:
+    """References (source, target: designations or ids) with both ends looked up in topics (node_id, designation): source_id, target_id.
+
+    A designation goes before an id, and the first declared topic (least node_id) before others; ends not found are null.
+    """
+    named = topics.where("designation <> ''").groupBy(F.col("designation").alias("_key")).agg(F.min("node_id").alias("_by_name"))
+    ids = topics.select(F.col("node_id").alias("_key"), F.col("node_id").alias("_by_id")).distinct()
+    out = refs
+    for end in ("source", "target"):
+        found = named.join(ids, "_key", "full").select(F.col("_key").alias(end), F.coalesce("_by_name", "_by_id").alias(f"{end}_id"))
+        out = out.join(found, end, "left")
+    return out
+
+
+def edge_lists(found: DataFrame) -> DataFrame:
+    """Of every topic with an edge (source_id, target_id): node_id, and the sorted topics it refers to and is referred to by."""
+    ends = found.where("source_id is not null and target_id is not null").select(F.explode(F.array(F.struct(F.col("source_id").alias("node_id"), F.col("target_id").alias("to"), F.lit(None).cast("string").alias("by")), F.struct(F.col("target_id").alias("node_id"), F.lit(None).cast("string").alias("to"), F.col("source_id").alias("by")))).alias("e")).select("e.*")
+    return ends.groupBy("node_id").agg(F.sort_array(F.collect_set("to")).alias("refers_to"), F.sort_array(F.collect_set("by")).alias("referred_by"))
+
+
+def relation_map(materials: DataFrame, requirements: DataFrame, references: DataFrame | None = None) -> DataFrame:
+    """Pairs (material, requirement) by all evidence.
+
+    materials: (material, designation, title, targets array); requirements: (requirement, designation, ord);
+    references: (material, target). Targets that metadata, designation, title or references name are compared in one
+    form, as a whole or as what starts with a requirement (at a boundary, the first declared one); a material's suffix
+    must be a requirement exactly.
+    """
+    from codexframe.functions.relations import named_requirements, relation_key, requirement_by_suffix
+
+    known = requirements.select(relation_key(F.col("designation")).alias("key"), "requirement", "ord").where("key <> ''").groupBy("key").agg(F.min_by("requirement", "ord").alias("requirement"), F.min("ord").alias("ord"))
+    named = F.concat(F.coalesce("targets", F.array().cast("array<string>")), named_requirements(F.concat_ws(" ", "designation", "title")))
+    candidates = materials.select("material", F.explode(named).alias("c"))
+    if references is not None:
+        candidates = candidates.unionByName(references.select("material", F.col("target").alias("c")))
+    candidates = candidates.select("material", relation_key(F.col("c")).alias("c")).where("c <> ''").distinct()
+    prefixes = F.transform(F.sequence(F.lit(1), F.length("c")), lambda n: F.substring(F.col("c"), F.lit(1), n))
+    whole = F.filter(prefixes, lambda p: ~F.substring(F.col("c"), F.length(p) + 1, F.lit(1)).rlike("[0-9]"))
+    probes = candidates.select("material", "c", F.explode(whole).alias("key"))
+    hit = probes.join(known, "key").groupBy("material", "c").agg(F.min_by("requirement", F.struct(F.when(F.col("key") == F.col("c"), 0).otherwise(1), "ord")).alias("requirement"))
+    suffix = materials.select("material", requirement_by_suffix(F.col("designation")).alias("key")).join(known, "key")
+    return hit.select("material", "requirement").unionByName(suffix.select("material", "requirement")).distinct()

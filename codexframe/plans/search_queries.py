@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from codexframe.functions.text import has_phrase, tokens
-from codexframe.operators import search
+from codexframe.operators import index, search
 from codexframe.plans.registry import query
 from codexframe.sources.tables import table
+from codexframe.sources.work import shared_path
 
 _W = "regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+')"
 _BM25 = f"""
@@ -131,3 +132,70 @@ def search_stemmed(spark, sf_dir):
     words = search.postings(_docs(spark, sf_dir), "doc_id", "text").groupBy("doc_id", "term").agg(F.count("*").alias("n"))
     stems = words.select("term").distinct().withColumn("stem", stem_of("term"))
     return words.join(stems.where(F.col("stem") == "connect"), "term").groupBy("doc_id").agg(F.sum("n").alias("n"))
+
+
+_PHRASED = f"""
+w AS (SELECT *, {_W} AS words FROM documents),
+c AS (SELECT *, len(words) AS dl, len(list_filter(words, lambda x: x = 'with')) AS t0, len(list_filter(range(1, len(words)), lambda i: words[i] = 'of' AND words[i + 1] = 'the')) AS t1 FROM w),
+s AS (SELECT count(*) AS n, avg(dl) AS avgdl, count(*) FILTER (t0 > 0) AS d0, count(*) FILTER (t1 > 0) AS d1 FROM c),
+h AS (SELECT c.*, -greatest(ln((n - d0 + 0.5) / (d0 + 0.5)), 1e-6) * t0 * 2.2 / (t0 + 1.2 * (0.25 + 0.75 * dl / avgdl))
+               - greatest(ln((n - d1 + 0.5) / (d1 + 0.5)), 1e-6) * t1 * 2.2 / (t1 + 1.2 * (0.25 + 0.75 * dl / avgdl)) AS score FROM c, s WHERE t0 > 0 AND t1 > 0)
+"""
+
+
+def _indexed(spark, sf_dir, text, filters=()):
+    """A search of all documents through an index stored for it."""
+    at = shared_path(spark, "index")
+    index.write_index(_docs(spark, sf_dir).select("doc_id", "lang", "source", "text"), "doc_id", ["text"], at)
+    return index.search_index(spark, at, "doc_id", text, list(filters))
+
+
+@query("search_indexed", f"WITH {_PHRASED} SELECT doc_id, lang, source, round(score, 6) AS score FROM h")
+def search_indexed(spark, sf_dir):
+    """A phrase and a word of a query text, through stored postings."""
+    return _indexed(spark, sf_dir, 'WITH! "of  the"').hits.withColumn("score", F.round("score", 6))
+
+
+@query(
+    "search_counts",
+    f"""WITH {_PHRASED}, f AS (SELECT * FROM h WHERE lang IN ('en', 'de')) SELECT 'total' AS facet, '' AS value, count(*) AS n FROM f
+        UNION ALL SELECT 'lang', lang, count(*) FROM f WHERE lang <> '' GROUP BY lang UNION ALL SELECT 'source', source, count(*) FROM f WHERE source <> '' GROUP BY source""",
+)
+def search_counts(spark, sf_dir):
+    """Total and facets of one filtered search in one pass."""
+    return _indexed(spark, sf_dir, 'with "of the"', [search.one_of("lang", ["en", "de"])]).counts("lang", "source")
+
+
+@query("search_nothing", "SELECT doc_id, lang, source, 0.0::DOUBLE AS score FROM documents WHERE false")
+def search_nothing(spark, sf_dir):
+    """No words and no filter: no hits, not all rows."""
+    return _indexed(spark, sf_dir, ' "" !? ').hits
+
+
+@query("browse_by_flags", "SELECT doc_id, lang, 0.0::DOUBLE AS score FROM documents JOIN labels USING (doc_id) WHERE toxic = 0")
+def browse_by_flags(spark, sf_dir):
+    """Flags that are asked for, not asked for, and left open."""
+    rows = _docs(spark, sf_dir).join(table(spark, sf_dir, "labels"), "doc_id").withColumns({"t": F.col("toxic") == 1, "q": F.col("quality") == 1})
+    return rows.where(index.is_state("t", False) & index.is_state("q", None)).select("doc_id", "lang", F.lit(0.0).alias("score"))
+
+
+@query("document_scope", "SELECT doc_id, source FROM documents WHERE source = (SELECT arg_max(source, doc_id) FROM documents) UNION ALL SELECT doc_id, source FROM documents WHERE source = 'src1'")
+def document_scope(spark, sf_dir):
+    docs = _docs(spark, sf_dir).select("doc_id", "source")
+    return index.document_scope(docs, "source", "doc_id").unionByName(index.document_scope(docs, "source", "doc_id", "SRC1"))
+
+
+@query("rule_lookup", "SELECT p_partkey, p_brand, (SELECT count(*) FROM part WHERE p_brand = 'Brand#13') AS occurrences FROM part WHERE p_brand = 'Brand#13'")
+def rule_lookup(spark, sf_dir):
+    """All occurrences of a rule by designation or id, and how many there are."""
+    named = table(spark, sf_dir, "part").select("p_partkey", "p_brand", F.replace(F.lower("p_brand"), F.lit("#"), F.lit(" #")).alias("spaced"), F.lit(None).cast("string").alias("erules_id"))
+    found = index.rules_named(named, "Brand-#13", "spaced", "erules_id")
+    return found.join(F.broadcast(found.agg(F.count("*").alias("occurrences")))).select("p_partkey", "p_brand", "occurrences")  # one row
+
+
+@query("field_scores", f"WITH w AS (SELECT p_partkey, p_name, regexp_extract_all(lower(p_name), '[\\p{{L}}\\p{{N}}]+') AS a, regexp_extract_all(lower(p_type), '[\\p{{L}}\\p{{N}}]+') AS b FROM part), c AS (SELECT *, len(a) + len(b) AS dl, len(list_filter(a, lambda x: x = 'red')) AS t FROM w), s AS (SELECT count(*) AS n, avg(dl) AS avgdl, count(*) FILTER (t > 0) AS d FROM c) SELECT p_partkey, round(-greatest(ln((n - d + 0.5) / (d + 0.5)), 1e-6) * t * 2.2 / (t + 1.2 * (0.25 + 0.75 * dl / avgdl)), 6) AS score FROM c, s WHERE t > 0")
+def field_scores(spark, sf_dir):
+    """A search of one field; lengths are over all fields."""
+    at = shared_path(spark, "index")
+    index.write_index(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type"), "p_partkey", ["p_name", "p_type"], at, buckets=8)
+    return index.search_index(spark, at, "p_partkey", "red", fields=["p_name"], buckets=8).hits.select("p_partkey", F.round("score", 6).alias("score"))
