@@ -204,6 +204,14 @@ def test_near_vectors_match_brute_force(spark):
     assert near_vectors(frame.where("false")).collect() == []
 
 
+def test_one_vector_may_come_very_often_and_an_id_twice(spark):
+    rng = np.random.default_rng(6)
+    base = rng.standard_normal(8)
+    rows = [(i, [float(x) for x in base], 0) for i in range(10, 60)] + [(5, [float(x) for x in base + 0.01], 0), (5, [float(x) for x in -base], 0), (3, [float(x) for x in -base * 2], 0), (1, [float(x) for x in base], 1)]
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"), recall=1.0).collect())
+    assert got == [(1, 0, 1), (3, 1, 3), (5, 1, 3), (5, 50, 3), *[(i, 50, 3) for i in range(10, 60)]]
+
+
 def test_local_roots_reach_the_smallest():
     ids = np.array([3, 5, 7, 9, 11])
     assert local_roots(np.array([0, 1, 3]), np.array([1, 2, 4]), ids).tolist() == [3, 3, 3, 9, 9]
