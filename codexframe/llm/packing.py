@@ -145,7 +145,8 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, e
     Documents longer than a sequence are cut into full pieces and a last, shorter one; other documents stay whole.
     Returns a row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids with with_ids).
     Null and empty texts are one end token. Repeated rows are packed as often as they come; a null doc_id stays
-    null. An empty table gives no rows. Other columns are ignored. At most `open_bins` bins a task are open.
+    null. An empty table gives no rows. Other columns are ignored. At most `open_bins` bins a task are open; what they hold at
+    the end of `tasks_a_group` tasks meets once more, at most open_bins * tasks_a_group bins in one task.
     """
     source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary"))
     made = materialize(source.mapInArrow(_pack_partition(tokenizer_path, capacity, end_id, open_bins, with_ids), _PIECES + ", fill long"), "pieces")

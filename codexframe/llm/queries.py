@@ -96,7 +96,7 @@ b4 AS (SELECT host, w1, l1, b1, ((CASE WHEN own THEN b1 ELSE bm END) + 4 * q1) /
 t1 AS (SELECT t.host, t.w1, t.w2, CASE WHEN coalesce(l > 0 AND (b::DOUBLE / nullif(l, 0) - b1::DOUBLE / nullif(l1, 0)) * (b::DOUBLE / nullif(l, 0) - b1::DOUBLE / nullif(l1, 0)) * l
               > 3.84::DOUBLE * (b1::DOUBLE / nullif(l1, 0)) * (1 - b1::DOUBLE / nullif(l1, 0)), false) THEN (b + 4 * qb) / (l + 4) ELSE qb END AS share
        FROM t JOIN b4 ON t.host = b4.host AND t.w1 = b4.w1)
-SELECT page_id, seg.host, path, rule, coalesce(v, CASE WHEN share >= 0.5 THEN 'block' ELSE 'allow' END) AS verdict
+SELECT page_id, seg.host, path, rule, coalesce(v, CASE WHEN share > 0.5 THEN 'block' ELSE 'allow' END) AS verdict
 FROM seg JOIN c2 ON seg.host = c2.host AND seg.s1 = c2.s1 AND seg.s2 = c2.s2 JOIN t1 ON t1.host = c2.host AND t1.w1 = c2.w1 AND t1.w2 = c2.w2
 """
 

@@ -79,7 +79,8 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
     """Judge every page (page_id, url) by rules [(host/path, "allow" or "block")], else by templates learned from them.
 
     Returns a row per row: page_id, host, path, rule (or null), verdict. A null url, or one without "://", has an
-    empty host and path and is judged like any template. Repeated rows count as often as they come; a null page_id
+    empty host and path and is judged like any template. A share of one half allows, so that no page is blocked where no
+    rule fits any. Repeated rows count as often as they come; a null page_id
     stays; other columns are ignored; an empty table gives no rows. Built from DataFrame functions only.
     """
     verdicts = dict(rules)
@@ -115,6 +116,6 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
         cells = materialize(cells.select("host", F.concat_ws("/", "prefix", "w").alias("prefix"), "segments", "n", "l", "b", *kept, share, "open"), "url_level")
         learned = learned.union(cells.where("not open").select("host", "segments", "q"))
 
-    learned = learned.select("host", "segments", F.when(F.col("q") >= 0.5, F.lit("block")).otherwise(F.lit("allow")).alias("learned"))
+    learned = learned.select("host", "segments", F.when(F.col("q") > 0.5, F.lit("block")).otherwise(F.lit("allow")).alias("learned"))
     out = rows.join(learned, ["host", "segments"], "left")
     return out.select("page_id", "host", "path", "rule", F.coalesce("ruled", "learned").alias("verdict"))

@@ -355,3 +355,23 @@ def test_secret_base_spans_match_brute_force():
                 if len(m[m.re.groups]) >= (12, 18, 16)[kind]:
                     want.append((m.start(), kind, m.end()))
         assert secrets.scan_text(text)[0] == sorted(want), text
+
+
+def test_urls_without_labels_are_allowed(spark):
+    pages = spark.createDataFrame([(1, "http://h.net/a/b"), (2, None), (None, "no url")], "page_id long, url string")
+    assert {r.verdict for r in urls.judge_urls(pages, URL_RULES).collect()} == {"allow"}
+
+
+def test_quality_scores_are_sums_of_tables():
+    """Every score against a plain walk through bins and tables, and the model's loss against that of no model."""
+    rng = np.random.default_rng(5)
+    x = rng.random((300, 4)) * [1, 5, 1, 9]
+    y = (x[:, 0] + x[:, 3] / 9 > 1).astype(float)
+    model = quality.fit(x, y, rounds=20, pair_rounds=10)
+    score = model.score(x)
+    for row, got in zip(x, score, strict=True):
+        place = lambda edges, f: sum(e <= row[f] for e in edges[f])  # noqa: B023, E731
+        total = model.base + sum(t[place(model.edges, f)] for f, t in enumerate(model.tables)) + sum(t[place(model.coarse, f), place(model.coarse, g)] for (f, g), t in model.pairs.items())
+        assert abs(got - 1 / (1 + math.exp(-total))) < 1e-9
+    loss = lambda p: -np.log(np.where(y > 0, p, 1 - p)).mean()
+    assert loss(score) < 0.5 * loss(np.full(len(y), y.mean()))
