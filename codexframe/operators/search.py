@@ -22,9 +22,11 @@ def postings(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(key, F.posexplode(tokens(F.col(text))).alias("pos", "term"))
 
 
-def term_statistics(df: DataFrame, key: str, text: str) -> DataFrame:
-    """term, df (rows with the term), cf (occurrences); a row's terms are counted before the shuffle."""
-    return postings(df, key, text).groupBy("term").agg(F.count_distinct(key).alias("df"), F.count("*").alias("cf"))
+def term_statistics(df: DataFrame, text: str) -> DataFrame:
+    """term, df (rows with the term), cf (occurrences): one shuffle of sums, added up in each task before."""
+    words = tokens(F.col(text))
+    each = F.concat(F.transform(words, lambda w: F.struct(w.alias("term"), F.lit(0).alias("df"), F.lit(1).alias("cf"))), F.transform(F.array_distinct(words), lambda w: F.struct(w.alias("term"), F.lit(1).alias("df"), F.lit(0).alias("cf"))))
+    return df.select(F.explode(each).alias("t")).groupBy("t.term").agg(F.sum("t.df").alias("df"), F.sum("t.cf").alias("cf"))
 
 
 def bm25(df: DataFrame, text: str, terms: list[str], phrases: list[list[str]] = (), fields: list[str] = (), stemmed: bool = False) -> DataFrame:

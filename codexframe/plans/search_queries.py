@@ -105,7 +105,7 @@ def search_subtree(spark, sf_dir):
 
 @query("term_statistics", f"SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM (SELECT doc_id, unnest({_W}) AS term FROM documents) GROUP BY term")
 def term_statistics(spark, sf_dir):
-    return search.term_statistics(_docs(spark, sf_dir), "doc_id", "text")
+    return search.term_statistics(_docs(spark, sf_dir), "text")
 
 
 @query("postings_build", f"SELECT doc_id, (unnest(range(len(w))))::BIGINT AS pos, unnest(w) AS term FROM (SELECT doc_id, {_W} AS w FROM documents)")
