@@ -16,18 +16,16 @@ from pyspark.sql import functions as F
 
 from codexframe.llm.common import arrow_schema, work_path
 
-_NUMPY = {"bigint": "<i8", "int": "<i4", "float": "<f4", "double": "<f8"}
 
 
 class Arrays:
     """Sorted keys with values beside them, in parts by key range under one folder; a part is mapped when first read.
 
-    A part's file holds one column after another; a payload column is its end offsets, then its bytes. `parts` has the
-    first key, file and rows of each.
+    A part's file holds one column after another. `parts` has the first key, file and rows of each.
     """
 
-    def __init__(self, folder: str, parts: list[tuple[int, str, int]], columns: list[tuple[str, str]], payload: bool):
-        self.folder, self.parts, self.columns, self.payload = folder, sorted(parts), columns, payload
+    def __init__(self, folder: str, parts: list[tuple[int, str, int]], columns: list[tuple[str, str]]):
+        self.folder, self.parts, self.columns = folder, sorted(parts), columns
         self.first = np.array([p[0] for p in self.parts], np.int64)
         self.before = np.concatenate([[0], np.cumsum([p[2] for p in self.parts])]).astype(np.int64)
         self._mapped: dict[int, dict] = {}
@@ -45,10 +43,10 @@ class Arrays:
             else:  # a store without local paths: the part is read whole
                 fs, path = pafs.FileSystem.from_uri(at)
                 raw = fs.open_input_file(path).read()
-            for name, kind in [*self.columns, *([("end", "<i8")] if self.payload else [])]:
+            for name, kind in self.columns:
                 columns[name] = np.frombuffer(raw, kind, n, place)
                 place += n * np.dtype(kind).itemsize
-            self._mapped[i] = columns | {"raw": raw, "payload": place}
+            self._mapped[i] = columns
         return self._mapped[i]
 
     def _places(self, unique: np.ndarray):
@@ -71,18 +69,6 @@ class Arrays:
                 o[a:b] = np.where(there[a:b], part[n][place], 0)
         return there[back], [o[back] for o in out]
 
-    def payloads(self, keys: np.ndarray) -> list[bytes | None]:
-        """The payload of each key, None where it isn't there."""
-        unique, back = np.unique(keys, return_inverse=True)
-        out: list[bytes | None] = [None] * len(unique)
-        for _, part, a, b, place in self._places(unique):
-            there = part["key"][place] == unique[a:b]
-            end = part["end"]
-            for k in np.flatnonzero(there).tolist():
-                p = place[k]
-                out[a + k] = bytes(part["raw"][part["payload"] + (int(end[p - 1]) if p else 0) : part["payload"] + int(end[p])])
-        return [out[k] for k in back.tolist()]
-
     def rank(self, keys: np.ndarray) -> np.ndarray:
         """Places of keys, all of which are there, among all keys."""
         unique, back = np.unique(keys, return_inverse=True)
@@ -204,40 +190,5 @@ def count_keys(df: DataFrame, keys_of, name: str, top: int, buckets: int, groups
     dealt = df.mapInArrow(send, "bucket int, steps binary, counts binary").repartition(buckets, "bucket").sortWithinPartitions("bucket")
     done = dealt.mapInArrow(merge, ddl).collect()
     totals = {k: sum(r[k] for r in done) for k in ("rows", "total", "once", "twice", "thrice", "four")}
-    grouped = Arrays(group_folder, [(r.group_first, r.group_file, r.group_rows) for r in done], GROUP_COLUMNS, False) if groups else None
-    return Arrays(folder, [(r.first, r.file, r.rows) for r in done], [("key", "<i8"), ("c", "<i8")], False), grouped, totals
-
-
-def store(df: DataFrame, name: str, part_rows: int = 4_000_000) -> Arrays:
-    """Write (key long, fixed columns..., payload binary if any) sorted by key: range-partitioned, one file a task.
-
-    A task renames its file when it is whole, and a retried task writes another one: only the names that tasks
-    reported are used. A part's name, first key and rows are all that reaches the driver.
-    """
-    spark, folder = df.sparkSession, work_path(df.sparkSession, name)
-    payload = df.schema[-1].dataType.simpleString() == "binary"
-    columns = [(f.name, _NUMPY[f.dataType.simpleString()]) for f in df.schema if f.dataType.simpleString() != "binary"]
-    rows = df.count()
-    if not rows:
-        return Arrays(folder, [], columns, payload)
-    dealt = df.repartitionByRange(max(1, -(-rows // part_rows)), F.col("key")).sortWithinPartitions("key")
-    schema = arrow_schema(spark, "first long, file string, rows long")
-
-    def run(batches):
-        held: list[list] = [[] for _ in columns]
-        ends, blobs = [], []
-        for batch in batches:
-            for kept, c in zip(held, batch.columns, strict=False):
-                kept.append(c.to_numpy())
-            if payload:
-                cells = batch.column(len(columns)).to_pylist()
-                ends += map(len, cells)
-                blobs.append(b"".join(cells))
-        joined = [np.ascontiguousarray(np.concatenate(c), t) if c else np.zeros(0, t) for c, (_, t) in zip(held, columns, strict=True)]
-        if not len(joined[0]):
-            return
-        file = _write(folder, [c.tobytes() for c in joined] + ([np.cumsum(ends, dtype="<i8").tobytes(), *blobs] if payload else []))
-        yield pa.RecordBatch.from_pydict({"first": [int(joined[0][0])], "file": [file], "rows": [len(joined[0])]}, schema=schema)
-
-    done = dealt.mapInArrow(run, "first long, file string, rows long").collect()
-    return Arrays(folder, [(r.first, r.file, r.rows) for r in done], columns, payload)
+    grouped = Arrays(group_folder, [(r.group_first, r.group_file, r.group_rows) for r in done], GROUP_COLUMNS) if groups else None
+    return Arrays(folder, [(r.first, r.file, r.rows) for r in done], [("key", "<i8"), ("c", "<i8")]), grouped, totals

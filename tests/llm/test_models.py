@@ -251,19 +251,14 @@ def test_bpe_round_trip_equals_the_library(spark):
     assert bpe.round_trip(docs_of(spark, []), path, pattern).collect() == []
 
 
-def test_bpe_survives_words_of_equal_hash(spark, monkeypatch):
+def test_bpe_keeps_positions_over_chunks(spark):
     import public_tokenizers
 
-    monkeypatch.setattr(bpe, "word_key", lambda w: len(w))
-    own = bpe.codec(tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-
-    class Table:
-        def payloads(self, keys):
-            return [np.array(own.encode(" other"), "<u4").tobytes()] * len(keys)
-
-    known = bpe.Joined(Table(), own)
-    known.add({" other", " thing"})
-    assert known.raw[" thing"] == b" thing" and known.raw[" other"] == b" other"
+    path, pattern, rng = tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, random.Random(9)
+    rows = [(i, "".join(rng.choice([" the", " a", "\n", " Zq" + str(rng.randrange(10**6)), "é"]) for _ in range(rng.randint(0, 40)))) for i in range(60)]
+    got = bpe.round_trip(docs_of(spark, rows).repartition(3), path, pattern, with_ids=True, letters=200).collect()
+    own = bpe.codec(path, pattern)
+    assert {r.doc_id: r.ids for r in got} == {i: own.encode(t) for i, t in rows} and all(bytes(r.decoded).decode() == dict(rows)[r.doc_id] for r in got)
 
 
 def brute_model(texts):
