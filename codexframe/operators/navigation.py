@@ -91,7 +91,7 @@ def structure_level(level: Column, kind: Column) -> Column:
 
 def nearest(path: Column) -> Column:
     """The last of a path's values, from the root down, that is there."""
-    return F.element_at(F.filter(path, lambda d: d.isNotNull() & (d != "")), -1)
+    return F.try_element_at(F.filter(path, lambda d: d.isNotNull() & (d != "")), F.lit(-1))
 
 
 def item_numbers(keys: list[str], order: str, given: Column, start: Column) -> Column:

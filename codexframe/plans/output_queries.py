@@ -340,3 +340,47 @@ def rule_context(spark, sf_dir):
     """References of all occurrences of a rule, each payload once."""
     occurrences = table(spark, sf_dir, "part").where("p_brand = 'Brand#13'").select(F.col("p_partkey").alias("l_partkey"))
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey").join(occurrences, "l_partkey", "left_semi").dropDuplicates().select("l_orderkey", "l_partkey", "l_suppkey")
+
+
+@query(
+    "stored_names",
+    """WITH a AS (SELECT p_partkey, p_brand || '.png' AS name, p_type AS digest FROM part), f AS (SELECT name, digest, min(p_partkey) AS first FROM a GROUP BY name, digest),
+       r AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY first) - 1 AS k FROM f)
+       SELECT p_partkey, CASE WHEN k = 0 THEN name ELSE replace(name, '.png', '-' || k || '.png') END AS stored FROM a JOIN r USING (name, digest)""",
+)
+def stored_names(spark, sf_dir):
+    """One name for equal bytes; bytes that differ from the first of a name get a suffix."""
+    assets = table(spark, sf_dir, "part").select("p_partkey", F.concat("p_brand", F.lit(".png")).alias("name"), F.col("p_type").alias("sha256"))
+    return bodies.stored_names(assets, [], order="p_partkey").select("p_partkey", "stored")
+
+
+@query("graph_lookup", "SELECT p_partkey, p_partkey AS target, (p_partkey % 3)::BIGINT AS step FROM part")
+def graph_lookup(spark, sf_dir):
+    """A topic by its exact designation, else by the normalized one, else by its normalized id."""
+    from codexframe.functions.text import query_designation
+    from codexframe.plans.scalar_queries import _column
+
+    part = table(spark, sf_dir, "part")
+    names = part.select(F.col("p_partkey").alias("target"), F.explode(F.array(_column(["CS-23.{k}"]), _column(["Node-{k}"]), query_designation(_column(["Node-{k}"])))).alias("name")).distinct()
+    wanted = part.select("p_partkey", _column(["CS-23.{k}", "cs 23.{k}", "node {k}"]).alias("wanted"))
+    norm = query_designation(F.col("wanted"))
+    keys = [F.col("wanted"), F.when(F.startswith(norm, F.lit("CS-")), norm), norm]
+    return refs.resolve(wanted, names, keys, "name", "target", "target").select("p_partkey", "target", F.col("step").cast("long").alias("step"))
+
+
+@query(
+    "json_trees",
+    """WITH s AS (SELECT s_nationkey, string_agg('{"type":"requirement","title":"' || s_name || '"}', ',' ORDER BY s_suppkey) AS c FROM supplier GROUP BY s_nationkey),
+       n AS (SELECT n_regionkey, string_agg('{"type":"section","title":"' || n_name || '"' || coalesce(',"children":[' || c || ']', '') || '}', ',' ORDER BY n_nationkey) AS c FROM nation LEFT JOIN s ON s_nationkey = n_nationkey GROUP BY n_regionkey)
+       SELECT r_regionkey, '{"type":"document","title":"' || r_name || '"' || coalesce(',"children":[' || c || ']', '') || '}' AS json FROM region LEFT JOIN n ON n_regionkey = r_regionkey""",
+)
+def json_trees(spark, sf_dir):
+    """Regions as documents, nations as sections, suppliers as requirements."""
+    from codexframe.operators.render import json_tree
+
+    region, nation, supplier = (table(spark, sf_dir, t) for t in ("region", "nation", "supplier"))
+    node = lambda doc, order, parent, depth, kind, title: [F.col(doc).alias("r_regionkey"), order.cast("long").alias("ord"), parent.cast("long").alias("parent"), F.lit(depth).alias("depth"), F.lit(kind).alias("type"), F.col(title).alias("title")]
+    top = region.select(node("r_regionkey", F.lit(-1), F.lit(None), 0, "document", "r_name"))
+    middle = nation.select(node("n_regionkey", F.col("n_nationkey"), F.lit(-1), 1, "section", "n_name"))
+    held = supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select(node("n_regionkey", F.col("s_suppkey") + 1000, F.col("s_nationkey"), 2, "requirement", "s_name"))
+    return json_tree(top.unionByName(middle).unionByName(held), "r_regionkey", ["type", "title"])

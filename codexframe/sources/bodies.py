@@ -294,7 +294,7 @@ def figures(nodes: DataFrame, targets: DataFrame, media_: DataFrame, topics: Dat
 def stored_names(assets: DataFrame, keys: list[str], name: str = "name", digest: str = "sha256", order: str = "ord") -> DataFrame:
     """Adds stored: the name, with -1, -2 and so on before its extension for bytes that differ from the first of that name."""
     first = assets.groupBy(*keys, name, digest).agg(F.min(order).alias("_first"))
-    rank = (F.row_number().over(Window.partitionBy(*keys, name).orderBy("_first")) - 1).cast("string")
+    rank = (F.row_number().over(Window.partitionBy(*keys, name).orderBy("_first")) - 1).cast("string")  # a name has few contents
     suffixed = F.concat(F.regexp_replace(name, r"\.[^.]*$", ""), F.lit("-"), rank, F.regexp_extract(name, r"(\.[^.]*)?$", 1))
     stored = first.withColumn("stored", F.when(rank == "0", F.col(name)).otherwise(suffixed)).drop("_first")
     return assets.join(stored, [*keys, name, digest])
