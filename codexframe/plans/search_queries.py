@@ -201,16 +201,16 @@ def field_scores(spark, sf_dir):
     return index.search_index(spark, at, "p_partkey", "red", fields=["p_name"], buckets=8).hits.select("p_partkey", F.round("score", 6).alias("score"))
 
 
-_PLAIN = "list_transform(p, x -> regexp_replace(lower(x), '[^\\p{L}\\p{N}]', '', 'g'))"
+_PLAIN = "list_transform(p, lambda x: regexp_replace(lower(x), '[^\\p{L}\\p{N}]', '', 'g'))"
 
 
 @query(
     "search_best_snippet",
     f"""WITH a AS (SELECT doc_id, string_split(text, ' ') AS p FROM documents), b AS (SELECT *, {_PLAIN} AS n FROM a),
-        c AS (SELECT *, list_transform(list_filter(range(1, len(n) + 1), i -> n[i] IN ('with', 'from')), i -> greatest(i - 4, 1)) AS s FROM b),
-        d AS (SELECT doc_id, p, n, unnest(s) AS w0 FROM c), e AS (SELECT *, len(list_distinct(list_filter(list_slice(n, w0, w0 + 23), x -> x IN ('with', 'from')))) AS k FROM d),
+        c AS (SELECT *, list_transform(list_filter(range(1, len(n) + 1), lambda i: n[i] IN ('with', 'from')), lambda i: greatest(i - 4, 1)) AS s FROM b),
+        d AS (SELECT doc_id, p, n, unnest(s) AS w0 FROM c), e AS (SELECT *, len(list_distinct(list_filter(list_slice(n, w0, w0 + 23), lambda x: x IN ('with', 'from')))) AS k FROM d),
         f AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY k DESC, w0) = 1)
-        SELECT doc_id, CASE WHEN w0 > 1 THEN '…' ELSE '' END || array_to_string(list_transform(range(w0, least(w0 + 24, len(p) + 1)), i -> CASE WHEN n[i] IN ('with', 'from') THEN '«' || p[i] || '»' ELSE p[i] END), ' ')
+        SELECT doc_id, CASE WHEN w0 > 1 THEN '…' ELSE '' END || array_to_string(list_transform(range(w0, least(w0 + 24, len(p) + 1)), lambda i: CASE WHEN n[i] IN ('with', 'from') THEN '«' || p[i] || '»' ELSE p[i] END), ' ')
                || CASE WHEN w0 + 24 <= len(p) THEN '…' ELSE '' END AS snippet FROM f""",
 )
 def search_best_snippet(spark, sf_dir):
