@@ -137,3 +137,71 @@ def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from codexframe.llm.substrings import remove_repeats
 
     return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
+@query
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from codexframe.llm.clustering import cluster_vectors
+
+    return cluster_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def _clustering_sql(rounds: int) -> str:
+    """DuckDB SQL of the clustering: components as rows, one pair of tables a round."""
+    parts = [
+        """v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 64)::HUGEINT) AS q FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+n AS (SELECT row_number() OVER () AS r, vec_id, q FROM v),
+x AS (SELECT r, unnest(range(64)) AS d, unnest(q) AS x FROM n),
+s AS (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id), vec_id, q) - 1 AS c, r FROM n QUALIFY c < 16),
+c0 AS (SELECT c, d, x AS m FROM s JOIN x USING (r))"""
+    ]
+    for k in range(rounds + 1):
+        parts.append(f"""f{k} AS (SELECT r, c, sum((x - m) * (x - m)) AS far FROM x JOIN c{k} USING (d) GROUP BY r, c),
+a{k} AS (SELECT r, arg_min(c, far * 16 + c) AS c, min(far) AS far FROM f{k} GROUP BY r)""")
+        if k < rounds:
+            parts.append(f"""t{k} AS (SELECT c, d, sum(x)::HUGEINT AS t, count(*)::HUGEINT AS n FROM a{k} JOIN x USING (r) GROUP BY c, d),
+c{k + 1} AS (SELECT c, d, CASE WHEN t IS NULL THEN m ELSE (t - ((t % n) + n) % n) // n END AS m FROM c{k} LEFT JOIN t{k} USING (c, d))""")
+    return "WITH " + ",\n".join(parts) + f"""
+SELECT vec_id, c::INTEGER AS cluster, far::BIGINT AS distance, (sum(far) OVER (PARTITION BY c))::BIGINT AS cluster_inertia, (sum(far) OVER ())::BIGINT AS inertia, centroid_sha256
+FROM a{rounds} JOIN n USING (r) JOIN (SELECT c, sha256(string_agg(m::VARCHAR, ',' ORDER BY d)) AS centroid_sha256 FROM c{rounds} GROUP BY c) USING (c)"""
+
+
+ORACLES["op11_centroid_clustering"] = _clustering_sql(3)
+
+
+@query
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from codexframe.llm.resampling import resample
+
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+ORACLES["op12_importance_resampling"] = r"""
+WITH crc_step AS (SELECT b, list_reduce(list_prepend(b, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS t FROM range(256) AS r(b)),
+crc AS MATERIALIZED (SELECT list(t ORDER BY b) AS t FROM crc_step),
+d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+g AS (SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark),
+dw AS (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(words) AS w FROM d) GROUP BY doc_id, w),
+gw AS (SELECT w, count(*) AS n FROM (SELECT unnest(words) AS w FROM g) GROUP BY w),
+vocabulary AS (SELECT w, xor(list_reduce(list_prepend(4294967295, list_transform(range(strlen(w)), lambda i: ('0x' || substr(hex(encode(w)), 2 * i + 1, 2))::BIGINT)),
+                 lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1])), 4294967295) % 10000 AS bucket
+               FROM (SELECT w FROM dw UNION SELECT w FROM gw), crc),
+s AS (SELECT bucket, sum(n)::DOUBLE AS s FROM dw JOIN vocabulary USING (w) GROUP BY bucket),
+t AS (SELECT bucket, sum(n)::DOUBLE AS t FROM gw JOIN vocabulary USING (w) GROUP BY bucket),
+gain AS (SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1) * ((SELECT coalesce(sum(s), 0) FROM s) + 10000) / ((coalesce(s, 0) + 1) * ((SELECT coalesce(sum(t), 0) FROM t) + 10000))))::BIGINT AS g
+         FROM s FULL JOIN t USING (bucket)),
+w AS (SELECT doc_id, floor(sum(n * g)::DOUBLE / sum(n))::BIGINT AS weight FROM dw JOIN vocabulary USING (w) JOIN gain USING (bucket) GROUP BY doc_id),
+scored AS (SELECT doc_id, len(words)::BIGINT AS n_features, coalesce(weight, 0) AS weight,
+           coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT::DOUBLE + 0.5) / 4294967296)))::BIGINT AS score FROM d LEFT JOIN w USING (doc_id)),
+placed AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place FROM scored WHERE n_features >= 20)
+SELECT scored.*, CASE WHEN place <= (SELECT count(*) FROM placed) * 10 // 100 THEN place END AS rank FROM scored LEFT JOIN placed USING (doc_id)
+"""
+
+
+@query
+def op13_approximate_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from codexframe.llm.multi_index import nearest_vectors
+
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return nearest_vectors(rows, rows.where("vec_id % 100 = 0"))

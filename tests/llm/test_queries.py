@@ -8,7 +8,7 @@ from codexframe.llm import queries
 
 
 def test_names():
-    assert [n.split("_")[0] for n in sorted(queries.QUERIES, key=lambda n: int(n[2:].split("_")[0]))] == [f"op{k}" for k in range(1, 11)]
+    assert [n.split("_")[0] for n in sorted(queries.QUERIES, key=lambda n: int(n[2:].split("_")[0]))] == [f"op{k}" for k in range(1, 14)]
 
 
 def test_url_query_equals_duckdb(spark, sf_dir):
