@@ -4,8 +4,9 @@ Each half of a vector has a codebook of its own, and the pairs of codes are the
 query walks the cells by the sum of both half distances, nearest first, with a heap over the two sorted lists of codes;
 the entries of the cells it comes to are ranked again by their distance as it is. How many cells a walk takes is measured:
 a bounded number of queries is held against all rows by brute force, and walks are as long as it takes to come to the
-wanted share of their true neighbours. A query that has found too few entries walks on, four times as far. A cell with
-very many entries or visitors is dealt over blocks of both.
+wanted share of their true neighbours. A query that has found too few entries walks on, four times as far. Cells of
+one left code and neighbouring right codes form regions of a bounded number of entries, so that a query and its hits
+travel once a region; a region with very many entries or visitors is dealt over blocks of both.
 """
 
 from __future__ import annotations
@@ -21,7 +22,8 @@ from pyspark.sql import functions as F
 from codexframe.llm.common import anew, arrow_schema, materialize
 from codexframe.llm.vectors import bounded_sample, distances, kmeans, valid
 
-_HITS = "query_id long, vec_id long, score double"
+_ENTRIES = "cell long, vec_id long, v binary"
+_HITS, _VISITS = "query_id long, vec_id long, score double", "region long, query_id long, q binary, codes array<int>"
 
 
 def walk(left: np.ndarray, right: np.ndarray, first: int, last: int) -> Iterator[tuple[int, int]]:
@@ -46,9 +48,9 @@ def _exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.sqrt((d * d).sum(axis=1))
 
 
-def best_of_block(qid: np.ndarray, q: np.ndarray, xid: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k nearest of x to each of q but those of its own id, ties to the smaller id, by exact distances."""
-    far = np.where(xid[None, :] == qid[:, None], np.inf, distances(q, x))
+def best_of_block(qid: np.ndarray, q: np.ndarray, xid: np.ndarray, x: np.ndarray, k: int, allowed: np.ndarray | bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k nearest allowed of x to each of q but those of its own id, ties to the smaller id, by exact distances."""
+    far = np.where((xid[None, :] != qid[:, None]) & allowed, distances(q, x), np.inf)
     keep = np.isfinite(far)
     if far.shape[1] > k:  # products round: what is within their error of the k-th is in reach
         room = 1e-12 * ((q * q).sum(1)[:, None] + (x * x).sum(1).max())
@@ -62,10 +64,12 @@ def best_of_block(qid: np.ndarray, q: np.ndarray, xid: np.ndarray, x: np.ndarray
 
 
 class MultiIndex:
-    """Codebooks of both halves, and how many cells a walk takes."""
+    """Codebooks of both halves, how many right codes a region takes, and how many cells a walk takes."""
 
-    def __init__(self, left: np.ndarray, right: np.ndarray, half: int):
-        self.left, self.right, self.half, self.visits = left, right, half, 1
+    def __init__(self, left: np.ndarray, right: np.ndarray, half: int, wide: int):
+        off = right - right.mean(axis=0)
+        self.left, self.right, self.half = left, right[(off @ np.linalg.svd(off, full_matrices=False)[2][0]).argsort(kind="stable")], half  # neighbours side by side
+        self.wide, self.across, self.visits = min(wide, len(right)), -(-len(right) // wide), 1
 
     @property
     def cells(self) -> int:
@@ -91,12 +95,12 @@ class MultiIndex:
         self.visits = min(self.cells, max(1, int(np.quantile(self.steps(q, cells), recall, method="higher")))) if len(q) else self.cells
 
 
-def fit(sample: np.ndarray, codes: int) -> MultiIndex:
+def fit(sample: np.ndarray, codes: int, wide: int) -> MultiIndex:
     half = max(1, sample.shape[1] // 2)
-    return MultiIndex(kmeans(sample[:, :half], codes), kmeans(sample[:, half:], codes), half)
+    return MultiIndex(kmeans(sample[:, :half], codes), kmeans(sample[:, half:], codes), half, wide)
 
 
-def nearest_vectors(rows: DataFrame, queries: DataFrame, k: int = 10, recall: float = 0.97, cell_rows: int = 64, codes: int = 1024, sample_rows: int = 20_000, trials: int = 256, block_rows: int = 4096) -> DataFrame:
+def nearest_vectors(rows: DataFrame, queries: DataFrame, k: int = 10, recall: float = 0.97, cell_rows: int = 64, codes: int = 1024, sample_rows: int = 20_000, trials: int = 256, region_rows: int = 2048, block_rows: int = 4096) -> DataFrame:
     """The k rows nearest to every query that a walk finds: query_id, rank (from 1), vec_id, score (Euclidean distance).
 
     rows and queries: (vec_id, embedding). A query's own vec_id is no candidate; ties go to the smaller vec_id. Vectors
@@ -105,7 +109,7 @@ def nearest_vectors(rows: DataFrame, queries: DataFrame, k: int = 10, recall: fl
     count as padded with zeros. Fewer candidates than k give all of them; empty tables give no rows; other columns are
     ignored. Codebooks, of at most `codes` codes, are fitted on at most `sample_rows` rows; every row is filed. Walks are so
     long that at most `trials` queries come to the share `recall` of their true neighbours, as brute force over all rows
-    finds them. Components beyond 1e150 give infinite distances and are not found.
+    finds them; regions take about `region_rows` rows. Components beyond 1e150 give infinite distances and are not found.
     """
     spark = rows.sparkSession
     nothing = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -142,20 +146,19 @@ def nearest_vectors(rows: DataFrame, queries: DataFrame, k: int = 10, recall: fl
         return np.array([r[by] for r in held], np.int64), np.array([[*r.v, *[0.0] * (width - len(r.v))] for r in held], np.float64)
 
     drawn = drawn_from(data, "vec_id", sample_rows)[1]
-    index = fit(drawn, int(np.clip(np.sqrt(n / cell_rows), 2, min(codes, max(2, len(drawn) // 8)))))
+    size = int(np.clip(np.sqrt(n / cell_rows), 2, min(codes, max(2, len(drawn) // 8))))
+    index = fit(drawn, size, int(np.clip(region_rows * size**2 // n, 1, size)))
+
+    schemas = {ddl: arrow_schema(spark, ddl) for ddl in (_ENTRIES, _VISITS, _HITS)}
 
     def file(batches):
-        schema = arrow_schema_of("cell long, vec_id long, v binary")
         for batch in batches:
             x = dense(batch.column(1))
-            yield pa.RecordBatch.from_arrays([pa.array(index.cell(x)), batch.column(0), pa.array(small(x), pa.binary())], schema=schema)
-
-    def arrow_schema_of(ddl: str) -> pa.Schema:
-        return schemas[ddl]
+            yield pa.RecordBatch.from_arrays([pa.array(index.cell(x)), batch.column(0), pa.array(small(x), pa.binary())], schema=schemas[_ENTRIES])
 
-    schemas = {ddl: arrow_schema(spark, ddl) for ddl in ("cell long, vec_id long, v binary", "cell long, query_id long, q binary", _HITS)}
-    entries = materialize(data.mapInArrow(file, "cell long, vec_id long, v binary"), "entries")
-    filed = materialize(entries.groupBy("cell").agg(F.ceil(F.count("*") / block_rows).alias("eb")), "cells")
+    entries = materialize(data.mapInArrow(file, _ENTRIES), "entries")
+    region = (F.expr(f"cell div {len(index.right)}") * index.across + F.expr(f"cell % {len(index.right)} div {index.wide}")).alias("region")
+    filed = materialize(entries.groupBy(region).agg(F.ceil(F.count("*") / block_rows).alias("eb")), "regions")
 
     tried, trial = drawn_from(asked, "query_id", trials)
 
@@ -180,17 +183,24 @@ def nearest_vectors(rows: DataFrame, queries: DataFrame, k: int = 10, recall: fl
     index.calibrate(trial[[place[i] for i in true["query_id"]]], true["cell"].to_numpy(np.int64), recall)
 
     def visits_of(first: int, last: int):
+        """A row for each region that a query's walk comes to, with the right codes of its cells there, counted in the region."""
+
         def run(batches):
-            schema = arrow_schema_of("cell long, query_id long, q binary")
             for batch in batches:
                 for at in range(0, batch.num_rows, 64):  # a few queries at a time: each can visit very many cells
                     part = batch.slice(at, 64)
                     x = dense(part.column(1))
                     a, b = index.halves(x)
-                    steps = [[i * len(index.right) + j for i, j in walk(a[r], b[r], first, last)] for r in range(len(x))]
-                    row = np.repeat(np.arange(len(x)), [len(s) for s in steps])
+                    row, own, codes = [], [], []
+                    for r in range(len(x)):
+                        met: dict[int, list[int]] = {}
+                        for i, j in walk(a[r], b[r], first, last):
+                            met.setdefault(i * index.across + j // index.wide, []).append(j % index.wide)
+                        row += [r] * len(met)
+                        own += met.keys()
+                        codes += met.values()
                     kept = small(x)
-                    yield pa.RecordBatch.from_arrays([pa.array([c for s in steps for c in s], pa.int64()), part.column(0).take(pa.array(row)), pa.array([kept[r] for r in row], pa.binary())], schema=schema)
+                    yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), part.column(0).take(pa.array(row, pa.int64())), pa.array([kept[r] for r in row], pa.binary()), pa.array(codes, pa.list_(pa.int32()))], schema=schemas[_VISITS])
 
         return run
 
@@ -199,17 +209,21 @@ def nearest_vectors(rows: DataFrame, queries: DataFrame, k: int = 10, recall: fl
         if not asking.num_rows or not living.num_rows:
             return schema.empty_table()
         qid, xid, q, x = asking["query_id"].to_numpy(), living["vec_id"].to_numpy(), whole(asking["q"].to_pylist()), whole(living["v"].to_pylist())
-        found = [best_of_block(qid[at : at + 256], q[at : at + 256], xid, x, k) for at in range(0, len(q), 256)]
+        code, met = living["cell"].to_numpy() % len(index.right) % index.wide, np.zeros((len(q), index.wide), bool)
+        for own, codes in zip(met, asking["codes"].to_pylist(), strict=True):
+            own[codes] = True
+        found = [best_of_block(qid[at : at + 256], q[at : at + 256], xid, x, k, met[at : at + 256, code]) for at in range(0, len(q), 256)]
         return pa.table(dict(zip(schema.names, (np.concatenate(c) for c in zip(*found, strict=True)), strict=True)), schema=schema)
 
     def look(asking: DataFrame, first: int, last: int) -> DataFrame:
-        """Hits of the walks of some queries from one step to another; crowded cells go by blocks of entries and of visitors."""
-        visits = materialize(asking.mapInArrow(visits_of(first, last), "cell long, query_id long, q binary").join(anew(filed), "cell"), "visits")
-        crowd = materialize(visits.groupBy("cell").agg(F.ceil(F.count("*") / block_rows).alias("qb")), "crowds")
+        """Hits of the walks of some queries from one step to another; crowded regions go by blocks of entries and of visitors."""
+        visits = materialize(asking.mapInArrow(visits_of(first, last), _VISITS).join(anew(filed), "region"), "visits")
+        crowd = materialize(visits.groupBy("region").agg(F.ceil(F.count("*") / block_rows).alias("qb")), "crowds")
         every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-        going = visits.join(anew(crowd), "cell").withColumn("qn", F.pmod(F.xxhash64("query_id"), "qb")).withColumn("en", every("eb")).select("cell", "qn", "en", "query_id", "q")
-        living = anew(entries).join(anew(crowd), "cell").join(anew(filed), "cell").withColumn("en", F.pmod(F.xxhash64("vec_id"), "eb")).withColumn("qn", every("qb")).select("cell", "qn", "en", "vec_id", "v")
-        keys = ["cell", "qn", "en"]
+        going = visits.join(anew(crowd), "region").withColumn("qn", F.pmod(F.xxhash64("query_id"), "qb")).withColumn("en", every("eb")).select("region", "qn", "en", "query_id", "q", "codes")
+        living = anew(entries).withColumn("region", region).join(anew(crowd), "region").join(anew(filed), "region")
+        living = living.withColumn("en", F.pmod(F.xxhash64("vec_id"), "eb")).withColumn("qn", every("qb")).select("region", "qn", "en", "vec_id", "v", "cell")
+        keys = ["region", "qn", "en"]
         return materialize(going.groupBy(*keys).cogroup(living.groupBy(*keys)).applyInArrow(search, _HITS), "hits")
 
     hits, first, last, asking = None, 0, index.visits, asked
