@@ -59,13 +59,16 @@ def codec(path: str, pattern: str) -> Codec:
 
 
 def to_planes(numbers: np.ndarray) -> bytes:
-    """Numbers below 2^24 by byte planes, the low bytes first: small ones take little room once compressed."""
-    return np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].T).tobytes()
+    """Numbers by byte planes, as many as the largest needs, the low bytes first: small ones take little room once compressed."""
+    planes = max(1, (int(numbers.max(initial=0)).bit_length() + 7) // 8)
+    return bytes([planes]) + np.ascontiguousarray(numbers.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :planes].T).tobytes()
 
 
 def of_planes(raw: bytes) -> np.ndarray:
-    low, mid, high = np.frombuffer(raw, np.uint8).reshape(3, -1).astype(np.int64)
-    return low | mid << 8 | high << 16
+    out = np.zeros((len(raw) - 1) // raw[0], np.int64)
+    for k, plane in enumerate(np.frombuffer(raw, np.uint8, offset=1).reshape(raw[0], -1)):
+        out |= plane.astype(np.int64) << 8 * k
+    return out
 
 
 class Chunk:

@@ -7,6 +7,7 @@ is still open when the tasks end is merged in a second, equally bounded round ov
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -24,8 +25,24 @@ from codexframe.llm.common import arrow_schema, materialize, own_cache
 _WORD_AND_MARKS = re.compile(r"([^\W\d_]+)([.,;:!?]+)")
 
 
+def _ends_in_letter(word: str) -> bool:
+    """Whether a word of letters still ends in one when it is normalised; asked of Latin letters only, which all versions of Unicode know."""
+    return word[-1] < "\u0250" and word[-1].lower().isalpha()
+
+
+def _by_words(path: str) -> bool:
+    """Whether the tokenizer file lower-cases, and takes white space for nothing but an end of words."""
+    with open(path, encoding="utf-8") as f:
+        about = json.load(f)
+    steps = (about.get("normalizer") or {}).get("normalizers", [])
+    cuts = (about.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
+    plain = [s["type"] for s in steps] == ["NFC", "Replace", "Lowercase"] and steps[1]["pattern"] == {"Regex": r"\s+"} and steps[1]["content"] == " "
+    kept = cuts[0].get("behavior") == "Removed" and cuts[0].get("invert") and cuts[0].get("pattern", {}).get("Regex", "").endswith(r"|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+    return bool(plain and kept and not any(re.search(r"\s", t["content"]) or t.get("lstrip") or t.get("rstrip") for t in about.get("added_tokens", [])))
+
+
 class WordIds(dict):
-    """Token ids (little-endian unsigned 32-bit) of chunks between ASCII white space.
+    """Token ids (little-endian unsigned 32-bit) of chunks between ASCII white space; of whole texts where the tokenizer is not one of words.
 
     At most twice `bound` are kept: when as many are new, they become the old ones, of which those used again stay.
     """
@@ -35,7 +52,10 @@ class WordIds(dict):
         from tokenizers import Tokenizer
 
         super().__init__()
-        self.tokenizer, self.bound, self.old = Tokenizer.from_file(path), bound, {}
+        self.tokenizer, self.bound, self.old, self.by_words = Tokenizer.from_file(path), bound, {}, _by_words(path)
+
+    def of_text(self, text: bytes) -> bytes:
+        return b"".join(map(self.__getitem__, text.split())) if self.by_words else self.encode(text.decode("utf-8", "replace"))
 
     def encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -49,7 +69,7 @@ class WordIds(dict):
             return ids
         text = chunk.decode("utf-8", "replace")
         found = _WORD_AND_MARKS.fullmatch(text)
-        if found and found[1].isalpha():
+        if found and found[1].isalpha() and _ends_in_letter(found[1]):
             ids = self[found[1].encode()] + self[found[2].encode()]
         elif text.isascii() and text.isalpha() and not text.islower():
             ids = self[text.lower().encode()]
@@ -116,7 +136,7 @@ def _pack_partition(path: str, capacity: int, end_id: int, open_bins: int, with_
         for batch in batches:
             rows: list[tuple] = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = b"".join(map(cache.__getitem__, (text or b"").split())) + end
+                ids = cache.of_text(text or b"") + end
                 n = len(ids) // 4
                 for piece, start in enumerate(range(0, n, capacity)):
                     part = ids[4 * start : 4 * (start + capacity)]

@@ -370,3 +370,44 @@ def test_quality_scores_are_sums_of_tables():
         assert abs(got - 1 / (1 + math.exp(-total))) < 1e-9
     loss = lambda p: -np.log(np.where(y > 0, p, 1 - p)).mean()
     assert loss(score) < 0.5 * loss(np.full(len(y), y.mean()))
+
+
+def test_word_ids_equal_the_library_on_random_unicode():
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path("word_bpe_49k.json")
+    whole, own, rng = Tokenizer.from_file(path), packing.WordIds(path), random.Random(11)
+    letters = "abzAZéßÀİıſΣσςµÅK가ᄀ́̇ͅǅﬁ²½Ⅷ٣'’.,;:!?-_<|>~ \n\t\x0b\x1c\x85  ‍​😀ⰰꟲ\U0001df00\U00010d50"
+    odd = ["GELDİ. tamam", "İ.", "İ!?", "word.", "Straße, Äpfel!", "it's we'll. x²! <|endoftext|>. a<|endoftext|>b"]
+    for n in range(100_000):
+        text = odd[n] if n < len(odd) else "".join(rng.choice(letters) if rng.random() < 0.9 else chr(rng.choice((rng.randrange(32, 0x3000), rng.randrange(0xE000, 0x1F000)))) for _ in range(rng.randint(1, 12)))
+        assert list(np.frombuffer(own.of_text(text.encode()), "<u4")) == whole.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_a_tokenizer_that_is_not_one_of_words_takes_whole_texts(spark):
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path("byte_bpe_50k.json")
+    rows = [(1, "Two  spaces and\nlines, İt. "), (2, None)]
+    whole = Tokenizer.from_file(path)
+    for r in packing.pack_documents(docs_of(spark, rows), path, with_ids=True).collect():
+        assert list(np.frombuffer(r.ids, "<u4")) == [*whole.encode(dict(rows)[r.doc_id] or "", add_special_tokens=False).ids, 1]
+
+
+@pytest.mark.parametrize("most", [0, 255, 256, (1 << 24) - 1, 1 << 24, 1 << 33])
+def test_planes_hold_any_number(most):
+    numbers = np.array([0, most, most // 2, 1 if most else 0], np.int64)
+    assert (bpe.of_planes(bpe.to_planes(numbers)) == numbers).all()
+    assert len(bpe.of_planes(bpe.to_planes(numbers[:0]))) == 0
+
+
+def test_a_chunk_of_more_words_than_24_bits_number():
+    class Many(dict):
+        def __len__(self):
+            return super().__len__() + (1 << 24) - 2
+
+    chunk = bpe.Chunk()
+    chunk.numbers = Many()
+    chunk.add(1, ["a", "b", "c", "d", "a"])
+    assert chunk.full(10**9)
+    assert bpe.of_planes(bpe.to_planes(chunk.docs[0][1])).tolist() == [(1 << 24) - 2, (1 << 24) - 1, 1 << 24, (1 << 24) + 1, (1 << 24) - 2]
