@@ -124,16 +124,6 @@ def search_snippet(spark, sf_dir):
     return hits.select("doc_id", search.snippet(F.col("text"), "with").alias("snippet"))
 
 
-@query("search_stemmed")
-def search_stemmed(spark, sf_dir):
-    """Documents that hold a word of the same stem as "connected", with how many."""
-    from codexframe.functions.stem import stem_of
-
-    words = search.postings(_docs(spark, sf_dir), "doc_id", "text").groupBy("doc_id", "term").agg(F.count("*").alias("n"))
-    stems = words.select("term").distinct().withColumn("stem", stem_of("term"))
-    return words.join(stems.where(F.col("stem") == "connect"), "term").groupBy("doc_id").agg(F.sum("n").alias("n"))
-
-
 _PHRASED = f"""
 w AS (SELECT *, {_W} AS words FROM documents),
 c AS (SELECT *, len(words) AS dl, len(list_filter(words, lambda x: x = 'with')) AS t0, len(list_filter(range(1, len(words)), lambda i: words[i] = 'of' AND words[i + 1] = 'the')) AS t1 FROM w),
@@ -143,11 +133,36 @@ h AS (SELECT c.*, -greatest(ln((n - d0 + 0.5) / (d0 + 0.5)), 1e-6) * t0 * 2.2 /
 """
 
 
+#: Indexes of the tables stored in this session, by application, folder and kind: searches of one kind share one.
+_stored: dict[tuple[str, str, str], index.Index] = {}
+
+
+def _index_of(spark, sf_dir, kind, build):
+    own = (spark.sparkContext.applicationId, sf_dir, kind)
+    if own not in _stored:
+        _stored[own] = build(shared_path(spark, "index"))
+    return _stored[own]
+
+
+def _doc_index(spark, sf_dir):
+    return _index_of(spark, sf_dir, "documents", lambda at: index.write_index(_docs(spark, sf_dir).select("doc_id", "lang", "source", "text"), "doc_id", ["text"], at))
+
+
 def _indexed(spark, sf_dir, text, filters=()):
-    """A search of all documents through an index stored for it."""
+    """A search of all documents through their stored index."""
+    return _doc_index(spark, sf_dir).search(text, list(filters))
+
+
+@query("search_index_build", f"SELECT count(*) AS n_rows, sum(len(w))::BIGINT AS n_words, sum(len(list_distinct(w)))::BIGINT AS n_postings FROM (SELECT {_W} AS w FROM documents)")
+def search_index_build(spark, sf_dir):
+    """Store the index of all documents anew; its rows, words and postings as read back from it."""
     at = shared_path(spark, "index")
-    index.write_index(_docs(spark, sf_dir).select("doc_id", "lang", "source", "text"), "doc_id", ["text"], at)
-    return index.search_index(spark, at, "doc_id", text, list(filters))
+    own = index.write_index(_docs(spark, sf_dir).select("doc_id", "text"), "doc_id", ["text"], at)
+    blocks = spark.read.parquet(*(f"{at}/data/{s['id']}/postings" for s in own.segments)).agg(F.sum("n").cast("long").alias("n_postings"))
+    rows = spark.read.parquet(*(f"{at}/data/{s['id']}/rows" for s in own.segments)).agg(F.count("*").alias("n_rows"), F.sum("length").alias("n_words"))
+    out = spark.createDataFrame([(*rows.first(), blocks.first()[0])], "n_rows long, n_words long, n_postings long")
+    own.drop()
+    return out
 
 
 @query("search_indexed", f"WITH {_PHRASED} SELECT doc_id, lang, source, round(score, 6) AS score FROM h")
@@ -196,9 +211,69 @@ def rule_lookup(spark, sf_dir):
 @query("field_scores", f"WITH w AS (SELECT p_partkey, p_name, regexp_extract_all(lower(p_name), '[\\p{{L}}\\p{{N}}]+') AS a, regexp_extract_all(lower(p_type), '[\\p{{L}}\\p{{N}}]+') AS b FROM part), c AS (SELECT *, len(a) + len(b) AS dl, len(list_filter(a, lambda x: x = 'red')) AS t FROM w), s AS (SELECT count(*) AS n, avg(dl) AS avgdl, count(*) FILTER (t > 0) AS d FROM c) SELECT p_partkey, round(-greatest(ln((n - d + 0.5) / (d + 0.5)), 1e-6) * t * 2.2 / (t + 1.2 * (0.25 + 0.75 * dl / avgdl)), 6) AS score FROM c, s WHERE t > 0")
 def field_scores(spark, sf_dir):
     """A search of one field; lengths are over all fields."""
-    at = shared_path(spark, "index")
-    index.write_index(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type"), "p_partkey", ["p_name", "p_type"], at, buckets=8)
-    return index.search_index(spark, at, "p_partkey", "red", fields=["p_name"], buckets=8).hits.select("p_partkey", F.round("score", 6).alias("score"))
+    return _part_index(spark, sf_dir).search("red", fields=["p_name"]).hits.select("p_partkey", F.round("score", 6).alias("score"))
+
+
+def _part_index(spark, sf_dir):
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size", "p_name", "p_type")
+    return _index_of(spark, sf_dir, "part", lambda at: index.write_index(part, "p_partkey", ["p_name", "p_type"], at))
+
+
+@query("search_page", f"WITH {_BM25} SELECT doc_id, lang, source, round(score, 6) AS score FROM h ORDER BY score, doc_id LIMIT 25 OFFSET 5")
+def search_page(spark, sf_dir):
+    """The second page of a ranked search, of whose postings only the blocks that can reach it are read."""
+    return _doc_index(spark, sf_dir).page("with from", 25, 5).withColumn("score", F.round("score", 6))
+
+
+@query(
+    "search_page_exact",
+    """WITH w AS (SELECT *, regexp_extract_all(lower(p_name || ' ' || p_type), '[\\p{L}\\p{N}]+') AS words FROM part),
+       c AS (SELECT *, len(words) AS dl, len(list_filter(words, lambda x: x = 'red')) AS t FROM w), s AS (SELECT count(*) AS n, avg(dl) AS avgdl, count(*) FILTER (t > 0) AS d FROM c),
+       h AS (SELECT *, -greatest(ln((n - d + 0.5) / (d + 0.5)), 1e-6) * t * 2.2 / (t + 1.2 * (0.25 + 0.75 * dl / avgdl)) AS score FROM c, s WHERE t > 0 AND p_size >= 10)
+       SELECT p_partkey, p_brand, p_size, round(score, 6) AS score FROM h ORDER BY p_brand <> 'Brand#13', score, p_partkey LIMIT 40""",
+)
+def search_page_exact(spark, sf_dir):
+    """A page in one order: rows of the designation asked for, then by score, then by key; filters count before the page."""
+    return _part_index(spark, sf_dir).page("red", 40, filters=[F.col("p_size") >= 10], exact=F.col("p_brand") == "Brand#13").withColumn("score", F.round("score", 6))
+
+
+_FORMS = ["Connected résumés", "connecting resume", "CONNECTIONS Resumé", "connective tissue", "reconnect resume", "connects", "", "plain résumé: connection"]
+
+
+@query(
+    "search_stemmed",
+    f"""WITH f AS (SELECT doc_id, lang, regexp_extract_all(strip_accents(lower(coalesce(text, '') || ' ' || coalesce([{', '.join(f"'{x}'" for x in _FORMS)}][doc_id % 24 + 1], ''))), '[\\p{{L}}\\p{{N}}]+') AS words FROM documents),
+        c AS (SELECT *, len(words) AS dl, len(list_filter(words, lambda x: x IN ('connect', 'connects', 'connected', 'connecting', 'connection', 'connections', 'connective'))) AS t0,
+              len(list_filter(words, lambda x: x IN ('resume', 'resumes'))) AS t1 FROM f),
+        s AS (SELECT count(*) AS n, avg(dl) AS avgdl, count(*) FILTER (t0 > 0) AS d0, count(*) FILTER (t1 > 0) AS d1 FROM c)
+        SELECT doc_id, lang, round(-greatest(ln((n - d0 + 0.5) / (d0 + 0.5)), 1e-6) * t0 * 2.2 / (t0 + 1.2 * (0.25 + 0.75 * dl / avgdl))
+               - greatest(ln((n - d1 + 0.5) / (d1 + 0.5)), 1e-6) * t1 * 2.2 / (t1 + 1.2 * (0.25 + 0.75 * dl / avgdl)), 6) AS score FROM c, s WHERE t0 > 0 AND t1 > 0""",
+)
+def search_stemmed(spark, sf_dir):
+    """Words of the same stem, with and without diacritics, through an index that files stems: all documents, a form of two words added to each of some."""
+    form = F.get(F.array(*map(F.lit, _FORMS)), (F.col("doc_id") % 24).cast("int"))
+    docs = _docs(spark, sf_dir).select("doc_id", "lang", F.concat_ws(" ", F.coalesce("text", F.lit("")), form).alias("text"))
+    own = _index_of(spark, sf_dir, "stems", lambda at: index.write_index(docs, "doc_id", ["text"], at, analyzer="stem"))
+    return own.search("connect RÉSUMÉ").hits.withColumn("score", F.round("score", 6))
+
+
+@query(
+    "search_incremental",
+    "WITH changed AS (SELECT doc_id, lang, CASE WHEN doc_id % 10 = 3 THEN text || ' with and from' ELSE text END AS text FROM documents WHERE doc_id % 7 <> 5), "
+    + _BM25.replace("FROM documents", "FROM changed") + "SELECT doc_id, lang, round(score, 6) AS score FROM h",
+)
+def search_incremental(spark, sf_dir):
+    """An index that took the documents in four parts, new texts for some keys, and some keys away."""
+    docs = _docs(spark, sf_dir).select("doc_id", "lang", "text")
+
+    def build(at):
+        own = index.create_index(spark, at, docs.schema, "doc_id", ["text"])
+        for part in range(4):
+            own = own.add(docs.where(F.pmod(F.hash("doc_id"), F.lit(4)) == part))
+        own = own.add(docs.where("doc_id % 10 = 3").withColumn("text", F.concat("text", F.lit(" with and from"))))
+        return own.remove(docs.where("doc_id % 7 = 5"))
+
+    return _index_of(spark, sf_dir, "changed", build).search("with from").hits.withColumn("score", F.round("score", 6))
 
 
 _PLAIN = "list_transform(p, lambda x: regexp_replace(lower(x), '[^\\p{L}\\p{N}]', '', 'g'))"

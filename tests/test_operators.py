@@ -13,20 +13,6 @@ def test_query_texts_become_units():
     assert index.query_units(' "" !') == [] and index.query_units("") == []
 
 
-def test_index_survives_nulls_and_replaces_itself(spark, tmp_path):
-    rows = [(1, "red red fish", "x"), (2, None, None), (3, "", "fish"), (4, "Red, fish!", "y")]
-    at = f"file://{tmp_path}/index"
-    frame = spark.createDataFrame(rows, "id long, body string, term string")
-    index.write_index(frame.where("false").withColumnRenamed("term", "kind"), "id", ["body"], at, buckets=4)
-    index.write_index(frame.withColumnRenamed("term", "kind"), "id", ["body"], at, buckets=4)
-    found = index.search_index(spark, at, "id", "red FISH", buckets=4)
-    assert [(r.id, r.kind) for r in found.hits.orderBy("score").collect()] == [(1, "x"), (4, "y")]
-    assert [(r.facet, r.value, r.n) for r in found.counts("kind").orderBy("facet", "value").collect()] == [("kind", "x", 1), ("kind", "y", 1), ("total", "", 2)]
-    assert index.search_index(spark, at, "id", '"fish red"', buckets=4).hits.collect() == []
-    assert [r.id for r in index.search_index(spark, at, "id", "", [F.col("kind") == "y"]).hits.collect()] == [4]
-    assert not index.search_index(spark, at, "id", "").asked
-
-
 def test_catalog_ids_come_once(spark):
     one, two = (spark.createDataFrame([(i, i)], "id string, title string") for i in ("a", "b"))
     assert {r.id for r in catalog.merged([one, two], "id").collect()} == {"a", "b"}
