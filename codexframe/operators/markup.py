@@ -84,9 +84,9 @@ def tables(cells: DataFrame, keys: list[str], caption: Column | None = None) ->
     return whole.select(*keys, F.concat(bold, F.when(F.col("spans"), html).otherwise(plain)).alias("markdown"), html.alias("html"))
 
 
-def figure_markdown(path: Column, alt: Column, caption: Column, prefix: str = "assets") -> Column:
+def figure_markdown(path: Column, alt: Column, caption: Column, prefix: str | Column = "assets") -> Column:
     given = lambda *c: F.coalesce(*(F.nullif(x, F.lit("")) for x in c))
-    shown = F.concat(F.lit("!["), given(alt, caption, F.lit("Figure")), F.lit("]("), link_escape(F.concat(F.lit(f"{prefix}/"), path)), F.lit(")"))
+    shown = F.concat(F.lit("!["), given(alt, caption, F.lit("Figure")), F.lit("]("), link_escape(F.concat(prefix if isinstance(prefix, Column) else F.lit(prefix), F.lit("/"), path)), F.lit(")"))
     return F.concat(shown, F.coalesce(F.concat(F.lit("\n*"), given(caption), F.lit("*")), F.lit("")))
 
 
