@@ -28,8 +28,8 @@ def _is(*types: str) -> Column:
     return F.col("type").isin(*types)
 
 
-def _placed(nodes: DataFrame, keys: list[str]) -> DataFrame:
-    """nodes with all attributes, their ancestors (ord, type, ordered, header), place among siblings, and what they hold."""
+def _placed(nodes: DataFrame, keys: list[str]) -> tuple[DataFrame, int]:
+    """nodes with all attributes, what they lie in, their place among siblings, and what they hold; the deepest level."""
     for column in ATTRIBUTES.split(", "):
         name, kind = column.split()
         nodes = nodes.withColumn(name, (F.col(name) if name in nodes.columns else F.lit(None)).cast(kind))
@@ -40,42 +40,39 @@ def _placed(nodes: DataFrame, keys: list[str]) -> DataFrame:
     above = F.array(*(F.last(F.when(F.col("depth") == level, about), ignorenulls=True).over(so_far) for level in range(deepest + 1)))
     out = nodes.withColumn("_above", F.slice(above, F.lit(1), F.col("depth")))
     parent = F.get("_above", F.col("depth") - 1)
-    out = out.withColumns({"_deepest": F.lit(deepest), "_parent": parent, "_inline": _is(*INLINE), "_in_cell": F.exists("_above", lambda a: a["type"] == "cell"), "_nested": F.size(F.filter("_above", lambda a: a["type"].isin(TOPICS)))})
     nearest = lambda *types: F.get(F.reverse(F.filter("_above", lambda a: a["type"].isin(*types))), F.lit(0))["ord"]
-    out = out.withColumns({"_holder": F.when(F.col("_inline"), nearest(*_HOLDERS)), "_table": nearest("table")})
+    out = out.withColumns({"_parent": parent, "_inline": _is(*INLINE), "_nested": F.size(F.filter("_above", lambda a: a["type"].isin(TOPICS))), "_tables": F.filter("_above", lambda a: a["type"] == "table"), "_cell": nearest("cell"), "_holder": F.when(_is(*INLINE), nearest(*_HOLDERS))})
+    out = out.withColumns({"_table": F.get("_tables", F.size("_tables") - 1)["ord"], "_tables": F.size("_tables"), "_in_cell": F.col("_cell").isNotNull()}).drop("_above")
     among = Window.partitionBy(*keys, "_parent.ord")  # lies within the documents' partitions
     out = out.withColumn("_nth", F.row_number().over(among.orderBy("ord")))
     out = out.withColumn("_nth_alike", F.row_number().over(Window.partitionBy(*keys, "_parent.ord", "_inline", F.coalesce("header", F.lit(False))).orderBy("ord")))
-    # what nodes hold, by the node it is told of: text and blocks of holders, cells of rows, rows and spans of tables, anything of cells
+    span, head = (F.coalesce("colspan", F.lit(1)) > 1) | (F.coalesce("rowspan", F.lit(1)) > 1), F.coalesce("header", F.lit(False))
+    grid = Window.partitionBy(*keys, "_table")
+    out = out.withColumns({"_grid_spans": F.coalesce(F.max(F.when(_is("cell"), span)).over(grid), F.lit(False)), "_grid_wide": F.coalesce(F.max(F.when(_is("cell"), F.col("_nth"))).over(grid), F.lit(0))})
+    # what nodes hold, by the node it is told of: text and blocks of holders, cells of rows, rows, spans and width of tables, anything of cells
     said = F.when(_is("line_break"), "\n").otherwise(F.coalesce("text", F.when(_is("internal_reference"), F.col("target_designation")), F.lit("")))
-    head, no = F.coalesce("header", F.lit(False)), F.lit(False)
-    facts = {"_piece": F.lit(None).cast("struct<ord:bigint,t:string>"), "_block": no, "_a_cell": no, "_head": no, "_body": no, "_span": no, "_full": no}
-    tell = lambda of, **own: out.select(*keys, of.alias("_of"), *((own.get(c, f)).alias(c) for c, f in facts.items()))
-    held = reduce(DataFrame.unionByName, (
+    no = F.lit(False)
+    facts = {"_piece": F.lit(None).cast("struct<ord:bigint,t:string>"), "_block": no, "_a_cell": no, "_head": no, "_body": no, "_span": no, "_full": no, "_nth_cell": F.lit(0)}
+    tell = lambda of, **own: F.struct(of.cast("long").alias("_of"), *(own.get(c, f).alias(c) for c, f in facts.items()))
+    every = F.array(
         tell(F.col("_holder"), _piece=F.struct(F.col("ord").cast("long").alias("ord"), said.alias("t"))),
         tell(F.when(~F.col("_inline"), F.col("_parent.ord")), _block=F.lit(True), _a_cell=_is("cell"), _head=_is("row") & head, _body=_is("row") & ~head),
-        tell(F.when(_is("cell"), F.col("_table")), _span=(F.coalesce("colspan", F.lit(1)) > 1) | (F.coalesce("rowspan", F.lit(1)) > 1)),
-        tell(F.when((F.col("_inline") & (said != "")) | _is("table"), nearest("cell")), _full=F.lit(True)),
-    )).where("_of is not null")
+        tell(F.when(_is("cell"), F.col("_table")), _span=span, _nth_cell=F.col("_nth")),
+        tell(F.when((F.col("_inline") & (said != "")) | _is("table"), F.col("_cell")), _full=F.lit(True)),
+    )
+    held = out.select(*keys, F.explode(F.filter(every, lambda x: x["_of"].isNotNull())).alias("f")).select(*keys, "f.*")
     count = lambda c: F.count_if(F.col(c))
-    told = held.groupBy(*keys, "_of").agg(F.array_join(F.transform(F.sort_array(F.collect_list("_piece")), lambda p: p["t"]), "").alias("_said"), count("_block").alias("_blocks"), count("_a_cell").alias("_cells"), count("_head").alias("_heads"), count("_body").alias("_bodies"), F.max("_span").alias("_spans"), F.max("_full").alias("_full"))
-    wide = told.where("_cells > 0").join(out.where(_is("row")).select(*keys, F.col("ord").alias("_of"), F.col("_table")), [*keys, "_of"]).groupBy(*keys, F.col("_table").alias("_of")).agg(F.max("_cells").alias("_wide"))
-    told = told.join(wide, [*keys, "_of"], "left")
-    named = told.select(*keys, F.col("_of"), F.struct("_said", "_blocks", "_cells", "_heads", "_bodies", "_spans", "_full", "_wide").alias("_has"))
-    # inline content asks its holder, rows and cells their table as well
-    out = out.withColumn("_of", F.coalesce("_holder", "ord")).join(named, [*keys, "_of"], "left").drop("_of")
-    tables = named.withColumnRenamed("_of", "_table").withColumnRenamed("_has", "_grid")
-    return out.join(tables, [*keys, "_table"], "left")
+    told = held.groupBy(*keys, "_of").agg(F.array_join(F.transform(F.sort_array(F.collect_list("_piece")), lambda p: p["t"]), "").alias("_said"), count("_block").alias("_blocks"), count("_a_cell").alias("_cells"), count("_head").alias("_heads"), count("_body").alias("_bodies"), F.max("_span").alias("_spans"), F.max("_full").alias("_full"), F.max("_nth_cell").alias("_wide"))
+    named = told.select(*keys, "_of", F.struct("_said", "_blocks", "_cells", "_heads", "_bodies", "_spans", "_full", "_wide").alias("_has"))
+    # inline content asks its holder
+    return out.withColumn("_of", F.coalesce("_holder", "ord").cast("long")).join(named, [*keys, "_of"], "left").drop("_of"), deepest
 
 
-def _rendered(placed: DataFrame, keys: list[str], opened: Column, closed: Column) -> DataFrame:
+def _rendered(placed: DataFrame, keys: list[str], deepest: int, opened: Column, closed: Column) -> DataFrame:
     """One row a document: what opens and closes its nodes, in order."""
-    deepest = placed.select("_deepest").first()
-    if deepest is None:
-        return placed.select(*keys, F.lit("").alias("body")).where("false")
     order = Window.partitionBy(*keys).orderBy("ord")
     shown = placed.select(*keys, "ord", "depth", F.coalesce(opened, F.lit("")).alias("_open"), F.coalesce(closed, F.lit("")).alias("_close"))
-    levels = range(deepest[0] + 1)
+    levels = range(deepest + 1)
     still = lambda to: F.array(*(F.last(F.when(F.col("depth") == level, F.col("_close")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, to)) for level in levels))
     shown = shown.withColumns({"_before": still(-1), "_now": still(0), "_from": F.coalesce(F.lag("depth").over(order), F.lit(-1)), "_ends": F.lead("ord").over(order).isNull()})
     closing = lambda chain, first, n: F.array_join(F.reverse(F.slice(chain, first, F.greatest(n, F.lit(0)))), "")
@@ -126,26 +123,25 @@ def markdown(nodes: DataFrame, keys: list[str], level: int | Column = 1, prefix:
     cell are set apart by <br>. Blank paragraphs are left out. Nodes of other types show what they hold. level and prefix
     (of assets) can be columns of the nodes.
     """
-    placed = _placed(nodes, keys)
+    placed, deepest = _placed(nodes, keys)
     hashes = lambda: F.concat(F.repeat(F.lit("#"), F.least(F.col("_nested") + level, F.lit(6))), F.lit(" "))
     blocks, in_cell = F.coalesce(F.col("_has._blocks"), F.lit(0)) > 0, F.col("_in_cell")
     # a block right after inline content ends its line
     after_inline = ~F.col("_inline") & (F.col("_nth_alike") == 1) & (F.col("_nth") > 1)
     first = _chosen([(in_cell & (F.col("_parent.type") == "cell") & (F.col("_nth") > 1), "<br>"), (~in_cell & after_inline & (F.col("_parent.type") == "paragraph"), "\n\n"), (~in_cell & after_inline & (F.col("_parent.type") == "list_item"), "\n")])
-    within, spans = F.exists("_above", lambda a: a["type"] == "cell"), F.coalesce(F.col("_has._spans"), F.lit(False))
-    own_html = F.when(_is("table"), within | spans).otherwise(F.coalesce(F.col("_grid._spans"), F.lit(False)) | (F.size(F.filter("_above", lambda a: a["type"] == "table")) > 1))
+    within, spans = in_cell, F.coalesce(F.col("_has._spans"), F.lit(False))
+    own_html = F.when(_is("table"), within | spans).otherwise(F.col("_grid_spans") | (F.col("_tables") > 1))
     tags, ends = _table_tags(F.lit(""))
     heads = F.coalesce(F.col("_has._heads"), F.lit(0))
     rule = lambda wide: F.concat(F.lit("| "), F.array_join(F.array_repeat(F.lit("---"), wide), " | "), F.lit(" |\n"))
     blank = lambda wide: F.concat(F.lit("| "), F.array_join(F.array_repeat(F.lit(" "), wide), " | "), F.lit(" |\n"))
     wide = F.coalesce(F.col("_has._wide"), F.lit(0)).cast("int")
     bold = F.when(~within, F.coalesce(F.concat(F.lit("**"), _given("caption"), F.lit("**\n\n")), F.lit(""))).otherwise("")
-    grid = F.col("_grid._wide").cast("int")
+    grid = F.col("_grid_wide").cast("int")
     row_end = F.concat(F.repeat(F.lit(" |  "), grid - F.coalesce(F.col("_has._cells"), F.lit(0)).cast("int")), F.lit(" |\n"))
     no_cells = F.coalesce(F.col("_has._cells"), F.lit(0)) == 0
     said = F.when(in_cell, F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit("<br>"))).otherwise(F.coalesce("text", F.lit("")))
-    in_html = F.size(F.filter("_above", lambda a: a["type"] == "table")) > 1
-    in_html = in_cell & (in_html | F.coalesce(F.col("_grid._spans"), F.lit(False)))
+    in_html = in_cell & ((F.col("_tables") > 1) | F.col("_grid_spans"))
     said = F.when(in_html, html_escape(said)).otherwise(said)
     marks = {name: (left, right) for name, (left, right, _) in MARKS.items()}
     label = F.coalesce(F.nullif(said, F.lit("")), F.col("target_designation"))
@@ -172,7 +168,7 @@ def markdown(nodes: DataFrame, keys: list[str], level: int | Column = 1, prefix:
         (_is("cell") & own_html, ends[2][1]),
         *((_is(name), right) for name, (_, right) in marks.items()), (_is("hyperlink"), F.concat(F.lit("]("), F.coalesce("url", F.lit("")), F.lit(")"))),
     ])
-    return _rendered(placed, keys, F.concat(first, opened), closed)
+    return _rendered(placed, keys, deepest, F.concat(first, opened), closed)
 
 
 def _shown() -> Column:
@@ -182,7 +178,7 @@ def _shown() -> Column:
 
 def html(nodes: DataFrame, keys: list[str], level: int = 2) -> DataFrame:
     """An HTML fragment of every document (keys, body); nodes as for markdown. Links go to the web only, references and assets are data."""
-    placed = _placed(nodes, keys)
+    placed, deepest = _placed(nodes, keys)
     in_cell, blocks = F.col("_in_cell"), F.coalesce(F.col("_has._blocks"), F.lit(0)) > 0
     after_inline = ~F.col("_inline") & (F.col("_nth_alike") == 1) & (F.col("_nth") > 1)
     first = _chosen([(in_cell & (F.col("_parent.type") == "cell") & (F.col("_nth") > 1), "<br/>"), (~in_cell & after_inline & (F.col("_parent.type") == "paragraph"), "</p>")])
@@ -212,7 +208,7 @@ def html(nodes: DataFrame, keys: list[str], level: int = 2) -> DataFrame:
         (_is("list") & ~in_cell, F.concat(F.lit("</"), list_tag, F.lit(">"))), (_is("list_item") & ~in_cell, "</li>"), *ends,
         *((_is(name), f"</{tag}>") for name, tag in marks.items()), (_is("hyperlink"), F.when(web, "</a>").otherwise("</span>")),
     ])
-    return _rendered(placed, keys, F.concat(first, opened), closed)
+    return _rendered(placed, keys, deepest, F.concat(first, opened), closed)
 
 
 #: What a node of a type shows in JSON beside type, id and metadata (fixed values).
@@ -226,7 +222,7 @@ FIELDS = {
 
 def json(nodes: DataFrame, keys: list[str]) -> DataFrame:
     """JSON of every document (keys, body): each node by its type, its children in it; a table's rows as lists of cells, lists of what is in them."""
-    placed = _placed(nodes, keys)
+    placed, deepest = _placed(nodes, keys)
     options = {"ignoreNullFields": "false"}
     plain = lambda *fields: F.expr(f"substring(to_json(named_struct({', '.join(fields)}), map('ignoreNullFields', 'false')), 2)")
     inner = lambda *fields: F.regexp_replace(plain(*fields), r"\}$", "")
@@ -244,7 +240,7 @@ def json(nodes: DataFrame, keys: list[str]) -> DataFrame:
     turn = F.when(~is_head & (F.col("_nth_alike") == 1), '],"rows":[').otherwise(comma)
     opened = _chosen([(_is("table"), F.concat(comma, head, caption)), (_is("row"), F.concat(turn, F.lit("["))), (_is("cell"), F.concat(comma, F.lit("["))), (F.lit(True), F.concat(comma, head, own, F.when(F.col("_parents"), ',"children":[').otherwise("")))])
     closed = _chosen([(_is("table"), F.when(F.coalesce(F.col("_has._bodies"), F.lit(0)) > 0, "]}").otherwise('],"rows":[]}')), (_is("row", "cell"), "]"), (F.lit(True), F.when(F.col("_parents"), "]}").otherwise("}"))])
-    return _rendered(placed, keys, opened, closed)
+    return _rendered(placed, keys, deepest, opened, closed)
 
 
 def files(nodes: DataFrame, keys: list[str], prefix: str = "assets") -> DataFrame:

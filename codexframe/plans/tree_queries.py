@@ -45,7 +45,8 @@ def _order_nodes(spark, sf_dir):
         return F.concat(F.array(node(4, "row"), *cell(5, *words(6, number)), *cell(5)), F.when(i == 0, nested).otherwise(plain))
 
     every = F.concat(head, items, titles, F.flatten(F.transform("lines", row)))
-    return both.select("doc", F.posexplode(every).alias("ord", "n")).select("doc", F.col("ord").cast("long").alias("ord"), "n.*")
+    nodes = both.select("doc", F.posexplode(every).alias("ord", "n")).select("doc", F.col("ord").cast("long").alias("ord"), "n.*")
+    return nodes.repartition("doc")  # an order became some fifty rows: partitions of their size, not of the orders'
 
 
 _NESTED = "'<table><tbody><tr><td>' || supp || '</td></tr></tbody></table>'"
