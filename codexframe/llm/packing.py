@@ -58,7 +58,8 @@ class WordIds(dict):
         return b"".join(map(self.__getitem__, text.split())) if self.by_words else self.encode(text.decode("utf-8", "replace"))
 
     def encode(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        own = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0]  # without the places of tokens in the text
+        return np.array(own.ids, dtype="<u4").tobytes()
 
     def __missing__(self, chunk: bytes) -> bytes:
         if len(self) >= self.bound:
