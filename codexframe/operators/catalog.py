@@ -15,11 +15,12 @@ STATES = ("unchecked", "ok", "mismatch", "metadata_missing", "metadata_unreadabl
 
 
 def merged(catalogs: list[DataFrame], key: str) -> DataFrame:
-    """All entries of some catalogs; an id that comes twice is an error when the rows are read."""
+    """All entries of some catalogs; an id that comes twice is an error, whatever is read of the rows."""
     every = reduce(DataFrame.unionByName, catalogs)
     n = F.count("*").over(Window.partitionBy(key))
-    checked = F.when(n == 1, F.col(key)).otherwise(F.raise_error(F.concat(F.lit("catalog id comes twice: "), F.col(key).cast("string"))))
-    return every.withColumn(key, checked)
+    # the check is a filter: an action that reads no id, or only counts, cannot leave it out as it could a column
+    once = F.when(F.col("_n") == 1, True).otherwise(F.raise_error(F.concat(F.lit("catalog id comes twice: "), F.col(key).cast("string"))).cast("boolean"))
+    return every.withColumn("_n", n).where(once).drop("_n")
 
 
 def upserted(base: DataFrame, changes: DataFrame, key: str) -> DataFrame:

@@ -18,6 +18,9 @@ def test_catalog_ids_come_once(spark):
     assert {r.id for r in catalog.merged([one, two], "id").collect()} == {"a", "b"}
     with pytest.raises(Exception, match="comes twice"):
         catalog.merged([one, one], "id").collect()
+    for read in (lambda df: df.count(), lambda df: df.select("title").collect(), lambda df: df.where("title = 'a'").count()):
+        with pytest.raises(Exception, match="comes twice"):
+            read(catalog.merged([one, two, one], "id"))
 
 
 @pytest.mark.parametrize(
