@@ -5,16 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from codexframe.functions.text import base_groups, canonical_designation
+from codexframe.functions.text import BEFORE, CITATION, GROUPS, canonical_designation
 
-_GROUPS, _NUMBER, _BEFORE = base_groups(many=True), r"\d+\.\d+[a-z]?", r"(?<![\w./-])"
-#: Forms of a citation of the first authority, the most specific first.
-FIRST = (
-    r"(?:AMC|GM)\d*\s+CS[-\s]?[A-Z]{2,12}[.\s]\d+", r"(?:AMC|GM)\d*\s+CS[-\s]?\d+\.\d+", r"(?:AMC|GM)\d*\s+[A-Z]{2,12}\s+\d+", r"CS[-\s][A-Z]{2,12}[.\s]\d+", r"CS[-\s]\d+\.\d+",
-)
-#: Further numbers of a list: a comma or a word between, never both.
-_TAIL = rf"(?:(?>\s*(?:,|and|or)\s*){_BEFORE}{_NUMBER}{_GROUPS}(?![\w.]))*"
-_MARKED, _NAMED = rf"§\s*{_NUMBER}{_GROUPS}", rf"(?:14\s+CFR\s+)?§§\s*{_NUMBER}{_GROUPS}{_TAIL}|14\s+CFR\s+(?:§\s*)?{_NUMBER}{_GROUPS}{_TAIL}"
+#: Number of a section of the second authority (fixed value).
+_NUMBER = r"\d+\.\d+[a-z]?"
+#: Further numbers of a list (a comma or a word between, never both), and the forms that open one (fixed values).
+_TAIL = rf"(?:(?>\s*(?:,|and|or)\s*){BEFORE}{_NUMBER}{GROUPS}(?![\w.]))*"
+_MARKED, _NAMED = rf"§\s*{_NUMBER}{GROUPS}", rf"(?:14\s+CFR\s+)?§§\s*{_NUMBER}{GROUPS}{_TAIL}|14\s+CFR\s+(?:§\s*)?{_NUMBER}{GROUPS}{_TAIL}"
 
 
 def found(text: Column, pattern: str) -> Column:
@@ -33,7 +30,7 @@ def found(text: Column, pattern: str) -> Column:
 
 def of_first_authority(text: Column) -> Column:
     """CS-, AMC and GM citations: an array of (start, end, designation in canonical form)."""
-    hits = found(text, rf"(?U){_BEFORE}(?:{'|'.join(f + _GROUPS for f in FIRST)})")
+    hits = found(text, CITATION)
     return F.transform(hits, lambda h: F.struct(h["start"], h["end"], canonical_designation(h["text"]).alias("designation")))
 
 
@@ -43,11 +40,11 @@ def of_second_authority(text: Column) -> Column:
     A list goes on after a double section sign or a 14 CFR, and after a single sign that any double one precedes.
     """
     double = F.instr(text, "§§") - 1
-    alone = F.filter(found(text, rf"(?U){_BEFORE}(?:{_NAMED}|{_MARKED})"), lambda h: (double < 0) | (h["start"] < double))
-    listed = F.filter(found(text, rf"(?U){_BEFORE}(?:{_NAMED}|{_MARKED}{_TAIL})"), lambda h: (double >= 0) & (h["start"] >= double))
+    alone = F.filter(found(text, rf"(?U){BEFORE}(?:{_NAMED}|{_MARKED})"), lambda h: (double < 0) | (h["start"] < double))
+    listed = F.filter(found(text, rf"(?U){BEFORE}(?:{_NAMED}|{_MARKED}{_TAIL})"), lambda h: (double >= 0) & (h["start"] >= double))
 
     def numbers(hit):
-        own = F.zip_with(found(hit["text"], rf"(?U){_NUMBER}{_GROUPS}"), F.array(F.lit(True)), lambda n, first: F.struct(n.alias("n"), first.alias("first")))
+        own = F.zip_with(found(hit["text"], rf"(?U){_NUMBER}{GROUPS}"), F.array(F.lit(True)), lambda n, first: F.struct(n.alias("n"), first.alias("first")))
         begin = lambda x: F.when(x["first"], hit["start"]).otherwise(hit["start"] + x["n"]["start"])
         return F.transform(own, lambda x: F.struct(begin(x).alias("start"), (hit["start"] + x["n"]["end"]).alias("end"), F.concat(F.lit("14 CFR "), x["n"]["text"]).alias("designation")))
 

@@ -13,29 +13,39 @@ SCALARS = (
     "erules_id", "applicability_date", "source_title", "domain", "parent_ir", "entry_into_force_date", "sdt_id", "easa_category", "activity_type",
     "equivalent_foreign_regulation", "icao_reference", "registry_state", "regulated_entity", "guid", "pub_time",
 )
-#: Spellings that no rule gives (fixed values); the others are the field itself, or its words joined with capitals.
-SPELLINGS = {"id": "erules_id", "ERulesId": "erules_id", "title": "source_title", "ParentIR": "parent_ir", "EASACategory": "easa_category", "ICAOReference": "icao_reference"}
-#: Fields that also go by hyphens, and those that do not go by capitals (fixed values).
-_HYPHENED, _PLAIN = ("source_title", "sdt_id", "pub_time"), ("erules_id", "parent_ir", "sdt_id", "easa_category", "icao_reference", "guid", "pub_time")
-#: Fields that also go by capitals after a small first letter (fixed values).
-_CAMEL = (*LISTS[:-1], "applicability_date", "source_title")
+#: All spellings of each field's name in publications (fixed values).
+SPELLINGS = {
+    "erules_id": ("erules_id", "id", "ERulesId"),
+    "regulatory_source": ("regulatory_source", "regulatorySource", "RegulatorySource"),
+    "regulatory_subject": ("regulatory_subject", "regulatorySubject", "RegulatorySubject"),
+    "type_of_content": ("type_of_content", "typeOfContent", "TypeOfContent"),
+    "technical_subject_matter": ("technical_subject_matter", "technicalSubjectMatter", "TechnicalSubjectMatter"),
+    "aircraft_category": ("aircraft_category", "aircraftCategory", "AircraftCategory"),
+    "aircraft_use": ("aircraft_use", "aircraftUse", "AircraftUse"),
+    "applicability_date": ("applicability_date", "applicabilityDate", "ApplicabilityDate"),
+    "amended_by": ("amended_by", "amendedBy", "AmendedBy"),
+    "source_title": ("source_title", "title", "sourceTitle", "source-title"),
+    "domain": ("domain", "Domain"),
+    "parent_ir": ("parent_ir", "ParentIR"),
+    "entry_into_force_date": ("entry_into_force_date", "EntryIntoForceDate"),
+    "keywords": ("keywords", "Keywords"),
+    "sdt_id": ("sdt_id", "sdt-id"),
+    "easa_category": ("easa_category", "EASACategory"),
+    "activity_type": ("activity_type", "ActivityType"),
+    "equivalent_foreign_regulation": ("equivalent_foreign_regulation", "EquivalentForeignRegulation"),
+    "icao_reference": ("icao_reference", "ICAOReference"),
+    "registry_state": ("registry_state", "RegistryState"),
+    "regulated_entity": ("regulated_entity", "RegulatedEntity"),
+    "guid": ("guid",),
+    "pub_time": ("pub_time", "pub-time"),
+}
 #: Fields of which any makes metadata more than empty (fixed values).
 TELLING = (*LISTS, "erules_id", "applicability_date", "source_title", "domain", "parent_ir", "entry_into_force_date", "sdt_id", "guid", "pub_time")
 
 
 def spellings() -> dict[str, str]:
-    """All spellings of the fields' names."""
-    out = dict(SPELLINGS)
-    for name in (*LISTS, *SCALARS):
-        out[name] = name
-        words = "".join(w.capitalize() for w in name.split("_"))
-        if name not in _PLAIN and name != "source_title":
-            out[words] = name
-        if name in _CAMEL:
-            out[words[0].lower() + words[1:]] = name
-        if name in _HYPHENED:
-            out[name.replace("_", "-")] = name
-    return out
+    """The field of each spelling."""
+    return {spelling: name for name, known in SPELLINGS.items() for spelling in known}
 
 
 def items(text: Column) -> Column:
