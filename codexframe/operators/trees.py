@@ -28,17 +28,23 @@ def _is(*types: str) -> Column:
     return F.col("type").isin(*types)
 
 
+def attributed(nodes: DataFrame) -> DataFrame:
+    """nodes with a column for each attribute."""
+    kinds = dict(column.split() for column in ATTRIBUTES.split(", "))
+    return nodes.withColumns({name: (F.col(name) if name in nodes.columns else F.lit(None)).cast(kind) for name, kind in kinds.items()})
+
+
+def ancestors(nodes: DataFrame, keys: list[str], about: Column) -> tuple[DataFrame, int]:
+    """nodes with _above, what each one lies in from the document down (about of each level), and the deepest level."""
+    deepest = nodes.agg(F.max("depth")).first()[0] or 0  # one number: how many columns the window has
+    so_far = Window.partitionBy(*keys).orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
+    levels = F.array(*(F.last(F.when(F.col("depth") == level, about), ignorenulls=True).over(so_far) for level in range(deepest + 1)))
+    return nodes.withColumn("_above", F.slice(levels, F.lit(1), F.col("depth"))), deepest
+
+
 def _placed(nodes: DataFrame, keys: list[str]) -> tuple[DataFrame, int]:
     """nodes with all attributes, what they lie in, their place among siblings, and what they hold; the deepest level."""
-    for column in ATTRIBUTES.split(", "):
-        name, kind = column.split()
-        nodes = nodes.withColumn(name, (F.col(name) if name in nodes.columns else F.lit(None)).cast(kind))
-    deepest = nodes.agg(F.max("depth")).first()[0] or 0  # one number: how many columns the window has
-    order = Window.partitionBy(*keys).orderBy("ord")
-    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
-    about = F.struct("ord", "type", "ordered", "header")
-    above = F.array(*(F.last(F.when(F.col("depth") == level, about), ignorenulls=True).over(so_far) for level in range(deepest + 1)))
-    out = nodes.withColumn("_above", F.slice(above, F.lit(1), F.col("depth")))
+    out, deepest = ancestors(attributed(nodes), keys, F.struct("ord", "type", "ordered", "header"))
     parent = F.get("_above", F.col("depth") - 1)
     nearest = lambda *types: F.get(F.reverse(F.filter("_above", lambda a: a["type"].isin(*types))), F.lit(0))["ord"]
     out = out.withColumns({"_parent": parent, "_inline": _is(*INLINE), "_nested": F.size(F.filter("_above", lambda a: a["type"].isin(TOPICS))), "_tables": F.filter("_above", lambda a: a["type"] == "table"), "_cell": nearest("cell"), "_holder": F.when(_is(*INLINE), nearest(*_HOLDERS))})
@@ -248,18 +254,18 @@ def files(nodes: DataFrame, keys: list[str], prefix: str = "assets") -> DataFram
 
     Nodes as for markdown, the document at depth 0. All that lies in a topmost topic is in its file, rules/ or sections/
     and a slug; index.md has the document's title and identity, lists the topics, and holds what lies outside them. A
-    reference to a designation that has a file links to it (of several, the last one).
+    reference to a designation that has a file, or to the ERules ID of one in rules/, links to it (of several, the last one).
     """
     order = Window.partitionBy(*keys).orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
-    for column in ATTRIBUTES.split(", "):
-        name, kind = column.split()
-        nodes = nodes.withColumn(name, (F.col(name) if name in nodes.columns else F.lit(None)).cast(kind))
+    nodes = attributed(nodes)
     top = F.last(F.when(F.col("depth") == 1, F.struct("ord", "type", "level")), ignorenulls=True).over(order)
     within = nodes.withColumn("_top", top).where("depth > 0").withColumns({"_unit": F.col("_top.ord"), "depth": F.col("depth") - 1})
     level = F.when(F.col("_top.type") == "section", F.least(F.coalesce("_top.level", F.lit(1)) + 1, F.lit(6))).when(F.col("_top.type").isin(TOPICS), 1).otherwise(2)
     tops = nodes.where(F.col("depth") == 1).where(_is(*TOPICS))
     paths = rule_paths(tops.select(*keys, "ord", F.col("type").alias("kind"), F.coalesce("designation", F.lit("")).alias("designation"), F.coalesce("title", F.lit("")).alias("title"), F.coalesce("erules_id", F.lit("")).alias("erules_id")), keys)
-    linked = paths.where("designation <> ''").groupBy(*keys, F.col("designation").alias("target_designation")).agg(F.max_by("path", "ord").alias("_file"))
+    names = F.array("designation", F.when(F.col("kind") != "section", F.col("erules_id")))
+    named = paths.select(*keys, "ord", "path", F.explode(names).alias("target_designation")).where("target_designation <> ''")
+    linked = named.groupBy(*keys, "target_designation").agg(F.max_by("path", "ord").alias("_file"))
     within = within.withColumn("_base", level).join(linked, [*keys, "target_designation"], "left").withColumn("path", F.coalesce("_file", "path"))
     body = F.when(F.col("_top.type").isin(TOPICS), f"../{prefix}").otherwise(prefix)
     shown = markdown(within.withColumn("_prefix", body), [*keys, "_unit"], F.col("_base"), F.col("_prefix"))
