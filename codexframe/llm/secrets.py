@@ -1,18 +1,20 @@
 """Secret scans through layers of encoding.
 
-The text is the first layer. A worklist unwraps percent escapes, Unicode escapes, base64 and compressed payloads of
-every layer into further layers until nothing new appears; contents seen before are not entered again, so cycles
-end. Bytes that are no text part a run and don't hide the rest of it. Base64 is joined over line breaks and read at
+The text is the first layer. A worklist unwraps percent escapes, Unicode escapes (both of the whole layer at once, since a
+literal space can lie beside an escape), base64 and compressed payloads (gzip, zlib, deflate, bz2) of every layer into
+further layers until nothing new appears; contents seen before are not entered again, so cycles end. Bytes that are no text part a run and don't hide the rest of it. Base64 is joined over line breaks and read at
 all four alignments, and payloads of any size are inflated window by window. Every layer is scanned alike, and each character of a layer knows the span of the text it came from.
 """
 
 from __future__ import annotations
 
 import base64
+import bz2
 import hashlib
 import re
 import zlib
 from collections.abc import Callable, Iterable, Iterator
+from functools import cache
 from itertools import chain
 
 import numpy as np
@@ -26,17 +28,17 @@ KINDS = ("assign", "access", "hex")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")
-#: Longest runs that an encoded stretch can lie in; possessive, so that long runs without escapes cost one pass.
-_PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2}|[A-Za-z0-9+/_.=~&:;,'\"!*()-])++")
-_ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|[\x21-\x5b\x5d-\x7e])++")
-_ONE_ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})")
+_ONE_ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|\\U([0-9A-Fa-f]{8})|\\u\{([0-9A-Fa-f]{1,6})\}|%u([0-9A-Fa-f]{4})")
+_GAP = re.compile(r"\s")
 #: Base64 runs with line breaks and indentation inside; 20 characters without them, or more that a break joins.
 _BREAK = r"(?:[\x20\t]*+(?:\r?\n|\\r\\n|\\n)[\x20\t]*+)"
 _BASE64 = re.compile(rf"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{{20,}}+|[A-Za-z0-9+/_-]++(?={_BREAK}[A-Za-z0-9+/_-]))(?:{_BREAK}[A-Za-z0-9+/_-]++)*+={{0,2}}")
 _BREAKS = re.compile(_BREAK)
 #: Maximal parts of decoded text; shorter ones than 16 can hold neither a secret nor an encoded one.
 _PART = re.compile("[^\x00-\x08\x0b\x0c\x0e-\x1f\x7f\ud800-\udfff]{16,}")
-_MAGIC = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]")
+_MAGIC = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|BZh[1-9]1AY&SY")
+#: Sixteen or more ASCII characters of two bytes each, the lower one first or last.
+_WIDE = re.compile(rb"(?:[\x09\x0a\x0d\x20-\x7e]\x00){16,}+|(?:\x00[\x09\x0a\x0d\x20-\x7e]){16,}+")
 #: Bytes of a compressed payload and of its content that are handled at once; a content's windows end between two
 #: words, where no pattern and no encoded run can lie, and only beyond MOST anywhere, with an overlap.
 FEED, CHUNK, WINDOW, MOST, OVERLAP = 1 << 16, 1 << 20, 4 << 20, 16 << 20, 1 << 20
@@ -44,6 +46,7 @@ FEED, CHUNK, WINDOW, MOST, OVERLAP = 1 << 16, 1 << 20, 4 << 20, 16 << 20, 1 << 2
 _HEX_RUN = bytes(1 if chr(c) in "0123456789abcdef" else 0 for c in range(256))
 _BASE64_RUN = bytes(1 if re.match(r"[A-Za-z0-9+/_-]", chr(c)) and c < 128 else 0 for c in range(256))
 _STANDARD = str.maketrans("-_", "+/")
+_IS_DIGIT = np.array([chr(c) in "0123456789abcdefABCDEF" for c in range(256)])
 _DIGIT = np.array([int(chr(c), 16) if chr(c) in "0123456789abcdefABCDEF" else 0 for c in range(256)], np.uint8)
 _WORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 
@@ -81,9 +84,30 @@ class Layer:
         return Layer(text, self.start[a], self.end[b - 1])
 
 
-def _inflate(chunks: Iterable[bytes], used: list[int]) -> Iterator[bytes]:
-    """Content of a compressed stream and of the members after it, as far as it is sound; used[0]: bytes of ended members."""
-    fed, one = 0, zlib.decompressobj(47)
+def _bunzip(chunks: Iterable[bytes], used: list[int]) -> Iterator[bytes]:
+    """Content of a bz2 stream as far as it is sound; used[0]: its bytes, once it ended."""
+    fed, one = 0, bz2.BZ2Decompressor()
+    for data in chunks:
+        fed += len(data)
+        while not one.eof and (data or not one.needs_input):
+            try:
+                out = one.decompress(data, CHUNK)
+            except OSError:
+                return
+            data = b""
+            if out:
+                yield out
+        if one.eof:
+            used[0] = fed - len(one.unused_data)
+            return
+
+
+def _inflate(chunks: Iterable[bytes], used: list[int], form: int = 47) -> Iterator[bytes]:
+    """Content of a compressed stream and of the members after it, as far as it is sound; used[0]: bytes of ended members.
+
+    form: 47 for gzip and zlib by their heads, -15 for deflate without any.
+    """
+    fed, one = 0, zlib.decompressobj(form)
     for data in chunks:
         fed += len(data)
         more = True
@@ -112,8 +136,11 @@ def _inflate(chunks: Iterable[bytes], used: list[int]) -> Iterator[bytes]:
 
 
 def _content(chunks: Iterable[bytes], used: list[int], above: frozenset[bytes]) -> Iterator[bytes]:
-    """Content of a stream; where that is itself a gzip stream not met above (a stream can hold itself), the content of it."""
-    out = _inflate(chunks, used)
+    """Content of a stream by how it begins; where that is itself a gzip stream not met above (a stream can hold itself), the content of it."""
+    chunks = iter(chunks)
+    head = next(chunks, b"")
+    unpacked = _bunzip if head.startswith(b"BZh") else _inflate if _MAGIC.match(head) else lambda c, u: _inflate(c, u, -15)
+    out = unpacked(chain([head], chunks), used)
     first = next(out, b"")
     key = hashlib.sha1(first[:FEED]).digest()
     if first.startswith(b"\x1f\x8b\x08") and key not in above:
@@ -145,10 +172,19 @@ def _windows(chunks: Iterable[bytes]) -> Iterator[bytes]:
         yield bytes(held)
 
 
-def _from_bytes(layer: Layer, raw: bytes, spans: Callable[[], tuple[np.ndarray, np.ndarray]], end: int, above: frozenset[bytes] = frozenset()) -> Iterator[Layer]:
-    """Layers of all parts of decoded bytes that are text, and of the payloads compressed in them.
+def _is_deflate(raw: bytes) -> bool:
+    """Whether bytes inflate as a stream without a head: 64 bytes of content, or all of a shorter one."""
+    one = zlib.decompressobj(-15)
+    try:
+        return len(out := one.decompress(raw[:FEED], 64)) == 64 or (len(out) >= 16 and one.eof)
+    except zlib.error:
+        return False
+
 
-    spans gives the source spans (starts, ends) of all bytes; a payload's span ends where its run does, at end.
+def _from_bytes(layer: Layer, raw: bytes, spans: Callable[[], tuple[np.ndarray, np.ndarray]], end: Callable[[int], int], above: frozenset[bytes] = frozenset()) -> Iterator[Layer]:
+    """Layers of all parts of decoded bytes that are text, in bytes or pairs of them, and of the payloads compressed in them.
+
+    spans gives the source spans (starts, ends) of all bytes; end says where the span of a payload ends that begins at a place.
     """
     text = raw.decode("utf-8", "surrogateescape")
     parts = [m.span() for m in _PART.finditer(text)]
@@ -163,9 +199,16 @@ def _from_bytes(layer: Layer, raw: bytes, spans: Callable[[], tuple[np.ndarray,
             a, b = a[last - width], b[last - 1]
         for p, q in parts:
             yield layer.within(text[p:q], a[p:q], b[p:q])
+    for m in _WIDE.finditer(raw) if b"\x00" in raw else ():
+        wide, low = m[0].replace(b"\x00", b"").decode("ascii"), m.start()
+        if layer.box:
+            yield Layer(wide, box=layer.box)
+        else:
+            a, b = spans()
+            yield layer.within(wide, a[low : m.end() : 2], b[low + 1 : m.end() : 2])
     at = 0
-    for m in _MAGIC.finditer(raw):
-        first = m.start()
+    places = [m.start() for m in _MAGIC.finditer(raw)]
+    for first in places if places[:1] == [0] or not _is_deflate(raw) else [0, *places]:
         key = hashlib.sha1(raw[first : first + FEED]).digest()
         if first < at or key in above:
             continue
@@ -173,7 +216,7 @@ def _from_bytes(layer: Layer, raw: bytes, spans: Callable[[], tuple[np.ndarray,
         inner = None
         for window in _windows(_content((raw[k : k + FEED] for k in range(first, len(raw), FEED)), used, above | {key})):
             if inner is None:
-                inner = Layer("", box=layer.box or layer.span(int(spans()[0][first]), end))
+                inner = Layer("", box=layer.box or layer.span(int(spans()[0][first]), end(int(spans()[0][first]))))
             yield from _from_bytes(inner, window, spans, end, above | {key})
         at = first + used[0]
 
@@ -182,27 +225,31 @@ def unwrap(layer: Layer, raw: bytes) -> Iterator[Layer]:
     """Layers one encoding below this one."""
     text = layer.text
     if b"%" in raw:
-        for m in _PERCENT.finditer(text):
-            if "%" not in m[0]:
-                continue
-            codes = np.frombuffer(m[0].encode("ascii"), np.uint8)
-            first, kept, decoded = np.flatnonzero(codes == ord("%")), np.ones(len(codes), bool), codes.copy()
+        codes = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+        first = np.flatnonzero((codes[:-2] == ord("%")) & _IS_DIGIT[codes[1:-1]] & _IS_DIGIT[codes[2:]])
+        if first.size:
+            kept, decoded, after = np.ones(len(codes), bool), codes.copy(), np.ones(len(codes), np.int64)
             kept[first + 1] = kept[first + 2] = False
-            decoded[first] = _DIGIT[codes[first + 1]] * 16 + _DIGIT[codes[first + 2]]
-            starts = m.start() + np.flatnonzero(kept)
-            ends = np.append(starts[1:], m.end())
-            yield from _from_bytes(layer, decoded[kept].tobytes(), lambda a=starts, b=ends: (a, b), m.end())
-    if b"\\u" in raw or b"\\x" in raw:
-        for m in _ESCAPE.finditer(text):
-            if "\\" not in m[0]:
-                continue
-            kept = np.ones(len(m[0]), bool)
-            for one in _ONE_ESCAPE.finditer(m[0]):
-                kept[one.start() + 1 : one.end()] = False
-            joined = _ONE_ESCAPE.sub(lambda one: chr(int(one[1] or one[2], 16)), m[0])
-            starts = m.start() + np.flatnonzero(kept)
-            ends = np.append(starts[1:], m.end())
-            for part in _PART.finditer(joined):
+            decoded[first], after[first] = _DIGIT[codes[first + 1]] * 16 + _DIGIT[codes[first + 2]], 3
+
+            def places() -> tuple[np.ndarray, np.ndarray]:
+                own = (np.cumsum((codes & 0xC0) != 0x80) - 1)[kept]  # the character that a byte belongs to
+                return own, own + after[kept]
+
+            yield from _from_bytes(layer, decoded[kept].tobytes(), cache(places), lambda a: gap.start() if (gap := _GAP.search(text, a)) else len(text))
+    if b"\\u" in raw or b"\\x" in raw or b"\\U" in raw or b"%u" in raw:
+        escapes = [(m.start(), m.end(), int(next(filter(None, m.groups())), 16)) for m in _ONE_ESCAPE.finditer(text)]
+        if escapes:
+            kept, after = np.ones(len(text), bool), np.ones(len(text), np.int64)
+            pieces, at = [], 0
+            for a, b, code in escapes:
+                kept[a + 1 : b], after[a] = False, b - a
+                pieces += [text[at:a], chr(code) if code < 0x110000 else "\ufffd"]
+                at = b
+            joined_text = "".join([*pieces, text[at:]])
+            starts = np.flatnonzero(kept)
+            ends = starts + after[kept]
+            for part in _PART.finditer(joined_text):
                 yield layer.within(part[0], starts[part.start() : part.end()], ends[part.start() : part.end()])
     if b"\n" in raw or b"\\n" in raw or b"\x01" * 20 in raw.translate(_BASE64_RUN):
         for m in _BASE64.finditer(text):
@@ -222,7 +269,7 @@ def unwrap(layer: Layer, raw: bytes) -> Iterator[Layer]:
                     places, k = m.start() + np.flatnonzero(kept)[skip:], np.arange(size, dtype=np.int64)
                     return places[k * 8 // 6], places[np.minimum(-(-(k + 1) * 8 // 6), chars) - 1] + 1
 
-                yield from _from_bytes(layer, decoded, spans, m.end())
+                yield from _from_bytes(layer, decoded, cache(spans), lambda _, m=m: m.end())
 
 
 def scan_text(text: str, raw: bytes | None = None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
