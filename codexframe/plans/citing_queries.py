@@ -36,7 +36,8 @@ def _nodes(spark, sf_dir):
 
     start = F.array(node(0, "document", title=F.col("brand")))
     flat = each.select(*_KEYS, F.posexplode(F.concat(start, F.flatten(F.transform("held", topic)))).alias("ord", "n"))
-    return flat.select(*_KEYS, F.col("ord").cast("long").alias("ord"), "n.*")
+    nodes = flat.select(*_KEYS, F.col("ord").cast("long").alias("ord"), "n.*")
+    return nodes.repartition(*_KEYS)  # a part became a dozen rows: partitions of their size, not of the parts'
 
 
 _EDGES = """e AS (SELECT brand, block, k, 'CS-23.' || next || '(a)(1)' AS text, 'CS-23.' || next || '(a)(1)' AS target_designation, CASE WHEN next < 999999999 THEN 'n' || next END AS target_id FROM p
