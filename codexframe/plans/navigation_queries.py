@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from codexframe.operators import navigation as nav
+from codexframe.operators import nesting
 from codexframe.plans.registry import query
 from codexframe.sources.tables import table
 
@@ -170,3 +171,26 @@ def material_category(spark, sf_dir):
     first = F.substring("o_orderpriority", 1, 1)
     kind = F.when(first == "1", "requirement").when(first == "2", "acceptable_means").when(first == "3", "guidance").otherwise("other")
     return table(spark, sf_dir, "orders").select("o_orderkey", kind.alias("category"))
+
+
+_OUTLINE = "o AS MATERIALIZED (SELECT o_orderstatus AS doc, o_orderkey AS place, 1 + floor(o_totalprice)::BIGINT % 50 AS level FROM orders), u AS MATERIALIZED (SELECT *, (SELECT max(b.place) FROM o b WHERE b.doc = o.doc AND b.place < o.place AND b.level < o.level) AS parent FROM o)"
+
+
+def _outline(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("doc"), F.col("o_orderkey").alias("place"), (1 + F.floor("o_totalprice") % 50).alias("level"))
+
+
+@query("outline_any_level", f"WITH {_OUTLINE} SELECT doc, place, level, parent FROM u")
+def outline_any_level(spark, sf_dir):
+    return nesting.parents(_outline(spark, sf_dir), "doc", "place", "level")
+
+
+@query(
+    "outline_trail",
+    f"""WITH RECURSIVE {_OUTLINE}, t AS (SELECT doc, place, parent, level::VARCHAR AS trail FROM u
+        UNION ALL SELECT t.doc, t.place, u.parent, u.level || ' > ' || t.trail FROM t JOIN u ON u.doc = t.doc AND u.place = t.parent) SELECT doc, place, trail FROM t WHERE parent IS NULL""",
+)
+def outline_trail(spark, sf_dir):
+    found = nesting.open_above(_outline(spark, sf_dir), "doc", "place", "level")
+    levels = F.concat(F.transform("path", lambda x: x["level"]), F.array("level"))
+    return found.select("doc", "place", F.array_join(F.transform(levels, lambda k: k.cast("string")), " > ").alias("trail"))
