@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codexframe.plans.registry import query
-from codexframe.sources import bodies, packages, sections, topics
+from codexframe.sources import bodies, packages, sections, split_sections, topics
 from codexframe.sources.tables import table
+from codexframe.sources.work import shared_path
 
 _SPACES = " ".join(
     f'xmlns:{k}="{v}"'
@@ -222,6 +223,37 @@ def numbered_runs(spark, sf_dir):
     return nodes.where("node_type = 'paragraph'").select("package", "parent", shown.alias("runs")).join(warned, ["package", "parent"]).drop("parent")
 
 
+_SECTION = '<DIV8 N="§ 23.{k}" TYPE="SECTION"><HEAD>§ 23.{k} Title of {k}.</HEAD><P>Text <I>of</I> {k}</P></DIV8>'
+
+
+def _publications(spark, sf_dir) -> str:
+    """A folder of publications, one a maker (the brand's first digit), as long as its parts are many: a subpart a brand, a section a part."""
+    parts = table(spark, sf_dir, "part").select(F.substring("p_brand", 7, 1).alias("maker"), "p_brand", "p_partkey")
+    brands = parts.select("maker", "p_brand").distinct()
+    line = lambda df, brand, at, text: df.select("maker", brand.alias("brand"), at.cast("long").alias("at"), text.alias("value"))
+    lines = line(parts, F.col("p_brand"), F.col("p_partkey"), _filled(_SECTION, "{k}", F.col("p_partkey").cast("string")))
+    for at, text in ((-1, '<DIV6 N="A" TYPE="SUBPART"><HEAD>Subpart of {k}</HEAD>'), (1 << 62, "</DIV6>")):
+        lines = lines.union(line(brands, F.col("p_brand"), F.lit(at), _filled(text, "{k}", F.col("p_brand"))))
+    for brand, text in (("", '<DIV5 N="23" TYPE="PART"><HEAD>Part 23</HEAD>'), ("~", "</DIV5>")):
+        lines = lines.union(line(parts.select("maker").distinct(), F.lit(brand), F.lit(0), F.lit(text)))
+    at = shared_path(spark, "publications")
+    lines.repartition("maker").sortWithinPartitions("maker", "brand", "at").select("maker", "value").write.partitionBy("maker").text(at)
+    return f"{at}/*/*.txt"
+
+
+#: Small splits, so that every publication of the small tables has several.
+_SPLIT_BYTES = 1 << 14
+
+
+@query("sections_of_splits", "SELECT substring(p_brand, 7, 1) AS publication, 'Subpart of ' || p_brand AS subpart, '14 CFR 23.' || p_partkey AS designation, 'Title of ' || p_partkey AS title, 'Text of ' || p_partkey AS body, 2 * row_number() OVER w + dense_rank() OVER v AS ordinal FROM part WINDOW w AS (PARTITION BY substring(p_brand, 7, 1) ORDER BY p_brand, p_partkey), v AS (PARTITION BY substring(p_brand, 7, 1) ORDER BY p_brand)")
+def sections_of_splits(spark, sf_dir):
+    nodes = split_sections.section_nodes_of_files(spark, _publications(spark, sf_dir), _SPLIT_BYTES)
+    subparts = nodes.where("node_type = 'section'").select("package", F.col("ord").alias("parent"), F.col("title").alias("subpart"))
+    own = nodes.where("node_type = 'requirement'").select("package", "ord", "parent").join(subparts, ["package", "parent"])
+    found = sections.topics(nodes).join(own, ["package", "ord"])
+    return found.select(F.regexp_extract("package", "maker=([^/]*)/", 1).alias("publication"), "subpart", "designation", "title", "body", (F.col("ord") + 1).alias("ordinal"))
+
+
 @query(
     "topics_of_any_kind",
     f"SELECT package, kind, count(*) AS n FROM ({_TOPIC_SQL}) GROUP BY package, kind UNION ALL SELECT 'n:' || p_brand, 'requirement', count(*) FROM part GROUP BY p_brand",

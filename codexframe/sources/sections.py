@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 NODES = "package string, ord long, parent long, depth int, node_type string, level int, designation string, title string, text string, runs array<struct<kind:string,text:string>>, error string"
 #: Divisions that hold others, with their outline level; a section is division 8 (fixed values).
 CONTAINERS = {"DIV6": 1, "DIV7": 2}
-_SECTION, _ROOT = "DIV8", "DIV5"
+SECTION, ROOT = "DIV8", "DIV5"
 _TABLES = ("TABLE", "GPOTABLE", "BOXTXT")
 #: A section's head: its number after the section sign, then its title up to a final full stop.
 _HEAD = re.compile(r"\s*§+\s*([\d.]+[A-Za-z]?)\s*(.*?)\.?\s*")
@@ -43,19 +43,27 @@ class _Walk:
 
     def __init__(self):
         self.rows: list[tuple] = []
+        #: Rows that were taken away already.
+        self.taken = 0
 
     def add(self, parent: int | None, depth: int, kind: str, level: int | None = None, designation: str = "", title: str = "", text: str = "", runs: list[dict] | None = None) -> int:
-        self.rows.append((len(self.rows), parent, depth, kind, level, designation, title, text, runs, None))
-        return len(self.rows) - 1
+        own = self.taken + len(self.rows)
+        self.rows.append((own, parent, depth, kind, level, designation, title, text, runs, None))
+        return own
+
+    def part(self, element, parent: int | None = None, depth: int = 0) -> None:
+        head = element.find("HEAD")
+        own = self.add(parent, depth, "document", None, _citation(element) or f"14 CFR {element.get('N') or ''}".strip(), _flat(head) if head is not None else "")
+        self.visit(element, own, depth + 1)
 
     def visit(self, element, parent: int | None, depth: int) -> None:
         for child in element:
             tag = child.tag
-            if tag in CONTAINERS or tag == _SECTION:
+            if tag in CONTAINERS or tag == SECTION:
                 head = child.find("HEAD")
                 title = _flat(head) if head is not None else ""
                 cited = _citation(child)
-                if tag == _SECTION:
+                if tag == SECTION:
                     named = _HEAD.fullmatch(title)
                     number = (child.get("N") or (named[1] if named else "")).replace("§", "").strip()
                     own = self.add(parent, depth, "requirement", None, cited or f"14 CFR {number}", named[2].strip() if named else title)
@@ -102,10 +110,7 @@ def section_nodes(packages: DataFrame) -> DataFrame:
                 except ElementTree.ParseError as e:
                     error = f"ParseError: {e}"
                 else:
-                    part = root if root.tag == _ROOT else next(root.iter(_ROOT), root)
-                    head = part.find("HEAD")
-                    own = walk.add(None, 0, "document", None, _citation(part) or f"14 CFR {part.get('N') or ''}".strip(), _flat(head) if head is not None else "")
-                    walk.visit(part, own, 1)
+                    walk.part(root if root.tag == ROOT else next(root.iter(ROOT), root))
                 rows = [(package, *r) for r in walk.rows] if error is None else [(package, *[None] * (len(names) - 2), error)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
