@@ -86,7 +86,7 @@ def table_markup(spark, sf_dir):
 _FORM = lambda at: pkg._sql_form(at, "v").removesuffix(" AS v")
 _SLUG = "CASE WHEN d <> '' THEN lower(replace(replace(d, '.', '-'), ' ', '-')) WHEN kind = 'section' THEN lower(replace(title, ' ', '-')) ELSE lower(replace(e, ' ', '-')) END"
 _FILES = f"""
-f AS (SELECT p_brand AS package, p_partkey, {_FORM(1)} AS kind, {_FORM(2)} AS d, {_FORM(3)} AS title, {_FORM(4)} AS e, {_FORM(6)} AS body FROM part),
+f AS (SELECT package, p_partkey, {_FORM(1)} AS kind, {_FORM(2)} AS d, {_FORM(3)} AS title, {_FORM(4)} AS e, {_FORM(6)} AS body FROM {pkg.PART}),
 g AS (SELECT *, CASE WHEN kind = 'section' THEN 'sections/' ELSE 'rules/' END || {_SLUG} || '.md' AS path FROM f)
 """
 
@@ -109,7 +109,7 @@ def markdown_files(spark, sf_dir):
 
 @query(
     "preparation_counts",
-    """SELECT p_brand AS package, count(*) AS n_outline, count(*) FILTER (p_partkey % 6 <> 4) AS n_navigable, count(*) FILTER (p_partkey % 6 IN (1, 2, 3)) AS n_materials, 1::BIGINT AS n_tables, 1::BIGINT AS n_figures, 2::BIGINT AS n_warnings FROM part GROUP BY p_brand""",
+    f"""SELECT package, count(*) AS n_outline, count(*) FILTER (p_partkey % 6 <> 4) AS n_navigable, count(*) FILTER (p_partkey % 6 IN (1, 2, 3)) AS n_materials, 1::BIGINT AS n_tables, 1::BIGINT AS n_figures, 2::BIGINT AS n_warnings FROM {pkg.PART} GROUP BY package""",
 )
 def preparation_counts(spark, sf_dir):
     """What is ready of each package: outline, navigable topics, materials, tables, figures, warnings."""

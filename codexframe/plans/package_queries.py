@@ -1,4 +1,4 @@
-"""Queries over packages: one is generated for each brand of parts, with a topic for each part in one of six forms."""
+"""Queries over packages: one is generated for each brand and block of part keys, with a topic for each part in one of six forms."""
 
 from __future__ import annotations
 
@@ -68,20 +68,30 @@ def _filled(form: str, key: str, value: Column) -> Column:
     return F.replace(F.lit(form), F.lit(key), value)
 
 
+#: Keys of parts that one package holds, so that packages grow in number and not in size.
+BLOCK = 500
+PART = f"(SELECT *, p_brand || '.' || (p_partkey // {BLOCK}) AS package FROM part)"
+
+
+def _bounded(spark, sf_dir) -> DataFrame:
+    block = F.floor(F.col("p_partkey") / BLOCK).cast("string")
+    return table(spark, sf_dir, "part").withColumn("package", F.concat("p_brand", F.lit("."), block))
+
+
 def _packages(spark, sf_dir) -> DataFrame:
-    """package (the brand) and content, a flat package."""
-    key, brand = F.col("p_partkey").cast("string"), F.col("p_brand")
+    """package (the brand and a block of part keys) and content, a flat package."""
+    key, brand = F.col("p_partkey").cast("string"), F.col("package")
     piece = F.lit(None).cast("string")
     for i, form in enumerate(TOPICS):
         piece = F.when(F.col("p_partkey") % len(TOPICS) == i, _filled(form[0], "{k}", key)).otherwise(piece)
     exported = F.when(F.col("p_partkey") % len(TOPICS) == 0, _filled('<x:topic sdt-id="{k}" source-title="CS 23.{k} Loads" ERulesId="ERULES-{k}"/>', "{k}", key)).otherwise("")
-    inside = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.sort_array(F.collect_list(F.struct("p_partkey", piece.alias("body"), exported.alias("export")))).alias("t"))
+    inside = _bounded(spark, sf_dir).groupBy("package").agg(F.sort_array(F.collect_list(F.struct("p_partkey", piece.alias("body"), exported.alias("export")))).alias("t"))
     joined = lambda field: F.array_join(F.transform("t", lambda x: x[field]), "")
     document = F.concat(F.lit(f'<pkg:part pkg:name="/word/document.xml"><pkg:xmlData><w:document {_SPACES}><w:body>'), joined("body"), _filled(_REST, "{b}", brand), F.lit("</w:body></w:document></pkg:xmlData></pkg:part>"))
     export = F.concat(F.lit(f'<pkg:part pkg:name="/customXml/item1.xml"><pkg:xmlData><x:document {_SPACES} guid="g" source-title="Export" RegulatorySource="ED 8; ED 7">'), joined("export"), F.lit("</x:document></pkg:xmlData></pkg:part>"))
     image = F.concat(F.lit('<pkg:part pkg:name="/word/media/a.png"><pkg:binaryData>'), F.base64(F.encode(brand, "UTF-8")), F.lit("</pkg:binaryData></pkg:part>"))
     whole = F.concat(F.lit('<?xml version="1.0"?><pkg:package xmlns:pkg="http://schemas.microsoft.com/office/2006/xmlPackage">'), document, export, image, _filled(_OTHER_PARTS, "{b}", brand), F.lit("</pkg:package>"))
-    return inside.select(brand.alias("package"), F.encode(whole, "UTF-8").alias("content"))
+    return inside.select("package", F.encode(whole, "UTF-8").alias("content"))
 
 
 def _parts(spark, sf_dir) -> DataFrame:
@@ -92,7 +102,7 @@ def _nodes(spark, sf_dir) -> DataFrame:
     return bodies.body_nodes(_parts(spark, sf_dir))
 
 
-_BRANDS = "(SELECT DISTINCT p_brand AS package FROM part)"
+_BRANDS = f"(SELECT DISTINCT package FROM {PART})"
 
 
 def _sql_form(at: int, name: str) -> str:
@@ -100,7 +110,7 @@ def _sql_form(at: int, name: str) -> str:
     return f"CASE p_partkey % {len(TOPICS)}{cases} END AS {name}"
 
 
-_TOPIC_SQL = "SELECT p_brand AS package, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS n, " + ", ".join(_sql_form(i + 1, c) for i, c in enumerate(("kind", "designation", "title", "erules_id", "regulatory_source", "body"))) + " FROM part"
+_TOPIC_SQL = "SELECT package, row_number() OVER (PARTITION BY package ORDER BY p_partkey) AS n, " + ", ".join(_sql_form(i + 1, c) for i, c in enumerate(("kind", "designation", "title", "erules_id", "regulatory_source", "body"))) + f" FROM {PART}"
 
 
 @query("package_topics", _TOPIC_SQL)
@@ -193,8 +203,8 @@ _FIXED = (("list_item", 2), ("cell", 5), ("metadata", 1), ("unknown", 1), ("unha
 
 @query(
     "package_node_counts",
-    f"""SELECT package, node_type, sum(n)::BIGINT AS n FROM (SELECT p_brand AS package, {_KINDS} AS node_type, count(*) AS n FROM part GROUP BY ALL
-        UNION ALL SELECT p_brand, 'paragraph', sum(CASE p_partkey % 6 WHEN 0 THEN 2 WHEN 1 THEN 2 WHEN 5 THEN 2 WHEN 3 THEN 0 ELSE 1 END) + 3 FROM part GROUP BY p_brand
+    f"""SELECT package, node_type, sum(n)::BIGINT AS n FROM (SELECT package, {_KINDS} AS node_type, count(*) AS n FROM {PART} GROUP BY ALL
+        UNION ALL SELECT package, 'paragraph', sum(CASE p_partkey % 6 WHEN 0 THEN 2 WHEN 1 THEN 2 WHEN 5 THEN 2 WHEN 3 THEN 0 ELSE 1 END) + 3 FROM {PART} GROUP BY package
         UNION ALL SELECT package, k, c FROM {_BRANDS}, (VALUES {', '.join(map(str, _FIXED))}) AS t(k, c)) GROUP BY package, node_type""",
 )
 def package_node_counts(spark, sf_dir):
@@ -202,20 +212,20 @@ def package_node_counts(spark, sf_dir):
 
 
 def _numbered(spark, sf_dir) -> DataFrame:
-    """package and content: a numbered-division publication for each brand, a section for each part."""
+    """package and content: a numbered-division publication for each brand and block of part keys, a section for each part."""
     key = F.col("p_partkey").cast("string")
     section = _filled('<DIV8 N="§ 23.{k}" TYPE="SECTION"><HEAD>§ 23.{k} Title of {k}.</HEAD><P>Text <I>of</I> {k}</P><TABLE><TR><TH>a</TH><TD>{k}</TD></TR></TABLE></DIV8>', "{k}", key)
-    inside = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.sort_array(F.collect_list(F.struct("p_partkey", section.alias("s")))).alias("t"))
+    inside = _bounded(spark, sf_dir).groupBy("package").agg(F.sort_array(F.collect_list(F.struct("p_partkey", section.alias("s")))).alias("t"))
     whole = F.concat(F.lit('<DIV5 N="23" TYPE="PART"><HEAD>Part 23</HEAD><DIV6 N="A" TYPE="SUBPART"><HEAD>Subpart A</HEAD>'), F.array_join(F.transform("t", lambda x: x["s"]), ""), F.lit("</DIV6></DIV5>"))
-    return inside.select(F.concat(F.lit("n:"), "p_brand").alias("package"), F.encode(whole, "UTF-8").alias("content"))
+    return inside.select(F.concat(F.lit("n:"), "package").alias("package"), F.encode(whole, "UTF-8").alias("content"))
 
 
-@query("numbered_sections", "SELECT 'n:' || p_brand AS package, '14 CFR 23.' || p_partkey AS designation, 'Title of ' || p_partkey AS title, 'Text of ' || p_partkey || chr(10) || 'a | ' || p_partkey AS body FROM part")
+@query("numbered_sections", f"SELECT 'n:' || package AS package, '14 CFR 23.' || p_partkey AS designation, 'Title of ' || p_partkey AS title, 'Text of ' || p_partkey || chr(10) || 'a | ' || p_partkey AS body FROM {PART}")
 def numbered_sections(spark, sf_dir):
     return sections.topics(sections.section_nodes(_numbered(spark, sf_dir))).select("package", "designation", "title", "body")
 
 
-@query("numbered_runs", "SELECT 'n:' || p_brand AS package, 'Text |italic:of| ' || p_partkey AS runs, 'TABLE: 1 rows of at most 2 cells as paragraphs' AS warning FROM part")
+@query("numbered_runs", f"SELECT 'n:' || package AS package, 'Text |italic:of| ' || p_partkey AS runs, 'TABLE: 1 rows of at most 2 cells as paragraphs' AS warning FROM {PART}")
 def numbered_runs(spark, sf_dir):
     nodes = sections.section_nodes(_numbered(spark, sf_dir))
     shown = F.array_join(F.transform("runs", lambda r: F.concat(F.when(r["kind"] == "", "").otherwise(F.concat(r["kind"], F.lit(":"))), r["text"])), "|")
@@ -256,7 +266,7 @@ def sections_of_splits(spark, sf_dir):
 
 @query(
     "topics_of_any_kind",
-    f"SELECT package, kind, count(*) AS n FROM ({_TOPIC_SQL}) GROUP BY package, kind UNION ALL SELECT 'n:' || p_brand, 'requirement', count(*) FROM part GROUP BY p_brand",
+    f"SELECT package, kind, count(*) AS n FROM ({_TOPIC_SQL}) GROUP BY package, kind UNION ALL SELECT 'n:' || package, 'requirement', count(*) FROM {PART} GROUP BY package",
 )
 def topics_of_any_kind(spark, sf_dir):
     files = _packages(spark, sf_dir).unionByName(_numbered(spark, sf_dir))
