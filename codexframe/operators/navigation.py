@@ -99,11 +99,15 @@ def item_numbers(keys: list[str], order: str, given: Column, start: Column) -> C
     return F.coalesce(given.cast("long"), (start + F.row_number().over(Window.partitionBy(*keys).orderBy(order)) - 1).cast("long"))
 
 
-def trimmed_edges(keys: list[str], order: str, text: str) -> Column:
-    """A piece of text without white space at the beginning if it is its paragraph's first, at the end if it is the last."""
+def trimmed_edges(keys: list[str], order: str, text: str, plain: Column | None = None) -> Column:
+    """A piece of text without white space at the beginning if it is its paragraph's first, at the end if it is the last.
+
+    Where plain is given, pieces for which it does not hold (formatted ones) stay as they are.
+    """
     own = Window.partitionBy(*keys)
-    left = F.when(F.col(order) == F.min(order).over(own), F.regexp_replace(text, r"(?U)^\s+", "")).otherwise(F.col(text))
-    return F.when(F.col(order) == F.max(order).over(own), F.regexp_replace(left, r"(?U)\s+$", "")).otherwise(left)
+    may = F.lit(True) if plain is None else F.coalesce(plain, F.lit(False))
+    left = F.when(may & (F.col(order) == F.min(order).over(own)), F.regexp_replace(text, r"(?U)^\s+", "")).otherwise(F.col(text))
+    return F.when(may & (F.col(order) == F.max(order).over(own)), F.regexp_replace(left, r"(?U)\s+$", "")).otherwise(left)
 
 
 def flags_beneath(closure: DataFrame, nodes: DataFrame) -> DataFrame:

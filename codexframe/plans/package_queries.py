@@ -197,6 +197,44 @@ def package_metadata(spark, sf_dir):
     return found.select("package", "source_title", "guid", F.array_join("regulatory_source", "|").alias("sources"), "domain", is_empty().alias("is_empty"))
 
 
+_CORE_TITLES = f"SELECT package, 'Inline ' || package AS title, '2024-01-02' AS created, '3' AS revision, 'Maker' AS company, 'ED 8|ED 7|ED 9' AS sources FROM {_BRANDS}"
+
+
+@query("package_metadata_with_core", f"{_CORE_TITLES} UNION ALL SELECT 'bare ' || package, 'Core ' || package, '2024-01-02', '3', 'Maker', '' FROM {_BRANDS}")
+def package_metadata_with_core(spark, sf_dir):
+    """Metadata of the packages, and of such as have core properties alone."""
+    parts = _parts(spark, sf_dir)
+    bare = parts.where(F.startswith("part", F.lit("docProps/"))).withColumn("package", F.concat(F.lit("bare "), "package"))
+    found = topics.publication_metadata(bodies.body_nodes(parts), topics.export_metadata(parts), topics.core_properties(parts.unionByName(bare)))
+    return found.select("package", "title", "created", "revision", "company", F.array_join("regulatory_source", "|").alias("sources"))
+
+
+def _moved(spark, sf_dir) -> DataFrame:
+    """The packages; where the block of keys is even, the main part and the numbering lie elsewhere, and the package's relationships lead there."""
+    text = F.decode("content", "UTF-8")
+    for old, new in (("/word/document.xml", "/body/main.xml"), ("/word/_rels/document.xml.rels", "/body/_rels/main.xml.rels"), ("/word/numbering.xml", "/body/n.xml"), ('"media/a.png"', '"/word/media/a.png"')):
+        text = F.replace(text, F.lit(old), F.lit(new))
+    rels = _part("/_rels/.rels", f'<Relationships xmlns="r"><Relationship Id="a" Type="{_RELS}/officeDocument" Target="body/main.xml"/><Relationship Id="b" Type="{_RELS}/numbering" Target="/body/n.xml"/><Relationship Id="c" Type="{_RELS}/styles" Target="none.xml"/></Relationships>')
+    moved = F.encode(F.replace(text, F.lit("</pkg:package>"), F.lit(f"{rels}</pkg:package>")), "UTF-8")
+    block = F.regexp_extract("package", r"([0-9]+)$", 1).cast("long")
+    return _packages(spark, sf_dir).withColumn("content", F.when(block % 2 == 0, moved).otherwise(F.col("content")))
+
+
+@query(
+    "package_roles",
+    f"""SELECT package, role, CASE WHEN regexp_extract(package, '[0-9]+$')::BIGINT % 2 = 0 THEN moved ELSE usual END AS part FROM {_BRANDS},
+        (VALUES ('main', 'body/main.xml', 'word/document.xml'), ('numbering', 'body/n.xml', 'word/numbering.xml')) AS t(role, moved, usual)""",
+)
+def package_roles(spark, sf_dir):
+    parts = packages.parts(_moved(spark, sf_dir))
+    return packages.role_parts(parts, packages.relationships(parts))
+
+
+@query("package_topics_by_role", f"SELECT package, kind, designation, title, body FROM ({_TOPIC_SQL})")
+def package_topics_by_role(spark, sf_dir):
+    return topics.all_topics(_moved(spark, sf_dir)).drop("ord")
+
+
 _KINDS = "CASE p_partkey % 6 WHEN 4 THEN 'section' ELSE 'topic' END"
 _FIXED = (("list_item", 2), ("cell", 5), ("metadata", 1), ("unknown", 1), ("unhandled", 1))
 

@@ -110,6 +110,18 @@ def json_decode(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
 
 
+@query(
+    "json_lists",
+    """SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN p_brand || '|' || p_type WHEN 1 THEN '' WHEN 2 THEN '' WHEN 3 THEN '' ELSE 'é "' || p_name END AS items, CASE p_partkey % 5 WHEN 0 THEN 2 WHEN 4 THEN 1 ELSE 0 END::BIGINT AS n FROM part""",
+)
+def json_lists(spark, sf_dir):
+    """Lists written as JSON and read back; every fifth text each is null, cut off, and no list."""
+    whole = F.to_json(F.array("p_brand", "p_type"))
+    given = F.element_at(F.array(whole, F.lit(None), F.concat(F.lit("["), whole), F.to_json(F.struct("p_brand")), F.to_json(F.array(F.concat(F.lit('é "'), "p_name")))), (F.col("p_partkey") % 5 + 1).cast("int"))
+    found = fn.decoded_list(given)
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(found, "|").alias("items"), F.size(found).cast("long").alias("n"))
+
+
 @query("base64_asset", "SELECT doc_id, base64(encode(text)) AS data, sha256(text) AS sha256 FROM documents")
 def base64_asset(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.translate(F.base64(F.encode("text", "UTF-8")), "\r\n", "").alias("data"), F.sha2("text", 256).alias("sha256"))

@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from codexframe.sources import packages
+
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 _R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 _A = "{http://schemas.openxmlformats.org/drawingml/2006/main}"
@@ -185,8 +187,10 @@ class _Body:
                 self.add("unhandled", topic, title=local)
 
 
-def body_nodes(parts: DataFrame, part: str = "word/document.xml") -> DataFrame:
-    """Nodes of the main part of every package, and one error node for a part that isn't well-formed.
+def body_nodes(parts: DataFrame, part: str | DataFrame = "word/document.xml") -> DataFrame:
+    """Nodes of the main part of every package (by name, or by a table as packages.role_parts gives it).
+
+    A part that isn't well-formed gives one error node.
 
     Topics and sections come before what they hold, whose `topic` is their number. Metadata, unknown elements of the
     publisher and unhandled ones are nodes of these types.
@@ -202,7 +206,7 @@ def body_nodes(parts: DataFrame, part: str = "word/document.xml") -> DataFrame:
                     body.rows = [{"ord": 0, "node_type": "error", "text": f"ParseError: {error}"}]
                 yield pa.RecordBatch.from_pylist([{"package": package, **r} for r in body.rows], schema=_SCHEMA)
 
-    return parts.where((F.col("part") == part) & F.col("data").isNotNull()).select("package", "data").mapInArrow(run, NODES)
+    return packages.chosen(parts, part).where("data is not null").select("package", "data").mapInArrow(run, NODES)
 
 
 def lists(nodes: DataFrame) -> DataFrame:
@@ -236,7 +240,7 @@ def captions(nodes: DataFrame) -> DataFrame:
     return both.where("node_type = 'cell'").groupBy("package", "table_no").agg(F.min_by("caption", "ord").alias("caption"))
 
 
-def numbering(parts: DataFrame, part: str = "word/numbering.xml") -> DataFrame:
+def numbering(parts: DataFrame, part: str | DataFrame = "word/numbering.xml") -> DataFrame:
     """Format of every list of a package (package, num_id, format): that of the first level it is defined by, else decimal."""
     schema = pa.schema([(n, pa.string()) for n in ("package", "tag", "id", "value")])
 
@@ -254,7 +258,7 @@ def numbering(parts: DataFrame, part: str = "word/numbering.xml") -> DataFrame:
                     rows.append((package, "num", e.get(f"{_W}numId"), _value(e, "abstractNumId")))
             yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows], schema=schema)
 
-    rows = parts.where((F.col("part") == part) & F.col("data").isNotNull()).select("package", "data").mapInArrow(run, "package string, tag string, id string, value string")
+    rows = packages.chosen(parts, part).where("data is not null").select("package", "data").mapInArrow(run, "package string, tag string, id string, value string")
     formats = rows.where("tag = 'abstract'").groupBy("package", F.col("id").alias("value")).agg(F.first("value").alias("format"))
     lists_ = rows.where("tag = 'num' and id is not null").select("package", F.col("id").alias("num_id"), "value")
     return lists_.join(formats, ["package", "value"], "left").select("package", "num_id", F.coalesce("format", F.lit("decimal")).alias("format"))
@@ -265,14 +269,15 @@ def is_ordered(format_: str = "format"):
     return ~F.coalesce(F.col(format_), F.lit("decimal")).isin("bullet", "none")
 
 
-def links(nodes: DataFrame, rels: DataFrame, part: str = "word/document.xml") -> DataFrame:
+def links(nodes: DataFrame, rels: DataFrame, part: str | DataFrame = "word/document.xml") -> DataFrame:
     """Hyperlinks with their urls (package, ord, text, url): the main part's relationship, else the package's; others are left out."""
     found = nodes.select("package", "ord", F.explode("runs").alias("run")).where("run.kind = 'link'").select("package", "ord", "run.text", "run.rel_id")
-    own = rels.where(F.endswith("type", F.lit("/hyperlink")) & F.col("source_part").isin(part, "")).groupBy("package", "rel_id").agg(F.min_by("target", F.col("source_part") == "").alias("url"))
+    kind = rels.where(F.endswith("type", F.lit("/hyperlink")))
+    own = packages.chosen(kind, part, "source_part").unionByName(kind.where("source_part = ''")).groupBy("package", "rel_id").agg(F.min_by("target", F.col("source_part") == "").alias("url"))
     return found.join(own, ["package", "rel_id"]).select("package", "ord", "text", "url")
 
 
-def figures(nodes: DataFrame, targets: DataFrame, media_: DataFrame, topics: DataFrame, part: str = "word/document.xml") -> DataFrame:
+def figures(nodes: DataFrame, targets: DataFrame, media_: DataFrame, topics: DataFrame, part: str | DataFrame = "word/document.xml") -> DataFrame:
     """Drawings with their images: package, ord, image_path, caption, alt_text, sha256.
 
     targets: relationships with the parts they lead to; topics: (package, ord, designation, erules_id). Images are named
@@ -282,7 +287,7 @@ def figures(nodes: DataFrame, targets: DataFrame, media_: DataFrame, topics: Dat
 
     found = nodes.where("runs is not null").select("package", "ord", "topic", F.posexplode("runs").alias("pos", "run")).where("run.kind = 'drawing'")
     found = found.select("package", "ord", "topic", "pos", "run.rel_id", F.col("run.title").alias("caption"), F.col("run.text").alias("alt_text"))
-    image = targets.where(F.col("source_part") == part).select("package", "rel_id", "part").join(media_.select("package", "part", "content_type", "sha256"), ["package", "part"])
+    image = packages.chosen(targets, part, "source_part").select("package", "rel_id", "part").join(media_.select("package", "part", "content_type", "sha256"), ["package", "part"])
     name = lambda c: F.when(~F.startswith(F.upper(c), F.lit("ERULES")), F.nullif(F.col(c), F.lit("")))
     rule = topics.select("package", F.col("ord").alias("topic"), slugify_rule(F.coalesce(name("designation"), name("erules_id"))).alias("rule"))
     both = found.join(image, ["package", "rel_id"]).join(rule, ["package", "topic"], "left").withColumn("rule", F.coalesce("rule", F.lit("doc")))

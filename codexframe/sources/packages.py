@@ -144,6 +144,32 @@ def resolved(rels: DataFrame, parts: DataFrame) -> DataFrame:
     return probes.join(there, ["package", "part"]).groupBy(*keys).agg(F.min_by("part", "step").alias("part"))
 
 
+_OFFICE = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+#: Parts with a role: the relationship of the package that leads to them, and where they are by the standard (fixed values).
+ROLES = {"main": (f"{_OFFICE}/officeDocument", "word/document.xml"), "styles": (f"{_OFFICE}/styles", "word/styles.xml"), "numbering": (f"{_OFFICE}/numbering", "word/numbering.xml")}
+
+
+def role_parts(parts: DataFrame, rels: DataFrame) -> DataFrame:
+    """The part of each role a package has (package, role, part): by the package's own relationship, else at its standard place.
+
+    Of several relationships of one type that lead to parts, the one of the smallest id counts. A package without such
+    a part has no row.
+    """
+    role = lambda column, at: F.try_element_at(F.create_map(*(F.lit(x) for name, known in ROLES.items() for x in (known[at], name))), F.col(column))
+    led = resolved(rels.where("source_part = ''").where(role("type", 0).isNotNull()), parts)
+    led = led.select("package", role("type", 0).alias("role"), "rel_id", "part").groupBy("package", "role").agg(F.min_by("part", "rel_id").alias("_led"))
+    usual = parts.select("package", role("part", 1).alias("role"), F.col("part").alias("_usual")).where("role is not null").distinct()
+    return led.join(usual, ["package", "role"], "full").select("package", "role", F.coalesce("_led", "_usual").alias("part"))
+
+
+def chosen(df: DataFrame, part: str | DataFrame, column: str = "part") -> DataFrame:
+    """Rows of one part of each package: that of a name, or that which a table (package, part) tells."""
+    if isinstance(part, str):
+        return df.where(F.col(column) == part)
+    own = part.select(F.col("package"), F.col("part").alias(column)).distinct()
+    return df.join(own, ["package", column], "left_semi")
+
+
 def media(parts: DataFrame) -> DataFrame:
     """Image parts with the digest, size and default name of their bytes."""
     kinds = content_types(parts).where(F.startswith("content_type", F.lit("image/")))

@@ -120,11 +120,20 @@ def all_topics(files: DataFrame) -> DataFrame:
     numbered = sections.topics(sections.section_nodes(files.where(kind == "ecfr"))).withColumn("kind", F.lit("requirement"))
     parts = packages.parts(files.where(kind != "ecfr"))
     columns = ["package", "ord", "kind", "designation", "title", "body"]
-    return topics(bodies.body_nodes(parts), export_metadata(parts)).select(columns).unionByName(numbered.select(columns))
+    main = packages.role_parts(parts, packages.relationships(parts)).where("role = 'main'")
+    return topics(bodies.body_nodes(parts, main), export_metadata(parts)).select(columns).unionByName(numbered.select(columns))
 
 
-def publication_metadata(nodes: DataFrame, export: DataFrame) -> DataFrame:
-    """Metadata of every package: the export document's, overlaid by the body's own."""
+def publication_metadata(nodes: DataFrame, export: DataFrame, core: DataFrame | None = None) -> DataFrame:
+    """Metadata of every package: the export document's, overlaid by the body's own.
+
+    With core properties (as core_properties gives them), their columns are added, and packages that have no more than these are
+    there as well; title is the source's title, else theirs.
+    """
     inline = nodes.where("node_type = 'metadata' and topic is null").select("package", "ord", F.posexplode("meta").alias("o", "m")).select("package", (F.col("ord") * 1000 + F.col("o")).alias("ord"), "m.name", "m.value")
     document = export.where("sdt_id is null").select("package", "ord", "name", "value")
-    return metadata.overlaid(metadata.normalized(document, ["package"]), metadata.normalized(inline, ["package"]), ["package"])
+    found = metadata.overlaid(metadata.normalized(document, ["package"]), metadata.normalized(inline, ["package"]), ["package"])
+    if core is None:
+        return found
+    both = found.join(core.withColumnRenamed("title", "_title"), "package", "full").withColumn("title", F.coalesce(F.nullif("source_title", F.lit("")), "_title")).drop("_title")
+    return both.withColumns({f: F.coalesce(f, F.array().cast("array<string>")) for f in metadata.LISTS})

@@ -143,3 +143,9 @@ def test_markup_tolerates_broken_pages(spark):
     rows = [(r.k, r.ord, r.parent, r.depth, r.node_type, r.text) for r in page_nodes(pages, "k", "html").orderBy("k", "ord").collect()]
     assert rows == [(1, 0, None, 0, "p", ""), (1, 1, 0, 1, "text", "a"), (1, 2, 0, 1, "b", ""), (1, 3, 2, 2, "text", "c"), (1, 4, None, 0, "a", ""), (1, 5, 4, 1, "text", "d")]
     assert [tuple(r) for r in links(pages, "k", "html").collect()] == [(1, "x")]
+
+
+def test_lists_of_json_are_read_whatever_is_given(spark):
+    given = {'["a", "é", 1, null]': ["a", "é", "1", None], "[]": [], "": [], "{}": [], '"a"': [], "[": [], "null": [], None: []}
+    df = spark.createDataFrame([(k,) for k in given], "t string")
+    assert {r.t: r.x for r in df.select("t", fn.decoded_list(df.t).alias("x")).collect()} == given

@@ -75,3 +75,9 @@ def test_tables_of_one_row_and_short_rows(spark):
 def test_nearest_of_no_designation(spark):
     frame = spark.createDataFrame([(["", None, "a", ""],), ([],)], "p array<string>")
     assert [r.x for r in frame.select(navigation.nearest(F.col("p")).alias("x")).collect()] == ["a", None]
+
+
+def test_edges_of_formatted_pieces_stay(spark):
+    df = spark.createDataFrame([(1, 1, " a ", False), (1, 2, " b ", True), (2, 1, " c ", True), (3, 1, " d ", None)], "p int, o int, t string, plain boolean")
+    got = {(r.p, r.o): r.x for r in df.select("p", "o", navigation.trimmed_edges(["p"], "o", "t", F.col("plain")).alias("x")).collect()}
+    assert got == {(1, 1): " a ", (1, 2): " b", (2, 1): "c", (3, 1): " d "}

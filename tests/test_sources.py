@@ -81,3 +81,16 @@ def test_divisions_become_nodes_and_topics(spark):
     assert nodes.where("error is not null").count() == 2
     got = {r.designation: (r.title, r.body) for r in sections.topics(nodes).collect()}
     assert got == {"14 CFR 25.1": ("Scope", "First one text.\na | b\n1 | 2\nLast."), "14 CFR 25.3": ("Other", "")}
+
+
+def test_parts_of_a_role_are_led_to_or_lie_at_their_place(spark):
+    office = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    rel = lambda i, kind, target: f'<Relationship Id="{i}" Type="{office}/{kind}" Target="{target}"/>'
+    own = f"<Relationships>{rel('r2', 'officeDocument', 'b.xml')}{rel('r1', 'officeDocument', 'a.xml')}{rel('r3', 'styles', 'gone.xml')}{rel('r4', 'image', 'a.xml')}</Relationships>"
+    rows = [("led", "_rels/.rels", own), ("led", "a.xml", ""), ("led", "b.xml", ""), ("led", "word/document.xml", ""), ("led", "word/styles.xml", ""), ("usual", "word/document.xml", ""), ("usual", "word/numbering.xml", ""), ("none", "x.xml", ""), ("none", None, None)]
+    parts = spark.createDataFrame([(p, n, None, d.encode() if d is not None else None, None) for p, n, d in rows], pk.PARTS)
+    found = pk.role_parts(parts, pk.relationships(parts))
+    assert {tuple(r) for r in found.collect()} == {("led", "main", "a.xml"), ("led", "styles", "word/styles.xml"), ("usual", "main", "word/document.xml"), ("usual", "numbering", "word/numbering.xml")}
+    main = found.where("role = 'main'")
+    assert {(r.package, r.part) for r in pk.chosen(parts, main).collect()} == {("led", "a.xml"), ("usual", "word/document.xml")}
+    assert pk.chosen(parts, "word/document.xml").count() == 2
