@@ -66,10 +66,10 @@ def normalized(rows: DataFrame, keys: list[str], name: str = "name", value: str
     Lists take the items of all spellings in order, each once; of a scalar the last value that is not missing counts.
     """
     field = F.try_element_at(F.create_map(*(F.lit(x) for pair in spellings().items() for x in pair)), F.col(name))
-    own = rows.withColumn("_field", field)
+    own = rows.withColumns({"_field": field, "_items": items(F.col(value)), "_scalar": scalar(F.col(value))})
     entry = lambda f, v: F.sort_array(F.collect_list(F.when(F.col("_field") == f, F.struct(F.col(order).alias("o"), v.alias("v")))))
-    lists = [F.array_distinct(F.flatten(F.transform(entry(f, items(F.col(value))), lambda e: e["v"]))).alias(f) for f in LISTS]
-    scalars = [F.max_by(F.when(F.col("_field") == f, scalar(F.col(value))), F.when((F.col("_field") == f) & scalar(F.col(value)).isNotNull(), F.col(order))).alias(f) for f in SCALARS]
+    lists = [F.array_distinct(F.flatten(F.transform(entry(f, F.col("_items")), lambda e: e["v"]))).alias(f) for f in LISTS]
+    scalars = [F.max_by("_scalar", F.when((F.col("_field") == f) & F.col("_scalar").isNotNull(), F.col(order))).alias(f) for f in SCALARS]
     unknown = F.sort_array(F.collect_list(F.when(F.col("_field").isNull(), F.struct(F.col(order).alias("o"), F.col(name).alias("n"), F.col(value).alias("v")))))
     raw = F.map_from_entries(F.transform(unknown, lambda e: F.struct(e["n"], e["v"]))).alias("raw")
     return own.groupBy(*keys).agg(*lists, *scalars, raw)

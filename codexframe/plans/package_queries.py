@@ -95,7 +95,7 @@ def _packages(spark, sf_dir) -> DataFrame:
 
 
 def _parts(spark, sf_dir) -> DataFrame:
-    return packages.parts(_packages(spark, sf_dir))
+    return packages.stored_parts(_packages(spark, sf_dir))
 
 
 def _nodes(spark, sf_dir) -> DataFrame:

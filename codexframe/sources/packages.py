@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codexframe.sources.work import shared_path
+
 _PKG = "{http://schemas.microsoft.com/office/2006/xmlPackage}"
 _TYPES = "[Content_Types].xml"
 #: Content types by file name suffix where a package declares none (fixed values).
@@ -71,6 +73,18 @@ def parts(packages: DataFrame) -> DataFrame:
     return packages.select("package", "content").mapInArrow(run, PARTS)
 
 
+def stored_parts(packages: DataFrame) -> DataFrame:
+    """Parts as parts() gives them, taken out of the packages once and written to the shared folder.
+
+    Readers look at some parts each; over stored parts their conditions on names reach the scan, and payloads of other parts
+    are not read.
+    """
+    spark, at = packages.sparkSession, shared_path(packages.sparkSession, "parts")
+    found = parts(packages)
+    found.write.parquet(at)
+    return spark.read.schema(found.schema).parquet(at)
+
+
 def _xml_rows(df: DataFrame, where: Column, tags: dict[str, tuple[str, ...]], ddl: str) -> DataFrame:
     """Attributes of the elements of small XML parts: package, part, tag and the attributes by tag."""
     width = max(map(len, tags.values()))
