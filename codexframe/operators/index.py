@@ -14,9 +14,11 @@ import re
 import unicodedata
 import uuid
 import zlib
+from collections.abc import Iterator
 from functools import reduce
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -32,6 +34,8 @@ BLOCK, BUCKET, HEAVY = 128, 4_000_000, 1_000_000
 #: Segments of like size (a power of four of rows) that are merged.
 FANOUT = 4
 _FIELD = 1 << 40
+#: Words of whole texts that a task takes apart at once, and words whose stems it remembers.
+PORTION, REMEMBERED = 100_000, 1 << 17
 
 
 def query_units(text: str) -> list[list[str]]:
@@ -71,7 +75,7 @@ def _root(analyzer: str):
 
     def root(word: str) -> str:
         if (term := known.get(word)) is None:
-            if len(known) >= 1 << 20:
+            if len(known) >= REMEMBERED:
                 known.clear()
             term = known[word] = stem(word)
         return term
@@ -79,6 +83,21 @@ def _root(analyzer: str):
     return root
 
 
+def portions(batch: pa.RecordBatch, words: int, most: int) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in order, in slices of about `most` words (lists of words by field in column `words`), at least a row each.
+
+    What a task holds as Python objects goes with such a slice, whatever the rows of a batch and the length of their texts.
+    """
+    fields = batch.column(words)
+    outer, inner = fields.offsets.to_numpy(), fields.values.offsets.to_numpy()
+    before = inner[outer].astype("int64") - inner[outer[0]] if batch.num_rows else np.zeros(1, "int64")
+    start = 0
+    while start < batch.num_rows:
+        end = max(start + 1, int(np.searchsorted(before, before[start] + most, side="right")) - 1)
+        yield batch.slice(start, end - start)
+        start = end
+
+
 class Found(NamedTuple):
     """Hits of a query (key, columns of the index, score: lower is better), and functions of them."""
 
@@ -351,7 +370,7 @@ class Index:
 
         def run(batches):
             root = _root(analyzer)
-            for batch in batches:
+            for batch in (part for whole in batches for part in portions(whole, len(names), PORTION)):
                 row, terms, places, lengths, held = [], [], [], [], []
                 for r, fields in enumerate(batch.column(len(names)).to_pylist()):
                     met: dict[str, list[int]] = {}

@@ -3,6 +3,7 @@
 import math
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -141,3 +142,27 @@ def test_changes_equal_a_rebuild(spark, tmp_path):
         stale = index.Index(spark, f"{tmp_path}/i")
         stale.remove(frame(spark, [(next(iter(state)), "", "")]))
         stale.remove(frame(spark, [(sorted(state)[-1], "", "")]))
+
+
+def test_a_batch_is_taken_apart_in_portions_of_words():
+    words = [[["a"] * 30, ["b"]], [[], []], [["c"] * 500], [["d"] * 10], [["e"] * 60], [["f"] * 60]]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array(words, pa.list_(pa.list_(pa.string())))], names=["k", "w"])
+    for whole in (batch, batch.slice(1, 4), batch.slice(6)):
+        cut = list(index.portions(whole, 1, 100))
+        assert [r for part in cut for r in part.to_pylist()] == whole.to_pylist()
+        assert all(part.num_rows == 1 or sum(len(f) for r in part.to_pylist() for f in r["w"]) <= 100 for part in cut)
+    assert len(list(index.portions(batch, 1, 100))) == 4
+
+
+def test_a_task_holds_portions_and_not_batches(monkeypatch, spark, tmp_path):
+    """The rows of one batch go out in several batches as soon as they have more words than a portion."""
+    own = index.create_index(spark, f"file://{tmp_path}/portions", spark.createDataFrame([], "k long, text string").schema, "k", ["text"])
+    schema, sizes = pa.schema([("k", pa.int64()), ("_words", pa.list_(pa.list_(pa.string())))]), []
+    batch = pa.RecordBatch.from_arrays([pa.array(range(50), pa.int64()), pa.array([[[f"w{i}"] * 10_000] for i in range(50)], schema.field(1).type)], schema=schema)
+
+    class Words:
+        def mapInArrow(self, run, _):  # noqa: N802
+            sizes.extend(out.num_rows for out in run(iter([batch])))
+
+    own._split(Words())
+    assert sum(sizes) == 100 and max(sizes) <= 10
