@@ -3,7 +3,7 @@
 A document's nodes lie in pre-order with their depth. Every node becomes what opens it and what closes it; the closing of
 a node goes out with the next node that is no deeper, so that one sort a document puts all pieces in order and nothing is
 joined level by level. A window over that sort gives each node its ancestors and what is still open before it, one column
-a level; a document is one group, as long as its own text.
+a level; a document is one group, as long as its own text. Nodes that come in partitions of documents are not shuffled.
 """
 
 from __future__ import annotations
@@ -58,9 +58,11 @@ def _placed(nodes: DataFrame, keys: list[str]) -> tuple[DataFrame, int]:
     # what nodes hold, by the node it is told of: text and blocks of holders, cells of rows, rows, spans and width of tables, anything of cells
     said = F.when(_is("line_break"), "\n").otherwise(F.coalesce("text", F.when(_is("internal_reference"), F.col("target_designation")), F.lit("")))
     no = F.lit(False)
-    facts = {"_piece": F.lit(None).cast("struct<ord:bigint,t:string>"), "_block": no, "_a_cell": no, "_head": no, "_body": no, "_span": no, "_full": no, "_nth_cell": F.lit(0)}
+    node = F.struct(*(c for c in out.columns if c not in keys))
+    facts = {"_node": F.lit(None).cast(out.select(node.alias("n")).schema["n"].dataType), "_piece": F.lit(None).cast("struct<ord:bigint,t:string>"), "_block": no, "_a_cell": no, "_head": no, "_body": no, "_span": no, "_full": no, "_nth_cell": F.lit(0)}
     tell = lambda of, **own: F.struct(of.cast("long").alias("_of"), *(own.get(c, f).alias(c) for c, f in facts.items()))
     every = F.array(
+        tell(F.coalesce("_holder", "ord"), _node=node),  # the node itself: inline content asks its holder
         tell(F.col("_holder"), _piece=F.struct(F.col("ord").cast("long").alias("ord"), said.alias("t"))),
         tell(F.when(~F.col("_inline"), F.col("_parent.ord")), _block=F.lit(True), _a_cell=_is("cell"), _head=_is("row") & head, _body=_is("row") & ~head),
         tell(F.when(_is("cell"), F.col("_table")), _span=span, _nth_cell=F.col("_nth")),
@@ -68,10 +70,10 @@ def _placed(nodes: DataFrame, keys: list[str]) -> tuple[DataFrame, int]:
     )
     held = out.select(*keys, F.explode(F.filter(every, lambda x: x["_of"].isNotNull())).alias("f")).select(*keys, "f.*")
     count = lambda c: F.count_if(F.col(c))
-    told = held.groupBy(*keys, "_of").agg(F.array_join(F.transform(F.sort_array(F.collect_list("_piece")), lambda p: p["t"]), "").alias("_said"), count("_block").alias("_blocks"), count("_a_cell").alias("_cells"), count("_head").alias("_heads"), count("_body").alias("_bodies"), F.max("_span").alias("_spans"), F.max("_full").alias("_full"), F.max("_nth_cell").alias("_wide"))
-    named = told.select(*keys, "_of", F.struct("_said", "_blocks", "_cells", "_heads", "_bodies", "_spans", "_full", "_wide").alias("_has"))
-    # inline content asks its holder
-    return out.withColumn("_of", F.coalesce("_holder", "ord").cast("long")).join(named, [*keys, "_of"], "left").drop("_of"), deepest
+    # nodes go with what they ask: grouping keeps the documents' partitions, a join would shuffle every node again
+    told = held.groupBy(*keys, "_of").agg(F.collect_list("_node").alias("_nodes"), F.count_if(F.col("_node").isNull()).alias("_facts"), F.array_join(F.transform(F.sort_array(F.collect_list("_piece")), lambda p: p["t"]), "").alias("_said"), count("_block").alias("_blocks"), count("_a_cell").alias("_cells"), count("_head").alias("_heads"), count("_body").alias("_bodies"), F.max("_span").alias("_spans"), F.max("_full").alias("_full"), F.max("_nth_cell").alias("_wide"))
+    has = F.when(F.col("_facts") > 0, F.struct("_said", "_blocks", "_cells", "_heads", "_bodies", "_spans", "_full", "_wide"))
+    return told.select(*keys, has.alias("_has"), F.explode("_nodes").alias("_node")).select(*keys, "_node.*", "_has"), deepest
 
 
 def _rendered(placed: DataFrame, keys: list[str], deepest: int, opened: Column, closed: Column) -> DataFrame:

@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 from codexframe.operators import trees
 from codexframe.plans.registry import query
 from codexframe.sources.tables import table
+from codexframe.sources.work import tasks_for
 
+#: A line becomes some dozen nodes, which stay in the task that it is dealt to.
+_LINES_A_TASK = 15_000
 _LINES = """
 l AS (SELECT l_orderkey AS doc, l_partkey::VARCHAR AS part, l_suppkey::VARCHAR AS supp, l_returnflag AS flag, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS i FROM lineitem),
 o AS (SELECT o_orderkey AS doc, o_orderpriority AS title, o_orderstatus AS status, o_custkey::VARCHAR AS cust FROM orders WHERE o_orderkey IN (SELECT doc FROM l))
@@ -16,8 +19,10 @@ o AS (SELECT o_orderkey AS doc, o_orderpriority AS title, o_orderstatus AS statu
 
 def _order_nodes(spark, sf_dir):
     """Nodes (doc, ord, depth, type, attributes) of all orders that have lines."""
-    line = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc")).agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_returnflag"))).alias("lines"))
-    both = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc"), "o_orderpriority", "o_orderstatus", "o_custkey").join(line, "doc")
+    lines = table(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "doc")
+    tasks = tasks_for(lines, _LINES_A_TASK)
+    line = lines.repartition(tasks, "doc").groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_returnflag"))).alias("lines"))
+    both = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc"), "o_orderpriority", "o_orderstatus", "o_custkey").repartition(tasks, "doc").join(line.hint("merge"), "doc")
     kind = "struct<depth:int,type:string,designation:string,title:string,erules_id:string,ordered:boolean,header:boolean,text:string>"
 
     def node(depth, name, designation=None, title=None, erules_id=None, ordered=None, header=None, text=None):
@@ -45,8 +50,7 @@ def _order_nodes(spark, sf_dir):
         return F.concat(F.array(node(4, "row"), *cell(5, *words(6, number)), *cell(5)), F.when(i == 0, nested).otherwise(plain))
 
     every = F.concat(head, items, titles, F.flatten(F.transform("lines", row)))
-    nodes = both.select("doc", F.posexplode(every).alias("ord", "n")).select("doc", F.col("ord").cast("long").alias("ord"), "n.*")
-    return nodes.repartition("doc")  # an order became some fifty rows: partitions of their size, not of the orders'
+    return both.select("doc", F.posexplode(every).alias("ord", "n")).select("doc", F.col("ord").cast("long").alias("ord"), "n.*")
 
 
 _NESTED = "'<table><tbody><tr><td>' || supp || '</td></tr></tbody></table>'"

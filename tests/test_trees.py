@@ -142,3 +142,12 @@ def test_no_nodes(spark):
     assert [f(frame, ["doc"]).collect() for f in (trees.markdown, trees.html, trees.json)] == [[], [], []]
     bare = spark.createDataFrame([(1, 0, 0, "text")], "doc int, ord bigint, depth int, type string")
     assert trees.markdown(bare, ["doc"]).first().body == ""
+
+
+def test_nodes_in_partitions_of_documents_are_not_shuffled(spark):
+    rows = [(d, o, depth, kind, text) for d in range(4) for o, (depth, kind, text) in enumerate([(0, "document", None), (1, "paragraph", None), (2, "text", f"of {d}")])]
+    nodes = spark.createDataFrame(rows, "doc long, ord long, depth int, type string, text string").repartition(5, "doc")
+    for render in (trees.markdown, trees.html, trees.json):
+        out = render(nodes, ["doc"])
+        assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert sorted(r.body for r in trees.markdown(nodes, ["doc"]).collect()) == [f"of {d}\n\n" for d in range(4)]
