@@ -15,6 +15,7 @@ from codexframe.functions.citations import citations_of, found
 from codexframe.functions.text import base_designation, canonical_designation
 from codexframe.operators.references import resolve
 from codexframe.operators.trees import TOPICS, ancestors, attributed
+from codexframe.sources.work import shared_path
 
 #: A reference as the body reader finds it in one run, whatever the case, and the formats whose runs it leaves alone (fixed values).
 IN_RUN = r"(?iU)(?:AMC\d*|GM\d*)\s+CS[-\s]?[A-Z0-9]+(?:\.\d+)?|CS[-\s]?[A-Z0-9]+(?:\.\d+)+"
@@ -93,13 +94,20 @@ def reference_index(nodes: DataFrame, keys: list[str]) -> DataFrame:
     """
     placed, _ = ancestors(attributed(nodes), keys, F.struct("ord", "type", "node_id", "designation"))
     topic = _nearest(lambda a: a["type"].isin(TOPICS))
-    refs = placed.where((F.col("type") == "internal_reference") & (F.col("target_designation") != "")).select(
-        *keys, "ord", topic["ord"].alias("source_ord"), topic["node_id"].alias("source_id"), topic["designation"].alias("source_designation"),
+    is_ref = F.coalesce((F.col("type") == "internal_reference") & (F.col("target_designation") != ""), F.lit(False))
+    named = F.filter(F.array("designation", "erules_id"), lambda n: n != "")
+    # references and names are four times used: the nodes are gone through once, and what they say is written
+    told = placed.select(
+        *keys, "ord", "node_id", is_ref.alias("is_ref"), named.alias("names"), topic["ord"].alias("source_ord"), topic["node_id"].alias("source_id"), topic["designation"].alias("source_designation"),
         F.coalesce("text", F.lit("")).alias("text"), "target_designation", F.coalesce("detected", F.lit(False)).alias("detected"),
-    )
+    ).where(F.col("is_ref") | (F.size("names") > 0))
+    at = shared_path(nodes.sparkSession, "told")
+    told.write.parquet(at)
+    told = nodes.sparkSession.read.schema(told.schema).parquet(at)
+    refs = told.where("is_ref").drop("is_ref", "names", "node_id")
     normal = lambda c: F.upper(F.replace(c, F.lit(" "), F.lit("-")))
     key = lambda kind, c: F.when(c.isNotNull(), F.struct(*keys, F.lit(kind).alias("kind"), c.alias("name")))
-    said = attributed(nodes).select(*keys, F.struct("ord", "node_id").alias("target"), F.explode(F.array("designation", "erules_id")).alias("name")).where("name <> ''")
+    said = told.select(*keys, F.struct("ord", "node_id").alias("target"), F.explode("names").alias("name"))
     first = said.groupBy(*keys, "name").agg(F.min("target").alias("target"))
     loose = first.groupBy(*keys, normal(F.col("name")).alias("name")).agg(F.max("target").alias("target"))
     names = first.select(key("exact", F.col("name")).alias("wanted"), "target").unionByName(loose.select(key("loose", F.col("name")).alias("wanted"), "target"))

@@ -10,13 +10,14 @@ def resolve(refs: DataFrame, targets: DataFrame, keys: list, wanted: str, target
     """Left join of refs to the first target (in its order) that any of the keys, tried in turn, equals.
 
     keys: columns over refs, best first. The first-declared target of a name wins. One equi-join over the exploded keys.
+    Neither side is broadcast: both grow with the references, and estimates from a small file don't see what it became.
     """
     named = targets.groupBy(F.col(wanted).alias("_key")).agg(F.min_by(target, order).alias("_target"))
     # equal references have equal targets: the keys themselves tell them apart, and no row number is needed
     tried = refs.withColumn("_keys", F.array(*keys))
     probes = tried.select("_keys").distinct().select("_keys", F.posexplode("_keys").alias("_step", "_key")).where("_key is not null")
-    best = probes.join(named, "_key").groupBy("_keys").agg(F.min_by("_target", "_step").alias(target), F.min("_step").alias("step"))
-    return tried.join(best.withColumnRenamed("_keys", "_own"), F.col("_keys").eqNullSafe(F.col("_own")), "left").drop("_keys", "_own")
+    best = probes.join(named.hint("merge"), "_key").groupBy("_keys").agg(F.min_by("_target", "_step").alias(target), F.min("_step").alias("step"))
+    return tried.join(best.withColumnRenamed("_keys", "_own").hint("merge"), F.col("_keys").eqNullSafe(F.col("_own")), "left").drop("_keys", "_own")
 
 
 def unresolved(refs: DataFrame, key: str, targets: DataFrame, target_key: str) -> DataFrame:

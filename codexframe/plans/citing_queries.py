@@ -8,9 +8,11 @@ from codexframe.operators import reference_index as ri
 from codexframe.operators import trees
 from codexframe.plans.registry import query
 from codexframe.sources.tables import table
-from codexframe.sources.work import shared_path
+from codexframe.sources.work import shared_path, tasks_for
 
 _KEYS = ["brand", "block"]
+#: A part becomes a dozen nodes, which stay in the task that it is dealt to.
+_PARTS_A_TASK = 15_000
 #: Topics of the same document, with the key of the next one (the last one's is 9 digits of nines).
 _TOPICS = "p AS (SELECT p_brand AS brand, p_partkey // 1000 AS block, p_partkey AS k, coalesce(lead(p_partkey) OVER (PARTITION BY p_brand, p_partkey // 1000 ORDER BY p_partkey), 999999999) AS next FROM part)"
 
@@ -18,6 +20,7 @@ _TOPICS = "p AS (SELECT p_brand AS brand, p_partkey // 1000 AS block, p_partkey
 def _nodes(spark, sf_dir):
     """Nodes of documents of a brand and a thousand keys: heading and paragraph a part."""
     part = table(spark, sf_dir, "part").select(F.col("p_brand").alias("brand"), F.floor(F.col("p_partkey") / 1000).alias("block"), F.col("p_partkey").alias("k"))
+    part = part.repartition(tasks_for(part, _PARTS_A_TASK), *_KEYS)
     each = part.groupBy(*_KEYS).agg(F.sort_array(F.collect_list("k")).alias("held"))  # a thousand at most
     kind = "struct<depth:int,type:string,node_id:string,designation:string,title:string,erules_id:string,text:string>"
 
@@ -36,8 +39,7 @@ def _nodes(spark, sf_dir):
 
     start = F.array(node(0, "document", title=F.col("brand")))
     flat = each.select(*_KEYS, F.posexplode(F.concat(start, F.flatten(F.transform("held", topic)))).alias("ord", "n"))
-    nodes = flat.select(*_KEYS, F.col("ord").cast("long").alias("ord"), "n.*")
-    return nodes.repartition(*_KEYS)  # a part became a dozen rows: partitions of their size, not of the parts'
+    return flat.select(*_KEYS, F.col("ord").cast("long").alias("ord"), "n.*")
 
 
 _EDGES = """e AS (SELECT brand, block, k, 'CS-23.' || next || '(a)(1)' AS text, 'CS-23.' || next || '(a)(1)' AS target_designation, CASE WHEN next < 999999999 THEN 'n' || next END AS target_id FROM p

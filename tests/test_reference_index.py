@@ -3,8 +3,12 @@
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from codexframe.operators import reference_index as ri
 from codexframe.operators import trees
+from codexframe.operators.references import resolve
+from codexframe.plans import citing_queries
 from tests.test_trees import NAMES, SCHEMA, flat, p, t
 
 
@@ -99,3 +103,18 @@ def test_files_link_citations_and_ids(spark):
     assert "[CS 23.2](rules/cs-23-2.md) [E2](rules/cs-23-2.md)" in got["rules/cs-23-1.md"]
     found = ri.linked(nodes, ri.reference_index(nodes, ["doc"]), ["doc"]).where("type = 'internal_reference'").select("target_id").collect()
     assert [r.target_id for r in found] == ["id-CS-23.2"] * 2 and NAMES[0] == "doc"
+
+
+def test_references_are_resolved_without_broadcasts_and_names_read_once(spark):
+    """A small file can become many references: estimates by its bytes must not send them through the driver."""
+    refs, names = spark.range(3).selectExpr("cast(id as string) as r"), spark.range(3).selectExpr("cast(id as string) as n", "id as t")
+    out = resolve(refs, names, [F.col("r")], "n", "t", "t")
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.r, r.t) for r in out.collect()) == [("0", 0), ("1", 1), ("2", 2)]
+
+
+def test_nodes_of_parts_keep_the_tasks_they_are_dealt_to(spark, sf_dir):
+    """Adaptive execution puts small parts together, which then become a dozen nodes each, in one task."""
+    nodes = citing_queries._nodes(spark, sf_dir).select("brand", "ord")
+    nodes.count()
+    assert nodes.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
