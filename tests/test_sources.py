@@ -94,3 +94,26 @@ def test_parts_of_a_role_are_led_to_or_lie_at_their_place(spark):
     main = found.where("role = 'main'")
     assert {(r.package, r.part) for r in pk.chosen(parts, main).collect()} == {("led", "a.xml"), ("usual", "word/document.xml")}
     assert pk.chosen(parts, "word/document.xml").count() == 2
+
+
+def test_publications_of_brands_are_whole(spark, sf_dir):
+    """Volumes are read as one publication: topics are numbered through, files have one index, and what follows the topics counts once."""
+    from codexframe.plans import output_queries, package_queries  # noqa: F401  (they register)
+    from codexframe.plans.registry import QUERIES
+
+    brands = {r.p_brand: r["count"] for r in spark.read.parquet(f"{sf_dir}/part.parquet").groupBy("p_brand").count().collect()}
+    numbers = {}
+    for r in QUERIES["package_topics"](spark, sf_dir).collect():
+        numbers.setdefault(r.package, []).append(r.n)
+    assert {b: sorted(own) for b, own in numbers.items()} == {b: list(range(1, n + 1)) for b, n in brands.items()}
+    assert {r.package for r in QUERIES["numbered_sections"](spark, sf_dir).collect()} == {f"n:{b}" for b in brands}
+    ready = QUERIES["preparation_counts"](spark, sf_dir).collect()
+    assert {r.package: (r.n_outline, r.n_tables, r.n_warnings) for r in ready} == {b: (n, 1, 2) for b, n in brands.items()}
+
+
+def test_places_go_on_from_volume_to_volume(spark):
+    from codexframe.plans.package_queries import of_brands
+
+    rows = spark.createDataFrame([("B#1.0", 5, None), ("B#1.10", 1, 1), ("B#1.9", 7, 2)], "package string, ord long, topic long")
+    found = of_brands(rows, "ord", "topic").orderBy("ord").collect()
+    assert [(r.package, r.ord & 0xFFFFFFFF, r.topic and r.topic >> 32) for r in found] == [("B#1", 5, None), ("B#1", 7, 9), ("B#1", 1, 10)]
