@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -49,10 +51,19 @@ def anew(df: DataFrame) -> DataFrame:
 _cache: dict = {}
 
 
+def give_back() -> None:
+    """Memory that this process no longer uses, to the system: workers go on from stage to stage and would keep it beside the next one's."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # where the C library has it
+        trim(0)
+
+
 def own_cache(name: object, make: Callable):
     """The worker's cache of that name; another operator's is dropped first, so that those of several stages don't add up."""
     if name not in _cache:
         _cache.clear()
+        give_back()
         _cache[name] = make()
     return _cache[name]
 

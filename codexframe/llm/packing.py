@@ -127,6 +127,13 @@ class BestFit:
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, bin long, offset long, ids binary"
 
 
+def _documents(batch: pa.RecordBatch, at_once: int = 128) -> Iterator[tuple[int | None, bytes | None]]:
+    """The rows of a batch; texts become objects for a few rows at once, not for the batch."""
+    for start in range(0, batch.num_rows, at_once):
+        part = batch.slice(start, at_once)
+        yield from zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)
+
+
 def _pack_partition(path: str, capacity: int, end_id: int, open_bins: int, with_ids: bool):
     schema = arrow_schema_cached(_PIECES + ", fill long")
 
@@ -136,7 +143,7 @@ def _pack_partition(path: str, capacity: int, end_id: int, open_bins: int, with_
         fit = BestFit(capacity, open_bins, task << 32)
         for batch in batches:
             rows: list[tuple] = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for doc, text in _documents(batch):
                 ids = cache.of_text(text or b"") + end
                 n = len(ids) // 4
                 for piece, start in enumerate(range(0, n, capacity)):

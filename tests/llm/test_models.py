@@ -460,3 +460,30 @@ def test_a_chunk_of_more_words_than_24_bits_number():
     chunk.add(1, ["a", "b", "c", "d", "a"])
     assert chunk.full(10**9)
     assert bpe.of_planes(bpe.to_planes(chunk.docs[0][1])).tolist() == [(1 << 24) - 2, (1 << 24) - 1, 1 << 24, (1 << 24) + 1, (1 << 24) - 2]
+
+
+def test_a_worker_gives_memory_back_between_operators():
+    """What one operator's cache held is not kept beside the next one's, also where single objects outlive it."""
+    from codexframe.llm import common
+
+    def held():
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * 4096
+
+    first = common.own_cache("first of two", lambda: [bytes(8_000) for _ in range(25_000)])
+    pins, before = first[::50], held()
+    del first
+    common.own_cache("second of two", list)
+    assert before - held() > 100_000_000 and len(pins) == 500
+    common._cache.clear()
+
+
+def test_packing_makes_objects_of_a_few_texts_at_once():
+    import pyarrow as pa
+
+    from codexframe.llm.packing import _documents
+
+    batch = pa.RecordBatch.from_arrays([pa.array([1, None, 3], pa.int64()), pa.array([b"a", b"b", None], pa.binary())], names=["doc_id", "text"])
+    for at_once in (1, 2, 128):
+        assert list(_documents(batch, at_once)) == [(1, b"a"), (None, b"b"), (3, None)]
+    assert list(_documents(batch.slice(3))) == []
