@@ -8,6 +8,7 @@ from codexframe.functions.text import base_designation, citations
 from codexframe.operators import references as refs
 from codexframe.plans.registry import query
 from codexframe.sources.tables import table
+from codexframe.sources.work import dealt
 
 _ID = "CASE p_partkey % 3 WHEN 0 THEN 'CS-' || p_size || '.' || p_partkey WHEN 1 THEN 'cs ' || p_size || '.' || p_partkey ELSE 'CS-' || p_size || '.' || p_partkey || '(a)(1)' END"
 
@@ -94,7 +95,7 @@ def citation_detect(spark, sf_dir):
     size, key = F.col("p_size").cast("string"), F.col("p_partkey")
     text = F.concat(F.lit("See CS-"), size, F.lit("."), (key + 1).cast("string"), F.lit(", AMC CS-"), size, F.lit("."), key.cast("string"), F.lit("(b) and X/CS-9.9; CS-"), size, F.lit("."), key.cast("string"), F.lit("."))
     own = F.concat(F.lit("CS-"), size, F.lit("."), key.cast("string"))
-    found = table(spark, sf_dir, "part").select("p_partkey", own.alias("own"), F.explode(citations(text)).alias("citation"))
+    found = dealt(table(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_partkey").select("p_partkey", own.alias("own"), F.explode(citations(text)).alias("citation"))
     return found.where("citation <> own").select("p_partkey", "citation").distinct()
 
 
@@ -107,7 +108,7 @@ def citation_forms(spark, sf_dir):
     key = F.col("p_partkey").cast("string")
     shown = ("CS 23.", " and CS-VLA ", " (see AMC VLA ", "(c)), AMC1 CS-23.", "(a)(1); GM2 CS LSA ", "; GM CS 23.", ", cs 23.1, X/CS-9.")
     parts = [c for words in shown for c in (F.lit(words), key)]
-    return table(spark, sf_dir, "part").select("p_partkey", F.explode(citations(F.concat(*parts))).alias("citation"))
+    return dealt(table(spark, sf_dir, "part").select("p_partkey"), "p_partkey").select("p_partkey", F.explode(citations(F.concat(*parts))).alias("citation"))
 
 
 @query("citation_overlap")

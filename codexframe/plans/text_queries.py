@@ -11,6 +11,7 @@ from codexframe.operators import render
 from codexframe.plans.registry import query
 from codexframe.sources.markup import links, page_nodes
 from codexframe.sources.tables import table
+from codexframe.sources.work import dealt
 
 
 @query("whitespace_normalize", "SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '\\r\\n?', chr(10), 'g'), '[ \\t\\f\\v]+', ' ', 'g'), ' *\\n *', chr(10), 'g') AS text FROM documents")
@@ -71,7 +72,7 @@ def designation_canonical(spark, sf_dir):
 @query("designation_leading", f"SELECT p_partkey, {_form_sql(3, 4)} AS designation, NULL::VARCHAR AS later FROM part")
 def designation_leading(spark, sf_dir):
     title = F.concat(F.lit("  "), given_designation(), F.lit("  Title of CS-23.1"))
-    return table(spark, sf_dir, "part").select("p_partkey", fn.leading_designation(title).alias("designation"), fn.leading_designation(F.concat(F.lit("On "), title)).alias("later"))
+    return dealt(table(spark, sf_dir, "part"), "p_partkey").select("p_partkey", fn.leading_designation(title).alias("designation"), fn.leading_designation(F.concat(F.lit("On "), title)).alias("later"))
 
 
 @query("html_escape", """SELECT page_id, replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;') AS escaped FROM pages""")

@@ -124,3 +124,11 @@ def test_every_reference_is_resolved_or_reported(spark, sf_dir):
     keys = {r.p_partkey for r in spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey").collect()}
     got = {r.p_partkey: r.target for r in registry.QUERIES["ref_resolve_all"](spark, sf_dir).collect()}
     assert got == {k: None if k % 11 == 0 else k for k in keys}
+
+
+@pytest.mark.parametrize("name", ["citations_by_authority", "citations_of_others", "designation_of_lines", "designation_leading", "citation_forms", "citation_detect"])
+def test_rows_of_one_small_file_are_dealt_over_tasks(spark, sf_dir, name):
+    import __spark_entry__
+
+    plan = __spark_entry__.queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan
