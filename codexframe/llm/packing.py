@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -25,19 +26,37 @@ from codexframe.llm.common import arrow_schema, materialize, own_cache
 _WORD_AND_MARKS = re.compile(r"([^\W\d_]+)([.,;:!?]+)")
 
 
+#: Letters that a word without others keeps when it is normalised, but for their case: all versions of Unicode know them so.
+_LATIN = "\u0250"
+_LETTERS = r"|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
 def _ends_in_letter(word: str) -> bool:
     """Whether a word of letters still ends in one when it is normalised; asked of Latin letters only, which all versions of Unicode know."""
-    return word[-1] < "\u0250" and word[-1].lower().isalpha()
+    return word[-1] < _LATIN and word[-1].lower().isalpha()
+
+
+def _byte_letters() -> dict[int, int]:
+    """The printable characters that stand for bytes in byte-level vocabularies (fixed values): of code points below 256."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {b: b for b in plain} | {b: 256 + k for k, b in enumerate(sorted({*range(256)} - {*plain}))}
 
 
-def _by_words(path: str) -> bool:
-    """Whether the tokenizer file lower-cases, and takes white space for nothing but an end of words."""
-    with open(path, encoding="utf-8") as f:
-        about = json.load(f)
+def _of_letters(about: dict) -> bool:
+    """Whether a word of lower-case Latin letters goes to the model of merges as it is, byte by byte."""
+    cuts = (about.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    before = cuts[0]["pattern"]["Regex"].removesuffix(_LETTERS).split("|")
+    level = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": False}
+    apart = len(cuts) == 2 and all(x.startswith("'") for x in before) and {k: v for k, v in cuts[1].items() if k != "trim_offsets"} == level
+    return bool(apart and about["model"]["type"] == "BPE" and not about["model"].get("dropout") and not any(t["content"].isalpha() for t in about.get("added_tokens", [])))
+
+
+def _by_words(about: dict) -> bool:
+    """Whether the tokenizer lower-cases, and takes white space for nothing but an end of words."""
     steps = (about.get("normalizer") or {}).get("normalizers", [])
     cuts = (about.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
     plain = [s["type"] for s in steps] == ["NFC", "Replace", "Lowercase"] and steps[1]["pattern"] == {"Regex": r"\s+"} and steps[1]["content"] == " "
-    kept = cuts[0].get("behavior") == "Removed" and cuts[0].get("invert") and cuts[0].get("pattern", {}).get("Regex", "").endswith(r"|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+    kept = cuts[0].get("behavior") == "Removed" and cuts[0].get("invert") and cuts[0].get("pattern", {}).get("Regex", "").endswith(_LETTERS)
     return bool(plain and kept and not any(re.search(r"\s", t["content"]) or t.get("lstrip") or t.get("rstrip") for t in about.get("added_tokens", [])))
 
 
@@ -52,7 +71,10 @@ class WordIds(dict):
         from tokenizers import Tokenizer
 
         super().__init__()
-        self.tokenizer, self.bound, self.old, self.by_words = Tokenizer.from_file(path), bound, {}, _by_words(path)
+        with open(path, encoding="utf-8") as f:
+            about = json.load(f)
+        self.tokenizer, self.bound, self.old, self.by_words = Tokenizer.from_file(path), bound, {}, _by_words(about)
+        self.model, self.letters = self.tokenizer.model if self.by_words and _of_letters(about) else None, _byte_letters()
 
     def of_text(self, text: bytes) -> bytes:
         return b"".join(map(self.__getitem__, text.split())) if self.by_words else self.encode(text.decode("utf-8", "replace"))
@@ -61,6 +83,13 @@ class WordIds(dict):
         own = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0]  # without the places of tokens in the text
         return np.array(own.ids, dtype="<u4").tobytes()
 
+    def of_letters(self, word: str) -> bytes:
+        """A word of letters in lower case; one of Latin letters needs neither normalising nor cutting."""
+        if self.model is None or max(word) >= _LATIN:
+            return self.encode(word)
+        own = self.model.tokenize(word if word.isascii() else word.encode().decode("latin-1").translate(self.letters))
+        return struct.pack(f"<{len(own)}I", *[t.id for t in own])
+
     def __missing__(self, chunk: bytes) -> bytes:
         if len(self) >= self.bound:
             self.old = dict(self)
@@ -69,11 +98,14 @@ class WordIds(dict):
             self[chunk] = ids
             return ids
         text = chunk.decode("utf-8", "replace")
-        found = _WORD_AND_MARKS.fullmatch(text)
-        if found and found[1].isalpha() and _ends_in_letter(found[1]):
+        if text.isalpha():
+            low = text.lower()
+            if low != text:
+                ids = self[low.encode()] if max(low) < _LATIN and low.isalpha() else self.encode(text)
+            else:
+                ids = self.of_letters(text)
+        elif (found := _WORD_AND_MARKS.fullmatch(text)) and found[1].isalpha() and _ends_in_letter(found[1]):
             ids = self[found[1].encode()] + self[found[2].encode()]
-        elif text.isascii() and text.isalpha() and not text.islower():
-            ids = self[text.lower().encode()]
         else:
             ids = self.encode(text)
         self[chunk] = ids

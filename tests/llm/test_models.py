@@ -433,6 +433,17 @@ def test_word_ids_equal_the_library_on_random_unicode():
         assert list(np.frombuffer(own.of_text(text.encode()), "<u4")) == whole.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_words_of_latin_letters_are_taken_by_the_merges_alone(monkeypatch):
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path("word_bpe_49k.json")
+    whole, own, rng = Tokenizer.from_file(path), packing.WordIds(path), random.Random(5)
+    letters = [chr(c) for c in range(0x250) if chr(c).isalpha() and max(chr(c).lower()) < chr(0x250)]
+    text = " ".join("".join(rng.choice(letters) for _ in range(rng.randint(1, 9))) for _ in range(20_000))
+    monkeypatch.setattr(own, "encode", lambda text: pytest.fail(f"{text} was normalised and cut"))
+    assert list(np.frombuffer(own.of_text(text.encode()), "<u4")) == whole.encode(text, add_special_tokens=False).ids
+
+
 def test_a_tokenizer_that_is_not_one_of_words_takes_whole_texts(spark):
     from tokenizers import Tokenizer
 
