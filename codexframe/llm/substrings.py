@@ -213,13 +213,12 @@ def repeated_spans(docs: DataFrame, length: int = 200, piece: int = 64, block_by
     shared = every.groupBy("name").agg(F.count("*").alias("n"), (F.min("digest") == F.max("digest")).alias("same")).where("n > 1").select("name", "same")
     hits = materialize(every.join(materialize(shared, "shared-names"), "name"), "shared-runs")
     mixed = hits.where("not same")  # all runs of another name are copies of one
-    classes = materialize(mixed.groupBy("name", "digest").agg(F.count("*").alias("n")), "classes")
-    sized = materialize(mixed.join(anew(classes), ["name", "digest"]), "sized-runs")
+    # runs of a class are copies: any one of them stands for it, whole as first() takes all columns from one row
+    one = [F.first(c).alias(c) for c in ("doc", "twin", "lo", "span")]
+    classes = materialize(mixed.groupBy("name", "digest").agg(F.count("*").alias("n"), *one), "classes")
     # a class of several runs is a repeat as a whole; where all classes of a name are, nothing is left to compare
     sizes = classes.groupBy("name").agg(F.count("*").alias("c"), F.min("n").alias("fewest")).where("c > 1 and fewest = 1").select("name", "c")
-    one_of_each = sized.where("n > 1").groupBy("name", "digest").agg(F.min(F.struct("doc", "twin", "lo", "span")).alias("rep")).select("name", "digest", "rep.*")
-    alone = sized.where("n = 1").select("name", "digest", "doc", "twin", "lo", "span", F.lit(True).alias("single"))
-    open_ = alone.unionByName(one_of_each.withColumn("single", F.lit(False))).join(materialize(sizes, "open-names"), "name")
+    open_ = classes.withColumn("single", F.col("n") == 1).drop("n").join(materialize(sizes, "open-names"), "name")
 
     # the texts of these classes, from the documents that hold them
     wanted = open_.groupBy("doc", "twin").agg(F.collect_list(F.struct("name", "digest", "c", "lo", "span", "single")).alias("want"))
@@ -311,8 +310,11 @@ def repeated_spans(docs: DataFrame, length: int = 200, piece: int = 64, block_by
     own = Window.partitionBy("doc", "twin", "base").orderBy("at")
     across = met(strings).where("single").select("doc", "twin", "base", "at").withColumn("island", F.col("at") - F.dense_rank().over(own))
     across = across.groupBy("doc", "twin", "base", "island").agg((F.col("base") + F.min("at")).alias("lo"), (F.col("base") + F.max("at") + length).alias("hi"))
+    # a run is its class alone, or a copy: told by its place in its document, so that the copies of a class needn't meet
     columns = ["doc", "twin", "lo", "span"]
-    whole = hits.where("same").select(columns).unionByName(sized.where("n > 1").select(columns))
+    alone = classes.where("n = 1").select(*columns, "digest", F.lit(True).alias("alone"))
+    copies = mixed.select(*columns, "digest", F.lit(False).alias("alone")).unionByName(alone).groupBy(*columns, "digest").agg(F.max("alone").alias("alone")).where("not alone")
+    whole = hits.where("same").select(columns).unionByName(copies.select(columns))
     whole = whole.select("doc", "twin", "lo", (F.col("lo") + F.col("span") + length).alias("hi"))
     return whole.unionByName(within).unionByName(across.select("doc", "twin", "lo", "hi"))
 

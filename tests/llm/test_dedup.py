@@ -174,6 +174,27 @@ def test_repeats_match_brute_force(spark, monkeypatch, block_classes):
     assert [(got[k].n_bytes, got[k].n_removed, got[k].n_spans, got[k].kept_sha256) for k in range(len(texts))] == want
 
 
+def test_copies_of_a_class_are_told_by_their_places(spark, monkeypatch):
+    """Beyond the two tables of runs, a class has one row, however many copies it has: no run is joined with its class."""
+    from codexframe.llm import substrings
+
+    rng, counts, real = random.Random(3), {}, substrings.materialize
+    fresh = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    passage = fresh(120)
+    texts = [passage] * 40 + [fresh(90) + passage + fresh(90) for _ in range(6)] + [fresh(150)]
+
+    def counted(df, name):
+        out = real(df, name)
+        counts[name] = out.count()
+        return out
+
+    monkeypatch.setattr(substrings, "materialize", counted)
+    got = {r.doc_id: r for r in remove_repeats(docs_of(spark, enumerate(texts)), length=60, piece=20).collect()}
+    want = brute_removed([t.encode() for t in texts], 60)
+    assert [(got[k].n_bytes, got[k].n_removed, got[k].n_spans, got[k].kept_sha256) for k in range(len(texts))] == want
+    assert counts["shared-runs"] > 40 and all(n < 40 for name, n in counts.items() if name not in ("runs", "shared-runs"))
+
+
 def test_repeats_of_repeated_rows_and_other_columns(spark):
     text = "é" + "".join(chr(97 + (k * k + k // 7) % 26) for k in range(150)) + "é"
     rows = [(1, text), (1, text), (None, "tail " + text), (2, None)]
