@@ -84,19 +84,32 @@ def facet(df: DataFrame, column: str) -> DataFrame:
     return df.where((F.col(column) != "") & F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n"))
 
 
+def _once(value: Column, fn) -> Column:
+    """fn of a value that is worked out once, however often fn names it, also inside of functions over arrays."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
 def best_snippet(text: Column, terms: list[str], words: int = 24, before: int = 4) -> Column:
     """The window of at most `words` words that holds most different terms, the first of equal ones, `before` words ahead of a hit.
 
     Terms are marked by guillemets, cut ends by ellipses; null where no term is in the text.
     """
     parts = F.split(text, " ")
-    plain = F.transform(parts, lambda w: F.regexp_replace(F.lower(w), r"[^\p{L}\p{N}]", ""))
     wanted = F.array(*map(F.lit, terms))
-    places = F.filter(F.transform(plain, lambda w, i: F.when(F.array_contains(wanted, w), F.greatest(i + 1 - before, F.lit(1)))), lambda i: i.isNotNull())
-    scored = F.transform(places, lambda at: F.struct(F.size(F.array_intersect(F.slice(plain, at, words), wanted)).alias("n"), (-at).alias("back")))
-    at = -F.array_max(scored)["back"]
-    shown = F.zip_with(F.slice(parts, at, words), F.slice(plain, at, words), lambda w, p: F.when(F.array_contains(wanted, p), F.concat(F.lit("«"), w, F.lit("»"))).otherwise(w))
-    return F.concat(F.when(at > 1, "…").otherwise(""), F.array_join(shown, " "), F.when(at + words <= F.size(parts), "…").otherwise(""))
+
+    def place(plain: Column) -> Column:
+        places = F.filter(F.transform(plain, lambda w, i: F.when(F.array_contains(wanted, w), F.greatest(i + 1 - before, F.lit(1)))), lambda i: i.isNotNull())
+        scored = F.transform(places, lambda at: F.struct(F.size(F.array_intersect(F.slice(plain, at, words), wanted)).alias("n"), (-at).alias("back")))
+        return -F.array_max(scored)["back"]
+
+    def shown(x: Column) -> Column:
+        own, at = x["parts"], x["at"]
+        marked = F.zip_with(F.slice(own, at, words), F.slice(x["plain"], at, words), lambda w, p: F.when(F.array_contains(wanted, p), F.concat(F.lit("«"), w, F.lit("»"))).otherwise(w))
+        return F.concat(F.when(at > 1, "…").otherwise(""), F.array_join(marked, " "), F.when(at + words <= F.size(own), "…").otherwise(""))
+
+    with_plain = lambda p: F.struct(p.alias("parts"), F.transform(p, lambda w: F.regexp_replace(F.lower(w), r"[^\p{L}\p{N}]", "")).alias("plain"))
+    with_place = lambda x: F.struct(x["parts"].alias("parts"), x["plain"].alias("plain"), place(x["plain"]).alias("at"))
+    return _once(_once(_once(parts, with_plain), with_place), shown)
 
 
 def snippet(text: Column, term: str, words: int = 24) -> Column:

@@ -81,3 +81,14 @@ def test_edges_of_formatted_pieces_stay(spark):
     df = spark.createDataFrame([(1, 1, " a ", False), (1, 2, " b ", True), (2, 1, " c ", True), (3, 1, " d ", None)], "p int, o int, t string, plain boolean")
     got = {(r.p, r.o): r.x for r in df.select("p", "o", navigation.trimmed_edges(["p"], "o", "t", F.col("plain")).alias("x")).collect()}
     assert got == {(1, 1): " a ", (1, 2): " b", (2, 1): "c", (3, 1): " d "}
+
+
+def test_best_snippet_takes_a_text_apart_once(spark):
+    """However many hits a text has: what a function over arrays names again would be worked out again, once a hit."""
+    from codexframe.operators.search import best_snippet
+
+    texts = ["one two With three", "no hit", None, "", "from " + "x " * 30 + "and with, from " + "y " * 30 + "end"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, text string")
+    found = rows.select("k", best_snippet(F.col("text"), ["with", "from"], words=6, before=2).alias("s"))
+    assert {r.k: r.s for r in found.collect()} == {0: "one two «With» three", 1: None, 2: None, 3: None, 4: "…x and «with,» «from» y y…"}
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
