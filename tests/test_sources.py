@@ -117,3 +117,10 @@ def test_places_go_on_from_volume_to_volume(spark):
     rows = spark.createDataFrame([("B#1.0", 5, None), ("B#1.10", 1, 1), ("B#1.9", 7, 2)], "package string, ord long, topic long")
     found = of_brands(rows, "ord", "topic").orderBy("ord").collect()
     assert [(r.package, r.ord & 0xFFFFFFFF, r.topic and r.topic >> 32) for r in found] == [("B#1", 5, None), ("B#1", 7, 9), ("B#1", 1, 10)]
+
+
+def test_packages_lie_with_many_tasks_however_few_their_bytes(spark, sf_dir):
+    from codexframe.plans import package_queries
+
+    for packages in (package_queries._packages(spark, sf_dir), package_queries._numbered(spark, sf_dir)):
+        assert packages.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
