@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codexframe.sources.work import dealt
+
 
 def resolve(refs: DataFrame, targets: DataFrame, keys: list, wanted: str, target: str, order: str) -> DataFrame:
     """Left join of refs to the first target (in its order) that any of the keys, tried in turn, equals.
@@ -39,10 +43,22 @@ def prefix_matches(candidates: DataFrame, candidate: str, requirements: DataFram
     return probes.join(requirements, requirement).groupBy(candidate).agg(F.min_by(requirement, order).alias(requirement))
 
 
-def siblings(pairs: DataFrame, material: str, requirement: str) -> DataFrame:
-    """Materials of the same requirement, each other: material, sibling."""
-    other = pairs.select(F.col(material).alias("sibling"), requirement)
-    return pairs.join(other, requirement).where(F.col(material) != F.col("sibling")).select(material, "sibling").distinct()
+def siblings(pairs: DataFrame, material: str, requirement: str, rows: int = 500_000) -> DataFrame:
+    """Materials of the same requirement, each other: material, sibling.
+
+    A task gets about so many rows, before and after the join: it holds what it has seen of them. Pairs are made and
+    compared one way round, and turned at the end.
+    """
+    known = pairs.where(F.col(material).isNotNull() & F.col(requirement).isNotNull()).select(material, requirement)
+    known = dealt(known, requirement, rows=rows).distinct()
+    n = F.count("*")
+    made = known.groupBy(requirement).agg((n * (n - 1) / 2).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0.0))).first()[0]  # one row
+    other = known.select(F.col(material).alias("sibling"), requirement)
+    both = known.join(other, requirement).where(F.col(material) < F.col("sibling")).select(material, "sibling")
+    # by number, not by bytes: a map of pairs is far larger than what was shuffled
+    once = both.repartition(max(pairs.sparkSession.sparkContext.defaultParallelism, math.ceil(made / rows)), material, "sibling").distinct()
+    ways = F.array(F.struct(F.col(material), F.col("sibling")), F.struct(F.col("sibling").alias(material), F.col(material).alias("sibling")))
+    return once.select(F.explode(ways).alias("w")).select(f"w.{material}", "w.sibling")
 
 
 def without_overlaps(spans, start: str = "start", end: str = "end"):

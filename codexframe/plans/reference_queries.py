@@ -150,8 +150,7 @@ def relation_prefix(spark, sf_dir):
 
 @query("relation_siblings", "SELECT DISTINCT a.l_partkey, b.l_partkey AS sibling FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey <> b.l_partkey")
 def relation_siblings(spark, sf_dir):
-    pairs = table(spark, sf_dir, "lineitem").select("l_partkey", "l_orderkey").distinct()
-    return refs.siblings(pairs, "l_partkey", "l_orderkey")
+    return refs.siblings(table(spark, sf_dir, "lineitem"), "l_partkey", "l_orderkey")
 
 
 @query("missing_assets", "SELECT p_partkey FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_quantity > 45)")

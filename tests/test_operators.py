@@ -92,3 +92,15 @@ def test_best_snippet_takes_a_text_apart_once(spark):
     found = rows.select("k", best_snippet(F.col("text"), ["with", "from"], words=6, before=2).alias("s"))
     assert {r.k: r.s for r in found.collect()} == {0: "one two «With» three", 1: None, 2: None, 3: None, 4: "…x and «with,» «from» y y…"}
     assert found._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+
+
+def test_siblings_are_dealt_by_their_number(spark):
+    """Tasks grow in number with the pairs, also when the input is one small partition."""
+    rows = [(m, r) for r in range(40) for m in range(r % 3, 60, 3)] * 2 + [(None, 1), (5, None), (None, None), (7, 999)]
+    found = references.siblings(spark.createDataFrame(rows, "m long, r long").coalesce(1), "m", "r", rows=500)
+    kept = {(m, r) for m, r in rows if m is not None and r is not None}
+    want = sorted({(a, b) for a, r in kept for b, s in kept if r == s and a != b})
+    got = [tuple(x) for x in found.withColumn("at", F.spark_partition_id()).collect()]
+    assert found.columns == ["m", "sibling"] and sorted(x[:2] for x in got) == want
+    assert len({x[2] for x in got}) > 10  # 7,600 pairs one way round
+    assert references.siblings(spark.createDataFrame([], "m long, r long"), "m", "r").collect() == []
