@@ -363,7 +363,7 @@ class Index:
         """Texts as words (key, columns, _words by field), once through.
 
         A line for each row (columns, length, terms), and one for each of its terms (term, key, length, places: field
-        number and position).
+        number and position). Words stay in Arrow columns: only a portion's different ones become Python objects.
         """
         analyzer, names, key = self.analyzer, self.columns.names, self.key
         schema = to_arrow_schema(self._raw_schema)
@@ -371,21 +371,24 @@ class Index:
         def run(batches):
             root = _root(analyzer)
             for batch in (part for whole in batches for part in portions(whole, len(names), PORTION)):
-                row, terms, places, lengths, held = [], [], [], [], []
-                for r, fields in enumerate(batch.column(len(names)).to_pylist()):
-                    met: dict[str, list[int]] = {}
-                    for f, own in enumerate(fields):
-                        for p, w in enumerate(own, f * _FIELD):
-                            met.setdefault(root(w), []).append(p)
-                    row += [r] * len(met)
-                    terms += met.keys()
-                    places += met.values()
-                    lengths.append(sum(map(len, fields)))
-                    held.append(list(met))
-                each, length = pa.array(row, pa.int64()), pa.array(lengths, pa.int64())
+                own = batch.column(len(names)).flatten()  # a list a row and field
+                lens, words = own.value_lengths().to_numpy(zero_copy_only=False).astype("int64"), own.flatten().dictionary_encode()
+                fields = len(own) // batch.num_rows
+                begins = np.arange(len(own)) % fields * _FIELD - (np.cumsum(lens) - lens)
+                # equal terms of a row side by side, in the order of their places
+                filed = pa.array([root(w) for w in words.dictionary.to_pylist()], pa.string()).dictionary_encode()
+                at = filed.indices.to_numpy()[words.indices.to_numpy()] + np.repeat(np.arange(len(own)) // fields, lens) * len(filed.dictionary)
+                order = np.argsort(at, kind="stable")
+                at = at[order]
+                starts = np.flatnonzero(np.diff(at, prepend=-1))
+                row, term = np.divmod(at[starts], max(len(filed.dictionary), 1))
+                places = pa.ListArray.from_arrays(np.append(starts, len(at)).astype("int32"), (np.arange(len(at)) + np.repeat(begins, lens))[order])
+                terms = filed.dictionary.take(pa.array(term))
+                held = pa.ListArray.from_arrays(np.searchsorted(row, np.arange(batch.num_rows + 1)).astype("int32"), terms)
+                length = pa.array(lens.reshape(-1, fields).sum(axis=1), pa.int64())
                 columns = {c: batch.column(k) for k, c in enumerate(names)}
-                rows = columns | {"length": length, "terms": pa.array(held, pa.list_(pa.string()))}
-                posted = {"term": pa.array(terms, pa.string()), "places": pa.array(places, pa.list_(pa.int64())), "length": length.take(each), key: columns[key].take(each)}
+                rows = columns | {"length": length, "terms": held}
+                posted = {"term": terms, "places": places, "length": length.take(pa.array(row)), key: columns[key].take(pa.array(row))}
                 for found, n in ((rows, batch.num_rows), (posted, len(row))):
                     yield pa.RecordBatch.from_arrays([found.get(f.name, pa.nulls(n, f.type)).cast(f.type) for f in schema], schema=schema)
 

@@ -166,3 +166,58 @@ def test_a_task_holds_portions_and_not_batches(monkeypatch, spark, tmp_path):
 
     own._split(Words())
     assert sum(sizes) == 100 and max(sizes) <= 10
+
+
+def split_of(spark, path, batch, schema, fields, analyzer="plain"):
+    """What a task makes of a batch."""
+    own, out = index.create_index(spark, path, schema, "k", fields, analyzer), []
+
+    class Words:
+        def mapInArrow(self, run, _):  # noqa: N802
+            out.extend(run(iter([batch])))
+
+    own._split(Words())
+    return out
+
+
+def words_batch(words, keys=None):
+    return pa.RecordBatch.from_arrays([pa.array(keys or range(len(words)), pa.int64()), pa.array(words, pa.list_(pa.list_(pa.string())))], names=["k", "_words"])
+
+
+def test_a_long_text_is_no_pile_of_objects(spark, tmp_path):
+    """A row has at least a portion of its own, however long: its words must not become Python objects."""
+    import tracemalloc
+
+    many = 400_000
+    batch = words_batch([[[f"w{i % 1000}" for i in range(many)]]])
+    schema = spark.createDataFrame([], "k long, t string").schema
+    tracemalloc.start()
+    out = split_of(spark, f"file://{tmp_path}/long", batch, schema, ["t"])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(b.num_rows for b in out) == 1001 and peak < 80 * many
+
+
+@pytest.mark.parametrize("analyzer", ["plain", "stem"])
+def test_places_of_words_by_row_and_field(spark, tmp_path, monkeypatch, analyzer):
+    monkeypatch.setattr(index, "PORTION", 7)
+    rng, root = random.Random(3), index._root(analyzer)
+    words = [[rng.choices(["connect", "connected", "a", "é", "fish"], k=rng.randint(0, 6)) for _ in range(2)] for _ in range(40)] + [[[], []]]
+    schema = spark.createDataFrame([], "k long, t string, u string").schema
+    keys = [3 * k for k in range(len(words))]
+    for rows in (words, [[[], []]] * 3):
+        batch = words_batch(rows, keys[: len(rows)])
+        rows_, posted = {}, {}
+        for r in (r for b in split_of(spark, f"file://{tmp_path}/{len(rows)}", batch, schema, ["t", "u"], analyzer) for r in b.to_pylist()):
+            if r["term"] is None:
+                rows_[r["k"]] = (r["length"], sorted(r["terms"]))
+            else:
+                assert (r["k"], r["term"]) not in posted
+                posted[r["k"], r["term"]] = (r["length"], r["places"])
+        want: dict = {}
+        for k, fields in zip(keys, rows, strict=False):
+            for f, own in enumerate(fields):
+                for p, w in enumerate(own):
+                    want.setdefault((k, root(w)), (sum(map(len, fields)), []))[1].append(f * index._FIELD + p)
+        assert posted == want
+        assert rows_ == {k: (sum(map(len, f)), sorted({root(w) for own in f for w in own})) for k, f in zip(keys, rows, strict=False)}
