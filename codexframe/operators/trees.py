@@ -1,17 +1,24 @@
 """Whole node trees as Markdown, as an HTML fragment and as JSON by type: topics in topics, lists, headings, figures, tables in cells.
 
-A document's nodes lie in pre-order with their depth. Every node becomes what opens it and what closes it; the closing of
-a node goes out with the next node that is no deeper, so that one sort a document puts all pieces in order and nothing is
-joined level by level. A window over that sort gives each node its ancestors and what is still open before it, one column
-a level; a document is one group, as long as its own text. Nodes that come in partitions of documents are not shuffled.
+A document's nodes lie in pre-order with their depth. One sort a document puts them in order; over batches of whole
+documents, array arithmetic tells every node what it lies in, its place among siblings and what it holds (`_place`).
+Columns then say what opens a node and what closes it, and both are laid out in one order: a node's opening at its
+place, its closing behind the last node in it. A document is one group, as long as its own text. Nodes that come in
+partitions of documents are not shuffled, and nothing is asked of the nodes before.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StringType, StructField, StructType
 
 from codexframe.functions.text import html_escape, link_escape, web_scheme
 from codexframe.operators.markup import MARKS, figure_html, figure_markdown, inline_html, inline_markdown, rule_paths
@@ -21,6 +28,8 @@ ATTRIBUTES = "node_id string, designation string, title string, erules_id string
 TOPICS = ["section", "requirement", "guidance", "acceptable_means_of_compliance"]
 INLINE = ["text", "bold", "italic", "superscript", "subscript", "hyperlink", "internal_reference", "line_break"]
 _HOLDERS = ["paragraph", "heading", "list_item", "cell"]  # what inline content belongs to
+#: What a node is told: of its parent, how many topics and tables it lies in, its place among siblings, its table's form, and what it holds (inline content: whether its holder is filled).
+_PLACE = "_parent_type string, _parent_ordered boolean, _parent_header boolean, _nested int, _tables int, _in_cell boolean, _nth int, _first_alike boolean, _grid_spans boolean, _grid_wide int, _spans boolean, _wide int, _blocks int, _cells int, _heads int, _bodies int, _full boolean, _filled boolean, _holds boolean, _said string"
 _CLASSES = {"requirement": "requirement", "guidance": "guidance", "acceptable_means_of_compliance": "amc"}
 
 
@@ -42,51 +51,148 @@ def ancestors(nodes: DataFrame, keys: list[str], about: Column) -> tuple[DataFra
     return nodes.withColumn("_above", F.slice(levels, F.lit(1), F.col("depth"))), deepest
 
 
-def _placed(nodes: DataFrame, keys: list[str]) -> tuple[DataFrame, int]:
-    """nodes with all attributes, what they lie in, their place among siblings, and what they hold; the deepest level."""
-    out, deepest = ancestors(attributed(nodes), keys, F.struct("ord", "type", "ordered", "header"))
-    parent = F.get("_above", F.col("depth") - 1)
-    nearest = lambda *types: F.get(F.reverse(F.filter("_above", lambda a: a["type"].isin(*types))), F.lit(0))["ord"]
-    out = out.withColumns({"_parent": parent, "_inline": _is(*INLINE), "_nested": F.size(F.filter("_above", lambda a: a["type"].isin(TOPICS))), "_tables": F.filter("_above", lambda a: a["type"] == "table"), "_cell": nearest("cell"), "_holder": F.when(_is(*INLINE), nearest(*_HOLDERS))})
-    out = out.withColumns({"_table": F.get("_tables", F.size("_tables") - 1)["ord"], "_tables": F.size("_tables"), "_in_cell": F.col("_cell").isNotNull()}).drop("_above")
-    among = Window.partitionBy(*keys, "_parent.ord")  # lies within the documents' partitions
-    out = out.withColumn("_nth", F.row_number().over(among.orderBy("ord")))
-    out = out.withColumn("_nth_alike", F.row_number().over(Window.partitionBy(*keys, "_parent.ord", "_inline", F.coalesce("header", F.lit(False))).orderBy("ord")))
-    span, head = (F.coalesce("colspan", F.lit(1)) > 1) | (F.coalesce("rowspan", F.lit(1)) > 1), F.coalesce("header", F.lit(False))
-    grid = Window.partitionBy(*keys, "_table")
-    out = out.withColumns({"_grid_spans": F.coalesce(F.max(F.when(_is("cell"), span)).over(grid), F.lit(False)), "_grid_wide": F.coalesce(F.max(F.when(_is("cell"), F.col("_nth"))).over(grid), F.lit(0))})
-    # what nodes hold, by the node it is told of: text and blocks of holders, cells of rows, rows, spans and width of tables, anything of cells
-    said = F.when(_is("line_break"), "\n").otherwise(F.coalesce("text", F.when(_is("internal_reference"), F.col("target_designation")), F.lit("")))
-    no = F.lit(False)
-    node = F.struct(*(c for c in out.columns if c not in keys))
-    facts = {"_node": F.lit(None).cast(out.select(node.alias("n")).schema["n"].dataType), "_piece": F.lit(None).cast("struct<ord:bigint,t:string>"), "_block": no, "_a_cell": no, "_head": no, "_body": no, "_span": no, "_full": no, "_nth_cell": F.lit(0)}
-    tell = lambda of, **own: F.struct(of.cast("long").alias("_of"), *(own.get(c, f).alias(c) for c, f in facts.items()))
-    every = F.array(
-        tell(F.coalesce("_holder", "ord"), _node=node),  # the node itself: inline content asks its holder
-        tell(F.col("_holder"), _piece=F.struct(F.col("ord").cast("long").alias("ord"), said.alias("t"))),
-        tell(F.when(~F.col("_inline"), F.col("_parent.ord")), _block=F.lit(True), _a_cell=_is("cell"), _head=_is("row") & head, _body=_is("row") & ~head),
-        tell(F.when(_is("cell"), F.col("_table")), _span=span, _nth_cell=F.col("_nth")),
-        tell(F.when((F.col("_inline") & (said != "")) | _is("table"), F.col("_cell")), _full=F.lit(True)),
-    )
-    held = out.select(*keys, F.explode(F.filter(every, lambda x: x["_of"].isNotNull())).alias("f")).select(*keys, "f.*")
-    count = lambda c: F.count_if(F.col(c))
-    # nodes go with what they ask: grouping keeps the documents' partitions, a join would shuffle every node again
-    told = held.groupBy(*keys, "_of").agg(F.collect_list("_node").alias("_nodes"), F.count_if(F.col("_node").isNull()).alias("_facts"), F.array_join(F.transform(F.sort_array(F.collect_list("_piece")), lambda p: p["t"]), "").alias("_said"), count("_block").alias("_blocks"), count("_a_cell").alias("_cells"), count("_head").alias("_heads"), count("_body").alias("_bodies"), F.max("_span").alias("_spans"), F.max("_full").alias("_full"), F.max("_nth_cell").alias("_wide"))
-    has = F.when(F.col("_facts") > 0, F.struct("_said", "_blocks", "_cells", "_heads", "_bodies", "_spans", "_full", "_wide"))
-    return told.select(*keys, has.alias("_has"), F.explode("_nodes").alias("_node")).select(*keys, "_node.*", "_has"), deepest
-
-
-def _rendered(placed: DataFrame, keys: list[str], deepest: int, opened: Column, closed: Column) -> DataFrame:
-    """One row a document: what opens and closes its nodes, in order."""
-    order = Window.partitionBy(*keys).orderBy("ord")
-    shown = placed.select(*keys, "ord", "depth", F.coalesce(opened, F.lit("")).alias("_open"), F.coalesce(closed, F.lit("")).alias("_close"))
-    levels = range(deepest + 1)
-    still = lambda to: F.array(*(F.last(F.when(F.col("depth") == level, F.col("_close")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, to)) for level in levels))
-    shown = shown.withColumns({"_before": still(-1), "_now": still(0), "_from": F.coalesce(F.lag("depth").over(order), F.lit(-1)), "_ends": F.lead("ord").over(order).isNull()})
-    closing = lambda chain, first, n: F.array_join(F.reverse(F.slice(chain, first, F.greatest(n, F.lit(0)))), "")
-    piece = F.concat(closing("_before", F.col("depth") + 1, F.col("_from") - F.col("depth") + 1), "_open", F.when(F.col("_ends"), closing("_now", F.lit(1), F.col("depth") + 1)).otherwise(""))
-    pieces = F.sort_array(F.collect_list(F.struct("ord", "p")))
-    return shown.select(*keys, "ord", piece.alias("p")).groupBy(*keys).agg(F.array_join(F.transform(pieces, lambda x: x["p"]), "").alias("body"))
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of whole documents from rows in order, whose first one of each document has _start."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        starts = np.flatnonzero(batch.column("_start"))
+        if len(starts):
+            if whole := [b for b in (*held, batch.slice(0, starts[-1])) if b.num_rows]:
+                yield pa.concat_batches(whole)
+            held = []
+            batch = batch.slice(starts[-1])
+        held.append(batch)
+    if whole := [b for b in held if b.num_rows]:
+        yield pa.concat_batches(whole)
+
+
+def _parents(depth: np.ndarray, starts: np.ndarray, document: np.ndarray) -> np.ndarray:
+    """The nearest node before each that is less deep, in its document; -1 for none."""
+    parent = np.full(len(depth), -1)
+    for level in np.unique(depth)[1:]:
+        rows, above = np.flatnonzero(depth == level), np.flatnonzero(depth < level)
+        own = np.append(above, -1)[np.searchsorted(above, rows) - 1]
+        parent[rows] = np.where(own < starts[document[rows]], -1, own)
+    return parent
+
+
+def _last_within(depth: np.ndarray, ends: np.ndarray, document: np.ndarray) -> np.ndarray:
+    """The last node in each, or itself: the one before the next that is no deeper, or before the document's end."""
+    last = np.empty(len(depth), "int64")
+    for level in np.unique(depth):
+        rows, stops = np.flatnonzero(depth == level), np.flatnonzero(depth <= level)
+        after = np.append(stops, len(depth))[np.searchsorted(stops, rows, side="right")]
+        last[rows] = np.minimum(after, ends[document[rows]]) - 1
+    return last
+
+
+def _rank(group: np.ndarray) -> np.ndarray:
+    """The place of each row among those of its group, from 1."""
+    order = np.argsort(group, kind="stable")
+    first = np.flatnonzero(np.diff(group[order], prepend=-1))
+    out = np.empty(len(group), "int64")
+    out[order] = np.arange(len(group)) - np.repeat(first, np.diff(np.append(first, len(group)))) + 1
+    return out
+
+
+def _place(batch: pa.RecordBatch) -> dict[str, pa.Array | np.ndarray]:
+    """_PLACE of the nodes of whole documents."""
+    n, kind = batch.num_rows, batch.column("type")
+    one_of = lambda *types: pc.is_in(kind, pa.array(types)).to_numpy(zero_copy_only=False)
+    flag = lambda name: pc.fill_null(batch.column(name), False).to_numpy(zero_copy_only=False)
+    depth, start, head = batch.column("_depth").to_numpy(), flag("_start"), flag("header")
+    starts, document = np.flatnonzero(start), np.cumsum(start) - 1
+    parent = _parents(depth, starts, document)
+    inline, topic, cell, table, row, holder = one_of(*INLINE), one_of(*TOPICS), one_of("cell"), one_of("table"), one_of("row"), one_of(*_HOLDERS)
+    # from the top down; the row at n, which is that of -1, stands for what lies in nothing
+    of = {name: np.append(own, False) for name, own in {"topic": topic, "table": table, "cell": cell, "holder": holder}.items()}
+    nested, tables = np.zeros(n + 1, "int64"), np.zeros(n + 1, "int64")
+    nearest = {name: np.full(n + 1, -1) for name in ("table", "cell", "holder")}
+    for level in np.unique(depth):
+        rows = np.flatnonzero(depth == level)
+        above = parent[rows]
+        nested[rows], tables[rows] = nested[above] + of["topic"][above], tables[above] + of["table"][above]
+        for name, found in nearest.items():
+            found[rows] = np.where(of[name][above], above, found[above])
+    in_cell, grid, held_by = nearest["cell"][:n], nearest["table"][:n], np.where(inline, nearest["holder"][:n], -1)
+    siblings = np.where(parent < 0, n + document, parent)
+    nth = _rank(siblings)
+    grid = np.where(grid < 0, n + document, grid)
+    count = lambda of, which: np.bincount(of[which & (of >= 0)], minlength=2 * n)
+    spans, wide = count(grid, cell & flag("_span")) > 0, np.zeros(2 * n, "int64")
+    np.maximum.at(wide, grid[cell], nth[cell])
+    filled = count(held_by, flag("_seen"))[:n] > 0
+    rows = ~inline & row
+    out = {
+        "_parent_type": kind.take(pa.array(parent, mask=parent < 0)), "_parent_ordered": np.append(flag("ordered"), False)[parent], "_parent_header": np.append(head, False)[parent],
+        "_nested": nested[:n], "_tables": tables[:n], "_in_cell": in_cell >= 0, "_nth": nth, "_first_alike": _rank(siblings * 4 + inline * 2 + head) == 1,
+        "_grid_spans": spans[grid], "_grid_wide": wide[grid], "_spans": spans[:n], "_wide": wide[:n],
+        "_blocks": count(parent, ~inline)[:n], "_cells": count(parent, cell)[:n], "_heads": count(parent, rows & head)[:n], "_bodies": count(parent, rows & ~head)[:n],
+        "_full": count(in_cell, (inline & flag("_says")) | table)[:n] > 0, "_filled": np.where(inline, (held_by < 0) | filled[held_by], filled),
+        "_holds": np.append((depth[1:] > depth[:-1]) & ~start[1:], False),
+    }
+    if "_piece" in batch.schema.names:
+        at = np.flatnonzero(held_by >= 0)
+        at = at[np.argsort(held_by[at], kind="stable")]
+        holders, first = np.unique(held_by[at], return_index=True)
+        said = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.append(first, len(at)), pa.int32()), batch.column("_piece").take(pa.array(at))), "")
+        own = np.full(n, -1)
+        own[holders] = np.arange(len(holders))
+        out["_said"] = said.take(pa.array(own, mask=own < 0))
+    return out
+
+
+def _placed(nodes: DataFrame, keys: list[str], said: bool = False) -> DataFrame:
+    """nodes with all attributes and _PLACE, in order; _said, the text that holders hold, only if asked for."""
+    given = [c for c in dict.fromkeys([*nodes.columns, "ordered", "header"]) if c not in ("ord", "depth")]
+    piece = F.when(_is("line_break"), "\n").otherwise(F.coalesce("text", F.when(_is("internal_reference"), F.col("target_designation")), F.lit("")))
+    span = (F.coalesce("colspan", F.lit(1)) > 1) | (F.coalesce("rowspan", F.lit(1)) > 1)
+    # numbering puts documents together and in order, and says where each one starts
+    start = F.row_number().over(Window.partitionBy(*keys).orderBy("ord")) == 1
+    asked = {"_start": start, "_depth": F.col("depth").cast("long"), "_span": _is("cell") & span, "_says": piece != "", "_seen": piece.rlike(r"(?U)\S")} | ({"_piece": piece} if said else {})
+    rows = attributed(nodes).select(*given, *(c.alias(name) for name, c in asked.items()))
+    kept = [f for f in rows.schema.fields if f.name not in ("_span", "_says", "_seen", "_piece")]
+    schema = StructType([*kept, *(f for f in StructType.fromDDL(_PLACE).fields if said or f.name != "_said")])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches):
+        for batch in _whole(batches):
+            told = _place(batch)
+            columns = (batch.column(f.name) if f.name in batch.schema.names else told[f.name] for f in arrow)
+            yield pa.RecordBatch.from_arrays([pa.array(c).cast(f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+
+    return attributed(rows.mapInArrow(run, schema)).withColumn("_inline", F.coalesce(_is(*INLINE), F.lit(False)))
+
+
+def _uncompiled(column: Column) -> Column:
+    """The same column; a projection with a lambda function stays out of whole-stage code.
+
+    All that nodes can open and close with would be one method there, longer than the 8,000 bytes that a JVM compiles.
+    """
+    return F.get(F.transform(F.array(column), lambda x: x), F.lit(0))
+
+
+def _rendered(placed: DataFrame, keys: list[str], opened: Column, closed: Column) -> DataFrame:
+    """One row a document: what opens and closes its nodes, in order. placed keeps the order of _placed."""
+    shown = placed.select(*keys, "_start", _uncompiled(F.col("_depth")).alias("_depth"), F.coalesce(opened, F.lit("")).alias("_open"), F.coalesce(closed, F.lit("")).alias("_close"))
+    schema = StructType([*(shown.schema[k] for k in keys), StructField("body", StringType())])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches):
+        for batch in _whole(batches):
+            n, depth = batch.num_rows, batch.column("_depth").to_numpy()
+            starts = np.flatnonzero(batch.column("_start"))
+            ends = np.append(starts[1:], n)
+            last = _last_within(depth, ends, np.repeat(np.arange(len(starts)), ends - starts))
+            # an opening at its node's place; behind the last node in it a closing, the deepest first
+            most = depth.max() - depth.min() + 2
+            order = np.argsort(np.concatenate([np.arange(n) * most, last * most + depth.max() - depth + 1]))
+            pieces = pa.concat_arrays([batch.column("_open"), batch.column("_close")]).take(pa.array(order))
+            body = pc.binary_join(pa.ListArray.from_arrays(pa.array(2 * np.append(starts, n), pa.int32()), pieces), "")
+            own = [batch.column(k).take(pa.array(starts)) for k in keys]
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip([*own, body], arrow, strict=True)], schema=arrow)
+
+    return shown.mapInArrow(run, schema)
 
 
 def _chosen(pairs: list[tuple[Column, Column | str]]) -> Column:
@@ -108,20 +214,15 @@ def _label() -> Column:
 def _table_tags(escape_caption: Column) -> tuple[list, list]:
     """HTML of tables, rows and cells: (opening, closing). Head rows come first; cells that a merge goes on in are left out of the nodes."""
     head, attribute = F.coalesce("header", F.lit(False)), lambda n: F.when(F.coalesce(F.col(n), F.lit(1)) > 1, F.concat(F.lit(f' {n}="'), F.col(n).cast("string"), F.lit('"'))).otherwise("")
-    tag = F.when(F.coalesce(F.col("_parent.header"), F.lit(False)), "th").otherwise("td")
+    tag = F.when(F.col("_parent_header"), "th").otherwise("td")
     first = F.col("_nth") == 1
-    row = F.concat(F.when(head & first, "<thead>").when(~head & first, "<tbody>").when(~head & (F.col("_nth_alike") == 1), "</thead><tbody>").otherwise(""), F.lit("<tr>"))
-    end = F.when(F.coalesce(F.col("_has._bodies"), F.lit(0)) > 0, "</tbody>").when(F.coalesce(F.col("_has._heads"), F.lit(0)) > 0, "</thead>").otherwise("")
+    row = F.concat(F.when(head & first, "<thead>").when(~head & first, "<tbody>").when(~head & F.col("_first_alike"), "</thead><tbody>").otherwise(""), F.lit("<tr>"))
+    end = F.when(F.col("_bodies") > 0, "</tbody>").when(F.col("_heads") > 0, "</thead>").otherwise("")
     opening = [(_is("table"), F.concat(F.lit("<table>"), escape_caption)), (_is("row"), row), (_is("cell"), F.concat(F.lit("<"), tag, attribute("colspan"), attribute("rowspan"), F.lit(">")))]
     closing = [(_is("table"), F.concat(end, F.lit("</table>"))), (_is("row"), F.lit("</tr>")), (_is("cell"), F.concat(F.lit("</"), tag, F.lit(">")))]
     return opening, closing
 
 
-def _filled() -> Column:
-    """Whether a holder has more than white space."""
-    return F.coalesce(F.trim(F.regexp_replace("_has._said", r"(?U)\s", "")) != "", F.lit(False))
-
-
 def markdown(nodes: DataFrame, keys: list[str], level: int | Column = 1, prefix: str | Column = "assets") -> DataFrame:
     """Markdown of every document (keys, body) from its nodes (keys, ord, depth, type, attributes).
 
@@ -131,36 +232,36 @@ def markdown(nodes: DataFrame, keys: list[str], level: int | Column = 1, prefix:
     cell are set apart by <br>. Blank paragraphs are left out. Nodes of other types show what they hold. level and prefix
     (of assets) can be columns of the nodes.
     """
-    placed, deepest = _placed(nodes, keys)
+    placed = _placed(nodes, keys)
     hashes = lambda: F.concat(F.repeat(F.lit("#"), F.least(F.col("_nested") + level, F.lit(6))), F.lit(" "))
-    blocks, in_cell = F.coalesce(F.col("_has._blocks"), F.lit(0)) > 0, F.col("_in_cell")
+    blocks, in_cell = F.col("_blocks") > 0, F.col("_in_cell")
     # a block right after inline content ends its line
-    after_inline = ~F.col("_inline") & (F.col("_nth_alike") == 1) & (F.col("_nth") > 1)
-    first = _chosen([(in_cell & (F.col("_parent.type") == "cell") & (F.col("_nth") > 1), "<br>"), (~in_cell & after_inline & (F.col("_parent.type") == "paragraph"), "\n\n"), (~in_cell & after_inline & (F.col("_parent.type") == "list_item"), "\n")])
-    within, spans = in_cell, F.coalesce(F.col("_has._spans"), F.lit(False))
+    after_inline = ~F.col("_inline") & F.col("_first_alike") & (F.col("_nth") > 1)
+    first = _chosen([(in_cell & (F.col("_parent_type") == "cell") & (F.col("_nth") > 1), "<br>"), (~in_cell & after_inline & (F.col("_parent_type") == "paragraph"), "\n\n"), (~in_cell & after_inline & (F.col("_parent_type") == "list_item"), "\n")])
+    within, spans = in_cell, F.col("_spans")
     own_html = F.when(_is("table"), within | spans).otherwise(F.col("_grid_spans") | (F.col("_tables") > 1))
     tags, ends = _table_tags(F.lit(""))
-    heads = F.coalesce(F.col("_has._heads"), F.lit(0))
+    heads = F.col("_heads")
     rule = lambda wide: F.concat(F.lit("| "), F.array_join(F.array_repeat(F.lit("---"), wide), " | "), F.lit(" |\n"))
     blank = lambda wide: F.concat(F.lit("| "), F.array_join(F.array_repeat(F.lit(" "), wide), " | "), F.lit(" |\n"))
-    wide = F.coalesce(F.col("_has._wide"), F.lit(0)).cast("int")
+    wide = F.col("_wide").cast("int")
     bold = F.when(~within, F.coalesce(F.concat(F.lit("**"), _given("caption"), F.lit("**\n\n")), F.lit(""))).otherwise("")
     grid = F.col("_grid_wide").cast("int")
-    row_end = F.concat(F.repeat(F.lit(" |  "), grid - F.coalesce(F.col("_has._cells"), F.lit(0)).cast("int")), F.lit(" |\n"))
-    no_cells = F.coalesce(F.col("_has._cells"), F.lit(0)) == 0
+    row_end = F.concat(F.repeat(F.lit(" |  "), grid - F.col("_cells").cast("int")), F.lit(" |\n"))
+    no_cells = F.col("_cells") == 0
     said = F.when(in_cell, F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit("<br>"))).otherwise(F.coalesce("text", F.lit("")))
     in_html = in_cell & ((F.col("_tables") > 1) | F.col("_grid_spans"))
     said = F.when(in_html, html_escape(said)).otherwise(said)
     marks = {name: (left, right) for name, (left, right, _) in MARKS.items()}
     label = F.coalesce(F.nullif(said, F.lit("")), F.col("target_designation"))
     opened = _chosen([
-        (_is(*_HOLDERS[:1]) & ~_filled() & ~blocks, ""),
+        (_is(*_HOLDERS[:1]) & ~F.col("_filled") & ~blocks, ""),
         (_is(*TOPICS), F.concat(hashes(), F.coalesce("designation", F.lit("")), F.lit(": "), F.coalesce("title", F.lit("")), F.lit("\n\n"), F.when(~_is("section"), F.coalesce(F.concat(F.lit("**ERules ID:** "), _given("erules_id"), F.lit("\n\n")), F.lit(""))).otherwise(""))),
         (_is("heading") & ~in_cell, F.concat(hashes(), F.coalesce(F.concat(_given("designation"), F.lit(": ")), F.lit("")))),
-        (_is("list_item") & ~in_cell, F.when(F.coalesce(F.col("_parent.ordered"), F.lit(False)), F.concat(F.col("_nth").cast("string"), F.lit(". "))).otherwise("- ")),
+        (_is("list_item") & ~in_cell, F.when(F.col("_parent_ordered"), F.concat(F.col("_nth").cast("string"), F.lit(". "))).otherwise("- ")),
         (_is("table") & own_html, F.concat(bold, tags[0][1])), (_is("table"), F.concat(bold, F.when((wide > 0) & (heads == 0), F.concat(blank(wide), rule(wide))).otherwise(""))),
         (_is("row") & own_html, tags[1][1]), (_is("row") & no_cells, F.concat(F.lit("| "), F.array_join(F.array_repeat(F.lit(" "), grid), " | "))), (_is("row"), "| "),
-        (_is("cell") & own_html, tags[2][1]), (_is("cell"), F.concat(F.when(F.col("_nth") > 1, " | ").otherwise(""), F.when(F.coalesce(F.col("_has._full"), F.lit(False)), "").otherwise(" "))),
+        (_is("cell") & own_html, tags[2][1]), (_is("cell"), F.concat(F.when(F.col("_nth") > 1, " | ").otherwise(""), F.when(F.col("_full"), "").otherwise(" "))),
         (_is("figure") & ~in_cell, F.concat(figure_markdown(F.coalesce("image_path", F.lit("")), F.col("alt_text"), F.col("caption"), prefix), F.lit("\n\n"))),
         (_is("text"), F.when(_shown(), said).otherwise("")),
         *((_is(name), F.concat(F.lit(left), said)) for name, (left, _) in marks.items()),
@@ -169,27 +270,27 @@ def markdown(nodes: DataFrame, keys: list[str], level: int | Column = 1, prefix:
         (_is("line_break"), F.when(in_cell, "<br>").otherwise("\n")),
     ])
     closed = _chosen([
-        (_is("paragraph") & ~in_cell & _filled() & ~blocks, "\n\n"), (_is("heading") & ~in_cell, "\n\n"), (_is("list_item") & ~in_cell & ~blocks, "\n"),
+        (_is("paragraph") & ~in_cell & F.col("_filled") & ~blocks, "\n\n"), (_is("heading") & ~in_cell, "\n\n"), (_is("list_item") & ~in_cell & ~blocks, "\n"),
         (_is("table") & own_html, F.concat(ends[0][1], F.when(within, "").otherwise("\n\n"))), (_is("table"), F.when(wide > 0, "\n").otherwise("")),
         (_is("row") & own_html, "</tr>"),
         (_is("row"), F.concat(F.when(no_cells, " |\n").otherwise(row_end), F.when(F.coalesce("header", F.lit(False)) & (F.col("_nth") == 1), rule(grid)).otherwise(""))),
         (_is("cell") & own_html, ends[2][1]),
         *((_is(name), right) for name, (_, right) in marks.items()), (_is("hyperlink"), F.concat(F.lit("]("), F.coalesce("url", F.lit("")), F.lit(")"))),
     ])
-    return _rendered(placed, keys, deepest, F.concat(first, opened), closed)
+    return _rendered(placed, keys, F.concat(first, opened), closed)
 
 
 def _shown() -> Column:
     """Text counts unless it is all there is of a blank paragraph."""
-    return F.coalesce(F.trim(F.regexp_replace("_has._said", r"(?U)\s", "")) != "", F.lit(True)) | F.col("_in_cell")
+    return F.col("_filled") | F.col("_in_cell")
 
 
 def html(nodes: DataFrame, keys: list[str], level: int = 2) -> DataFrame:
     """An HTML fragment of every document (keys, body); nodes as for markdown. Links go to the web only, references and assets are data."""
-    placed, deepest = _placed(nodes, keys)
-    in_cell, blocks = F.col("_in_cell"), F.coalesce(F.col("_has._blocks"), F.lit(0)) > 0
-    after_inline = ~F.col("_inline") & (F.col("_nth_alike") == 1) & (F.col("_nth") > 1)
-    first = _chosen([(in_cell & (F.col("_parent.type") == "cell") & (F.col("_nth") > 1), "<br/>"), (~in_cell & after_inline & (F.col("_parent.type") == "paragraph"), "</p>")])
+    placed = _placed(nodes, keys)
+    in_cell, blocks = F.col("_in_cell"), F.col("_blocks") > 0
+    after_inline = ~F.col("_inline") & F.col("_first_alike") & (F.col("_nth") > 1)
+    first = _chosen([(in_cell & (F.col("_parent_type") == "cell") & (F.col("_nth") > 1), "<br/>"), (~in_cell & after_inline & (F.col("_parent_type") == "paragraph"), "</p>")])
     h = lambda n: F.concat(F.lit("h"), F.least(F.greatest(n, F.lit(1)), F.lit(6)).cast("string"))
     topic, heading = h(F.col("_nested") + level), h(F.coalesce("level", F.lit(1)))
     around = lambda tag, inner: F.concat(F.lit("<"), tag, F.lit(">"), inner, F.lit("</"), tag, F.lit(">"))
@@ -202,7 +303,7 @@ def html(nodes: DataFrame, keys: list[str], level: int = 2) -> DataFrame:
     marks = {name: tag for name, (_, _, tag) in MARKS.items()}
     opened = _chosen([
         (_is(*TOPICS), F.concat(F.lit("<section"), css, F.lit(' id="'), html_escape(F.coalesce(_given("node_id", "designation"), F.lit(""))), F.lit('">'), around(topic, html_escape(_label())), number)),
-        (_is("paragraph") & ~in_cell & _filled(), "<p>"),
+        (_is("paragraph") & ~in_cell & F.col("_filled"), "<p>"),
         (_is("heading") & ~in_cell, F.concat(F.lit("<"), heading, F.lit(">"), F.coalesce(F.concat(html_escape(_given("designation")), F.lit(": ")), F.lit("")))),
         (_is("list") & ~in_cell, F.concat(F.lit("<"), list_tag, F.lit(">"))), (_is("list_item") & ~in_cell, "<li>"), *tags,
         (_is("figure") & ~in_cell, figure_html(F.coalesce("image_path", F.lit("")), F.col("alt_text"), F.col("caption"))),
@@ -212,11 +313,11 @@ def html(nodes: DataFrame, keys: list[str], level: int = 2) -> DataFrame:
         (_is("line_break"), "<br/>"),
     ])
     closed = _chosen([
-        (_is(*TOPICS), "</section>"), (_is("paragraph") & ~in_cell & _filled() & ~blocks, "</p>"), (_is("heading") & ~in_cell, F.concat(F.lit("</"), heading, F.lit(">"))),
+        (_is(*TOPICS), "</section>"), (_is("paragraph") & ~in_cell & F.col("_filled") & ~blocks, "</p>"), (_is("heading") & ~in_cell, F.concat(F.lit("</"), heading, F.lit(">"))),
         (_is("list") & ~in_cell, F.concat(F.lit("</"), list_tag, F.lit(">"))), (_is("list_item") & ~in_cell, "</li>"), *ends,
         *((_is(name), f"</{tag}>") for name, tag in marks.items()), (_is("hyperlink"), F.when(web, "</a>").otherwise("</span>")),
     ])
-    return _rendered(placed, keys, deepest, F.concat(first, opened), closed)
+    return _rendered(placed, keys, F.concat(first, opened), closed)
 
 
 #: What a node of a type shows in JSON beside type, id and metadata (fixed values).
@@ -230,7 +331,7 @@ FIELDS = {
 
 def json(nodes: DataFrame, keys: list[str]) -> DataFrame:
     """JSON of every document (keys, body): each node by its type, its children in it; a table's rows as lists of cells, lists of what is in them."""
-    placed, deepest = _placed(nodes, keys)
+    placed = _placed(nodes, keys, said=True)
     options = {"ignoreNullFields": "false"}
     plain = lambda *fields: F.expr(f"substring(to_json(named_struct({', '.join(fields)}), map('ignoreNullFields', 'false')), 2)")
     inner = lambda *fields: F.regexp_replace(plain(*fields), r"\}$", "")
@@ -238,17 +339,15 @@ def json(nodes: DataFrame, keys: list[str]) -> DataFrame:
     own = F.lit("")
     for kind, fields in FIELDS.items():
         own = F.when(F.col("type") == kind, F.concat(F.lit(","), inner(*(f"'{f}', {f}" for f in fields)))).otherwise(own)
-    text = F.to_json(F.struct(F.coalesce(F.col("_has._said"), F.lit("")).alias("text")), options)
+    text = F.to_json(F.struct(F.coalesce(F.col("_said"), F.lit("")).alias("text")), options)
     own = F.when(_is("paragraph"), F.concat(F.lit(","), F.regexp_replace(text, r"^\{|\}$", ""))).otherwise(own)
     comma = F.when(F.col("_nth") > 1, ",").otherwise("")
-    order = Window.partitionBy(*keys).orderBy("ord")
-    placed = placed.withColumn("_parents", F.coalesce(F.lead("depth").over(order) > F.col("depth"), F.lit(False)))
     is_head = F.coalesce("header", F.lit(False))
     caption = F.concat(F.lit(","), inner("'caption', caption"), F.lit(',"headers":['))
-    turn = F.when(~is_head & (F.col("_nth_alike") == 1), '],"rows":[').otherwise(comma)
-    opened = _chosen([(_is("table"), F.concat(comma, head, caption)), (_is("row"), F.concat(turn, F.lit("["))), (_is("cell"), F.concat(comma, F.lit("["))), (F.lit(True), F.concat(comma, head, own, F.when(F.col("_parents"), ',"children":[').otherwise("")))])
-    closed = _chosen([(_is("table"), F.when(F.coalesce(F.col("_has._bodies"), F.lit(0)) > 0, "]}").otherwise('],"rows":[]}')), (_is("row", "cell"), "]"), (F.lit(True), F.when(F.col("_parents"), "]}").otherwise("}"))])
-    return _rendered(placed, keys, deepest, opened, closed)
+    turn = F.when(~is_head & F.col("_first_alike"), '],"rows":[').otherwise(comma)
+    opened = _chosen([(_is("table"), F.concat(comma, head, caption)), (_is("row"), F.concat(turn, F.lit("["))), (_is("cell"), F.concat(comma, F.lit("["))), (F.lit(True), F.concat(comma, head, own, F.when(F.col("_holds"), ',"children":[').otherwise("")))])
+    closed = _chosen([(_is("table"), F.when(F.col("_bodies") > 0, "]}").otherwise('],"rows":[]}')), (_is("row", "cell"), "]"), (F.lit(True), F.when(F.col("_holds"), "]}").otherwise("}"))])
+    return _rendered(placed, keys, opened, closed)
 
 
 def files(nodes: DataFrame, keys: list[str], prefix: str = "assets") -> DataFrame:
@@ -270,7 +369,7 @@ def files(nodes: DataFrame, keys: list[str], prefix: str = "assets") -> DataFram
     linked = named.groupBy(*keys, "target_designation").agg(F.max_by("path", "ord").alias("_file"))
     within = within.withColumn("_base", level).join(linked, [*keys, "target_designation"], "left").withColumn("path", F.coalesce("_file", "path"))
     body = F.when(F.col("_top.type").isin(TOPICS), f"../{prefix}").otherwise(prefix)
-    shown = markdown(within.withColumn("_prefix", body), [*keys, "_unit"], F.col("_base"), F.col("_prefix"))
+    shown = markdown(within.withColumn("_prefix", body).drop("_top"), [*keys, "_unit"], F.col("_base"), F.col("_prefix"))
     whole = paths.withColumnRenamed("ord", "_unit").join(shown, [*keys, "_unit"])
     out = whole.select(*keys, "path", F.col("body").alias("content"))
     entry = F.concat(F.lit("- ["), "designation", F.lit(": "), "title", F.lit("]("), link_escape(F.col("path")), F.lit(")\n"))

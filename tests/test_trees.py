@@ -151,3 +151,23 @@ def test_nodes_in_partitions_of_documents_are_not_shuffled(spark):
         out = render(nodes, ["doc"])
         assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
     assert sorted(r.body for r in trees.markdown(nodes, ["doc"]).collect()) == [f"of {d}\n\n" for d in range(4)]
+
+
+def test_nodes_are_put_in_order_once(spark):
+    """One sort a document, no copies of nodes for what they ask of others, and no pass over them before."""
+    nodes = spark.createDataFrame([(1, 0, 0, "document", None), (1, 1, 1, "paragraph", None), (1, 2, 2, "text", "x")], "doc long, ord long, depth int, type string, text string").repartition(5, "doc")
+    for render in (trees.markdown, trees.html, trees.json):
+        plan = render(nodes, ["doc"])._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Sort [") == 1 and "Generate" not in plan and "Aggregate" not in plan
+
+
+def test_documents_lie_over_batches(spark):
+    """Documents that begin and end within batches, or are longer than one, come out as whole ones do."""
+    documents = [NESTED, ("document", {"title": "x"}, []), ("document", {}, [p(f"n {k}") for k in range(40)]), NESTED]
+    renders = (trees.markdown, trees.html, trees.json)
+    want = [shown(spark, render, *documents) for render in renders]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        assert [shown(spark, render, *documents) for render in renders] == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
