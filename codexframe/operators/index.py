@@ -20,7 +20,8 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
@@ -29,8 +30,8 @@ from codexframe.functions.text import tokens
 from codexframe.operators.search import K1, LEAST_IDF, B, all_of
 
 _PART = re.compile(r"[^\W_]+")
-#: Postings a block, and a bucket; of a term beyond which it is dealt over tasks (or a ten-thousandth of all, if that is more).
-BLOCK, BUCKET, HEAVY = 128, 4_000_000, 1_000_000
+#: Postings a block, and a bucket; of a term beyond which it is dealt over tasks (or a ten-thousandth of all, if that is more); and a task that makes blocks.
+BLOCK, BUCKET, HEAVY, TASK = 128, 4_000_000, 1_000_000, 500_000
 #: Segments of like size (a power of four of rows) that are merged.
 FANOUT = 4
 _FIELD = 1 << 40
@@ -98,6 +99,25 @@ def portions(batch: pa.RecordBatch, words: int, most: int) -> Iterator[pa.Record
         start = end
 
 
+def in_blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Rows in the order of their groups (deal, term), and where blocks of `most` rows of a group begin; what a batch leaves open goes with the next."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        rows = pa.concat_batches([*held, batch])
+        if not rows.num_rows:
+            continue
+        deal, term = rows.column("deal").to_numpy(), rows.column("term")
+        other = (np.diff(deal) != 0) | pc.not_equal(term[1:], term[:-1]).to_numpy(zero_copy_only=False)
+        groups = np.append(0, np.flatnonzero(other) + 1)
+        at = np.arange(rows.num_rows)
+        begins = np.flatnonzero((at - np.repeat(groups, np.diff(np.append(groups, len(at))))) % most == 0)
+        if begins[-1]:
+            yield rows.slice(0, begins[-1]), begins[:-1]
+        held = [rows.slice(begins[-1])]
+    if held:
+        yield held[0], np.zeros(1, "int64")
+
+
 class Found(NamedTuple):
     """Hits of a query (key, columns of the index, score: lower is better), and functions of them."""
 
@@ -343,7 +363,7 @@ class Index:
             df = df.repartition(at_once, self.key)
         words = F.array(*(tokens(F.col(f), fold=self.analyzer != "plain") for f in self.fields))
         own = uuid.uuid4().hex
-        self._split(df.select(*self.columns.names, words.alias("_words"))).write.parquet(f"{self.path}/data/{own}/raw")
+        self._split(df.select(*self.columns.names, words.alias("_words"))).write.option("parquet.block.size", 32 << 20).parquet(f"{self.path}/data/{own}/raw")
         raw = self.spark.read.schema(self._raw_schema).parquet(f"{self.path}/data/{own}/raw")
         posted = raw.where("term is not null").select("term", F.col(self.key).alias("key"), F.col("length").cast("int").alias("length"), "places")
         new = self._written(own, raw.where("term is null").select(*self._row_schema.names), posted)
@@ -404,19 +424,37 @@ class Index:
         counts = raw.groupBy("term").agg(F.count("*").alias("n"))
         total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
         buckets, most = min(4096, 8 + total // BUCKET), max(HEAVY, total // 10_000)
-        each = raw.withColumn("bucket", (F.crc32(F.encode("term", "UTF-8")) % buckets).cast("int")).withColumn("deal", F.lit(0).cast("long"))
+        spread = math.ceil(max(total, 1) / buckets / TASK)
+        light = F.pmod(F.xxhash64("term"), F.lit(spread))
+        each = raw.withColumn("bucket", (F.crc32(F.encode("term", "UTF-8")) % buckets).cast("int")).withColumn("deal", light)
         if total > most:
             heavy = counts.where(F.col("n") > most).select("term", F.ceil(F.col("n") / most).alias("deals"))  # at most 10,000 terms
-            each = each.join(F.broadcast(heavy), "term", "left").withColumn("deal", F.coalesce(F.pmod(F.xxhash64("key"), "deals"), F.lit(0)))
+            each = each.join(F.broadcast(heavy), "term", "left").withColumn("deal", F.coalesce(F.pmod(F.xxhash64("key"), "deals"), "deal"))
         each = each.withColumn("tf", F.size("places")).withColumn("impact", _impact(max(length / n, 1e-9)))
-        # one shuffle: the window, the blocks and the files all go by bucket and deal
-        best = Window.partitionBy("bucket", "deal", "term").orderBy(F.desc("impact"), "key")
-        numbered = each.repartition("bucket", "deal").withColumn("block", F.floor((F.row_number().over(best) - 1) / BLOCK))
-        blocks = numbered.groupBy("bucket", "deal", "term", "block").agg(F.count("*").cast("int").alias("n"), F.max("impact").alias("impact"), F.collect_list(F.struct("key", "length", "places")).alias("entries"))
-        blocks = blocks.select("term", "n", "impact", "entries", "bucket").sortWithinPartitions("bucket", "term", F.desc("impact"))
+        # one shuffle, over as many tasks as there are postings for: a task sorts its own, and sorts their blocks once more for the files
+        tasks = buckets * spread
+        dealt = each.select("bucket", "deal", "term", "impact", "key", "length", "places").repartitionById(tasks, F.pmod(F.col("bucket") * spread + F.col("deal"), F.lit(tasks)).cast("int"))
+        blocks = self._made(dealt.sortWithinPartitions("bucket", "deal", "term", F.desc("impact"), "key")).sortWithinPartitions("bucket", "term", F.desc("impact"))
         blocks.write.partitionBy("bucket").option("parquet.block.size", 4 << 20).option("parquet.page.row.count.limit", 64).parquet(f"{at}/postings")
         return [{"id": own, "rows": n, "length": length, "dead_rows": 0, "dead_length": 0, "buckets": buckets}]
 
+    def _made(self, postings: DataFrame) -> DataFrame:
+        """Blocks of postings that lie in the order of bucket, deal and term, best rows first; a task holds a batch of them."""
+        kind = StructType.fromDDL(self._block_schema)
+        schema = to_arrow_schema(kind)
+
+        def run(batches):
+            entries = schema.field("entries").type
+            for rows, begins in in_blocks(batches, BLOCK):
+                first, many = pa.array(begins), np.diff(np.append(begins, rows.num_rows))
+                held = pa.StructArray.from_arrays([rows.column(f.name).cast(f.type) for f in entries.value_type], fields=list(entries.value_type))
+                lists = pa.ListArray.from_arrays(pa.array(np.append(begins, rows.num_rows), pa.int32()), held, type=entries)
+                found = {"n": pa.array(many), "entries": lists}
+                columns = (found[f.name] if f.name in found else rows.column(f.name).take(first) for f in schema)
+                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+        return postings.mapInArrow(run, kind)
+
     def _merged(self) -> Index:
         """The index with segments of like size made one, until no FANOUT are alike."""
         tiers: dict[int, list[dict]] = {}

@@ -221,3 +221,33 @@ def test_places_of_words_by_row_and_field(spark, tmp_path, monkeypatch, analyzer
                     want.setdefault((k, root(w)), (sum(map(len, fields)), []))[1].append(f * index._FIELD + p)
         assert posted == want
         assert rows_ == {k: (sum(map(len, f)), sorted({root(w) for own in f for w in own})) for k, f in zip(keys, rows, strict=False)}
+
+
+@pytest.mark.parametrize("size", [1, 3, 7, 1000])
+def test_blocks_go_on_over_batches(size):
+    terms = [(0, "a")] * 9 + [(0, "b")] * 4 + [(1, "b")] * 5 + [(1, "c")] + [(2, "c")] * 8
+    rows = pa.RecordBatch.from_pylist([{"deal": d, "term": t, "key": k} for k, (d, t) in enumerate(terms)])
+    got = []
+    for part, begins in index.in_blocks((rows.slice(k, size) for k in range(0, len(terms), size)), 4):
+        got += [part.slice(b, e - b).column("key").to_pylist() for b, e in zip(begins, [*begins[1:], part.num_rows], strict=True)]
+    assert got == [[0, 1, 2, 3], [4, 5, 6, 7], [8], [9, 10, 11, 12], [13, 14, 15, 16], [17], [18], [19, 20, 21, 22], [23, 24, 25, 26]]
+    assert list(index.in_blocks(iter([rows.slice(0, 0)]), 4)) == []
+
+
+def test_tasks_that_make_blocks_grow_in_number(spark, tmp_path, monkeypatch):
+    """The postings of a task are bounded: it is their number that says over how many tasks they go, not a setting."""
+    monkeypatch.setattr(index, "TASK", 400)
+    monkeypatch.setattr(index, "HEAVY", 400)
+    made, sizes = index.Index._made, {}
+
+    def seen(self, postings):
+        sizes[len(sizes)] = [r["count"] for r in postings.groupBy(F.spark_partition_id()).count().collect()]
+        return made(self, postings)
+
+    monkeypatch.setattr(index.Index, "_made", seen)
+    for n in (400, 3200):
+        rows = corpus(n)
+        own = index.write_index(frame(spark, rows), "id", ["body"], f"{tmp_path}/{n}")
+        check(own, rows, ["w0", "w3"])
+    few, many = sizes.values()
+    assert len(many) > 2 * len(few) and max(many) < 4 * max(few)
